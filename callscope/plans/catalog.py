@@ -1,7 +1,7 @@
 """Registered queries: one Spark plan and (where expressible) one DuckDB oracle per key.
 
 Each entry maps a SURVEY §2 key to ``(spark_fn(spark, sf_dir) -> DataFrame,
-oracle_sql or None)``. Doubles are rounded to 6 decimals on both sides
+oracle_sql or None)``. Doubles are rounded to 9 decimals on both sides
 (oracle hygiene); every LIMIT carries an ``id`` / key tie-break.
 """
 
@@ -20,12 +20,18 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def round_double(c, digits: int = 9):
+    """Round a double as ``round(x * 10^d) / 10^d`` (the scaled binary form the oracle uses)."""
+    m = float(10 ** digits)
+    return F.round(c * F.lit(m)) / F.lit(m)
+
+
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Round every top-level double column (comparison hygiene)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.DoubleType):
-            cols.append(F.round(F.col(f"`{f.name}`"), digits).alias(f.name))
+            cols.append(round_double(F.col(f"`{f.name}`"), digits).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
@@ -34,7 +40,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def register(name: str, oracle: str | None = None, calls_cte: bool = True, raw: bool = False):
     """Decorator: register ``fn(spark, sf_dir)``; oracle text gets the calls CTE.
 
-    Aggregated doubles are rounded to 6 decimals (the oracle rounds too);
+    Aggregated doubles are rounded to 9 decimals (the oracle rounds too);
     ``raw=True`` keeps row-level values, which both engines compute bit-exactly.
     """
     def deco(fn: QueryFn) -> QueryFn:

@@ -16,8 +16,8 @@ def pct(col: str, p: int) -> str:
     return f"list_sort(list({col}))[least(count({col})*{p}//100, count({col})-1)+1]"
 
 
-_BY = """SELECT {key}, count(*) AS calls, {tok} round(coalesce(sum(cost_usd), 0.0), 6) AS total_cost_usd,
-  round(coalesce(avg(latency_ms), 0.0), 6) AS avg_latency_ms,
+_BY = """SELECT {key}, count(*) AS calls, {tok} round(coalesce(sum(cost_usd), 0.0), 9) AS total_cost_usd,
+  round(coalesce(avg(latency_ms), 0.0), 9) AS avg_latency_ms,
   count(CASE WHEN {err} THEN 1 END) AS error_count FROM calls {where} GROUP BY {key}"""
 _TOK = ("coalesce(sum(input_tokens), 0) AS total_input_tokens, "
         "coalesce(sum(output_tokens), 0) AS total_output_tokens,")
@@ -30,8 +30,8 @@ def q_total_calls(spark, sf):
 
 
 @register("stats", f"""SELECT count(*) AS total_calls, coalesce(sum(input_tokens), 0) AS total_input_tokens,
-  coalesce(sum(output_tokens), 0) AS total_output_tokens, round(coalesce(sum(cost_usd), 0.0), 6) AS total_cost_usd,
-  round(coalesce(avg(latency_ms), 0.0), 6) AS avg_latency_ms, count(CASE WHEN {ERR_A} THEN 1 END) AS error_count,
+  coalesce(sum(output_tokens), 0) AS total_output_tokens, round(coalesce(sum(cost_usd), 0.0), 9) AS total_cost_usd,
+  round(coalesce(avg(latency_ms), 0.0), 9) AS avg_latency_ms, count(CASE WHEN {ERR_A} THEN 1 END) AS error_count,
   count(CASE WHEN call_ts >= TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR THEN 1 END) AS calls_last_hour FROM calls""")
 def q_stats(spark, sf):
     """Global totals in one aggregate."""
@@ -39,8 +39,8 @@ def q_stats(spark, sf):
 
 
 @register("error_rate", f"""SELECT count(*) AS total_calls, count(CASE WHEN {ERR_A} THEN 1 END) AS error_count,
-  round(CASE WHEN count(*) > 0 THEN count(CASE WHEN {ERR_A} THEN 1 END) / count(*) ELSE 0.0 END, 6) AS error_rate,
-  round(CASE WHEN count(*) > 0 THEN count(CASE WHEN {ERR_A} THEN 1 END) / count(*) ELSE 0.0 END * 100.0, 6)
+  round(CASE WHEN count(*) > 0 THEN count(CASE WHEN {ERR_A} THEN 1 END) / count(*) ELSE 0.0 END, 9) AS error_rate,
+  round(CASE WHEN count(*) > 0 THEN count(CASE WHEN {ERR_A} THEN 1 END) / count(*) ELSE 0.0 END * 100.0, 9)
     AS error_rate_pct FROM calls""")
 def q_error_rate(spark, sf):
     """D3: error share (predicate A)."""
@@ -80,7 +80,7 @@ def q_stats_by_agent(spark, sf):
     return ag.stats_by_agent(calls(spark, sf), CallFilter(since="2024-01-02", until="2024-01-28", model="o"))
 
 
-_WF = """SELECT workflow_id, count(*) AS calls, round(coalesce(sum(cost_usd), 0.0), 6) AS total_cost_usd,
+_WF = """SELECT workflow_id, count(*) AS calls, round(coalesce(sum(cost_usd), 0.0), 9) AS total_cost_usd,
   coalesce(sum(latency_ms), 0) AS total_latency_ms, count(DISTINCT agent_name) AS agents,
   count(CASE WHEN {err} THEN 1 END) AS error_count, min(call_ts) AS first_call, max(call_ts) AS last_call
   FROM calls WHERE workflow_id IS NOT NULL {extra} GROUP BY workflow_id"""
@@ -105,15 +105,15 @@ def q_recent_workflows(spark, sf):
 
 
 @register("daily_stats", f"""SELECT CAST(call_ts AS DATE) AS date, count(*) AS calls,
-  round(coalesce(sum(cost_usd), 0.0), 6) AS cost_usd, count(CASE WHEN {ERR_A} THEN 1 END) AS error_count,
-  round(coalesce(avg(latency_ms), 0.0), 6) AS avg_latency_ms FROM calls
+  round(coalesce(sum(cost_usd), 0.0), 9) AS cost_usd, count(CASE WHEN {ERR_A} THEN 1 END) AS error_count,
+  round(coalesce(avg(latency_ms), 0.0), 9) AS avg_latency_ms FROM calls
   WHERE call_ts >= TIMESTAMP '{AS_OF}' - INTERVAL 20 DAY GROUP BY 1""")
 def q_daily_stats(spark, sf):
     """Per-day stats over the last 20 days."""
     return ag.daily_stats(calls(spark, sf), days=20, as_of=AS_OF)
 
 
-@register("cost_since", """SELECT round(coalesce(sum(cost_usd), 0.0), 6) AS cost FROM calls
+@register("cost_since", """SELECT round(coalesce(sum(cost_usd), 0.0), 9) AS cost FROM calls
   WHERE call_ts >= TIMESTAMP '2024-01-15 06:00:00'""")
 def q_cost_since(spark, sf):
     """Cost at or after an instant."""
@@ -121,7 +121,7 @@ def q_cost_since(spark, sf):
 
 
 @register("cost_report", """SELECT model, count(*) AS calls, coalesce(sum(input_tokens), 0) AS input_tokens,
-  coalesce(sum(output_tokens), 0) AS output_tokens, round(coalesce(sum(cost_usd), 0.0), 6) AS cost_usd,
+  coalesce(sum(output_tokens), 0) AS output_tokens, round(coalesce(sum(cost_usd), 0.0), 9) AS cost_usd,
   grouping(model) = 1 AS is_total, grouping(model) = 1 AND coalesce(sum(cost_usd), 0.0) > 50.0 AS over_budget
   FROM calls WHERE call_ts >= TIMESTAMP '2024-01-05 00:00:00' GROUP BY ROLLUP (model)""")
 def q_cost_report(spark, sf):
@@ -130,8 +130,8 @@ def q_cost_report(spark, sf):
 
 
 @register("eval_stats", f"""SELECT count(*) AS total_calls, count(CASE WHEN {ERR_B} THEN 1 END) AS error_count,
-  round(CASE WHEN count(*) > 0 THEN count(CASE WHEN {ERR_B} THEN 1 END) / count(*) ELSE 0.0 END, 6) AS error_rate,
-  coalesce({pct('latency_ms', 99)}, 0) AS latency_p99, round(coalesce(avg(cost_usd), 0.0), 6) AS avg_cost_usd
+  round(CASE WHEN count(*) > 0 THEN count(CASE WHEN {ERR_B} THEN 1 END) / count(*) ELSE 0.0 END, 9) AS error_rate,
+  coalesce({pct('latency_ms', 99)}, 0) AS latency_p99, round(coalesce(avg(cost_usd), 0.0), 9) AS avg_cost_usd
   FROM calls WHERE contains(lower(model), 'gpt') AND call_ts >= TIMESTAMP '2024-01-02 00:00:00'
   AND status_code BETWEEN 0 AND 499""")
 def q_eval_stats(spark, sf):
@@ -146,11 +146,11 @@ def q_eval_stats(spark, sf):
     coalesce(avg(input_tokens), 0.0) AS avg_input_tokens, coalesce(avg(output_tokens), 0.0) AS avg_output_tokens
     FROM calls WHERE model IN ('gpt-4o', 'no-such-model') AND call_ts >= TIMESTAMP '2024-01-03 00:00:00'
     GROUP BY model)
-  SELECT side, pair.model, coalesce(calls, 0) AS calls, round(coalesce(avg_cost_usd, 0.0), 6) AS avg_cost_usd,
-    round(coalesce(total_cost_usd, 0.0), 6) AS total_cost_usd, round(coalesce(avg_latency_ms, 0.0), 6) AS avg_latency_ms,
+  SELECT side, pair.model, coalesce(calls, 0) AS calls, round(coalesce(avg_cost_usd, 0.0), 9) AS avg_cost_usd,
+    round(coalesce(total_cost_usd, 0.0), 9) AS total_cost_usd, round(coalesce(avg_latency_ms, 0.0), 9) AS avg_latency_ms,
     coalesce(latency_p99, 0) AS latency_p99,
-    round(CASE WHEN coalesce(calls, 0) > 0 THEN errors / calls ELSE 0.0 END, 6) AS error_rate,
-    round(coalesce(avg_input_tokens, 0.0), 6) AS avg_input_tokens, round(coalesce(avg_output_tokens, 0.0), 6) AS avg_output_tokens
+    round(CASE WHEN coalesce(calls, 0) > 0 THEN errors / calls ELSE 0.0 END, 9) AS error_rate,
+    round(coalesce(avg_input_tokens, 0.0), 9) AS avg_input_tokens, round(coalesce(avg_output_tokens, 0.0), 9) AS avg_output_tokens
   FROM pair LEFT JOIN agg USING (model)""")
 def q_compare_models(spark, sf):
     """Two exact models side by side; the absent one is a zero row."""
@@ -183,7 +183,7 @@ def q_token_percentiles(spark, sf):
 
 
 @register("model_breakdown", f"""SELECT model, count(*) AS calls, {_TOK}
-  round(coalesce(sum(cost_usd), 0.0), 6) AS total_cost_usd, round(coalesce(avg(latency_ms), 0.0), 6) AS avg_latency_ms,
+  round(coalesce(sum(cost_usd), 0.0), 9) AS total_cost_usd, round(coalesce(avg(latency_ms), 0.0), 9) AS avg_latency_ms,
   count(CASE WHEN {ERR_A} THEN 1 END) AS error_count, {pct('latency_ms', 99)} AS latency_p99
   FROM calls GROUP BY model""")
 def q_model_breakdown(spark, sf):
@@ -192,7 +192,7 @@ def q_model_breakdown(spark, sf):
 
 
 @register("workflow_detail", f"""SELECT 'wf-3' AS workflow_id, count(*) AS calls,
-  round(coalesce(sum(cost_usd), 0.0), 6) AS total_cost_usd, coalesce(sum(latency_ms), 0) AS total_latency_ms,
+  round(coalesce(sum(cost_usd), 0.0), 9) AS total_cost_usd, coalesce(sum(latency_ms), 0) AS total_latency_ms,
   list_sort(list(DISTINCT agent_name) FILTER (WHERE agent_name IS NOT NULL)) AS agents,
   count(DISTINCT agent_name) AS agent_count, count(CASE WHEN {ERR_A} THEN 1 END) AS error_count
   FROM calls WHERE workflow_id = 'wf-3'""")
@@ -202,7 +202,7 @@ def q_workflow_detail(spark, sf):
 
 
 @register("workflow_costs_recent", """SELECT workflow_id, count(*) AS calls,
-  round(coalesce(sum(cost_usd), 0.0), 6) AS cost_usd
+  round(coalesce(sum(cost_usd), 0.0), 9) AS cost_usd
   FROM (SELECT * FROM calls ORDER BY call_ts DESC, id DESC LIMIT 1000)
   WHERE workflow_id IS NOT NULL GROUP BY workflow_id""")
 def q_workflow_costs_recent(spark, sf):
@@ -228,14 +228,14 @@ def q_distinct_agents(spark, sf):
     return ag.distinct_agents(calls(spark, sf))
 
 
-@register("listing_total", f"""SELECT count(*) AS calls, round(coalesce(sum(cost_usd), 0.0), 6) AS cost_usd
+@register("listing_total", f"""SELECT count(*) AS calls, round(coalesce(sum(cost_usd), 0.0), 9) AS cost_usd
   FROM (SELECT * FROM calls WHERE {ERR_A} ORDER BY call_ts DESC, id DESC LIMIT 200)""")
 def q_listing_total(spark, sf):
     """Count and cost of the listed page (200 newest errors)."""
     return ag.listing_total(calls(spark, sf), CallFilter(errors_only=True), 200)
 
 
-@register("top_models_by_cost", """SELECT model, round(coalesce(sum(cost_usd), 0.0), 6) AS cost_usd
+@register("top_models_by_cost", """SELECT model, round(coalesce(sum(cost_usd), 0.0), 9) AS cost_usd
   FROM calls GROUP BY model ORDER BY coalesce(sum(cost_usd), 0.0) DESC, model LIMIT 3""")
 def q_top_models_by_cost(spark, sf):
     """Three most expensive models."""
