@@ -98,3 +98,28 @@ def shadowed_routes(routes: DataFrame) -> DataFrame:
     cond = (F.col("rank_i") < F.col("rank_j")) & route_match(F.col("path"), F.col("shadowed_by"))
     return (j.join(F.broadcast(i), cond, "inner")
             .select("rank_j", "path", "rank_i", "shadowed_by").orderBy("rank_j", "rank_i"))
+
+
+def provider_expr(upstream: Column) -> Column:
+    """C9 as a per-row CASE chain over the fixed provider rules (no join; ingest hot path)."""
+    chain = None
+    for all_of, any_of, label in PROVIDER_RULES:
+        cond = F.lit(True)
+        for p in all_of:
+            cond = cond & upstream.contains(p)
+        if any_of:
+            alt = F.lit(False)
+            for p in any_of:
+                alt = alt | upstream.contains(p)
+            cond = cond & alt
+        chain = F.when(cond, F.lit(label)) if chain is None else chain.when(cond, F.lit(label))
+    return chain.otherwise(F.lit(UNKNOWN_PROVIDER))
+
+
+def route_expr(path: Column, routes: list[tuple[str, str]], default: Column) -> Column:
+    """C7 as a per-row CASE chain over a (configuration-sized) route list."""
+    chain = None
+    for prefix, upstream in routes:
+        cond = route_match(path, F.lit(prefix))
+        chain = F.when(cond, F.lit(upstream)) if chain is None else chain.when(cond, F.lit(upstream))
+    return default if chain is None else chain.otherwise(default)

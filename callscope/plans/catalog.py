@@ -84,7 +84,7 @@ def _load() -> None:
         q_aggregates,
         q_filters,
     )
-    for mod in ("q_joins", "q_windows", "q_metrics", "q_search", "q_prompts",
+    for mod in ("q_joins", "q_windows", "q_metrics", "q_search", "q_store",
                 "q_enrich", "q_exports", "q_streaming", "q_checks"):
         try:
             __import__(f"callscope.plans.{mod}")

@@ -183,3 +183,11 @@ def q_filter_combined(spark, sf):
 def q_status_exact(spark, sf):
     """Connection failures (status 0)."""
     return calls(spark, sf).where(by_status(0))
+
+
+@register("page_after", raw=True, oracle=f"""SELECT {ALL} FROM calls
+  WHERE call_ts < TIMESTAMP '2024-01-05 00:00:00' OR (call_ts = TIMESTAMP '2024-01-05 00:00:00' AND id < '00001000')
+  ORDER BY call_ts DESC, id DESC LIMIT 100""")
+def q_page_after(spark, sf):
+    """B19 keyset form: the 100 calls just older than a (timestamp, id) cursor."""
+    return fl.page_after(calls(spark, sf), "2024-01-05T00:00:00", "00001000", None, 100)
