@@ -103,29 +103,35 @@ def stats_by_agent(df: DataFrame, f: CallFilter | None = None) -> DataFrame:
     return _by(base, "agent_name")
 
 
-def _workflow_aggs(err: Column) -> list[Column]:
-    return [F.count(F.lit(1)).alias("calls"), total_cost_col(),
-            F.coalesce(F.sum("latency_ms"), F.lit(0)).alias("total_latency_ms"),
-            F.countDistinct("agent_name").alias("agents"), error_count_col(err),
-            F.min("call_ts").alias("first_call"), F.max("call_ts").alias("last_call")]
+def _workflow_summary(df: DataFrame, err: Column) -> DataFrame:
+    """Per-workflow totals with an exact distinct-agent count.
 
+    Two hash aggregates instead of an Expand-based distinct aggregate: first
+    by (workflow, agent) with partial sums, then by workflow, counting the
+    non-NULL agents. Both levels combine map-side, so a hot workflow is
+    reduced before its shuffle.
+    """
+    per_agent = df.groupBy("workflow_id", "agent_name").agg(
+        F.count(F.lit(1)).alias("_c"), F.sum("cost_usd").alias("_cost"),
+        F.sum("latency_ms").alias("_lat"), F.count_if(err).alias("_err"),
+        F.min("call_ts").alias("_first"), F.max("call_ts").alias("_last"))
+    return per_agent.groupBy("workflow_id").agg(
+        F.sum("_c").alias("calls"), F.coalesce(F.sum("_cost"), F.lit(0.0)).alias("total_cost_usd"),
+        F.coalesce(F.sum("_lat"), F.lit(0)).alias("total_latency_ms"),
+        F.count("agent_name").alias("agents"), F.sum("_err").alias("error_count"),
+        F.min("_first").alias("first_call"), F.max("_last").alias("last_call"))
 
-def workflow_summary(df: DataFrame, f: CallFilter | None = None) -> DataFrame:
-    """Per workflow; newest first call first.
 
-    ``countDistinct`` is planned as a two-level aggregate keyed by
-    (workflow, agent) first, so a hot workflow is pre-reduced map-side.
-    """
+def workflow_summary(df: DataFrame, f: CallFilter | None = None) -> DataFrame:
+    """Per workflow; newest first call first."""
     base = _restrict(f).apply(df).where(F.col("workflow_id").isNotNull())
-    return (base.groupBy("workflow_id").agg(*_workflow_aggs(is_error_a()))
-            .orderBy(F.col("first_call").desc(), "workflow_id"))
+    return _workflow_summary(base, is_error_a()).orderBy(F.col("first_call").desc(), "workflow_id")
 
 
 def workflow_recent(df: DataFrame, limit: int = 20) -> DataFrame:
     """Most recently active workflows, errors by predicate B, limit <= 10 000."""
     n = max(0, min(int(limit), 10_000))
-    return (df.where(F.col("workflow_id").isNotNull())
-            .groupBy("workflow_id").agg(*_workflow_aggs(is_error_b()))
+    return (_workflow_summary(df.where(F.col("workflow_id").isNotNull()), is_error_b())
             .orderBy(F.col("last_call").desc(), "workflow_id").limit(n))
 
 

@@ -2,12 +2,17 @@
 
 Two forms share one rule table:
 
-* ``with_simple_cost`` / ``with_body_cost`` price every call with a CASE
-  chain built from the fixed-size rule table: no join, no shuffle.
 * ``price_models`` prices a DataFrame of *distinct* model names through a
   broadcast nested-loop join against the rule table (rules are a fixed,
   ~120-row dimension, so the broadcast has a proven size bound) and keeps
   the first matching rule per model with ``min_by``.
+* ``with_simple_cost`` (batch) prices the distinct models once and hash-joins
+  the priced table back. The priced table is collected only after checking
+  it has at most ``MAX_BROADCAST_MODELS`` rows and is then broadcast (no
+  shuffle of the calls); beyond that bound it is joined with a regular
+  shuffle join.
+* ``price_expr`` (per-row CASE chain, no join) is used where an eager
+  distinct is impossible: streaming ingest.
 """
 
 from __future__ import annotations
@@ -30,14 +35,44 @@ def cost_formula(inp: Column, out: Column, pin: Column, pout: Column) -> Column:
             .otherwise((inp.cast("double") * pin + out.cast("double") * pout) / F.lit(1e6)))
 
 
+MAX_BROADCAST_MODELS = 100_000
+
+
+def with_price(df: DataFrame, overrides: dict | None = None,
+               default: tuple[float, float] | None = None, out: str = "_price") -> DataFrame:
+    """Add ``out`` = struct(input_per_mtok, output_per_mtok, source) per row by model.
+
+    Distinct models are priced once; if there are at most
+    MAX_BROADCAST_MODELS of them (checked with a bounded collect) the priced
+    rows become a local broadcast table, otherwise a shuffle join is used.
+    """
+    spark = df.sparkSession
+    if df.isStreaming:
+        return df.withColumn(out, price_expr(F.col("model"), overrides, default))
+    priced = price_models(df.select("model"), overrides, default)
+    rows = priced.limit(MAX_BROADCAST_MODELS + 1).collect()
+    small = len(rows) <= MAX_BROADCAST_MODELS
+    table = spark.createDataFrame(rows, priced.schema) if small else priced
+    table = table.select(F.col("model").alias("_pm"), F.struct(
+        "input_per_mtok", "output_per_mtok", "source").alias(out))
+    table = F.broadcast(table) if small else table
+    fb = default or FALLBACK_PRICE
+    missing = F.struct(F.lit(float(fb[0])).alias("input_per_mtok"), F.lit(float(fb[1])).alias("output_per_mtok"),
+                       F.lit("fallback").alias("source"))
+    joined = df.join(table, df["model"] == table["_pm"], "left").drop("_pm")
+    return joined.withColumn(out, F.coalesce(F.col(out), missing))
+
+
 def with_simple_cost(df: DataFrame, overrides: dict | None = None,
                      default: tuple[float, float] | None = None) -> DataFrame:
     """Fill ``cost_usd`` from tokens and the model's price (NULL when input is NULL)."""
-    p = price_expr(F.col("model"), overrides, default)
+    cols = [c for c in df.columns]
+    df = with_price(df, overrides, default, "_price")
+    p = F.col("_price")
     out = F.coalesce(F.col("output_tokens"), F.lit(0))
     cost = F.when(F.col("input_tokens").isNull(), F.lit(None).cast("double")).otherwise(
         cost_formula(F.col("input_tokens"), out, p["input_per_mtok"], p["output_per_mtok"]))
-    return df.withColumn("cost_usd", cost)
+    return df.withColumn("cost_usd", cost).select(*cols)
 
 
 def cache_aware_cost(inp: Column, out: Column, pin: Column, pout: Column,

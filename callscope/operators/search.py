@@ -21,12 +21,10 @@ table and one aggregate, whatever the phrase length.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.functions.text import py_tokens, raw_tokens, tokens
+from callscope.functions.text import TOKEN_PATTERN, normalize, py_tokens, raw_tokens, tokens
 
 # Columns of a call that are searchable, BM25 parameters,
 # result cap and snippet width.
@@ -48,14 +46,23 @@ def token_index(df: DataFrame, id_col: str = "id", columns=INDEXED_CALL_COLUMNS)
 
 
 def doc_lengths(df: DataFrame, id_col: str = "id", columns=INDEXED_CALL_COLUMNS) -> DataFrame:
-    """``(id, doc_len)``: token count over all indexed columns (every row, even empty ones)."""
+    """``(id, doc_len)``: token count over all indexed columns (every row, even empty ones).
+
+    Counts regex matches without materialising the token arrays.
+    """
     n = None
     for c in columns:
-        s = F.size(tokens(F.col(c)))
+        s = F.coalesce(F.regexp_count(normalize(F.col(c)), F.lit(TOKEN_PATTERN)), F.lit(0))
         n = s if n is None else n + s
     return df.select(F.col(id_col).alias("id"), n.cast("long").alias("doc_len"))
 
 
+def corpus_stats(lengths: DataFrame) -> tuple[int, float]:
+    """(row count, total tokens) of the indexed corpus: one aggregate row."""
+    r = lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("t")).first()
+    return int(r["n"] or 0), float(r["t"] or 0.0)
+
+
 def write_index(df: DataFrame, path: str, id_col: str = "id", columns=INDEXED_CALL_COLUMNS,
                 buckets: int = DEFAULT_BUCKETS) -> tuple[str, str]:
     """Build and persist the index (bucketed by token) and the length table.
@@ -66,7 +73,13 @@ def write_index(df: DataFrame, path: str, id_col: str = "id", columns=INDEXED_CA
     ipath, lpath = f"{path}/tokens", f"{path}/lengths"
     (idx.repartition(buckets, "bucket").sortWithinPartitions("token", "id", "col", "pos")
      .write.mode("overwrite").partitionBy("bucket").parquet(ipath))
-    doc_lengths(df, id_col, columns).write.mode("overwrite").parquet(lpath)
+    lengths = doc_lengths(df, id_col, columns)
+    lengths.write.mode("overwrite").parquet(lpath)
+    # corpus statistics, kept next to the index so a search needs no full pass
+    spark = df.sparkSession
+    st = spark.read.parquet(lpath).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("doc_len").alias("total_tokens"),
+                                       F.lit(int(buckets)).alias("buckets"))
+    st.write.mode("overwrite").parquet(f"{path}/stats")
     return ipath, lpath
 
 
@@ -74,6 +87,12 @@ def read_index(spark: SparkSession, ipath: str, lpath: str) -> tuple[DataFrame,
     return spark.read.parquet(ipath), spark.read.parquet(lpath)
 
 
+def read_stats(spark: SparkSession, ipath: str) -> tuple[int, float, int]:
+    """(row count, total tokens, bucket count) stored with a persisted index."""
+    r = spark.read.parquet(ipath.rsplit("/", 1)[0] + "/stats").first()
+    return int(r["n_rows"] or 0), float(r["total_tokens"] or 0.0), int(r["buckets"])
+
+
 def index_backfill(df: DataFrame, index: DataFrame, id_col: str = "id",
                    columns=INDEXED_CALL_COLUMNS) -> DataFrame:
     """C14: index rows only for records whose id is not yet in the index (anti-join)."""
@@ -97,23 +116,23 @@ def _query_table(spark: SparkSession, phrases: list[list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "phrase int, term_no int, token string, plen int")
 
 
-def _restrict_buckets(index: DataFrame, terms: list[str]) -> DataFrame:
+def _restrict_buckets(index: DataFrame, terms: list[str], buckets: int | None) -> DataFrame:
     """On a bucketed index, add a literal bucket filter so partitions are pruned."""
-    if "bucket" not in index.columns:
+    if "bucket" not in index.columns or not buckets:
         return index
     spark = index.sparkSession
-    nb = DEFAULT_BUCKETS
+    nb = int(buckets)
     lit_terms = spark.createDataFrame([(t,) for t in terms], "t string")
     ids = [r[0] for r in lit_terms.select(F.pmod(F.xxhash64("t"), F.lit(nb))).distinct().collect()]
     return index.where(F.col("bucket").isin(ids))
 
 
-def phrase_hits(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
+def phrase_hits(index: DataFrame, phrases: list[list[str]], buckets: int | None = None) -> DataFrame:
     """Phrase occurrences ``(id, col, phrase, start)``."""
     spark = index.sparkSession
     terms = sorted({t for p in phrases for t in p})
     q = _query_table(spark, phrases)
-    cand = _restrict_buckets(index, terms).where(F.col("token").isin(terms))
+    cand = _restrict_buckets(index, terms, buckets).where(F.col("token").isin(terms))
     return (cand.join(F.broadcast(q), "token")
             .withColumn("start", F.col("pos") - F.col("term_no"))
             .groupBy("id", "col", "phrase", "start")
@@ -122,52 +141,49 @@ def phrase_hits(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
             .select("id", "col", "phrase", "start"))
 
 
-def phrase_match(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
+def phrase_match(index: DataFrame, phrases: list[list[str]], buckets: int | None = None) -> DataFrame:
     """Per row and phrase, the number of occurrences ``tf``."""
-    return phrase_hits(index, phrases).groupBy("id", "phrase").agg(F.count(F.lit(1)).alias("tf"))
+    return phrase_hits(index, phrases, buckets).groupBy("id", "phrase").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_scores(index: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
+def bm25_scores(index: DataFrame, lengths: DataFrame, query: str,
+                stats: tuple | None = None) -> DataFrame:
     """Every row matching all phrases with its BM25 ``rank`` (more negative = better).
 
-    Corpus statistics (row count, total tokens, per-phrase document
-    frequency) are single aggregate rows brought to the driver as literals.
+    Corpus size and total tokens are one aggregate row (or the stats stored
+    with a persisted index, which also give its bucket count); per-phrase document frequencies are computed in
+    the plan and broadcast back (one row per query phrase).
     """
     spark = index.sparkSession
     phrases = parse_query(query)
     if not phrases:
         return spark.createDataFrame([], "id " + index.schema["id"].dataType.simpleString() + ", rank double")
-    tf = phrase_match(index, phrases)
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("t")).first()
-    n_rows, total = int(stats["n"] or 0), float(stats["t"] or 0.0)
-    avgdl = total / n_rows if n_rows else 0.0
-    dfreq = {r["phrase"]: r["n"] for r in tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = {}
-    for i in range(len(phrases)):
-        nd = dfreq.get(i, 0)
-        v = math.log((n_rows - nd + 0.5) / (nd + 0.5)) if n_rows else 0.0
-        idf[i] = v if v > 0 else IDF_FLOOR
-    idf_map = F.create_map(*[x for i, v in idf.items() for x in (F.lit(i), F.lit(float(v)))])
-    full = (tf.groupBy("id").agg(F.count(F.lit(1)).alias("_np"))
-            .where(F.col("_np") == len(phrases)).select("id"))
+    n_rows, total, *rest = stats if stats is not None else corpus_stats(lengths)
+    buckets = rest[0] if rest else None
+    avgdl = total / n_rows if n_rows else 1.0
+    tf = phrase_match(index, phrases, buckets)
+    nd = tf.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("_nd"))
+    raw_idf = F.log((F.lit(float(n_rows)) - F.col("_nd") + F.lit(0.5)) / (F.col("_nd") + F.lit(0.5)))
+    idf = nd.select("phrase", F.when(raw_idf > 0, raw_idf).otherwise(F.lit(IDF_FLOOR)).alias("_idf"))
     k1, b = F.lit(BM25_K1), F.lit(BM25_B)
     f = F.col("tf").cast("double")
     dl = F.col("doc_len").cast("double")
     norm = F.lit(1.0) - b + b * dl / F.lit(avgdl if avgdl else 1.0)
-    term = F.element_at(idf_map, F.col("phrase")) * (f * (k1 + F.lit(1.0))) / (f + k1 * norm)
-    return (tf.join(full, "id").join(lengths, "id")
-            .groupBy("id").agg((-F.sum(term)).alias("rank")))
+    term = F.col("_idf") * (f * (k1 + F.lit(1.0))) / (f + k1 * norm)
+    scored = (tf.join(F.broadcast(idf), "phrase").join(lengths, "id")
+              .groupBy("id").agg(F.count(F.lit(1)).alias("_np"), (-F.sum(term)).alias("rank")))
+    return scored.where(F.col("_np") == len(phrases)).select("id", "rank")
 
 
 def search(records: DataFrame, index: DataFrame, lengths: DataFrame, query: str,
-           limit: int = 20, id_col: str = "id") -> DataFrame:
+           limit: int = 20, id_col: str = "id", stats: tuple | None = None) -> DataFrame:
     """E3 + C1 + G4: best ``limit`` (<= 500) matching records with their rank.
 
     The top-k is a distributed TakeOrderedAndProject; the <= 500 winning ids
     are then broadcast into a hash join with the records.
     """
     k = max(0, min(int(limit), SEARCH_CAP))
-    top = bm25_scores(index, lengths, query).orderBy("rank", "id").limit(k)
+    top = bm25_scores(index, lengths, query, stats).orderBy("rank", "id").limit(k)
     return (records.join(F.broadcast(top.withColumnRenamed("id", id_col)), id_col)
             .orderBy("rank", id_col))
 
