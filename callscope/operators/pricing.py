@@ -177,3 +177,22 @@ def price_audit(calls: DataFrame, overrides: dict | None = None) -> DataFrame:
         F.coalesce("oi", "input_per_mtok").alias("input_per_mtok"),
         F.coalesce("oo", "output_per_mtok").alias("output_per_mtok"),
         "in_db")
+
+
+def load_prices(spark: SparkSession, json_path: str) -> DataFrame:
+    """A4: a community price list (one JSON object: model -> per-token prices) as
+    (model, input_per_mtok, output_per_mtok); skips the ``sample_spec`` entry and
+    entries whose two prices are both zero. Usable directly as price overrides."""
+    entry = "struct<input_cost_per_token:double,output_cost_per_token:double>"
+    doc = spark.read.option("wholetext", "true").text(json_path)
+    kv = doc.select(F.explode(F.from_json("value", f"map<string,{entry}>")).alias("model", "p"))
+    out = kv.where(F.col("model") != "sample_spec").select(
+        "model",
+        (F.coalesce(F.col("p.input_cost_per_token"), F.lit(0.0)) * F.lit(1e6)).alias("input_per_mtok"),
+        (F.coalesce(F.col("p.output_cost_per_token"), F.lit(0.0)) * F.lit(1e6)).alias("output_per_mtok"))
+    return out.where((F.col("input_per_mtok") > 0) | (F.col("output_per_mtok") > 0))
+
+
+def save_price_cache(prices: DataFrame, path: str) -> None:
+    """A4: persist a loaded price list (parquet) for later runs."""
+    prices.write.mode("overwrite").parquet(path)

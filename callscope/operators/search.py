@@ -73,13 +73,16 @@ def write_index(df: DataFrame, path: str, id_col: str = "id", columns=INDEXED_CA
     ipath, lpath = f"{path}/tokens", f"{path}/lengths"
     (idx.repartition(buckets, "bucket").sortWithinPartitions("token", "id", "col", "pos")
      .write.mode("overwrite").partitionBy("bucket").parquet(ipath))
-    lengths = doc_lengths(df, id_col, columns)
-    lengths.write.mode("overwrite").parquet(lpath)
-    # corpus statistics, kept next to the index so a search needs no full pass
+    # lengths come from the written index (no second tokenisation); rows without
+    # tokens can never match, they only count towards the corpus size
     spark = df.sparkSession
-    st = spark.read.parquet(lpath).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("doc_len").alias("total_tokens"),
-                                       F.lit(int(buckets)).alias("buckets"))
-    st.write.mode("overwrite").parquet(f"{path}/stats")
+    (spark.read.parquet(ipath).groupBy("id").agg(F.count(F.lit(1)).alias("doc_len"))
+     .write.mode("overwrite").parquet(lpath))
+    n_rows = df.count()
+    total = spark.read.parquet(lpath).agg(F.sum("doc_len")).first()[0] or 0
+    spark.createDataFrame([(int(n_rows), float(total), int(buckets))],
+                          "n_rows long, total_tokens double, buckets int") \
+        .write.mode("overwrite").parquet(f"{path}/stats")
     return ipath, lpath
 
 

@@ -136,3 +136,16 @@ def q_index_backfill(spark, sf):
     d = _docs(spark, sf)
     existing = se.token_index(d.where(F.col("lang") == "en"), "doc_id", DOC_COLS)
     return se.index_backfill(d, existing, "doc_id", DOC_COLS)
+
+
+@register("search_join", f"""WITH s AS ({_bm25_sql(_CALL_INDEX, _CALL_LENGTHS, "claude anthropic")}),
+  top AS (SELECT * FROM s ORDER BY rank, id LIMIT 100)
+  SELECT c.*, round(top.rank, 9) AS rank FROM calls c JOIN top USING (id)""", raw=True)
+def q_search_join(spark, sf):
+    """BM25 hits of a calls search joined back to the full call records."""
+    from callscope.plans.catalog import round_double
+
+    c = calls(spark, sf)
+    idx, lens = se.token_index(c), se.doc_lengths(c)
+    out = se.search(c, idx, lens, "claude anthropic", 100)
+    return out.withColumn("rank", round_double(F.col("rank")))

@@ -55,3 +55,13 @@ def test_with_simple_cost_matches_expression(spark, make_calls):
                                                + F.col("output_tokens") * p["output_per_mtok"]) / 1e6)
                                       .alias("c")).collect()}
     assert a == pytest.approx(b)
+
+
+def test_load_prices(spark, tmp_path):
+    from callscope.operators.pricing import load_prices
+    p = tmp_path / "prices.json"
+    p.write_text('{"sample_spec": {"input_cost_per_token": 1}, "m1": {"input_cost_per_token": 0.000002, '
+                 '"output_cost_per_token": 0.000008, "mode": "chat"}, "free": {"input_cost_per_token": 0}}')
+    got = {r.model: (r.input_per_mtok, r.output_per_mtok) for r in load_prices(spark, str(p)).collect()}
+    assert got.keys() == {"m1"}
+    assert got["m1"] == pytest.approx((2.0, 8.0))
