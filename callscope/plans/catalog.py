@@ -45,6 +45,8 @@ def register(name: str, oracle: str | None = None, calls_cte: bool = True, raw:
     """
     def deco(fn: QueryFn) -> QueryFn:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # day buckets, date filters and timestamp casts are defined in UTC
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             out = fn(spark, sf_dir)
             return out if raw else rounded(out)
         run.__name__ = fn.__name__

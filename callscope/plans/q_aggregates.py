@@ -19,8 +19,8 @@ def pct(col: str, p: int) -> str:
 _BY = """SELECT {key}, count(*) AS calls, {tok} round(coalesce(sum(cost_usd), 0.0), 9) AS total_cost_usd,
   round(coalesce(avg(latency_ms), 0.0), 9) AS avg_latency_ms,
   count(CASE WHEN {err} THEN 1 END) AS error_count FROM calls {where} GROUP BY {key}"""
-_TOK = ("coalesce(sum(input_tokens), 0) AS total_input_tokens, "
-        "coalesce(sum(output_tokens), 0) AS total_output_tokens,")
+_TOK = ("CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS total_input_tokens, "
+        "CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS total_output_tokens,")
 
 
 @register("total_calls", "SELECT count(*) AS n FROM calls")
@@ -29,8 +29,8 @@ def q_total_calls(spark, sf):
     return ag.total_calls(calls(spark, sf))
 
 
-@register("stats", f"""SELECT count(*) AS total_calls, coalesce(sum(input_tokens), 0) AS total_input_tokens,
-  coalesce(sum(output_tokens), 0) AS total_output_tokens, round(coalesce(sum(cost_usd), 0.0), 9) AS total_cost_usd,
+@register("stats", f"""SELECT count(*) AS total_calls, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS total_input_tokens,
+  CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS total_output_tokens, round(coalesce(sum(cost_usd), 0.0), 9) AS total_cost_usd,
   round(coalesce(avg(latency_ms), 0.0), 9) AS avg_latency_ms, count(CASE WHEN {ERR_A} THEN 1 END) AS error_count,
   count(CASE WHEN call_ts >= TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR THEN 1 END) AS calls_last_hour FROM calls""")
 def q_stats(spark, sf):
@@ -81,7 +81,7 @@ def q_stats_by_agent(spark, sf):
 
 
 _WF = """SELECT workflow_id, count(*) AS calls, round(coalesce(sum(cost_usd), 0.0), 9) AS total_cost_usd,
-  coalesce(sum(latency_ms), 0) AS total_latency_ms, count(DISTINCT agent_name) AS agents,
+  CAST(coalesce(sum(latency_ms), 0) AS BIGINT) AS total_latency_ms, count(DISTINCT agent_name) AS agents,
   count(CASE WHEN {err} THEN 1 END) AS error_count, min(call_ts) AS first_call, max(call_ts) AS last_call
   FROM calls WHERE workflow_id IS NOT NULL {extra} GROUP BY workflow_id"""
 
@@ -120,8 +120,8 @@ def q_cost_since(spark, sf):
     return ag.cost_since(calls(spark, sf), "2024-01-15T06:00:00")
 
 
-@register("cost_report", """SELECT model, count(*) AS calls, coalesce(sum(input_tokens), 0) AS input_tokens,
-  coalesce(sum(output_tokens), 0) AS output_tokens, round(coalesce(sum(cost_usd), 0.0), 9) AS cost_usd,
+@register("cost_report", """SELECT model, count(*) AS calls, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens,
+  CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, round(coalesce(sum(cost_usd), 0.0), 9) AS cost_usd,
   grouping(model) = 1 AS is_total, grouping(model) = 1 AND coalesce(sum(cost_usd), 0.0) > 50.0 AS over_budget
   FROM calls WHERE call_ts >= TIMESTAMP '2024-01-05 00:00:00' GROUP BY ROLLUP (model)""")
 def q_cost_report(spark, sf):
@@ -192,7 +192,7 @@ def q_model_breakdown(spark, sf):
 
 
 @register("workflow_detail", f"""SELECT 'wf-3' AS workflow_id, count(*) AS calls,
-  round(coalesce(sum(cost_usd), 0.0), 9) AS total_cost_usd, coalesce(sum(latency_ms), 0) AS total_latency_ms,
+  round(coalesce(sum(cost_usd), 0.0), 9) AS total_cost_usd, CAST(coalesce(sum(latency_ms), 0) AS BIGINT) AS total_latency_ms,
   list_sort(list(DISTINCT agent_name) FILTER (WHERE agent_name IS NOT NULL)) AS agents,
   count(DISTINCT agent_name) AS agent_count, count(CASE WHEN {ERR_A} THEN 1 END) AS error_count
   FROM calls WHERE workflow_id = 'wf-3'""")

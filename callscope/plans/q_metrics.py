@@ -18,10 +18,10 @@ def q_metric_calls(spark, sf):
 
 
 @register("metric_tokens", """SELECT * FROM (
-  SELECT model, provider, 'input' AS type, sum(input_tokens) FILTER (WHERE input_tokens > 0) AS n
+  SELECT model, provider, 'input' AS type, CAST(sum(input_tokens) FILTER (WHERE input_tokens > 0) AS BIGINT) AS n
     FROM calls GROUP BY model, provider
   UNION ALL
-  SELECT model, provider, 'output' AS type, sum(output_tokens) FILTER (WHERE output_tokens > 0) AS n
+  SELECT model, provider, 'output' AS type, CAST(sum(output_tokens) FILTER (WHERE output_tokens > 0) AS BIGINT) AS n
     FROM calls GROUP BY model, provider) WHERE n IS NOT NULL""")
 def q_metric_tokens(spark, sf):
     """Positive token sums by model, provider, type."""
@@ -36,9 +36,9 @@ def q_metric_cost(spark, sf):
 
 
 def _hist_sql(col: str, bounds=(100, 500, 1000, 5000)) -> str:
-    parts = [f"SELECT model, '{b}' AS le, count(*) FILTER (WHERE {col} <= {b}) AS n, sum({col}) AS sum, "
+    parts = [f"SELECT model, '{b}' AS le, count(*) FILTER (WHERE {col} <= {b}) AS n, CAST(sum({col}) AS BIGINT) AS sum, "
              f"count({col}) AS count FROM calls WHERE {col} IS NOT NULL GROUP BY model" for b in bounds]
-    parts.append(f"SELECT model, '+Inf' AS le, count({col}) AS n, sum({col}) AS sum, count({col}) AS count "
+    parts.append(f"SELECT model, '+Inf' AS le, count({col}) AS n, CAST(sum({col}) AS BIGINT) AS sum, count({col}) AS count "
                  f"FROM calls WHERE {col} IS NOT NULL GROUP BY model")
     return " UNION ALL ".join(parts)
 
