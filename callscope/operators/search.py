@@ -71,7 +71,9 @@ def write_index(df: DataFrame, path: str, id_col: str = "id", columns=INDEXED_CA
     """
     idx = token_index(df, id_col, columns).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
     ipath, lpath = f"{path}/tokens", f"{path}/lengths"
-    (idx.repartition(buckets, "bucket").sortWithinPartitions("token", "id", "col", "pos")
+    # rebalance (not a plain repartition): AQE splits a bucket that holds a very
+    # frequent token over several tasks/files instead of one oversized task
+    (idx.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "id", "col", "pos")
      .write.mode("overwrite").partitionBy("bucket").parquet(ipath))
     # lengths come from the written index (no second tokenisation); rows without
     # tokens can never match, they only count towards the corpus size
