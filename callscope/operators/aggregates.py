@@ -175,26 +175,24 @@ def cost_report(df: DataFrame, f: CallFilter | None = None, fail_over_usd: float
 def eval_stats(df: DataFrame, f: CallFilter | None = None) -> DataFrame:
     """Totals, errors (B), rate, p99 latency, average cost under the filter.
 
-    Honours model, provider, since/until and status/status range. One pass:
-    the filtered rows are reduced to a latency histogram that also carries
-    error and cost partial sums; totals and the exact p99 both come from it.
+    Honours model, provider, since/until and status/status range. Totals are
+    one global aggregate, p99 the two-level exact percentile; the two
+    one-row results are combined by a union + aggregate (no join).
     """
-    from pyspark.sql import Window
-
     f = f or CallFilter()
     base = CallFilter(model=f.model, provider=f.provider, since=f.since, until=f.until,
                       status=f.status, status_range=f.status_range).apply(df)
-    hist = base.groupBy("latency_ms").agg(
-        F.count(F.lit(1)).alias("_c"), F.count_if(is_error_b()).alias("_e"),
-        F.sum("cost_usd").alias("_s"), F.count("cost_usd").alias("_k"))
-    run = Window.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("_cum", F.sum("_c").over(run)).withColumn("_n", F.sum("_c").over(Window.partitionBy()))
-    idx = F.least(F.expr("(_n * 99) div 100"), F.col("_n") - 1)
-    agg = hist.agg(
-        F.coalesce(F.sum("_c"), F.lit(0)).alias("total_calls"),
-        F.coalesce(F.sum("_e"), F.lit(0)).alias("error_count"),
-        F.coalesce(F.min(F.when(F.col("_cum") > idx, F.col("latency_ms"))), F.lit(0)).alias("latency_p99"),
-        F.coalesce(F.sum("_s") / F.sum("_k"), F.lit(0.0)).alias("avg_cost_usd"))
+    none_l = F.lit(None).cast("long")
+    tot = base.agg(F.count(F.lit(1)).alias("total_calls"), error_count_col(is_error_b()),
+                   F.avg("cost_usd").alias("avg_cost_usd")).withColumn("latency_p99", none_l)
+    p99 = exact_percentiles(base, "latency_ms", ps=(99,)).select(
+        none_l.alias("total_calls"), none_l.alias("error_count"), F.lit(None).cast("double").alias("avg_cost_usd"),
+        F.col("p99").cast("long").alias("latency_p99"))
+    agg = tot.unionByName(p99).agg(
+        F.coalesce(F.max("total_calls"), F.lit(0)).alias("total_calls"),
+        F.coalesce(F.max("error_count"), F.lit(0)).alias("error_count"),
+        F.coalesce(F.max("latency_p99"), F.lit(0)).alias("latency_p99"),
+        F.coalesce(F.max("avg_cost_usd"), F.lit(0.0)).alias("avg_cost_usd"))
     rate = F.when(F.col("total_calls") > 0, F.col("error_count") / F.col("total_calls")).otherwise(0.0)
     return agg.select("total_calls", "error_count", rate.alias("error_rate"),
                       "latency_p99", "avg_cost_usd")

@@ -3,12 +3,20 @@
 The rank rule is ``sorted[min(n*p div 100, n-1)]`` (0-based, integer
 division), which is none of Spark's built-in percentile functions.
 
-Plan: reduce the rows to a value histogram ``(group, value, count)`` with a
-partial/final hash aggregate (the shuffle carries at most one row per
-distinct value per partition), then a running sum over the histogram
-ordered by value. The target value is the smallest value whose running
-count exceeds the target rank. A window task holds one group's distinct
-values, never its rows, so a hot group costs O(distinct values) state.
+Plan (two levels, every step a keyed aggregate or a small window):
+
+1. value histogram ``(group, value, count)`` -- partial/final hash
+   aggregate, the shuffle carries one row per distinct value per partition;
+2. coarse histogram over value buckets (``value >> 10``) with a running
+   count per group: locates, for each requested p, the bucket holding the
+   target rank and the rank offset inside it;
+3. the fine histogram rows of the target buckets only (at most 1024
+   distinct values each) get a running count per (group, p); the answer is
+   the smallest value whose running count exceeds the offset.
+
+No task ever holds a group's rows or all of its distinct values: the
+windows see at most (value range / 1024) buckets or 1024 values, so a hot
+group (a third of all rows) costs the same as any other.
 """
 
 from __future__ import annotations
@@ -17,36 +25,55 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_PS = (50, 95, 99)
+BUCKET_BITS = 10
 
 
 def exact_percentiles(df: DataFrame, value: str, by: Sequence[str] = (),
                       ps: Sequence[int] = DEFAULT_PS, prefix: str = "p",
                       with_count: bool = False) -> DataFrame:
-    """Exact percentiles of ``value`` per ``by`` group (NULL values ignored).
+    """Exact percentiles of integral ``value`` per ``by`` group (NULL values ignored).
 
     Output: ``by`` columns, then ``{prefix}{p}`` per requested p (same type
     as ``value``). Without ``by`` there is always exactly one row and an
     empty input yields zeros.
     """
     keys = list(by)
+    vtype = df.schema[value].dataType
+    if not isinstance(vtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        raise TypeError(f"exact_percentiles needs an integral column, got {vtype}")
     hist = (df.where(F.col(value).isNotNull())
-            .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
+            .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+            .withColumn("_b", F.shiftright(F.col(value).cast("long"), BUCKET_BITS)))
+    # level 2: coarse buckets with running counts
     part = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    run = part.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (hist.withColumn("_cum", F.sum("_c").over(run))
-            .withColumn("_n", F.sum("_c").over(part)))
-    aggs = []
-    for p in ps:
-        idx = F.least(F.expr(f"(_n * {int(p)}) div 100"), F.col("_n") - 1)
-        aggs.append(F.min(F.when(F.col("_cum") > idx, F.col(value))).alias(f"{prefix}{p}"))
+    coarse = hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+    coarse = (coarse.withColumn("_bcum", F.sum("_bc").over(
+        part.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .withColumn("_n", F.sum("_bc").over(part)))
+    want = F.explode(F.array(*[F.struct(F.lit(int(p)).alias("p"),
+                                        F.least(F.expr(f"(_n * {int(p)}) div 100"), F.col("_n") - 1).alias("idx"))
+                               for p in ps])).alias("_t")
+    targets = (coarse.select(*keys, "_b", "_bc", "_bcum", "_n", want)
+               .where((F.col("_t.idx") < F.col("_bcum")) & (F.col("_t.idx") >= F.col("_bcum") - F.col("_bc")))
+               .select(*keys, "_b", "_n", F.col("_t.p").alias("_p"),
+                       (F.col("_t.idx") - (F.col("_bcum") - F.col("_bc"))).alias("_off")))
+    # level 3: exact running counts inside the target buckets only
+    fine = hist.join(targets, [*keys, "_b"])
+    w = Window.partitionBy(*keys, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fine = fine.withColumn("_cum", F.sum("_c").over(w))
+    hits = (fine.where(F.col("_cum") > F.col("_off"))
+            .groupBy(*keys, "_p").agg(F.min(value).alias("_v"), F.max("_n").alias("_n")))
+    aggs = [F.max(F.when(F.col("_p") == int(p), F.col("_v"))).alias(f"{prefix}{p}") for p in ps]
     if with_count:
         aggs.append(F.max("_n").alias("n"))
     if keys:
-        return hist.groupBy(*keys).agg(*aggs)
-    out = hist.agg(*aggs)
-    return out.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in out.columns])
+        return hits.groupBy(*keys).agg(*aggs)
+    out = hits.agg(*aggs)
+    return out.select(*[F.coalesce(F.col(c), F.lit(0)).cast(
+        vtype if c != "n" else T.LongType()).alias(c) for c in out.columns])
 
 
 def latency_percentiles(df: DataFrame, f=None) -> DataFrame:
