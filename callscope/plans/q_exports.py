@@ -28,7 +28,18 @@ def q_export_csv(spark, sf):
     return ex.csv_fields(calls(spark, sf)).drop("_ts")
 
 
-@register("export_csv_lines")
+_CSV_COLS = ["id", "timestamp", "provider", "model", "endpoint", "status_code", "latency_ms", "ttft_ms",
+             "input_tokens", "output_tokens", "cost_usd", "error", "provider_request_id"]
+_Q = "CASE WHEN regexp_matches({c}, '[,\"\\n\\r]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
+
+
+@register("export_csv_lines", f"""SELECT id, call_ts, concat_ws(',', {', '.join(_Q.format(c=c) for c in _CSV_COLS)}) AS line
+  FROM (SELECT call_ts, id, strftime(call_ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS timestamp,
+  coalesce(provider, '') AS provider, coalesce(model, '') AS model, coalesce(endpoint, '') AS endpoint,
+  coalesce(CAST(status_code AS VARCHAR), '') AS status_code, coalesce(CAST(latency_ms AS VARCHAR), '') AS latency_ms,
+  coalesce(CAST(ttft_ms AS VARCHAR), '') AS ttft_ms, coalesce(CAST(input_tokens AS VARCHAR), '') AS input_tokens,
+  coalesce(CAST(output_tokens AS VARCHAR), '') AS output_tokens, coalesce(printf('%.8f', cost_usd), '') AS cost_usd,
+  coalesce(error, '') AS error, coalesce(provider_request_id, '') AS provider_request_id FROM calls)""", raw=True)
 def q_export_csv_lines(spark, sf):
     """CSV lines with minimal quoting (error texts with commas/quotes are quoted)."""
     return ex.csv_lines(calls(spark, sf))
@@ -76,7 +87,14 @@ def q_export_metadata_only(spark, sf):
     return ex.langfuse(ex.without_bodies(stored_calls(spark, sf)))
 
 
-@register("cost_report_render")
+@register("cost_report_render", """WITH m AS (SELECT model, count(*) AS calls, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS i,
+    CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS o, coalesce(sum(cost_usd), 0.0) AS c
+    FROM calls WHERE call_ts >= TIMESTAMP '2024-01-05 00:00:00' GROUP BY model)
+  SELECT 0 AS seq, '| Model | Calls | Input | Output | Cost (USD) |' AS line
+  UNION ALL SELECT 1, '|---|---:|---:|---:|---:|'
+  UNION ALL SELECT CAST(row_number() OVER (ORDER BY c DESC, model) + 1 AS INTEGER),
+    printf('| %s | %d | %d | %d | $%.4f |', model, calls, i, o, c) FROM m
+  UNION ALL SELECT 1073741824, printf('| **Total** | %d | | | $%.4f |', sum(calls), sum(c)) FROM m""")
 def q_cost_report_render(spark, sf):
     """The cost report rendered as a markdown table (ordered lines)."""
     rep = cost_report(calls(spark, sf), CallFilter(since="2024-01-05"))

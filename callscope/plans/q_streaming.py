@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from callscope.functions.predicates import CallFilter
 from callscope.plans.catalog import AS_OF, calls, register
+from callscope.schema import CALL_COLUMNS
+
+_NO_BODY = ", ".join(c for c in CALL_COLUMNS if c not in ("request_body", "response_body"))
 from callscope.plans.q_enrich import _ex
 from callscope.session import scratch_dir
 from callscope.sources.store import append_calls
@@ -34,7 +37,8 @@ def _dirs(spark, name):
     return scratch_dir(spark, f"{name}-out"), scratch_dir(spark, f"{name}-ckpt")
 
 
-@register("watch")
+@register("watch", f"""SELECT {_NO_BODY}, CAST(call_ts AS DATE) AS call_date FROM calls
+  WHERE (error IS NOT NULL OR status_code >= 400 OR status_code = 0) AND contains(lower(model), 'gpt')""", raw=True)
 def q_watch(spark, sf):
     """Filtered live tail (errors of gpt models) over newly arriving calls."""
     out, ck = _dirs(spark, "watch")
@@ -51,7 +55,12 @@ def q_change_feed(spark, sf):
     return spark.read.text(out)
 
 
-@register("stream_metrics")
+@register("stream_metrics", """SELECT model, provider, CASE WHEN status_code = 0 THEN 'err'
+    WHEN status_code BETWEEN 200 AND 299 THEN '2xx' WHEN status_code BETWEEN 400 AND 499 THEN '4xx'
+    WHEN status_code BETWEEN 500 AND 599 THEN '5xx' ELSE 'other' END AS status_class, count(*) AS n,
+  CAST(sum(input_tokens) FILTER (WHERE input_tokens > 0) AS BIGINT) AS input_tokens,
+  CAST(sum(output_tokens) FILTER (WHERE output_tokens > 0) AS BIGINT) AS output_tokens,
+  round(sum(cost_usd) FILTER (WHERE cost_usd > 0), 9) AS cost_usd FROM calls GROUP BY ALL""")
 def q_stream_metrics(spark, sf):
     """Incrementally maintained call/token/cost counters."""
     out, ck = _dirs(spark, "metrics")
@@ -93,7 +102,7 @@ def q_fanout_exports(spark, sf):
         spark.read.text(ot).withColumn("format", F.lit("otlp")))
 
 
-@register("stream_dedup")
+@register("stream_dedup", f"SELECT {_NO_BODY}, CAST(call_ts AS DATE) AS call_date FROM calls", raw=True)
 def q_stream_dedup(spark, sf):
     """A feed delivering every call twice; duplicates dropped within the watermark."""
     path = scratch_dir(spark, "dup-feed")
@@ -109,7 +118,10 @@ def q_stream_dedup(spark, sf):
     return spark.read.parquet(out)
 
 
-@register("watch_budget")
+@register("watch_budget", """SELECT count(*) AS calls, round(coalesce(sum(cost_usd), 0.0), 9) AS spent_usd,
+  5.0::DOUBLE AS limit_usd, CAST(floor(coalesce(sum(cost_usd), 0.0) / 5.0 * 100.0) AS BIGINT) AS pct,
+  floor(coalesce(sum(cost_usd), 0.0) / 5.0 * 100.0) >= 80 AS warn
+  FROM calls WHERE call_ts >= TIMESTAMP '2024-01-29 00:00:00'""")
 def q_watch_budget(spark, sf):
     """I8: running spend of the current week with the budget line."""
     out, ck = _dirs(spark, "wbudget")
