@@ -73,7 +73,58 @@ def q_metric_budget(spark, sf):
     return mt.metric_budget(calls(spark, sf), 5.0, "week", "2024-01-30T10:00:00")
 
 
-@register("metrics_text")
+def _metrics_text_sql(prefix: str = "callscope", bounds=(100, 500, 1000, 5000)) -> str:
+    """DuckDB text of the exposition rows (family, seq, k, line)."""
+    sep = "chr(1)"
+    heads = []
+    for fam, name, help_, typ in [(1, "calls_total", "Total LLM calls captured", "counter"),
+                                  (2, "tokens_total", "Total tokens processed", "counter"),
+                                  (3, "cost_usd_total", "Total estimated cost in USD", "counter"),
+                                  (4, "latency_ms", "Request latency in milliseconds", "histogram"),
+                                  (5, "ttft_ms", "Time to first token in milliseconds", "histogram"),
+                                  (6, "agent_calls_total", "Total LLM calls per agent", "counter"),
+                                  (8, "budget_spent_usd",
+                                   "Estimated spend since the start of the current budget period", "gauge")]:
+        heads.append(f"SELECT {fam} AS family, 0 AS seq, '' AS k, '# HELP {prefix}_{name} {help_}' AS line")
+        heads.append(f"SELECT {fam}, 1, '', '# TYPE {prefix}_{name} {typ}'")
+    parts = heads + [
+        f"""SELECT 1, 2, concat_ws({sep}, model, provider, {_SC}),
+            printf('{prefix}_calls_total{{model="%s",provider="%s",status_class="%s"}} %d',
+                   model, provider, {_SC}, count(*)) FROM calls GROUP BY model, provider, {_SC}""",
+        f"""SELECT 2, 2, concat_ws({sep}, model, provider),
+            printf('{prefix}_tokens_total{{model="%s",provider="%s",type="input"}} %d', model, provider,
+                   sum(input_tokens) FILTER (WHERE input_tokens > 0))
+            FROM calls GROUP BY model, provider HAVING sum(input_tokens) FILTER (WHERE input_tokens > 0) IS NOT NULL""",
+        f"""SELECT 2, 3, concat_ws({sep}, model, provider),
+            printf('{prefix}_tokens_total{{model="%s",provider="%s",type="output"}} %d', model, provider,
+                   sum(output_tokens) FILTER (WHERE output_tokens > 0))
+            FROM calls GROUP BY model, provider HAVING sum(output_tokens) FILTER (WHERE output_tokens > 0) IS NOT NULL""",
+        f"""SELECT 3, 2, concat_ws({sep}, model, provider),
+            printf('{prefix}_cost_usd_total{{model="%s",provider="%s"}} %.8f', model, provider, sum(cost_usd))
+            FROM calls WHERE cost_usd > 0 GROUP BY model, provider""",
+        f"""SELECT 6, 2, agent_name, printf('{prefix}_agent_calls_total{{agent="%s"}} %d', agent_name, count(*))
+            FROM calls WHERE agent_name IS NOT NULL GROUP BY agent_name""",
+        f"""SELECT 8, 2, '', printf('{prefix}_budget_spent_usd{{period="%s"}} %.8f', 'month', coalesce(sum(cost_usd), 0.0))
+            FROM calls WHERE call_ts >= TIMESTAMP '2024-01-01 00:00:00'""",
+        f"""SELECT 8, 2, '', printf('{prefix}_budget_limit_usd{{period="%s"}} %.8f', 'month', 100.0)""",
+    ]
+    for fam, col, name in ((4, "latency_ms", "latency_ms"), (5, "ttft_ms", "ttft_ms")):
+        les = [(str(b), str(b).rjust(12, "0"), f"{col} <= {b}") for b in bounds] + \
+              [("+Inf", str(1 << 30).rjust(12, "0"), "true")]
+        for le, order, cond in les:
+            parts.append(f"""SELECT {fam}, 2, concat_ws({sep}, model, '{order}'),
+                printf('{prefix}_{name}_bucket{{model="%s",le="%s"}} %d', model, '{le}', count(*) FILTER (WHERE {cond}))
+                FROM calls WHERE {col} IS NOT NULL GROUP BY model""")
+        parts.append(f"""SELECT {fam}, 2, concat_ws({sep}, model, '~1sum'),
+            printf('{prefix}_{name}_sum{{model="%s"}} %.0f', model, CAST(sum({col}) AS DOUBLE))
+            FROM calls WHERE {col} IS NOT NULL GROUP BY model""")
+        parts.append(f"""SELECT {fam}, 2, concat_ws({sep}, model, '~2count'),
+            printf('{prefix}_{name}_count{{model="%s"}} %d', model, count({col}))
+            FROM calls WHERE {col} IS NOT NULL GROUP BY model""")
+    return " UNION ALL ".join(f"({p})" for p in parts)
+
+
+@register("metrics_text", _metrics_text_sql())
 def q_metrics_text(spark, sf):
     """Exposition lines (HELP/TYPE headers, sorted samples) for all metric families."""
     return mt.metrics_exposition(calls(spark, sf), budget=(100.0, "month", AS_OF))
