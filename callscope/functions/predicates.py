@@ -182,4 +182,27 @@ class CallFilter:
         return cond
 
     def apply(self, df):
-        return df.where(self.to_column())
+        """Filter ``df``; on a date-partitioned store also bound ``call_date`` so
+        time-bounded queries read only the matching day partitions."""
+        out = df.where(self.to_column())
+        if "call_date" in df.columns and (self.since is not None or self.until is not None):
+            out = out.where(date_bounds(self.since, self.until))
+        return out
+
+
+def date_bounds(since=None, until=None) -> Column:
+    """``call_date`` range implied by a call_ts window (partition pruning on the store)."""
+    cond = F.lit(True)
+    if since is not None:
+        cond = cond & (F.col("call_date") >= F.lit(parse_since(since).date()))
+    if until is not None:
+        cond = cond & (F.col("call_date") <= F.lit(parse_until(until).date()))
+    return cond
+
+
+def with_time_window(df, since=None, until=None):
+    """Inclusive call_ts window plus the implied call_date bounds when the column exists."""
+    out = df.where(by_time(since, until))
+    if "call_date" in df.columns:
+        out = out.where(date_bounds(since, until))
+    return out

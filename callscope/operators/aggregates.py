@@ -139,7 +139,9 @@ def daily_stats(df: DataFrame, days: int = 90, as_of=None) -> DataFrame:
     """Per UTC day over the last ``days`` days (cap 365); empty days omitted."""
     days = max(1, min(int(days), 365))
     start = _as_of(as_of) - dt.timedelta(days=days)
-    return (df.where(F.col("call_ts") >= _ts(start))
+    from callscope.functions.predicates import with_time_window
+
+    return (with_time_window(df, since=start)
             .groupBy(F.to_date("call_ts").alias("date"))
             .agg(F.count(F.lit(1)).alias("calls"), total_cost_col("cost_usd"),
                  error_count_col(), avg_latency_col())
@@ -148,7 +150,9 @@ def daily_stats(df: DataFrame, days: int = 90, as_of=None) -> DataFrame:
 
 def cost_since(df: DataFrame, since) -> DataFrame:
     """Total cost at or after an instant."""
-    return df.where(by_time(since=since)).agg(total_cost_col("cost"))
+    from callscope.functions.predicates import with_time_window
+
+    return with_time_window(df, since=since).agg(total_cost_col("cost"))
 
 
 def cost_report(df: DataFrame, f: CallFilter | None = None, fail_over_usd: float | None = None) -> DataFrame:

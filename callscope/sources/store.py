@@ -16,8 +16,12 @@ from callscope.functions.predicates import parse_since
 from callscope.schema import CALL_COLUMNS, CALLS
 
 
-def load_calls(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A1: all calls with the fixed 22-column schema; absent columns read as typed NULLs."""
+def load_calls(spark: SparkSession, path: str, fmt: str = "parquet", with_partition: bool = False) -> DataFrame:
+    """A1: all calls with the fixed 22-column schema; absent columns read as typed NULLs.
+
+    ``with_partition`` keeps the ``call_date`` partition column, which lets
+    time filters (``CallFilter``, ``with_time_window``) prune day directories.
+    """
     if fmt == "parquet":
         try:
             df = spark.read.option("mergeSchema", "true").parquet(path)
@@ -31,6 +35,8 @@ def load_calls(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
             cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+    if with_partition and "call_date" in df.columns:
+        cols.append(F.col("call_date"))
     return df.select(*cols)
 
 
