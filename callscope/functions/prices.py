@@ -187,14 +187,52 @@ def _rule_expr(model: Column, all_of: list[str], any_of: list[str]) -> Column:
     return cond
 
 
+def _guard(all_of: list[str], any_of: list[str]) -> str | None:
+    """A text every match of the rule must contain (first 3 chars of a required pattern)."""
+    if all_of:
+        return all_of[0][:3]
+    return None  # OR-only or empty-name rules are always evaluated
+
+
+def bundled_rank(model: Column) -> Column:
+    """Rank of the first matching bundled rule (int), NULL when none matches.
+
+    Rules are grouped into families by a guard text that every pattern of
+    the family contains; a family is evaluated only when the model contains
+    its guard, and the lowest rank over the families wins. Same result as a
+    rank-ordered CASE over all rules, with far fewer substring tests per row.
+    """
+    families: dict[str | None, list[tuple]] = {}
+    for rank, _pattern, all_of, any_of, _pi, _po in bundled_price_rows():
+        families.setdefault(_guard(all_of, any_of), []).append((rank, all_of, any_of))
+    parts = []
+    for guard, rules in families.items():
+        chain = None
+        for rank, all_of, any_of in rules:
+            cond = _rule_expr(model, all_of, any_of)
+            chain = F.when(cond, F.lit(rank)) if chain is None else chain.when(cond, F.lit(rank))
+        parts.append(chain if guard is None else F.when(model.contains(guard), chain))
+    return F.least(*parts) if len(parts) > 1 else parts[0]
+
+
+def _bundled_expr(model: Column) -> Column:
+    """First matching bundled rule as struct(rank, input, output) via a constant price array."""
+    rows = bundled_price_rows()
+    ins = F.array(*[F.lit(float(r[4])) for r in rows])
+    outs = F.array(*[F.lit(float(r[5])) for r in rows])
+    rank = bundled_rank(model)
+    return F.when(rank.isNotNull(), F.struct(
+        rank.alias("rank"), F.element_at(ins, rank + 1).alias("input_per_mtok"),
+        F.element_at(outs, rank + 1).alias("output_per_mtok")))
+
+
 def price_expr(model: Column, overrides: dict[str, tuple[float, float]] | None = None,
                default: tuple[float, float] | None = None) -> Column:
-    """Per-row price lookup as one CASE chain: struct(input, output, source).
+    """Per-row price lookup: struct(input_per_mtok, output_per_mtok, source).
 
     Lookup order: exact override, longest contained override (ties broken
-    by pattern text), bundled rules in rank order, fallback. The chain is
-    built from fixed-size tables, so it stays a JVM expression with no join
-    and no shuffle regardless of the size of the calls table.
+    by pattern text), first bundled rule, fallback. Built from fixed-size
+    tables, so it stays a JVM expression with no join and no shuffle.
     ``default`` replaces the fallback price (source stays 'fallback').
     """
     def st(pin, pout, src):
@@ -203,16 +241,16 @@ def price_expr(model: Column, overrides: dict[str, tuple[float, float]] | None =
                         F.lit(src).alias("source"))
 
     fb = default or FALLBACK_PRICE
-    chain = None
-    branches = []
+    b = _bundled_expr(model)
+    bundled = F.when(b.isNotNull(), F.struct(b["input_per_mtok"].alias("input_per_mtok"),
+                                             b["output_per_mtok"].alias("output_per_mtok"),
+                                             F.lit("bundled").alias("source"))).otherwise(st(fb[0], fb[1], "fallback"))
     ov = overrides or {}
-    for k, (pi, po) in ov.items():
-        branches.append((model == F.lit(k), st(pi, po, "override")))
-    for k in sorted(ov, key=lambda s: (-len(s), s)):
+    chain = None
+    branches = [(model == F.lit(k), st(pi, po, "override")) for k, (pi, po) in ov.items()]
+    for k in sorted(ov, key=lambda x: (-len(x), x)):
         pi, po = ov[k]
         branches.append((model.contains(k), st(pi, po, "override")))
-    for rank, pattern, all_of, any_of, pi, po in bundled_price_rows():
-        branches.append((_rule_expr(model, all_of, any_of), st(pi, po, "bundled")))
     for cond, val in branches:
         chain = F.when(cond, val) if chain is None else chain.when(cond, val)
-    return chain.otherwise(st(fb[0], fb[1], "fallback"))
+    return bundled if chain is None else chain.otherwise(bundled)

@@ -65,3 +65,19 @@ def test_load_prices(spark, tmp_path):
     got = {r.model: (r.input_per_mtok, r.output_per_mtok) for r in load_prices(spark, str(p)).collect()}
     assert got.keys() == {"m1"}
     assert got["m1"] == pytest.approx((2.0, 8.0))
+
+
+def test_price_expr_equals_rule_table(spark):
+    """The guarded per-row expression gives the same first match as the join form."""
+    from callscope.functions.prices import bundled_price_rows, price_expr
+    names = ["", "x", "gpt-o1-mini", "o1-preview-x", "my-gpt-4o-mini", "claude-3-5-haiku", "jamba-1.7",
+             "jamba-mini-2", "ai21.jamba-1-5-large-v1:0", "meta.llama3-1-70b-instruct", "qwen3-coder-next",
+             "glm-4.5-flash", "gemini-1.5-flash-8b", "ollama/llama3", "local-model", "deepseek-r1-distill"]
+    for _, pat, a, b, _, _ in bundled_price_rows():
+        names += [pat, f"x-{pat}-y"] + a + b
+    df = spark.createDataFrame([(n,) for n in sorted(set(names))], "model string")
+    p = price_expr(F.col("model"))
+    a = {r.model: (r.i, r.o, r.s) for r in df.select("model", p["input_per_mtok"].alias("i"),
+                                                      p["output_per_mtok"].alias("o"), p["source"].alias("s")).collect()}
+    b = {r.model: (r.input_per_mtok, r.output_per_mtok, r.source) for r in pr.price_models(df).collect()}
+    assert a == b
