@@ -57,21 +57,35 @@ def append_calls(batch: DataFrame, path: str) -> int:
 
     The anti-join against the store is keyed on (call_date, id): ids are
     minted per captured call, so a re-delivered record carries the same
-    start time and the store side is pruned to the batch's days
-    (dynamic partition pruning). Returns the number of rows written.
+    start time. The store side is pruned statically to the batch's days
+    (the distinct dates of a batch are a handful of values), so an append
+    reads the ids of those day partitions only, never the whole store.
+    The new rows are persisted once, counted and written (the store itself
+    is never counted). Returns the number of rows written.
     """
     spark = batch.sparkSession
     new = dedupe_batch(batch.select(*CALL_COLUMNS)).withColumn("call_date", F.to_date("call_ts"))
-    try:
-        have = spark.read.parquet(path).select("call_date", "id")
+    days = [r[0] for r in new.select("call_date").distinct().collect()]
+    if _exists(spark, path) and days:
+        have = (spark.read.parquet(path).where(F.col("call_date").isin(days))
+                .select("call_date", "id"))
         new = new.join(have, ["call_date", "id"], "left_anti")
+    new = new.select(*CALL_COLUMNS, "call_date").persist()
+    try:
+        n = new.count()
+        if n:
+            new.hint("rebalance", "call_date").write.mode("append").partitionBy("call_date").parquet(path)
+    finally:
+        new.unpersist()
+    return n
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path).schema  # noqa: B018 - resolves the file listing only
+        return True
     except AnalysisException:
-        pass  # empty store
-    # the batch is written once and counted from what was written
-    tmp = new.select(*CALL_COLUMNS, "call_date").hint("rebalance", "call_date")
-    before = _count(spark, path)
-    tmp.write.mode("append").partitionBy("call_date").parquet(path)
-    return _count(spark, path) - before
+        return False
 
 
 def _count(spark: SparkSession, path: str) -> int:
@@ -93,7 +107,9 @@ def prune_older_than(spark: SparkSession, path: str, days: int, as_of=None) -> i
     now = parse_since(as_of) if as_of is not None else dt.datetime.utcnow()
     cutoff = now - dt.timedelta(days=int(days))
     df = spark.read.parquet(path)
-    old = df.where(F.col("call_ts") < F.lit(cutoff).cast("timestamp"))
+    # partition filter first: only day directories up to the cut-off day are read
+    old = df.where((F.col("call_date") <= F.lit(cutoff.date()))
+                   & (F.col("call_ts") < F.lit(cutoff).cast("timestamp")))
     n = old.count()
     if n == 0:
         return 0
