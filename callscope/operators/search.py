@@ -121,14 +121,22 @@ def _query_table(spark: SparkSession, phrases: list[list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "phrase int, term_no int, token string, plen int")
 
 
+def token_bucket(term: str, buckets: int) -> int:
+    """Bucket of a query term: ``pmod(xxhash64(term), buckets)`` as Spark computes it
+    (XXH64 of the UTF-8 bytes, seed 42, read as a signed long)."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(term.encode("utf-8"), seed=42)
+    if h >= 1 << 63:
+        h -= 1 << 64
+    return h % int(buckets)
+
+
 def _restrict_buckets(index: DataFrame, terms: list[str], buckets: int | None) -> DataFrame:
     """On a bucketed index, add a literal bucket filter so partitions are pruned."""
     if "bucket" not in index.columns or not buckets:
         return index
-    spark = index.sparkSession
-    nb = int(buckets)
-    lit_terms = spark.createDataFrame([(t,) for t in terms], "t string")
-    ids = [r[0] for r in lit_terms.select(F.pmod(F.xxhash64("t"), F.lit(nb))).distinct().collect()]
+    ids = sorted({token_bucket(t, buckets) for t in terms})
     return index.where(F.col("bucket").isin(ids))
 
 

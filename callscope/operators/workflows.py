@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,5 +99,3 @@ def workflow_gantt(df: DataFrame, workflow_id: str | None = None) -> DataFrame:
         ((F.col("_t0") - F.col("_mn")) / span * 100.0).alias("left_pct"),
         F.greatest(F.coalesce("latency_ms", F.lit(0)) / span * 100.0, F.lit(1.0)).alias("width_pct"))
 
-
-_ = pd  # pandas is used inside mapInPandas batches

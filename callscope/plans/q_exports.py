@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from callscope.functions.predicates import CallFilter
 from callscope.operators.aggregates import cost_report
 from callscope.plans.catalog import calls, register
@@ -107,5 +105,3 @@ def q_cost_report_json(spark, sf):
     rep = cost_report(calls(spark, sf), CallFilter())
     return ex.report_json(rep)
 
-
-_ = F

@@ -227,5 +227,3 @@ def q_calendar_fill(spark, sf):
     """Last 45 days to as_of, zero-filled."""
     return calendar_fill(calls(spark, sf), 45, AS_OF)
 
-
-_ = pr  # re-exported operator module

@@ -84,3 +84,11 @@ def test_prune_golden(spark, make_calls):
     assert prune_older_than(spark, path, 1, now) == 1
     assert [r.id for r in load_calls(spark, path).collect()] == ["new"]
     assert prune_older_than(spark, path, 0, now) == 0
+
+
+def test_token_bucket_matches_spark(spark):
+    from pyspark.sql import functions as F
+    terms = ["the", "fox", "café", "naïve", "x", "", "4o", "überprüfung"]
+    df = spark.createDataFrame([(t,) for t in terms], "t string")
+    got = {r.t: r.b for r in df.select("t", F.pmod(F.xxhash64("t"), F.lit(16)).alias("b")).collect()}
+    assert got == {t: se.token_bucket(t, 16) for t in terms}
