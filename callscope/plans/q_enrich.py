@@ -14,6 +14,7 @@ from callscope.functions import jsonx as J
 from callscope.operators import enrich as en
 from callscope.operators import prompts as pm
 from callscope.plans.catalog import register
+from callscope.plans.exchange_oracle import jint, model_sql, stream_sql, with_ex
 from callscope.session import scratch_dir
 from callscope.sources.exchanges import exchanges_view, load_exchanges
 from callscope.sources.store import append_calls, load_calls
@@ -45,13 +46,15 @@ def q_raw_exchanges(spark, sf):
     return load_exchanges(spark, path)
 
 
-@register("request_info")
+@register("request_info", with_ex(f"SELECT exchange_id, {model_sql()} AS model, {stream_sql()} AS is_stream FROM ex"),
+          calls_cte=False)
 def q_request_info(spark, sf):
     """H1: model (strict string, else 'unknown') and stream flag (strict boolean) per exchange."""
     return en.request_info(_ex(spark, sf))
 
 
-@register("llm_only")
+@register("llm_only", with_ex(f"""SELECT exchange_id, {model_sql()} AS model FROM ex
+  WHERE {model_sql()} <> 'unknown' OR coalesce(octet_length(encode(request_body)), 0) > 0"""), calls_cte=False)
 def q_llm_only(spark, sf):
     """Exchanges that count as LLM calls (known model or non-empty request body)."""
     ex = _ex(spark, sf)
@@ -60,7 +63,12 @@ def q_llm_only(spark, sf):
                       | (F.coalesce(F.octet_length("request_body"), F.lit(0)) > 0)).select("exchange_id", "model")
 
 
-@register("usage_from_body")
+@register("usage_from_body", with_ex(f"""SELECT exchange_id,
+  coalesce({jint('response_body', '$.usage.prompt_tokens')}, {jint('response_body', '$.usage.input_tokens')}) AS input_tokens,
+  CASE WHEN coalesce({jint('response_body', '$.usage.prompt_tokens')}, {jint('response_body', '$.usage.input_tokens')})
+       IS NOT NULL THEN coalesce({jint('response_body', '$.usage.completion_tokens')},
+                                 {jint('response_body', '$.usage.output_tokens')}, 0) END AS output_tokens
+  FROM ex WHERE response_body IS NOT NULL"""), calls_cte=False)
 def q_usage_from_body(spark, sf):
     """H2: token usage parsed from buffered JSON response bodies."""
     ex = _ex(spark, sf).where(F.col("response_body").isNotNull())
@@ -121,14 +129,19 @@ def q_body_limits(spark, sf):
     return enriched(spark, sf, limits=lim).select("id", "input_tokens", "output_tokens", "response_body")
 
 
-@register("trace_context")
+@register("trace_context", with_ex("""SELECT exchange_id,
+  CASE WHEN len(string_split(h_traceparent, '-')) = 4 THEN string_split(h_traceparent, '-')[2]
+       ELSE coalesce(h_trace_id, h_b3_trace) END AS trace_id,
+  CASE WHEN len(string_split(h_traceparent, '-')) = 4 THEN string_split(h_traceparent, '-')[3]
+       ELSE h_parent_span END AS parent_id FROM ex"""), calls_cte=False)
 def q_trace_context(spark, sf):
     """Trace and parent ids from traceparent / trace headers."""
     t = en.trace_ids()
     return _ex(spark, sf).select("exchange_id", t["trace_id"].alias("trace_id"), t["parent_id"].alias("parent_id"))
 
 
-@register("orchestration")
+@register("orchestration", with_ex("""SELECT exchange_id, h_tag AS tags, h_agent AS agent_name,
+  h_workflow AS workflow_id, h_span AS span_name FROM ex"""), calls_cte=False)
 def q_orchestration(spark, sf):
     """Tag, agent, workflow and span from orchestration headers."""
     return _ex(spark, sf).select(
@@ -138,13 +151,15 @@ def q_orchestration(spark, sf):
         en.header("request_headers", "x-trace-span").alias("span_name"))
 
 
-@register("endpoint_path")
+@register("endpoint_path", with_ex("""SELECT exchange_id, path, split_part(path, '?', 1) AS endpoint FROM ex"""),
+          calls_cte=False)
 def q_endpoint_path(spark, sf):
     """Request path without query string."""
     return _ex(spark, sf).select("exchange_id", "path", en.endpoint_path(F.col("path")).alias("endpoint"))
 
 
-@register("is_sse")
+@register("is_sse", with_ex(f"""SELECT exchange_id, CASE WHEN h_content_type IS NOT NULL
+  THEN contains(h_content_type, 'text/event-stream') ELSE {stream_sql()} END AS is_sse FROM ex"""), calls_cte=False)
 def q_is_sse(spark, sf):
     """Streaming decided by response content-type, else the request flag."""
     return _ex(spark, sf).select("exchange_id", en.is_sse(en.request_stream(F.col("request_body"))).alias("is_sse"))
