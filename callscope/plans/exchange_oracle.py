@@ -26,6 +26,11 @@ ex1 AS (
          CAST(10 + floor((length(prev_text) + coalesce(length(sys_text), 0)) / 4) AS BIGINT) AS n_in,
          CAST(1 + floor(length(answer) / 4) AS BIGINT) AS n_out
   FROM ex0),
+ex2 AS (
+  SELECT *, CASE WHEN sys_text IS NOT NULL
+                 THEN json_array(json_object('role', 'system', 'content', sys_text), user_msg)
+                 ELSE json_array(user_msg) END AS oai_msgs
+  FROM ex1),
 ex AS (
   SELECT lpad(CAST(conv_id AS VARCHAR), 6, '0') || '-' || lpad(CAST(turn AS VARCHAR), 3, '0') AS exchange_id,
     conv_id, turn, stream, failed, non_llm, anthropic, limited,
@@ -38,9 +43,9 @@ ex AS (
              ELSE json_object('model', model_name, 'system', sys_text, 'messages', json_array(user_msg),
                               'max_tokens', 1024, 'stream', stream) END
       ELSE
-        CASE WHEN conv_id % 17 = 5 THEN json_object('messages', json_array(user_msg), 'stream', stream)
-             WHEN conv_id % 19 = 7 THEN json_object('model', 42, 'messages', json_array(user_msg), 'stream', stream)
-             ELSE json_object('model', model_name, 'messages', json_array(user_msg), 'stream', stream) END
+        CASE WHEN conv_id % 17 = 5 THEN json_object('messages', oai_msgs, 'stream', stream)
+             WHEN conv_id % 19 = 7 THEN json_object('model', 42, 'messages', oai_msgs, 'stream', stream)
+             ELSE json_object('model', model_name, 'messages', oai_msgs, 'stream', stream) END
     END)::VARCHAR END AS request_body,
     CASE WHEN non_llm THEN '/v1/models' WHEN anthropic THEN '/v1/messages'
          WHEN conv_id % 6 = 4 THEN '/v1/chat/completions?api-version=2024-06-01'
@@ -65,7 +70,7 @@ ex AS (
               json_object('role', 'assistant', 'content', answer))),
               'usage', json_object('prompt_tokens', n_in, 'completion_tokens', n_out))::VARCHAR
     END AS response_body
-  FROM ex1)"""
+  FROM ex2)"""
 
 
 def jint(doc: str, path: str) -> str:

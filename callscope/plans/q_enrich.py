@@ -98,7 +98,15 @@ def q_text_from_sse(spark, sf):
     return en.with_sse_text(ev, "_events", "text").select("exchange_id", "text")
 
 
-@register("system_prompt")
+_SYS = """coalesce(CASE WHEN try(json_type(request_body, '$.system')) = 'VARCHAR'
+      THEN try(json_extract_string(request_body, '$.system')) END,
+  try(json_extract_string(list_filter(try(json_extract(request_body, '$.messages[*]')),
+      lambda m: json_extract_string(m, '$.role') = 'system')[1], '$.content')))"""
+
+
+@register("system_prompt", with_ex(f"""SELECT exchange_id,
+  CASE WHEN length(regexp_replace({_SYS}, '^\\s+|\\s+$', '', 'g')) > 0
+       THEN regexp_replace({_SYS}, '^\\s+|\\s+$', '', 'g') END AS system_prompt FROM ex"""), calls_cte=False)
 def q_system_prompt(spark, sf):
     """H6: system prompt of every request (``system`` field or first system message)."""
     return _ex(spark, sf).select("exchange_id", J.system_prompt(F.col("request_body")).alias("system_prompt"))
