@@ -112,7 +112,19 @@ def q_system_prompt(spark, sf):
     return _ex(spark, sf).select("exchange_id", J.system_prompt(F.col("request_body")).alias("system_prompt"))
 
 
-@register("prompt_hash")
+def _fnv_sql(s: str) -> str:
+    """DuckDB FNV-1a-64 of the UTF-8 bytes of ``s`` (HUGEINT arithmetic), 16 hex digits."""
+    return (f"lower(lpad(hex(CAST(list_reduce(list_transform(range(0, octet_length(encode({s}))), "
+            f"lambda i: CAST(('0x' || substr(hex(encode({s})), CAST(2*i+1 AS BIGINT), 2)) AS INTEGER)::HUGEINT), "
+            f"lambda acc, b: (xor(acc, b) * CAST(1099511628211 AS HUGEINT)) % CAST('18446744073709551616' AS HUGEINT), "
+            f"CAST('14695981039346656037' AS HUGEINT)) AS UBIGINT)), 16, '0'))")
+
+
+_TRIMMED = f"regexp_replace({_SYS}, '^\\s+|\\s+$', '', 'g')"
+
+
+@register("prompt_hash", with_ex(f"""SELECT exchange_id, CASE WHEN length({_TRIMMED}) > 0 THEN {_fnv_sql(_TRIMMED)} END
+  AS prompt_hash FROM ex"""), calls_cte=False)
 def q_prompt_hash(spark, sf):
     """H7: FNV-1a 64 fingerprint of each request's system prompt."""
     return _ex(spark, sf).select("exchange_id", J.prompt_hash(F.col("request_body")).alias("prompt_hash"))
