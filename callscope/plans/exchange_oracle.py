@@ -91,3 +91,52 @@ def stream_sql(doc: str = "request_body") -> str:
 
 def with_ex(sql: str) -> str:
     return f"WITH {EXCHANGES_CTE} {sql}"
+
+
+def _data(expr: str) -> str:
+    return f"'data: ' || ({expr})::VARCHAR"
+
+
+SSE_CTE = EXCHANGES_CTE + f""",
+sse0 AS (
+  SELECT exchange_id, conv_id, anthropic, conv_id % 7 = 3 AS tools, n_in, n_out,
+         regexp_extract_all(answer, '(?s).{{1,40}}') AS pieces
+  FROM ex2 JOIN (SELECT lpad(CAST(conv_id AS VARCHAR), 6, '0') || '-' || lpad(CAST(turn AS VARCHAR), 3, '0') AS exchange_id,
+                        stream AND NOT failed AND NOT non_llm AS use_stream FROM ex2) u
+    ON u.exchange_id = lpad(CAST(ex2.conv_id AS VARCHAR), 6, '0') || '-' || lpad(CAST(ex2.turn AS VARCHAR), 3, '0')
+  WHERE use_stream),
+sse1 AS (
+  SELECT exchange_id, conv_id, anthropic, tools, n_in, n_out,
+    CASE WHEN anthropic THEN
+      list_concat(
+        ['event: message_start' || chr(10) || {_data("json_object('type', 'message_start', 'message', json_object('usage', json_object('input_tokens', n_in, 'output_tokens', 1)))")}],
+        CASE WHEN tools THEN [
+          {_data("json_object('type', 'content_block_start', 'index', 0, 'content_block', json_object('type', 'tool_use', 'name', 'get_weather'))")},
+          {_data("json_object('type', 'content_block_delta', 'delta', json_object('type', 'input_json_delta', 'partial_json', '{\"city\":'))")},
+          {_data("json_object('type', 'content_block_delta', 'delta', json_object('type', 'input_json_delta', 'partial_json', ' \"C' || CAST(conv_id AS VARCHAR) || '\"}'))")}]
+        ELSE list_transform(pieces, lambda p: {_data("json_object('type', 'content_block_delta', 'delta', json_object('type', 'text_delta', 'text', p))")}) END,
+        [{_data("json_object('type', 'message_delta', 'usage', json_object('output_tokens', n_out))")},
+         'event: message_stop' || chr(10) || {_data("json_object('type', 'message_stop')")}])
+    ELSE
+      list_concat(
+        CASE WHEN tools THEN [
+          {_data("json_object('choices', json_array(json_object('index', 0, 'delta', json_object('tool_calls', json_array(json_object('index', 0, 'function', json_object('name', 'get_weather', 'arguments', '')))))))")},
+          {_data("json_object('choices', json_array(json_object('index', 0, 'delta', json_object('tool_calls', json_array(json_object('index', 0, 'function', json_object('arguments', '{\"city\":')))))))")},
+          {_data("json_object('choices', json_array(json_object('index', 0, 'delta', json_object('tool_calls', json_array(json_object('index', 0, 'function', json_object('arguments', ' \"C' || CAST(conv_id AS VARCHAR) || '\"}')))))))")}]
+        ELSE list_transform(pieces, lambda p: {_data("json_object('choices', json_array(json_object('index', 0, 'delta', json_object('content', p))))")}) END,
+        [{_data("json_object('choices', json_array(), 'usage', json_object('prompt_tokens', n_in, 'completion_tokens', n_out))")},
+         'data: [DONE]'])
+    END AS events
+  FROM sse0),
+sse AS (
+  SELECT exchange_id, conv_id,
+    list_transform(list_filter(string_split(
+        CASE WHEN conv_id % 2 = 0 THEN ': keep-alive' || chr(10) || chr(10) ELSE '' END
+        || array_to_string(events, chr(10) || chr(10)) || chr(10) || chr(10), chr(10)),
+      lambda l: starts_with(l, 'data: ') AND trim(substr(l, 7)) <> '[DONE]'),
+      lambda l: substr(l, 7)) AS datas
+  FROM sse1)"""
+
+
+def with_sse(sql: str) -> str:
+    return f"WITH {SSE_CTE} {sql}"

@@ -14,7 +14,7 @@ from callscope.functions import jsonx as J
 from callscope.operators import enrich as en
 from callscope.operators import prompts as pm
 from callscope.plans.catalog import register
-from callscope.plans.exchange_oracle import jint, model_sql, stream_sql, with_ex
+from callscope.plans.exchange_oracle import jint, model_sql, stream_sql, with_ex, with_sse
 from callscope.session import scratch_dir
 from callscope.sources.exchanges import exchanges_view, load_exchanges
 from callscope.sources.store import append_calls, load_calls
@@ -82,7 +82,18 @@ def q_sse_events(spark, sf):
     return en.sse_event_rows(_ex(spark, sf))
 
 
-@register("usage_from_sse")
+def _last(expr_list: str) -> str:
+    return f"list_filter(flatten({expr_list}), lambda x: x IS NOT NULL)[-1]"
+
+
+_SSE_IN = _last("list_transform(datas, lambda d: [coalesce(" + jint("d", "$.usage.prompt_tokens") + ", "
+                + jint("d", "$.usage.input_tokens") + "), " + jint("d", "$.message.usage.input_tokens") + "])")
+_SSE_OUT = _last("list_transform(datas, lambda d: [coalesce(" + jint("d", "$.usage.completion_tokens") + ", "
+                 + jint("d", "$.usage.output_tokens") + "), " + jint("d", "$.message.usage.output_tokens") + "])")
+
+
+@register("usage_from_sse", with_sse(f"""SELECT exchange_id, {_SSE_IN} AS input_tokens,
+  CASE WHEN {_SSE_IN} IS NOT NULL THEN coalesce({_SSE_OUT}, 0) END AS output_tokens FROM sse"""), calls_cte=False)
 def q_usage_from_sse(spark, sf):
     """H4: token usage reconstructed from the event stream (last non-NULL values)."""
     ex = _ex(spark, sf).where(F.col("chunks").isNotNull())
@@ -90,7 +101,22 @@ def q_usage_from_sse(spark, sf):
     return ex.select("exchange_id", u["input_tokens"].alias("input_tokens"), u["output_tokens"].alias("output_tokens"))
 
 
-@register("text_from_sse")
+_SSE_TEXT = """array_to_string(list_transform(datas, lambda d:
+    coalesce(try(json_extract_string(d, '$.choices[0].delta.content')), '')
+    || coalesce(try(json_extract_string(d, '$.delta.text')), '')), '')"""
+_TOOL_NAME = """list_filter(list_transform(datas, lambda d: coalesce(
+    try(json_extract_string(d, '$.choices[0].delta.tool_calls[0].function.name')),
+    try(json_extract_string(d, '$.content_block.name')))), lambda x: x IS NOT NULL AND x <> '')[1]"""
+_TOOL_ARGS = """array_to_string(list_filter(list_transform(datas, lambda d: coalesce(
+    try(json_extract_string(d, '$.choices[0].delta.tool_calls[0].function.arguments')),
+    try(json_extract_string(d, '$.delta.partial_json')))), lambda x: x IS NOT NULL), '')"""
+
+
+@register("text_from_sse", with_sse(f"""SELECT exchange_id,
+  CASE WHEN length({_SSE_TEXT}) > 0 THEN {_SSE_TEXT}
+       WHEN {_TOOL_NAME} IS NOT NULL THEN '[{{"arguments":' || json({_TOOL_ARGS})::VARCHAR || ',"name":"'
+            || {_TOOL_NAME} || '"}}]'
+       ELSE '' END AS text FROM sse"""), calls_cte=False)
 def q_text_from_sse(spark, sf):
     """H5: response text (or tool-call summary) assembled from the event stream."""
     ex = _ex(spark, sf).where(F.col("chunks").isNotNull())
