@@ -162,7 +162,11 @@ def q_redact(spark, sf):
     return _ex(spark, sf).select("exchange_id", J.redact(F.col("request_body"), REDACT).alias("request_body"))
 
 
-@register("suppress_body")
+@register("suppress_body", with_ex(f"""SELECT exchange_id AS id, CAST(NULL AS VARCHAR) AS request_body,
+  CAST(NULL AS VARCHAR) AS prompt_hash FROM ex
+  WHERE {model_sql()} <> 'unknown' OR coalesce(octet_length(encode(request_body)), 0) > 0
+     OR (NOT failed AND CASE WHEN h_content_type IS NOT NULL THEN contains(h_content_type, 'text/event-stream')
+                             ELSE {stream_sql()} END)"""), calls_cte=False)
 def q_suppress_body(spark, sf):
     """Calls captured with request-body storage switched off."""
     return enriched(spark, sf, store_request_bodies=False).select("id", "request_body", "prompt_hash")
