@@ -24,7 +24,11 @@ ex1 AS (
          json_object('role', CASE WHEN prev_role = 'assistant' THEN 'assistant' ELSE 'user' END,
                      'content', prev_text) AS user_msg,
          CAST(10 + floor((length(prev_text) + coalesce(length(sys_text), 0)) / 4) AS BIGINT) AS n_in,
-         CAST(1 + floor(length(answer) / 4) AS BIGINT) AS n_out
+         CAST(1 + floor(length(answer) / 4) AS BIGINT) AS n_out,
+         CASE WHEN conv_id % 5 = 0 THEN CAST(floor(CAST(10 + floor((length(prev_text)
+              + coalesce(length(sys_text), 0)) / 4) AS BIGINT) / 2) AS BIGINT) ELSE 0 END AS cached,
+         CASE WHEN conv_id % 5 = 1 THEN CAST(floor(CAST(10 + floor((length(prev_text)
+              + coalesce(length(sys_text), 0)) / 4) AS BIGINT) / 3) AS BIGINT) ELSE 0 END AS cache_write
   FROM ex0),
 ex2 AS (
   SELECT *, CASE WHEN sys_text IS NOT NULL
@@ -65,10 +69,12 @@ ex AS (
          WHEN non_llm THEN '{{"data":[]}}'
          WHEN limited THEN '{{"error":{{"message":"Rate limit exceeded"}}}}'
          WHEN anthropic THEN json_object('content', json_array(json_object('type', 'text', 'text', answer)),
-              'usage', json_object('input_tokens', n_in, 'output_tokens', n_out))::VARCHAR
+              'usage', json_object('input_tokens', n_in, 'output_tokens', n_out, 'cache_read_input_tokens', cached,
+                                   'cache_creation_input_tokens', cache_write))::VARCHAR
          ELSE json_object('choices', json_array(json_object('index', 0, 'message',
               json_object('role', 'assistant', 'content', answer))),
-              'usage', json_object('prompt_tokens', n_in, 'completion_tokens', n_out))::VARCHAR
+              'usage', json_object('prompt_tokens', n_in, 'completion_tokens', n_out,
+                                   'prompt_tokens_details', json_object('cached_tokens', cached)))::VARCHAR
     END AS response_body
   FROM ex2)"""
 
@@ -99,17 +105,17 @@ def _data(expr: str) -> str:
 
 SSE_CTE = EXCHANGES_CTE + f""",
 sse0 AS (
-  SELECT exchange_id, conv_id, anthropic, conv_id % 7 = 3 AS tools, n_in, n_out,
+  SELECT exchange_id, conv_id, anthropic, conv_id % 7 = 3 AS tools, n_in, n_out, cached, cache_write,
          regexp_extract_all(answer, '(?s).{{1,40}}') AS pieces
   FROM ex2 JOIN (SELECT lpad(CAST(conv_id AS VARCHAR), 6, '0') || '-' || lpad(CAST(turn AS VARCHAR), 3, '0') AS exchange_id,
                         stream AND NOT failed AND NOT non_llm AS use_stream FROM ex2) u
     ON u.exchange_id = lpad(CAST(ex2.conv_id AS VARCHAR), 6, '0') || '-' || lpad(CAST(ex2.turn AS VARCHAR), 3, '0')
   WHERE use_stream),
 sse1 AS (
-  SELECT exchange_id, conv_id, anthropic, tools, n_in, n_out,
+  SELECT exchange_id, conv_id, anthropic, tools, n_in, n_out, cached, cache_write,
     CASE WHEN anthropic THEN
       list_concat(
-        ['event: message_start' || chr(10) || {_data("json_object('type', 'message_start', 'message', json_object('usage', json_object('input_tokens', n_in, 'output_tokens', 1)))")}],
+        ['event: message_start' || chr(10) || {_data("json_object('type', 'message_start', 'message', json_object('usage', json_object('input_tokens', n_in, 'output_tokens', 1, 'cache_read_input_tokens', cached, 'cache_creation_input_tokens', cache_write)))")}],
         CASE WHEN tools THEN [
           {_data("json_object('type', 'content_block_start', 'index', 0, 'content_block', json_object('type', 'tool_use', 'name', 'get_weather'))")},
           {_data("json_object('type', 'content_block_delta', 'delta', json_object('type', 'input_json_delta', 'partial_json', '{\"city\":'))")},
@@ -124,7 +130,7 @@ sse1 AS (
           {_data("json_object('choices', json_array(json_object('index', 0, 'delta', json_object('tool_calls', json_array(json_object('index', 0, 'function', json_object('arguments', '{\"city\":')))))))")},
           {_data("json_object('choices', json_array(json_object('index', 0, 'delta', json_object('tool_calls', json_array(json_object('index', 0, 'function', json_object('arguments', ' \"C' || CAST(conv_id AS VARCHAR) || '\"}')))))))")}]
         ELSE list_transform(pieces, lambda p: {_data("json_object('choices', json_array(json_object('index', 0, 'delta', json_object('content', p))))")}) END,
-        [{_data("json_object('choices', json_array(), 'usage', json_object('prompt_tokens', n_in, 'completion_tokens', n_out))")},
+        [{_data("json_object('choices', json_array(), 'usage', json_object('prompt_tokens', n_in, 'completion_tokens', n_out, 'prompt_tokens_details', json_object('cached_tokens', cached)))")},
          'data: [DONE]'])
     END AS events
   FROM sse0),

@@ -221,14 +221,56 @@ def q_ttft(spark, sf):
     return enriched(spark, sf).select("id", "latency_ms", "ttft_ms")
 
 
-@register("cost_body")
+
+_PRICE_IN = ("CASE {m} WHEN 'gpt-4o' THEN 2.5 WHEN 'gpt-4o-mini' THEN 0.15 WHEN 'claude-3-5-sonnet-20241022' THEN 3.0 "
+             "WHEN 'gemini-2.5-pro' THEN 1.25 WHEN 'llama-3.1-70b' THEN 0.52 ELSE 1.0 END::DOUBLE")
+_PRICE_OUT = ("CASE {m} WHEN 'gpt-4o' THEN 10.0 WHEN 'gpt-4o-mini' THEN 0.6 WHEN 'claude-3-5-sonnet-20241022' THEN 15.0 "
+              "WHEN 'gemini-2.5-pro' THEN 10.0 WHEN 'llama-3.1-70b' THEN 0.75 ELSE 3.0 END::DOUBLE")
+
+
+def _cost_sql(m: str) -> str:
+    """Cache-aware cost over columns i, o, w, r, c (DuckDB)."""
+    pin, pout = _PRICE_IN.format(m=m), _PRICE_OUT.format(m=m)
+    return f"""CASE WHEN i IS NULL THEN NULL WHEN i < 0 OR o < 0 THEN 0.0::DOUBLE
+      WHEN w > 0 OR r > 0 THEN (CAST(greatest(i - w - r, 0) AS DOUBLE) * {pin} + CAST(w AS DOUBLE) * {pin} * 1.25::DOUBLE
+                                + CAST(r AS DOUBLE) * {pin} * 0.10::DOUBLE + CAST(o AS DOUBLE) * {pout}) / 1e6
+      WHEN c > 0 THEN (CAST(greatest(i - c, 0) AS DOUBLE) * {pin} + CAST(c AS DOUBLE) * {pin} * 0.50::DOUBLE
+                       + CAST(o AS DOUBLE) * {pout}) / 1e6
+      ELSE (CAST(i AS DOUBLE) * {pin} + CAST(o AS DOUBLE) * {pout}) / 1e6 END"""
+
+
+_BODY_IN = f"coalesce({jint('response_body', '$.usage.prompt_tokens')}, {jint('response_body', '$.usage.input_tokens')})"
+_BODY_OUT = (f"coalesce({jint('response_body', '$.usage.completion_tokens')}, "
+             f"{jint('response_body', '$.usage.output_tokens')}, 0)")
+
+
+def _last_pos(paths: list[str]) -> str:
+    inner = ", ".join(jint("d", p) for p in paths)
+    return f"coalesce(list_filter(flatten(list_transform(datas, lambda d: [{inner}])), lambda x: x > 0)[-1], 0)"
+
+
+@register("cost_body", with_ex(f"""SELECT id, model, i AS input_tokens, o AS output_tokens, {_cost_sql('model')} AS cost_usd
+  FROM (SELECT exchange_id AS id, {model_sql()} AS model, {_BODY_IN} AS i,
+          CASE WHEN {_BODY_IN} IS NOT NULL THEN {_BODY_OUT} END AS o,
+          coalesce({jint('response_body', '$.usage.cache_creation_input_tokens')}, 0) AS w,
+          coalesce({jint('response_body', '$.usage.cache_read_input_tokens')}, 0) AS r,
+          coalesce({jint('response_body', '$.usage.prompt_tokens_details.cached_tokens')}, 0) AS c
+        FROM ex WHERE NOT (stream AND NOT failed AND NOT non_llm)
+          AND ({model_sql()} <> 'unknown' OR coalesce(octet_length(encode(request_body)), 0) > 0))"""),
+          calls_cte=False, raw=True)
 def q_cost_body(spark, sf):
     """Cache-aware cost of buffered responses."""
-    return stored_calls(spark, sf).where(~F.col("response_body").startswith("[")).select(
-        "id", "model", "input_tokens", "output_tokens", "cost_usd")
+    ex = _ex(spark, sf).where(F.col("chunks").isNull())
+    return en.enrich_calls(ex).select("id", "model", "input_tokens", "output_tokens", "cost_usd")
 
 
-@register("cost_sse")
+@register("cost_sse", with_sse(f"""SELECT id, model, i AS input_tokens, o AS output_tokens, {_cost_sql('model')} AS cost_usd
+  FROM (SELECT s.exchange_id AS id, {model_sql('e.request_body')} AS model, {_SSE_IN} AS i,
+          CASE WHEN {_SSE_IN} IS NOT NULL THEN coalesce({_SSE_OUT}, 0) END AS o,
+          {_last_pos(['$.message.usage.cache_creation_input_tokens', '$.usage.cache_creation_input_tokens'])} AS w,
+          {_last_pos(['$.message.usage.cache_read_input_tokens', '$.usage.cache_read_input_tokens'])} AS r,
+          {_last_pos(['$.usage.prompt_tokens_details.cached_tokens'])} AS c
+        FROM sse s JOIN ex e ON e.exchange_id = s.exchange_id)"""), calls_cte=False, raw=True)
 def q_cost_sse(spark, sf):
     """Cache-aware cost of streamed responses (last positive cache counts)."""
     ex = _ex(spark, sf).where(F.col("chunks").isNotNull())
