@@ -98,17 +98,46 @@ def metric_budget(df: DataFrame, limit_usd: float, period: str = "month", as_of=
 
 
 
+def _measures(df: DataFrame, bounds, budget_start) -> DataFrame:
+    """One aggregate carrying every measure of every metric family.
+
+    Keyed by (model, provider, status_class, agent_name): a few hundred rows
+    at most, from a single scan of the calls. Every family below is derived
+    from this table, so the exposition reads the data once (the repeated
+    table is checkpointed once).
+    """
+    lat, ttft, cost = F.col("latency_ms"), F.col("ttft_ms"), F.col("cost_usd")
+    aggs = [F.count(F.lit(1)).alias("n"),
+            F.sum(F.when(F.col("input_tokens") > 0, F.col("input_tokens"))).alias("tok_in"),
+            F.sum(F.when(F.col("output_tokens") > 0, F.col("output_tokens"))).alias("tok_out"),
+            F.sum(F.when(cost > 0, cost)).alias("usd"),
+            F.count(lat).alias("lat_n"), F.sum(lat).alias("lat_sum"),
+            F.count(ttft).alias("ttft_n"), F.sum(ttft).alias("ttft_sum")]
+    aggs += [F.count_if(lat <= b).alias(f"lat_b{i}") for i, b in enumerate(bounds)]
+    aggs += [F.count_if(ttft <= b).alias(f"ttft_b{i}") for i, b in enumerate(bounds)]
+    if budget_start is not None:
+        aggs.append(F.sum(F.when(F.col("call_ts") >= F.lit(budget_start).cast("timestamp"), cost)).alias("spent"))
+    return df.groupBy("model", "provider", status_class().alias("status_class"), "agent_name").agg(*aggs)
+
+
 def metrics_exposition(df: DataFrame, bounds=DEFAULT_BOUNDS_MS, prefix: str = DEFAULT_PREFIX,
                        budget: tuple[float, str, object] | None = None) -> DataFrame:
-    """The text exposition as rows ``(family, seq, line)``.
+    """The text exposition as rows ``(family, seq, k, line)``.
 
     ``family`` orders metric families; within a family ``seq`` orders HELP,
-    TYPE and sample lines (samples sorted by their labels). Lines are built
-    with ``format_string`` on executors; write them sorted with
-    ``orderBy('family', 'seq', 'line')`` to get the document.
+    TYPE and sample lines and ``k`` orders samples by their labels. Write
+    them sorted with ``orderBy('family', 'seq', 'k')`` to get the document.
     """
     spark = df.sparkSession
     p = prefix
+    bounds = sorted(int(b) for b in bounds)
+    start = period_start(budget[1], budget[2]) if budget is not None else None
+    # the measure table is tiny; checkpoint it (shared checkpoint folder) so the
+    # calls are scanned once and every family below reads the same snapshot
+    from callscope.session import checkpoint_root
+
+    checkpoint_root(spark)
+    m = _measures(df, bounds, start).checkpoint(eager=True)
     parts = []
 
     def header(fam: int, name: str, help_: str, typ: str):
@@ -116,50 +145,52 @@ def metrics_exposition(df: DataFrame, bounds=DEFAULT_BOUNDS_MS, prefix: str = DE
             [(fam, 0, "", f"# HELP {p}_{name} {help_}"), (fam, 1, "", f"# TYPE {p}_{name} {typ}")],
             "family int, seq int, k string, line string")
 
-    calls = metric_calls(df).select(
-        F.lit(1).alias("family"), F.lit(2).alias("seq"),
-        F.concat_ws("\u0001", "model", "provider", "status_class").alias("k"),
+    def row(fam, seq, k, line):
+        return F.lit(fam).alias("family"), F.lit(seq).alias("seq"), k.alias("k"), line.alias("line")
+
+    calls = m.groupBy("model", "provider", "status_class").agg(F.sum("n").alias("n"))
+    parts += [header(1, "calls_total", "Total LLM calls captured", "counter"), calls.select(*row(
+        1, 2, F.concat_ws("\u0001", "model", "provider", "status_class"),
         F.format_string(f'{p}_calls_total{{model="%s",provider="%s",status_class="%s"}} %d',
-                        "model", "provider", "status_class", "n").alias("line"))
-    parts += [header(1, "calls_total", "Total LLM calls captured", "counter"), calls]
-    toks = metric_tokens(df).select(
-        F.lit(2).alias("family"), F.when(F.col("type") == "input", 2).otherwise(3).alias("seq"),
-        F.concat_ws("\u0001", "model", "provider").alias("k"),
-        F.format_string(f'{p}_tokens_total{{model="%s",provider="%s",type="%s"}} %d',
-                        "model", "provider", "type", "n").alias("line"))
-    parts += [header(2, "tokens_total", "Total tokens processed", "counter"), toks]
-    cost = metric_cost(df).select(
-        F.lit(3).alias("family"), F.lit(2).alias("seq"),
-        F.concat_ws("\u0001", "model", "provider").alias("k"),
-        F.format_string(f'{p}_cost_usd_total{{model="%s",provider="%s"}} %.8f',
-                        "model", "provider", "usd").alias("line"))
-    parts += [header(3, "cost_usd_total", "Total estimated cost in USD", "counter"), cost]
-    for fam, value, name, help_ in ((4, "latency_ms", "latency_ms", "Request latency in milliseconds"),
-                                    (5, "ttft_ms", "ttft_ms", "Time to first token in milliseconds")):
-        h = metric_hist(df, value, bounds)
-        order = F.when(F.col("le") == "+Inf", F.lit(1 << 30)).otherwise(F.col("le").cast("int"))
-        b = h.select(F.lit(fam).alias("family"), F.lit(2).alias("seq"),
-                     F.concat_ws("\u0001", "model", F.lpad(order.cast("string"), 12, "0")).alias("k"),
-                     F.format_string(f'{p}_{name}_bucket{{model="%s",le="%s"}} %d', "model", "le", "n").alias("line"))
-        per = h.select("model", "sum", "count").distinct()
-        s = per.select(F.lit(fam).alias("family"), F.lit(2).alias("seq"),
-                       F.concat_ws("\u0001", "model", F.lit("~1sum")).alias("k"),
-                       F.format_string(f'{p}_{name}_sum{{model="%s"}} %.0f', "model",
-                                       F.col("sum").cast("double")).alias("line"))
-        c = per.select(F.lit(fam).alias("family"), F.lit(2).alias("seq"),
-                       F.concat_ws("\u0001", "model", F.lit("~2count")).alias("k"),
-                       F.format_string(f'{p}_{name}_count{{model="%s"}} %d', "model", "count").alias("line"))
-        parts += [header(fam, name, help_, "histogram"), b, s, c]
-    agents = metric_agent_calls(df).select(
-        F.lit(6).alias("family"), F.lit(2).alias("seq"), F.col("agent_name").alias("k"),
-        F.format_string(f'{p}_agent_calls_total{{agent="%s"}} %d', "agent_name", "n").alias("line"))
-    parts += [header(6, "agent_calls_total", "Total LLM calls per agent", "counter"), agents]
+                        "model", "provider", "status_class", "n")))]
+    mp = m.groupBy("model", "provider").agg(F.sum("tok_in").alias("tin"), F.sum("tok_out").alias("tout"),
+                                            F.sum("usd").alias("usd"))
+    parts.append(header(2, "tokens_total", "Total tokens processed", "counter"))
+    for seq, col, typ in ((2, "tin", "input"), (3, "tout", "output")):
+        parts.append(mp.where(F.col(col).isNotNull()).select(*row(
+            2, seq, F.concat_ws("\u0001", "model", "provider"),
+            F.format_string(f'{p}_tokens_total{{model="%s",provider="%s",type="{typ}"}} %d',
+                            "model", "provider", col))))
+    parts += [header(3, "cost_usd_total", "Total estimated cost in USD", "counter"),
+              mp.where(F.col("usd").isNotNull()).select(*row(
+                  3, 2, F.concat_ws("\u0001", "model", "provider"),
+                  F.format_string(f'{p}_cost_usd_total{{model="%s",provider="%s"}} %.8f', "model", "provider", "usd")))]
+    for fam, pre, name, help_ in ((4, "lat", "latency_ms", "Request latency in milliseconds"),
+                                  (5, "ttft", "ttft_ms", "Time to first token in milliseconds")):
+        h = (m.groupBy("model").agg(F.sum(f"{pre}_n").alias("cnt"), F.sum(f"{pre}_sum").alias("total"),
+                                    *[F.sum(f"{pre}_b{i}").alias(f"b{i}") for i in range(len(bounds))])
+             .where(F.col("cnt") > 0))
+        pairs = [f"'{b}', {str(b).rjust(12, '0')!r}, b{i}" for i, b in enumerate(bounds)]
+        pairs.append(f"'+Inf', {str(1 << 30).rjust(12, '0')!r}, cnt")
+        buckets = h.select("model", F.expr(f"stack({len(pairs)}, {', '.join(pairs)}) AS (le, ord, v)"))
+        parts += [header(fam, name, help_, "histogram"),
+                  buckets.select(*row(fam, 2, F.concat_ws("\u0001", "model", "ord"), F.format_string(
+                      f'{p}_{name}_bucket{{model="%s",le="%s"}} %d', "model", "le", "v"))),
+                  h.select(*row(fam, 2, F.concat_ws("\u0001", "model", F.lit("~1sum")), F.format_string(
+                      f'{p}_{name}_sum{{model="%s"}} %.0f', "model", F.col("total").cast("double")))),
+                  h.select(*row(fam, 2, F.concat_ws("\u0001", "model", F.lit("~2count")), F.format_string(
+                      f'{p}_{name}_count{{model="%s"}} %d', "model", "cnt")))]
+    agents = m.where(F.col("agent_name").isNotNull()).groupBy("agent_name").agg(F.sum("n").alias("n"))
+    parts += [header(6, "agent_calls_total", "Total LLM calls per agent", "counter"),
+              agents.select(*row(6, 2, F.col("agent_name"), F.format_string(
+                  f'{p}_agent_calls_total{{agent="%s"}} %d', "agent_name", "n")))]
     if budget is not None:
-        lim, period, as_of = budget
-        g = metric_budget(df, lim, period, as_of)
-        gl = g.select(F.lit(8).alias("family"), F.lit(2).alias("seq"), F.lit("").alias("k"), F.explode(F.array(
-            F.format_string(f'{p}_budget_spent_usd{{period="%s"}} %.8f', "period", "spent_usd"),
-            F.format_string(f'{p}_budget_limit_usd{{period="%s"}} %.8f', "period", "limit_usd"))).alias("line"))
+        lim, period, _as_of = budget
+        per = period if period in ("day", "week") else "month"
+        spent = m.agg(F.coalesce(F.sum("spent"), F.lit(0.0)).alias("spent"))
+        gl = spent.select(*row(8, 2, F.lit(""), F.explode(F.array(
+            F.format_string(f'{p}_budget_spent_usd{{period="{per}"}} %.8f', "spent"),
+            F.format_string(f'{p}_budget_limit_usd{{period="{per}"}} %.8f', F.lit(float(lim)))))))
         parts += [header(8, "budget_spent_usd", "Estimated spend since the start of the current budget period",
                          "gauge"), gl]
     out = parts[0]
