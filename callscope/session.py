@@ -21,6 +21,27 @@ _DEFAULTS = {
 }
 
 
+# Settings for a large cluster (e.g. ~1000 executors over ~100 TB of calls).
+# Shuffles start wide and AQE coalesces them to ~256 MB partitions, so no
+# reducer has to spill a multi-GB partition; skewed partitions (a hot model,
+# workflow or day) are split by AQE's skew-join and rebalance handling.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "callscope", extra: dict | None = None) -> SparkSession:
     """Return (or create) a session configured for callscope operators."""
