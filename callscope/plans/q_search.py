@@ -121,7 +121,24 @@ def q_search_calls(spark, sf):
     return se.search(c, idx, lens, CALL_QUERY, 50).select("id", "model", "provider", "endpoint", "rank")
 
 
-@register("snippet")
+def _snippet_sql() -> str:
+    phrases = se.parse_query(DOC_QUERY)
+    first = phrases[0]
+    return f"""WITH s AS ({_bm25_sql(_DOC_INDEX, _DOC_LENGTHS, DOC_QUERY)}),
+  top AS (SELECT * FROM s ORDER BY rank, id LIMIT 20),
+  occ AS (SELECT ix.id, ix.pos - q.term_no AS start FROM ({_DOC_INDEX}) ix
+          JOIN {_phrases_sql([first])} q ON ix.token = q.token
+          WHERE ix.col = 'text' GROUP BY ix.id, ix.pos - q.term_no HAVING count(*) = {len(first)}),
+  hit AS (SELECT id, min(start) AS h FROM occ GROUP BY id),
+  d AS (SELECT d.doc_id, top.rank, coalesce(regexp_extract_all(d.text, '{TOKEN_RE}'), []) AS toks,
+               greatest(coalesce(hit.h, 0) - 3, 0) AS st
+        FROM documents d JOIN top ON d.doc_id = top.id LEFT JOIN hit ON hit.id = d.doc_id)
+  SELECT doc_id, round(rank, 9) AS rank,
+    CASE WHEN st > 0 THEN '...' ELSE '' END || array_to_string(list_slice(toks, st + 1, st + {se.SNIPPET_TOKENS}), ' ')
+    || CASE WHEN st + {se.SNIPPET_TOKENS} < len(toks) THEN '...' ELSE '' END AS snippet FROM d"""
+
+
+@register("snippet", _snippet_sql(), calls_cte=False)
 def q_snippet(spark, sf):
     """12-token excerpts around the first hit for the top-20 documents."""
     d = _docs(spark, sf)
