@@ -156,7 +156,23 @@ def q_prompt_hash(spark, sf):
     return _ex(spark, sf).select("exchange_id", J.prompt_hash(F.col("request_body")).alias("prompt_hash"))
 
 
-@register("redact")
+def _redacted_sql() -> str:
+    """Expected redacted request text: sorted keys, ``messages`` replaced (system key only when set)."""
+    model_kv = ("CASE WHEN conv_id % 17 = 5 THEN NULL WHEN conv_id % 19 = 7 THEN '42' "
+                "ELSE to_json(model_name)::VARCHAR END")
+    return f"""SELECT exchange_id, CASE WHEN non_llm THEN '' ELSE
+      '{{' || array_to_string(list_filter([
+        CASE WHEN anthropic THEN '"max_tokens":1024' END,
+        '"messages":"[REDACTED]"',
+        CASE WHEN {model_kv} IS NOT NULL THEN '"model":' || {model_kv} END,
+        '"stream":' || CASE WHEN stream THEN 'true' ELSE 'false' END,
+        CASE WHEN anthropic AND sys_text IS NOT NULL THEN '"system":' || to_json(sys_text)::VARCHAR END],
+        lambda x: x IS NOT NULL), ',') || '}}' END AS request_body
+      FROM ex JOIN (SELECT lpad(CAST(conv_id AS VARCHAR), 6, '0') || '-' || lpad(CAST(turn AS VARCHAR), 3, '0') AS xid,
+                           model_name, sys_text FROM ex2) m ON m.xid = ex.exchange_id"""
+
+
+@register("redact", with_ex(_redacted_sql()), calls_cte=False)
 def q_redact(spark, sf):
     """H9: request bodies with the ``messages`` field redacted."""
     return _ex(spark, sf).select("exchange_id", J.redact(F.col("request_body"), REDACT).alias("request_body"))
