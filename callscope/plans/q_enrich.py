@@ -299,7 +299,18 @@ def q_enrich_calls(spark, sf):
     return enriched(spark, sf, routes=ROUTES, redact_fields=[], overrides={"mystery": (0.5, 1.5)})
 
 
-@register("prompt_sample")
+_HASHED = f"""SELECT exchange_id AS id,
+      TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(conv_id * 10 AS BIGINT)) + to_seconds(CAST(turn * 7 AS BIGINT)) AS call_ts,
+      request_body, CASE WHEN length({_TRIMMED}) > 0 THEN {_fnv_sql(_TRIMMED)} END AS prompt_hash,
+      CASE WHEN length({_TRIMMED}) > 0 THEN {_TRIMMED} END AS prompt
+    FROM ex WHERE {model_sql()} <> 'unknown' OR coalesce(octet_length(encode(request_body)), 0) > 0
+       OR (NOT failed AND CASE WHEN h_content_type IS NOT NULL THEN contains(h_content_type, 'text/event-stream')
+                               ELSE {stream_sql()} END)"""
+
+
+@register("prompt_sample", with_ex(f"""SELECT prompt_hash, arg_min(request_body, (call_ts, id)) AS request_body
+  FROM ({_HASHED}) WHERE prompt_hash IS NOT NULL AND request_body IS NOT NULL GROUP BY prompt_hash"""),
+          calls_cte=False)
 def q_prompt_sample(spark, sf):
     """One deterministic sample request body per prompt hash."""
     return pm.prompt_sample(stored_calls(spark, sf))
@@ -311,7 +322,10 @@ def q_prompt_list(spark, sf):
     return pm.prompt_list(stored_calls(spark, sf), since="2024-01-01")
 
 
-@register("prompt_text")
+@register("prompt_text", with_ex(f"""SELECT prompt_hash, arg_min(prompt, (call_ts, id)) AS prompt FROM ({_HASHED})
+  WHERE prompt_hash = (SELECT prompt_hash FROM ({_HASHED}) WHERE prompt_hash IS NOT NULL
+                       GROUP BY prompt_hash ORDER BY count(*) DESC, prompt_hash LIMIT 1)
+    AND request_body IS NOT NULL GROUP BY prompt_hash"""), calls_cte=False)
 def q_prompt_text(spark, sf):
     """H8: full system prompt of the most used fingerprint."""
     calls = stored_calls(spark, sf)
