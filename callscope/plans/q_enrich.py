@@ -1,9 +1,11 @@
 """Registered ingest queries: raw exchanges -> calls (A3, B17, H1-H20) and prompt analytics.
 
 The input is the exchange stand-in built from ``conversations``; each
-query runs one stage of the enrichment job over all of it. These are
-JSON/stream-parsing operators: the driver checks row counts, and exact
-semantics are covered by golden-vector unit tests.
+query runs one stage of the enrichment job over all of it. Most keys have
+a differential DuckDB oracle (``exchange_oracle.py``): DuckDB rebuilds the
+same logical exchanges with its own JSON construction and parses them with
+its own functions. The composite stages (size limits, full pipeline, store
+round-trip) are row-checked and covered by golden-vector unit tests.
 """
 
 from __future__ import annotations

@@ -98,9 +98,10 @@ def _count(spark: SparkSession, path: str) -> int:
 def prune_older_than(spark: SparkSession, path: str, days: int, as_of=None) -> int:
     """Delete calls older than ``days`` days before ``as_of``; returns rows deleted.
 
-    0 keeps everything. Whole ``call_date`` partitions before the cut-off
-    day are dropped; the boundary day is rewritten keeping rows at or after
-    the exact cut-off instant (dynamic partition overwrite).
+    0 keeps everything. Only day partitions up to the cut-off day are read.
+    The boundary day's surviving rows (at or after the exact cut-off instant)
+    are staged next to the store; then every day directory up to the cut-off
+    day is deleted and the staged rows are appended back.
     """
     if int(days) <= 0:
         return 0
