@@ -198,3 +198,11 @@ def decode_ids(ranks: str):
         return pa.array([bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else b"" for x in ids], pa.binary())
 
     return decoded
+
+
+def digests(ids: DataFrame, ranks: str, id_col: str = "doc_id") -> DataFrame:
+    """Of ``encode``'s rows: ``n_tokens``, the SHA-256 of the decimal ids joined by spaces and that of the decoded bytes."""
+    return ids.select(
+        F.col(f"`{id_col}`").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(decode_ids(ranks)("ids"), 256).alias("decoded_sha256"))

@@ -64,6 +64,19 @@ def row_key(df: DataFrame) -> list:
     return [F.xxhash64(F.lit(1), *cols).alias("_k1"), F.xxhash64(F.lit(2), *cols).alias("_k2")]
 
 
+def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose row key is in ``keys`` (``_k1``, ``_k2``), each key's once."""
+    keys = spool(keys.distinct(), "kept-keys")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.select(*names, *row_key(docs)).join(keys, ["_k1", "_k2"], "left_semi")
+    repeated = spool(kept.groupBy("_k1", "_k2").count().where("count > 1").select("_k1", "_k2"), "kept-repeated")
+    if repeated.isEmpty():
+        return kept.select(*names)
+    once = kept.join(repeated, ["_k1", "_k2"], "left_anti").select(*names)
+    more = kept.join(repeated, ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.first(F.struct(*names)).alias("row"))
+    return once.union(more.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of an edge table (``a`` long, ``b`` long): one row (``node``, ``root``) per node.
 

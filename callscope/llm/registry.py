@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from callscope.llm import byte_bpe, token_ids
-from callscope.llm.common import prepare, shared_path, table
+from callscope.llm import byte_bpe, decontaminate, simhash, substring_dedup, token_ids, toxicity
+from callscope.llm.common import shared_path, table
 
 
 def op1_token_ids(spark, sf_dir):
@@ -16,18 +16,38 @@ def op1_token_ids(spark, sf_dir):
     return token_ids.read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_decontaminate(spark, sf_dir):
+    """Words, hit words and leaking items of every document, for all benchmark items."""
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "spans")
+
+
 def op6_byte_bpe(spark, sf_dir):
     """Encode all documents with byte-level BPE, decode the ids: their number and the digests of both."""
-    prepare(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks)
-    return ids.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(byte_bpe.decode_ids(ranks)("ids"), 256).alias("decoded_sha256"))
+    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+
+
+def op8_substring_dedup(spark, sf_dir):
+    """All documents without repeated sentences: what stays, and the offsets of what went."""
+    done = substring_dedup.drop_repeated_units(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.size("removed").cast("long").alias("n_removed"), "removed", F.length("text").cast("long").alias("n_kept"), "text")
+
+
+def op9_simhash(spark, sf_dir):
+    """SimHash fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_toxicity(spark, sf_dir):
+    """Toxicity score of every document by the classifier trained on the labels outside the held-out part."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op6_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_decontaminate, op6_byte_bpe, op8_substring_dedup, op9_simhash, op10_toxicity)}
 ORACLES: dict[str, str] = {}
 
 
