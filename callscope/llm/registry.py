@@ -5,8 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from callscope.llm import byte_bpe, decontaminate, simhash, substring_dedup, token_ids, toxicity
-from callscope.llm.common import shared_path, table
+from callscope.llm import (
+    byte_bpe,
+    chat,
+    decontaminate,
+    html_text,
+    neighbours,
+    simhash,
+    substring_dedup,
+    token_ids,
+    toxicity,
+    url_inputs,
+    url_lists,
+)
+from callscope.llm.common import prepare, shared_path, table
 
 
 def op1_token_ids(spark, sf_dir):
@@ -24,12 +36,38 @@ def op2_decontaminate(spark, sf_dir):
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "spans")
 
 
+def op3_url_lists(spark, sf_dir):
+    """Verdict for every page's capture by the list entries active at its fetch time."""
+    prepare(spark)
+    pages = table(spark, sf_dir, "pages")
+    return url_lists.judge(url_inputs.captures(pages), url_inputs.list_changes(pages))
+
+
+def op4_html_text(spark, sf_dir):
+    """Main text of every page."""
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5_neighbours(spark, sf_dir):
+    """The ten nearest of all vectors for each query (ids divisible by 100), through the posting lists."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = neighbours.build_index(vectors)
+    return neighbours.search(index, neighbours.usable(vectors).where("id % 100 = 0"))
+
+
 def op6_byte_bpe(spark, sf_dir):
     """Encode all documents with byte-level BPE, decode the ids: their number and the digests of both."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
 
 
+def op7_chat(spark, sf_dir):
+    """All maximal conversations, rendered."""
+    prepare(spark)
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     """All documents without repeated sentences: what stays, and the offsets of what went."""
     done = substring_dedup.drop_repeated_units(table(spark, sf_dir, "documents"))
@@ -47,8 +85,9 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_decontaminate, op6_byte_bpe, op8_substring_dedup, op9_simhash, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_token_ids, op2_decontaminate, op3_url_lists, op4_html_text, op5_neighbours, op6_byte_bpe, op7_chat, op8_substring_dedup, op9_simhash, op10_toxicity)}
+ORACLES: dict[str, str] = {"op3_url_lists": url_inputs.ORACLE, "op7_chat": chat.ORACLE}
 
 
 def queries():
