@@ -8,13 +8,26 @@ import regex
 from public_tokenizers import PATTERN
 
 _UNICODE = regex.compile(PATTERN)
-_KINDS = [c for c in map(chr, range(128))]
-_SPACE = "".join(re.escape(c) for c in _KINDS if regex.match(r"\s", c))
-#: The same pattern with its classes spelt out for ASCII, which the standard library matches faster.
-_ASCII = re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{_SPACE}A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]")
-                    .replace(r"\p{N}", "[0-9]").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]"))
+
+
+def _spelt_out(last: int) -> re.Pattern:
+    """The pattern with its classes spelt out up to a code point, which the standard library matches faster."""
+    own = {kind: "".join(re.escape(chr(c)) for c in range(last + 1) if regex.match(kind, chr(c))) for kind in (r"\p{L}", r"\p{N}", r"\s")}
+    out = PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{''.join(own.values())}]")
+    for kind, chars in own.items():
+        out = out.replace(kind, f"[{chars}]")
+    return re.compile(out.replace(r"\S", f"[^{own[r'\s']}]"))
+
+
+_ASCII, _LATIN = _spelt_out(127), _spelt_out(255)
 
 
 def split(text: str) -> list[str]:
     """The pattern's matches; together they are the whole text."""
-    return (_ASCII if text.isascii() else _UNICODE).findall(text)
+    if text.isascii():
+        return _ASCII.findall(text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _UNICODE.findall(text)
+    return _LATIN.findall(text)

@@ -14,7 +14,10 @@ The small ``starts`` folder beside it has each segment's first global position.
 
 from __future__ import annotations
 
+import os
 import struct
+from array import array
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from callscope.llm.pieces import split
 #: Ids a segment has before it is closed (a longer document still stays whole).
 SEGMENT_IDS = 1_000_000
 #: Texts' characters that are encoded at once, and pieces that a worker remembers.
-CHUNK_CHARS, MEMO_PIECES = 1_000_000, 400_000
+CHUNK_CHARS, MEMO_PIECES = 3_000_000, 600_000
 SAMPLE = 64
 
 
@@ -109,6 +112,7 @@ class Encoder:
     _open: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -123,15 +127,26 @@ class Encoder:
         return cls._open[path]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        The texts' pieces are numbered, so that each distinct one is looked up once, and the
+        ids are then gathered by number.
+        """
         pieces = [split(t) for t in texts]
+        numbered = pa.array(list(chain.from_iterable(pieces)), pa.string()).dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
         if len(self.memo) > MEMO_PIECES:
             self.memo.clear()
-        new = list(set().union(*pieces).difference(self.memo))
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[piece] = np.array(e.ids, "<u4").tobytes()
-        get = self.memo.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        new = [p for p in distinct if p not in self.memo]
+        self.memo.update(zip(new, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        rows = [self.memo[p] for p in distinct]
+        table, sizes = np.frombuffer(b"".join(rows), "<u4"), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        number = numbered.indices.to_numpy()
+        n = sizes[number]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = table[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[number] - ends[:-1], n)]
+        cuts = ends[np.cumsum([0, *map(len, pieces)])]
+        return [ids[a:b].tobytes() for a, b in pairwise(cuts.tolist())]
 
 
 SEGMENT = ("part int, seq int, n_docs int, n_ids long, n_null int, doc_base long, ids binary, bounds binary, "
