@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from callscope.llm.common import prepare
 
-#: Feature slots, n-gram lengths in characters, and the most labelled rows that the weights are fitted to.
-SLOTS, LENGTHS, TRAIN_ROWS = 1 << 18, (3, 4, 5, 6), 4000
+#: Feature slots, n-gram lengths in characters (word ends included), and the most labelled rows that the weights are fitted to.
+SLOTS, LENGTHS, TRAIN_ROWS = 1 << 18, (4, 6, 8, 10), 4000
+#: Labels that are sent to the documents; more are joined with them in a shuffle.
+SENT_LABELS = 2_000_000
 #: Parts of the labels; part 0 is held out.
 FOLDS = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -83,7 +85,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prepare(docs.sparkSession)
     own = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y in (0, 1)")
     own = own.where(fold(F.col("id")) != 0)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(own, "id")
+    known = F.broadcast(own) if own.count() <= SENT_LABELS else own
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(known, "id")
 
     def count(frames):
         seen, n = np.zeros((2, SLOTS), np.int64), np.zeros(2, np.int64)
@@ -103,17 +106,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return np.zeros(SLOTS, np.float32), float(np.log((n1 + 1) / (n0 + 1)))
     body = counts[counts.slot >= 0]
     ratio = np.zeros(SLOTS)
-    ratio[body.slot] = np.log((body.ones + 1) / (n1 + 2)) - np.log((body.zeros + 1) / (n0 + 2))
-    sparse = np.zeros(SLOTS, bool)  # seen in too few rows to tell
-    sparse[body.slot[body.ones + body.zeros < 3]] = True
-    ratio[sparse] = 0
+    log_ratio = np.log((body.ones + 1) / (n1 + 2)) - np.log((body.zeros + 1) / (n0 + 2))
+    # drawn towards zero by a standard error, so that a few rows do not tell much
+    error = np.sqrt(1 / (body.ones + 1) + 1 / (body.zeros + 1))
+    ratio[body.slot] = np.where(body.ones + body.zeros < 3, 0, np.sign(log_ratio) * np.maximum(0, np.abs(log_ratio) - error))
 
     def slots(frames):
         for frame in frames:
             yield pd.DataFrame({"y": frame.y, "slots": [Features.slots(t).astype(np.int32).tobytes() for t in frame.text]})
 
-    ordered = [rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS // 2).select("y", "text").mapInPandas(slots, "y int, slots binary") for y in (0, 1)]
-    sample = [(r.y, np.frombuffer(r.slots, np.int32)) for part in ordered for r in part.collect()]
+    sample = []
+    for y in (0, 1):
+        chosen = rows.where(F.col("y") == y).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS // 2)
+        picked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id", "left_semi").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
+        picked = picked.select(F.lit(y).alias("y"), "text").limit(TRAIN_ROWS // 2)  # rows that repeat an id do not add to the bound
+        sample += [(y, np.frombuffer(r.slots, np.int32)) for r in picked.mapInPandas(slots, "y int, slots binary").collect()]
     return _fit_linear(sample, ratio, n1 / (n0 + n1))
 
 
@@ -122,18 +129,17 @@ def _fit_linear(sample: list[tuple[int, np.ndarray]], ratio: np.ndarray, share:
     sample = [(y, s[ratio[s] != 0]) for y, s in sample]
     y = np.array([r[0] for r in sample], np.float64)
     sizes = np.array([len(r[1]) for r in sample])
-    # rows have unit length after scaling, so that a long text weighs no more than a short one
     index = np.concatenate([r[1] for r in sample]) if len(sample) else np.zeros(0, np.int32)
     owner = np.repeat(np.arange(len(sample)), sizes)
     used, column = np.unique(index, return_inverse=True)
     value = ratio[index]
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)) / len(y)
-    w, b = np.full(len(used), 0.05), float(np.log(share / (1 - share)))
+    w, b = np.zeros(len(used)), float(np.log(share / (1 - share)))
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-    for step in range(1, 61):
+    for step in range(1, 151):
         z = np.bincount(owner, value * w[column], len(y)) + b
         g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * weight
-        gw = np.bincount(column, value * g[owner], len(used)) + 1e-5 * w
+        gw = np.bincount(column, value * g[owner], len(used)) + 1e-3 * w
         gb = g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         w -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
