@@ -103,14 +103,23 @@ def prompt_hash(body: Column) -> Column:
 def redact(body: Column, fields: list[str]) -> Column:
     """H9: replace listed top-level keys of a JSON object with "[REDACTED]".
 
-    Empty field list or non-object / invalid JSON -> body unchanged. Any
-    other object is re-serialised compactly with sorted keys.
+    No fields, NULL or text that is no JSON -> body unchanged. Valid JSON is
+    re-serialised compactly, objects with sorted keys; of a key that an object
+    repeats the last value counts. A body that looks like an object, cannot be
+    parsed here and names a listed field is replaced whole by the marker: a
+    listed value never stays because a body could not be read.
     """
     if not fields:
         return body
     v = F.try_parse_json(body)
-    obj = F.try_variant_get(v, "$", "map<string,variant>")
     red = F.expr(f"CAST('{REDACTED}' AS VARIANT)")
     names = F.array(*[F.lit(f) for f in fields])
+    obj = F.try_variant_get(v, "$", "map<string,variant>")
     out = F.to_json(F.transform_values(obj, lambda k, x: F.when(F.array_contains(names, k), red).otherwise(x)))
-    return F.when(jtype(v).startswith("OBJECT") & obj.isNotNull(), out).otherwise(body)
+    named = F.lit(False)
+    for f in fields:
+        named = named | body.contains(f)
+    # an escaped name (\\u006d...) is not found by its text
+    suspect = v.isNull() & F.ltrim(body).startswith("{") & (named | body.contains("\\u"))
+    return (F.when(jtype(v).startswith("OBJECT") & obj.isNotNull(), out)
+            .when(suspect, F.lit(REDACTED)).when(v.isNotNull() & (jtype(v) != "VOID"), F.to_json(v)).otherwise(body))

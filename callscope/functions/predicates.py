@@ -52,41 +52,55 @@ def by_tag(tag: str) -> Column:
     return F.col("tags") == F.lit(tag)
 
 
+def _utc(value: dt.datetime) -> dt.datetime:
+    """An instant as naive UTC; a value without an offset is UTC already."""
+    return value if value.tzinfo is None else value.astimezone(dt.timezone.utc).replace(tzinfo=None)
+
+
+def utc_now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+
+
 def parse_since(value) -> dt.datetime:
-    """Lower time bound; a bare date means the start of that UTC day."""
+    """Lower time bound; a bare date means the start of that UTC day, an offset is converted to UTC."""
     if isinstance(value, dt.datetime):
-        return value
+        return _utc(value)
     if isinstance(value, dt.date):
         return dt.datetime(value.year, value.month, value.day)
     s = str(value).strip()
     if _DATE_ONLY.match(s):
         return dt.datetime.strptime(s, "%Y-%m-%d")
-    return dt.datetime.fromisoformat(s.replace("Z", "+00:00")).replace(tzinfo=None)
+    return _utc(dt.datetime.fromisoformat(s.replace("Z", "+00:00")))
 
 
 def parse_until(value) -> dt.datetime:
-    """Upper time bound; a bare date means the end of that day at ms precision."""
+    """Upper time bound; a bare date means the end of that day at ms precision, an offset is converted to UTC."""
     if isinstance(value, dt.datetime):
-        return value
+        return _utc(value)
     if isinstance(value, dt.date):
         value = value.isoformat()
     s = str(value).strip()
     if _DATE_ONLY.match(s):
         return dt.datetime.strptime(s, "%Y-%m-%d") + dt.timedelta(days=1, milliseconds=-1)
-    return dt.datetime.fromisoformat(s.replace("Z", "+00:00")).replace(tzinfo=None)
+    return _utc(dt.datetime.fromisoformat(s.replace("Z", "+00:00")))
+
 
+def ts_literal(value: dt.datetime) -> Column:
+    """A naive UTC instant as a timestamp literal, whatever time zone the driver's process has.
 
-def _ts(value: dt.datetime) -> Column:
-    return F.lit(value).cast("timestamp")
+    (``F.lit`` of a naive datetime would read it in the process time zone.) The
+    expression is constant, so it folds to a literal that reaches the scan.
+    """
+    return F.timestamp_micros(F.lit((value - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)))
 
 
 def by_time(since=None, until=None) -> Column:
     """Inclusive time window on ``call_ts``; either bound may be omitted."""
     cond = F.lit(True)
     if since is not None:
-        cond = cond & (F.col("call_ts") >= _ts(parse_since(since)))
+        cond = cond & (F.col("call_ts") >= ts_literal(parse_since(since)))
     if until is not None:
-        cond = cond & (F.col("call_ts") <= _ts(parse_until(until)))
+        cond = cond & (F.col("call_ts") <= ts_literal(parse_until(until)))
     return cond
 
 
@@ -162,9 +176,9 @@ class CallFilter:
             parts.append(by_provider(self.provider))
         if self.since is not None or self.until is not None:
             if self.since is not None:
-                parts.append(F.col("call_ts") >= _ts(parse_since(self.since)))
+                parts.append(F.col("call_ts") >= ts_literal(parse_since(self.since)))
             if self.until is not None:
-                parts.append(F.col("call_ts") <= _ts(parse_until(self.until)))
+                parts.append(F.col("call_ts") <= ts_literal(parse_until(self.until)))
         # an exact status wins over a range when both are given
         if self.status is not None:
             parts.append(by_status(self.status))

@@ -13,20 +13,23 @@ from pyspark.sql import functions as F
 
 from callscope.functions.predicates import (
     CallFilter,
-    by_time,
     is_error_a,
     is_error_b,
     parse_since,
+    ts_literal,
+    utc_now,
+    with_time_window,
 )
+from callscope.operators.filters import _limit
 from callscope.operators.percentiles import exact_percentiles
 
 
 def _as_of(as_of) -> dt.datetime:
-    return parse_since(as_of) if as_of is not None else dt.datetime.utcnow()
+    return parse_since(as_of) if as_of is not None else utc_now()
 
 
 def _ts(value: dt.datetime) -> Column:
-    return F.lit(value).cast("timestamp")
+    return ts_literal(value)
 
 
 def total_cost_col(name: str = "total_cost_usd") -> Column:
@@ -129,18 +132,18 @@ def workflow_summary(df: DataFrame, f: CallFilter | None = None) -> DataFrame:
 
 
 def workflow_recent(df: DataFrame, limit: int = 20) -> DataFrame:
-    """Most recently active workflows, errors by predicate B, limit <= 10 000."""
-    n = max(0, min(int(limit), 10_000))
+    """Most recently active workflows, errors by predicate B, the first ``limit``."""
+    n = _limit(limit)
     return (_workflow_summary(df.where(F.col("workflow_id").isNotNull()), is_error_b())
             .orderBy(F.col("last_call").desc(), "workflow_id").limit(n))
 
 
 def daily_stats(df: DataFrame, days: int = 90, as_of=None) -> DataFrame:
-    """Per UTC day over the last ``days`` days (cap 365); empty days omitted."""
-    days = max(1, min(int(days), 365))
+    """Per UTC day over the last ``days`` days ; empty days omitted."""
+    if int(days) < 1:
+        raise ValueError(f"at least one day is needed: {days}")
+    days = int(days)
     start = _as_of(as_of) - dt.timedelta(days=days)
-    from callscope.functions.predicates import with_time_window
-
     return (with_time_window(df, since=start)
             .groupBy(F.to_date("call_ts").alias("date"))
             .agg(F.count(F.lit(1)).alias("calls"), total_cost_col("cost_usd"),
@@ -150,8 +153,6 @@ def daily_stats(df: DataFrame, days: int = 90, as_of=None) -> DataFrame:
 
 def cost_since(df: DataFrame, since) -> DataFrame:
     """Total cost at or after an instant."""
-    from callscope.functions.predicates import with_time_window
-
     return with_time_window(df, since=since).agg(total_cost_col("cost"))
 
 
@@ -206,8 +207,7 @@ def compare_models(df: DataFrame, model_a: str, model_b: str, since=None, until=
     """Side-by-side stats for two exact model names; an absent model is a zero row."""
     spark = df.sparkSession
     base = df.where(F.col("model").isin(model_a, model_b))
-    if since is not None or until is not None:
-        base = base.where(by_time(since, until))
+    base = with_time_window(base, since, until)
     agg = base.groupBy("model").agg(
         F.count(F.lit(1)).alias("calls"),
         F.coalesce(F.avg("cost_usd"), F.lit(0.0)).alias("avg_cost_usd"),

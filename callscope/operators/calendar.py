@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.functions.predicates import is_error_a, parse_since
+from callscope.functions.predicates import is_error_a, parse_since, utc_now, with_time_window
 
 
 def calendar_fill(df: DataFrame, days: int = 90, as_of=None) -> DataFrame:
@@ -17,12 +17,11 @@ def calendar_fill(df: DataFrame, days: int = 90, as_of=None) -> DataFrame:
     the argument) and left-joined to a per-day aggregate of the calls.
     """
     spark = df.sparkSession
-    end = (parse_since(as_of) if as_of is not None else dt.datetime.utcnow()).date()
+    end = (parse_since(as_of) if as_of is not None else utc_now()).date()
     start = end - dt.timedelta(days=int(days) - 1)
     cal = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias("date"))
-    daily = (df.where((F.col("call_ts") >= F.lit(dt.datetime.combine(start, dt.time())).cast("timestamp"))
-                      & (F.col("call_ts") < F.lit(dt.datetime.combine(end + dt.timedelta(days=1), dt.time()))
-                         .cast("timestamp")))
+    midnight = dt.datetime.combine(end + dt.timedelta(days=1), dt.time())
+    daily = (with_time_window(df, since=start, until=midnight - dt.timedelta(microseconds=1))
              .groupBy(F.to_date("call_ts").alias("date"))
              .agg(F.count(F.lit(1)).alias("calls"),
                   F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"),

@@ -24,12 +24,20 @@ MB = 1024 * 1024
 
 @dataclass
 class Limits:
-    """Body size limits in bytes (fixed defaults of the capture path)."""
+    """Body size limits in bytes; None (the default) keeps bodies of every size."""
 
-    max_request: int = 16 * MB
-    max_stored_response: int = 10 * MB
-    max_accumulation: int = 4 * MB
-    max_stored_stream: int = 256 * 1024
+    max_request: int | None = None
+    max_stored_response: int | None = None
+    max_accumulation: int | None = None
+    max_stored_stream: int | None = None
+
+
+#: The limits of the capture path, for callers that want them.
+CAPTURE_LIMITS = Limits(16 * MB, 10 * MB, 4 * MB, 256 * 1024)
+
+
+def over(size: Column, limit: int | None) -> Column:
+    return F.lit(False) if limit is None else size > F.lit(limit)
 
 
 @dataclass
@@ -198,14 +206,16 @@ def with_sse_text(df: DataFrame, events_col: str, out: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- H11, H16
-def accepted_chunks(chunks: Column, max_accumulation: int) -> Column:
-    """Chunks kept for parsing: the longest prefix whose total size stays within the limit."""
+def accepted_chunks(chunks: Column, max_accumulation: int | None) -> Column:
+    """Chunks kept for parsing: the longest prefix whose total size stays within the limit (None: all)."""
+    if max_accumulation is None:
+        return chunks
     sizes = F.transform(chunks, lambda c: F.coalesce(F.octet_length(c["data"]), F.lit(0)))
-    total = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    # cumulative sizes are non-decreasing, so the chunks within the limit form a prefix
-    prefix = F.filter(chunks, lambda c, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0).cast("bigint"),
-                                                       lambda a, x: a + x) <= F.lit(max_accumulation))
-    return F.when(total <= F.lit(max_accumulation), chunks).otherwise(prefix)
+    # sizes are not negative, so the chunks within the limit form a prefix: one pass counts them
+    zero = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("n"))
+    kept = F.aggregate(sizes, zero, lambda a, x: F.struct(
+        (a["total"] + x).alias("total"), F.when(a["total"] + x <= F.lit(max_accumulation), a["n"] + 1).otherwise(a["n"]).alias("n")))
+    return F.when(chunks.isNotNull(), F.slice(chunks, 1, kept["n"]))
 
 
 def ttft_from_chunks(chunks: Column) -> Column:
@@ -242,15 +252,16 @@ def is_sse(stream_flag: Column) -> Column:
 def enrich_calls(ex: DataFrame, opts: EnrichOptions | None = None) -> DataFrame:
     """The whole capture pipeline as staged narrow projections over the exchange log.
 
-    Drops oversized requests (never recorded) and non-LLM exchanges on the
-    failure and buffered paths (streams are always kept), then derives
+    Drops non-LLM exchanges on the failure and buffered paths (streams are
+    always kept) and, where the caller sets that limit, oversized requests;
+    usage is read from the original body, whatever is stored. Then derives
     every CALLS column. Each body is parsed once into a VARIANT column and
     every stage reads the previous stage's columns by name.
     """
     o = opts or EnrichOptions()
     lim = o.limits
     body = F.col("request_body")
-    base = ex.where(F.coalesce(F.octet_length(body), F.lit(0)) <= F.lit(lim.max_request))
+    base = ex.where(~over(F.coalesce(F.octet_length(body), F.lit(0)), lim.max_request))
 
     # stage 1: request parse, routing, trace headers
     s1 = base.withColumn("_rv", J.parse(body))
@@ -282,29 +293,29 @@ def enrich_calls(ex: DataFrame, opts: EnrichOptions | None = None) -> DataFrame:
         lambda a, x: a + x)
     s4 = s3.select("*", sse_events(F.col("_acc")).alias("_events"),
                    size_of(F.col("_acc")).alias("_acc_bytes"),
-                   (size_of(F.col("chunks")) > F.lit(lim.max_accumulation)).alias("_overflow"))
+                   over(size_of(F.col("chunks")), lim.max_accumulation).alias("_overflow"))
     s4 = with_sse_text(s4, "_events", "_text")
 
     # stage 4: stored response body
     resp = F.col("response_body")
-    big = F.coalesce(F.octet_length(resp), F.lit(0)) > F.lit(lim.max_stored_response)
+    big = over(F.coalesce(F.octet_length(resp), F.lit(0)), lim.max_stored_response)
     resp_stored = F.when(big, F.format_string(
-        "(response body %d bytes — exceeds %dMB storage limit, not stored)",
-        F.octet_length(resp), F.lit(lim.max_stored_response // MB))).otherwise(resp)
+        "[body of %d bytes left out: limit %d bytes]",
+        F.octet_length(resp), F.lit(lim.max_stored_response or 0).cast("bigint"))).otherwise(resp)
     text = F.col("_text")
-    stream_body = (F.when(F.col("_overflow"), F.format_string("(too large to store — %d bytes accumulated)",
+    stream_body = (F.when(F.col("_overflow"), F.format_string("[stream left out: over the limit after %d bytes]",
                                                               F.col("_acc_bytes")))
                    .when(F.length(text) == 0, F.lit(None).cast("string"))
-                   .when(F.octet_length(text) > F.lit(lim.max_stored_stream),
-                         F.format_string("(truncated at %dKB — %d bytes total)",
-                                         F.lit(lim.max_stored_stream // 1024), F.octet_length(text)))
+                   .when(over(F.octet_length(text), lim.max_stored_stream),
+                         F.format_string("[stream text left out: limit %d bytes, %d in all]",
+                                         F.lit(lim.max_stored_stream or 0).cast("bigint"), F.octet_length(text)))
                    .otherwise(text))
     s5 = s4.select("*", F.when(F.col("_failed"), F.lit(None).cast("string")).when(F.col("_sse"), stream_body)
                    .otherwise(resp_stored).alias("_resp"))
 
     # stage 5: usage (body or stream), price, cost
     s6 = s5.select("*", sse_usage(F.col("_events")).alias("_us"), sse_cache_counts(F.col("_events")).alias("_cs"),
-                   body_usage_v(J.parse(F.col("_resp"))).alias("_ub"))
+                   body_usage_v(J.parse(resp)).alias("_ub"))
     us, cs = F.col("_us"), F.col("_cs")
     stream_u = F.struct(us["input_tokens"].alias("input_tokens"), us["output_tokens"].alias("output_tokens"),
                         cs["w"].alias("cache_write"), cs["r"].alias("cache_read"), cs["c"].alias("cached"))

@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.functions.predicates import CallFilter, error_class, status_class
+from callscope.functions.predicates import CallFilter, error_class, parse_since, status_class, ts_literal
 from callscope.schema import BODY_COLUMNS
 
-LISTING_CAP = 10_000
 PAGE_SIZE = 100
 
 
+def _limit(n: int) -> int:
+    """A caller's row limit, honoured as given."""
+    if int(n) < 0:
+        raise ValueError(f"a limit cannot be negative: {n}")
+    return int(n)
+
+
 def _f(f: CallFilter | None) -> CallFilter:
     return f or CallFilter()
 
 
 def list_calls(df: DataFrame, f: CallFilter | None = None, limit: int = 100) -> DataFrame:
-    """Filtered, newest first, limit capped at 10 000 (distributed top-k)."""
-    n = max(0, min(int(limit), LISTING_CAP))
+    """Filtered, newest first, the newest ``limit`` rows (distributed top-k)."""
+    n = _limit(limit)
     return _f(f).apply(df).orderBy(F.col("call_ts").desc(), F.col("id").desc()).limit(n)
 
 
@@ -29,10 +35,8 @@ def all_calls(df: DataFrame, f: CallFilter | None = None) -> DataFrame:
 
 def calls_after(df: DataFrame, cursor, f: CallFilter | None = None, limit: int = 100) -> DataFrame:
     """Strictly after the cursor instant, ascending, limited."""
-    from callscope.functions.predicates import parse_since
-
-    n = max(0, min(int(limit), LISTING_CAP))
-    c = F.lit(parse_since(cursor)).cast("timestamp")
+    n = _limit(limit)
+    c = ts_literal(parse_since(cursor))
     return (_f(f).apply(df).where(F.col("call_ts") > c)
             .orderBy("call_ts", "id").limit(n))
 
@@ -65,27 +69,25 @@ def page_calls(df: DataFrame, f: CallFilter | None = None, page: int = 1) -> Dat
 def page_after(df: DataFrame, cursor_ts, cursor_id: str, f: CallFilter | None = None,
                size: int = PAGE_SIZE) -> DataFrame:
     """B19 keyset form: the next ``size`` calls older than (cursor_ts, cursor_id)."""
-    from callscope.functions.predicates import parse_since
-
-    ts = F.lit(parse_since(cursor_ts)).cast("timestamp")
+    ts = ts_literal(parse_since(cursor_ts))
     older = (F.col("call_ts") < ts) | ((F.col("call_ts") == ts) & (F.col("id") < cursor_id))
     return (_f(f).apply(df).where(older)
-            .orderBy(F.col("call_ts").desc(), F.col("id").desc()).limit(size))
+            .orderBy(F.col("call_ts").desc(), F.col("id").desc()).limit(_limit(size)))
 
 
 def recent_n(df: DataFrame, n: int = 100, f: CallFilter | None = None) -> DataFrame:
-    """G1: newest N (cap 10 000), displayed oldest first."""
+    """G1: newest N, displayed oldest first."""
     return list_calls(df, f, n).orderBy("call_ts", "id")
 
 
 def llm_only(exchanges: DataFrame) -> DataFrame:
-    """Keep exchanges that look like LLM traffic (model known or body non-empty).
+    """Keep exchanges that look like LLM traffic (model known or request body non-empty).
 
-    Expects ``model`` (from request parsing) and ``response_body``; streaming
-    exchanges are always kept.
+    Expects ``model`` (from request parsing) and ``request_body``; exchanges
+    flagged ``is_stream``, where that column exists, are always kept.
     """
     keep = ((F.col("model") != "unknown")
-            | (F.coalesce(F.length("response_body"), F.lit(0)) > 0))
+            | (F.coalesce(F.octet_length("request_body"), F.lit(0)) > 0))
     if "is_stream" in exchanges.columns:
         keep = keep | F.col("is_stream")
     return exchanges.where(keep)

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.functions.predicates import parse_since, status_class
+from callscope.functions.predicates import parse_since, status_class, ts_literal, utc_now, with_time_window
 
 # Default cumulative histogram bounds in milliseconds (+Inf is implicit).
 DEFAULT_BOUNDS_MS = (100, 500, 1000, 5000)
@@ -72,7 +72,7 @@ def metric_agent_calls(df: DataFrame) -> DataFrame:
 
 def period_start(period: str, as_of) -> dt.datetime:
     """Start of the current budget period: day, week (Monday) or month (default)."""
-    now = parse_since(as_of) if as_of is not None else dt.datetime.utcnow()
+    now = parse_since(as_of) if as_of is not None else utc_now()
     day = dt.datetime(now.year, now.month, now.day)
     if period == "day":
         return day
@@ -85,12 +85,12 @@ def metric_budget(df: DataFrame, limit_usd: float, period: str = "month", as_of=
     """Spend since the start of the period, limit, integer percent, warn flags."""
     start = period_start(period, as_of)
     lim = float(limit_usd)
-    spent = (df.where(F.col("call_ts") >= F.lit(start).cast("timestamp"))
+    spent = (with_time_window(df, since=start)
              .agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("spent_usd")))
     pct = F.when(F.lit(lim) > 0, F.floor(F.col("spent_usd") / F.lit(lim) * 100.0)).otherwise(F.lit(0)).cast("long")
     return spent.select(
         F.lit(period if period in ("day", "week") else "month").alias("period"),
-        F.lit(start).cast("timestamp").alias("period_start"),
+        ts_literal(start).alias("period_start"),
         "spent_usd", F.lit(lim).alias("limit_usd"), pct.alias("pct"),
         (pct >= 80).alias("near_limit"), (F.col("spent_usd") >= F.lit(lim)).alias("over_limit"))
 
@@ -116,7 +116,7 @@ def _measures(df: DataFrame, bounds, budget_start) -> DataFrame:
     aggs += [F.count_if(lat <= b).alias(f"lat_b{i}") for i, b in enumerate(bounds)]
     aggs += [F.count_if(ttft <= b).alias(f"ttft_b{i}") for i, b in enumerate(bounds)]
     if budget_start is not None:
-        aggs.append(F.sum(F.when(F.col("call_ts") >= F.lit(budget_start).cast("timestamp"), cost)).alias("spent"))
+        aggs.append(F.sum(F.when(F.col("call_ts") >= ts_literal(budget_start), cost)).alias("spent"))
     return df.groupBy("model", "provider", status_class().alias("status_class"), "agent_name").agg(*aggs)
 
 

@@ -96,11 +96,11 @@ def token_percentiles(df: DataFrame, since=None) -> DataFrame:
     NULL output counts as 0. Both columns are unpivoted into one histogram
     job (one shuffle) and pivoted back to a single row.
     """
-    from callscope.functions.predicates import by_time
+    from callscope.functions.predicates import with_time_window
 
     base = df.where(F.col("input_tokens").isNotNull())
     if since is not None:
-        base = base.where(by_time(since=since))
+        base = with_time_window(base, since=since)
     long = base.select(F.explode(F.array(
         F.struct(F.lit("input").alias("kind"), F.col("input_tokens").alias("v")),
         F.struct(F.lit("output").alias("kind"), F.coalesce("output_tokens", F.lit(0)).alias("v")),

@@ -6,13 +6,8 @@ Two forms share one rule table:
   broadcast nested-loop join against the rule table (rules are a fixed,
   ~120-row dimension, so the broadcast has a proven size bound) and keeps
   the first matching rule per model with ``min_by``.
-* ``with_simple_cost`` (batch) prices the distinct models once and hash-joins
-  the priced table back. The priced table is collected only after checking
-  it has at most ``MAX_BROADCAST_MODELS`` rows and is then broadcast (no
-  shuffle of the calls); beyond that bound it is joined with a regular
-  shuffle join.
-* ``price_expr`` (per-row CASE chain, no join) is used where an eager
-  distinct is impossible: streaming ingest.
+* ``price_expr`` (a per-row expression, no join) prices the calls themselves,
+  in batch and in streams (``with_price``, ``with_simple_cost``).
 """
 
 from __future__ import annotations
@@ -35,32 +30,14 @@ def cost_formula(inp: Column, out: Column, pin: Column, pout: Column) -> Column:
             .otherwise((inp.cast("double") * pin + out.cast("double") * pout) / F.lit(1e6)))
 
 
-MAX_BROADCAST_MODELS = 100_000
-
-
 def with_price(df: DataFrame, overrides: dict | None = None,
                default: tuple[float, float] | None = None, out: str = "_price") -> DataFrame:
     """Add ``out`` = struct(input_per_mtok, output_per_mtok, source) per row by model.
 
-    Distinct models are priced once; if there are at most
-    MAX_BROADCAST_MODELS of them (checked with a bounded collect) the priced
-    rows become a local broadcast table, otherwise a shuffle join is used.
+    A column expression: no job runs while the plan is built, nothing is joined
+    or shuffled, and batch and streaming rows are priced alike.
     """
-    spark = df.sparkSession
-    if df.isStreaming:
-        return df.withColumn(out, price_expr(F.col("model"), overrides, default))
-    priced = price_models(df.select("model"), overrides, default)
-    rows = priced.limit(MAX_BROADCAST_MODELS + 1).collect()
-    small = len(rows) <= MAX_BROADCAST_MODELS
-    table = spark.createDataFrame(rows, priced.schema) if small else priced
-    table = table.select(F.col("model").alias("_pm"), F.struct(
-        "input_per_mtok", "output_per_mtok", "source").alias(out))
-    table = F.broadcast(table) if small else table
-    fb = default or FALLBACK_PRICE
-    missing = F.struct(F.lit(float(fb[0])).alias("input_per_mtok"), F.lit(float(fb[1])).alias("output_per_mtok"),
-                       F.lit("fallback").alias("source"))
-    joined = df.join(table, df["model"] == table["_pm"], "left").drop("_pm")
-    return joined.withColumn(out, F.coalesce(F.col(out), missing))
+    return df.withColumn(out, price_expr(F.col("model"), overrides, default))
 
 
 def with_simple_cost(df: DataFrame, overrides: dict | None = None,
@@ -122,7 +99,7 @@ def price_models(models: DataFrame, overrides: dict | None = None,
                .agg(F.min_by(F.struct("input_per_mtok", "output_per_mtok"), F.col("rank")).alias("b")))
     out = bundled
     if overrides:
-        ov = F.broadcast(overrides_df(spark, overrides).withColumnRenamed("pattern", "opat"))
+        ov = overrides_df(spark, overrides).withColumnRenamed("pattern", "opat")
         # exact match beats containment; among contained keys the longest wins
         hit = (m.join(ov, F.col("model").contains(F.col("opat")), "inner")
                .groupBy("model")
@@ -146,8 +123,7 @@ def unknown_models(calls: DataFrame, overrides: dict | None = None) -> DataFrame
     spark = calls.sparkSession
     m = calls.select("model").where(F.col("model").isNotNull()).distinct()
     if overrides:
-        m = m.join(F.broadcast(overrides_df(spark, overrides).select(F.col("pattern").alias("model"))),
-                   "model", "left_anti")
+        m = m.join(overrides_df(spark, overrides).select(F.col("pattern").alias("model")), "model", "left_anti")
     priced = price_models(m)
     return priced.where(F.col("source") == "fallback").select("model", "input_per_mtok", "output_per_mtok")
 
@@ -165,9 +141,9 @@ def price_audit(calls: DataFrame, overrides: dict | None = None) -> DataFrame:
     priced = price_models(allm)
     res = priced.join(in_db, "model", "left").withColumn("in_db", F.coalesce("in_db", F.lit(False)))
     if overrides:
-        ov = F.broadcast(overrides_df(spark, overrides).select(
+        ov = overrides_df(spark, overrides).select(
             F.col("pattern").alias("model"), F.col("input_per_mtok").alias("oi"),
-            F.col("output_per_mtok").alias("oo")))
+            F.col("output_per_mtok").alias("oo"))
         res = res.join(ov, "model", "left")
     else:
         res = res.withColumn("oi", F.lit(None).cast("double")).withColumn("oo", F.lit(None).cast("double"))

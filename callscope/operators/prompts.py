@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.jsonx import system_prompt
-from callscope.functions.predicates import by_model, by_time
+from callscope.functions.predicates import by_model, with_time_window
 
 PREVIEW_CHARS = 80
 
@@ -31,7 +31,7 @@ def prompt_list(df: DataFrame, since=None, model: str | None = None) -> DataFram
     """
     base = df.where(F.col("prompt_hash").isNotNull())
     if since is not None:
-        base = base.where(by_time(since=since))
+        base = with_time_window(base, since=since)
     if model is not None:
         base = base.where(by_model(model))
     stats = base.groupBy("prompt_hash").agg(

@@ -1,9 +1,7 @@
 """Ordered first-match joins against small rule tables.
 
-Pattern: reduce the probe side to its *distinct* keys (a partial/final
-aggregate), theta-join them with the broadcast rule table (fixed,
-configuration-sized: a proven bound), keep the lowest-rank match per key
-with ``min_by``, then equi-join the tiny key -> label map back to the rows.
+Rules and routes are configuration-sized and become per-row expressions
+(first match wins), so the rows keep their partitioning.
 """
 
 from __future__ import annotations
@@ -11,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.functions.prices import rule_matches
-from callscope.schema import PROVIDERS, ROUTES
+from callscope.schema import ROUTES
 
 # Upstream URL -> provider rules in first-match order.
 # (all_of, any_of, provider); a rule matches when every all_of text and at
@@ -42,31 +39,12 @@ PROVIDER_RULES = [
 UNKNOWN_PROVIDER = "unknown"
 
 
-def provider_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, a, b, p) for i, (a, b, p) in enumerate(PROVIDER_RULES)], PROVIDERS)
-
-
-def first_match(keys: DataFrame, key: str, rules: DataFrame, match: Column,
-                value: str, rank: str = "rank") -> DataFrame:
-    """Generic ordered first-match: (key, value) for the lowest-rank matching rule.
+def with_provider(df: DataFrame, upstream_col: str = "upstream") -> DataFrame:
+    """Label each row's upstream URL with a provider ('unknown' when no rule matches).
 
-    ``keys`` should already be distinct; ``rules`` must be small (it is
-    broadcast); keys with no match are kept with a NULL value.
+    A per-row expression over the fixed rules: the rows are not shuffled.
     """
-    return (keys.join(F.broadcast(rules), match, "left")
-            .groupBy(key).agg(F.min_by(F.col(value), F.col(rank)).alias(value)))
-
-
-def with_provider(df: DataFrame, upstream_col: str = "upstream") -> DataFrame:
-    """Label each row's upstream URL with a provider ('unknown' when no rule matches)."""
-    spark = df.sparkSession
-    keys = df.select(F.col(upstream_col).alias("_up")).where(F.col("_up").isNotNull()).distinct()
-    labels = first_match(keys, "_up", provider_rules(spark),
-                         rule_matches(F.col("_up"), F.col("all_of"), F.col("any_of")), "provider")
-    out = df.join(labels, df[upstream_col] == labels["_up"], "left").drop("_up")
-    if "provider" in df.columns:
-        out = out.drop(df["provider"])
-    return out.withColumn("provider", F.coalesce(F.col("provider"), F.lit(UNKNOWN_PROVIDER)))
+    return df.withColumn("provider", F.coalesce(provider_expr(F.col(upstream_col)), F.lit(UNKNOWN_PROVIDER)))
 
 
 def routes_df(spark: SparkSession, routes: list[tuple[str, str]]) -> DataFrame:
@@ -79,13 +57,12 @@ def route_match(path: Column, prefix: Column) -> Column:
             | (path.startswith(prefix) & (F.substring(path, F.length(prefix) + 1, 1) == F.lit("/"))))
 
 
-def resolve_upstream(df: DataFrame, routes: DataFrame, default: str, path_col: str = "endpoint") -> DataFrame:
-    """Per row, the upstream of the first route matching its path, else ``default``."""
-    keys = df.select(F.col(path_col).alias("_path")).where(F.col("_path").isNotNull()).distinct()
-    r = routes.select("rank", F.col("path").alias("_prefix"), "upstream")
-    hit = first_match(keys, "_path", r, route_match(F.col("_path"), F.col("_prefix")), "upstream")
-    return (df.join(hit, df[path_col] == hit["_path"], "left").drop("_path")
-            .withColumn("upstream", F.coalesce(F.col("upstream"), F.lit(default))))
+def resolve_upstream(df: DataFrame, routes: list[tuple[str, str]], default: str, path_col: str = "endpoint") -> DataFrame:
+    """Per row, the upstream of the first of ``routes`` (prefix, upstream) matching its path, else ``default``.
+
+    Routes are configuration, so they become a per-row expression: the rows are not shuffled.
+    """
+    return df.withColumn("upstream", route_expr(F.col(path_col), routes, F.lit(default)))
 
 
 def shadowed_routes(routes: DataFrame) -> DataFrame:

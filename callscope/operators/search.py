@@ -25,15 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.functions.text import TOKEN_PATTERN, normalize, py_tokens, raw_tokens, tokens
+from callscope.operators.filters import _limit
 
 # Columns of a call that are searchable, BM25 parameters,
-# result cap and snippet width.
+# and snippet width.
 INDEXED_CALL_COLUMNS = ["model", "provider", "endpoint", "request_body", "response_body",
                         "error", "tags", "agent_name"]
 BM25_K1 = 1.2
 BM25_B = 0.75
 IDF_FLOOR = 1e-6
-SEARCH_CAP = 500
 SNIPPET_TOKENS = 12
 DEFAULT_BUCKETS = 64
 
@@ -190,14 +190,14 @@ def bm25_scores(index: DataFrame, lengths: DataFrame, query: str,
 
 def search(records: DataFrame, index: DataFrame, lengths: DataFrame, query: str,
            limit: int = 20, id_col: str = "id", stats: tuple | None = None) -> DataFrame:
-    """E3 + C1 + G4: best ``limit`` (<= 500) matching records with their rank.
+    """E3 + C1 + G4: best ``limit`` matching records with their rank.
 
-    The top-k is a distributed TakeOrderedAndProject; the <= 500 winning ids
-    are then broadcast into a hash join with the records.
+    The top-k is a distributed TakeOrderedAndProject; its ids are joined with the
+    records, by broadcast while they are under Spark's threshold.
     """
-    k = max(0, min(int(limit), SEARCH_CAP))
+    k = _limit(limit)
     top = bm25_scores(index, lengths, query, stats).orderBy("rank", "id").limit(k)
-    return (records.join(F.broadcast(top.withColumnRenamed("id", id_col)), id_col)
+    return (records.join(top.withColumnRenamed("id", id_col), id_col)
             .orderBy("rank", id_col))
 
 
@@ -207,7 +207,7 @@ def with_snippet(hits: DataFrame, index: DataFrame, query: str, text_col: str,
 
     Window choice is approximate (starts 3 tokens before the hit); tokens
     keep their original case and are joined by single spaces; ``...`` marks
-    cut-offs. Runs only on the (<= 500) result rows.
+    cut-offs. Runs only on the result rows.
     """
     phrases = parse_query(query)
     col_name = col_name or text_col

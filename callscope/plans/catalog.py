@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from callscope.session import settle
 from callscope.sources.fixtures import AS_OF, calls_view, with_calls
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +47,7 @@ def register(name: str, oracle: str | None = None, calls_cte: bool = True, raw:
     def deco(fn: QueryFn) -> QueryFn:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             # day buckets, date filters and timestamp casts are defined in UTC
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            settle(spark)
             out = fn(spark, sf_dir)
             return out if raw else rounded(out)
         run.__name__ = fn.__name__
@@ -84,15 +85,17 @@ def _load() -> None:
     # importing the query modules fills the registry
     from callscope.plans import (  # noqa: F401
         q_aggregates,
+        q_checks,
+        q_enrich,
+        q_exports,
         q_filters,
+        q_joins,
+        q_metrics,
+        q_search,
+        q_store,
+        q_streaming,
+        q_windows,
     )
-    for mod in ("q_joins", "q_windows", "q_metrics", "q_search", "q_store",
-                "q_enrich", "q_exports", "q_streaming", "q_checks"):
-        try:
-            __import__(f"callscope.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"callscope.plans.{mod}":
-                raise
 
 
 __all__ = ["AS_OF", "register", "calls", "all_queries", "all_oracles", "rounded"]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions import jsonx as J
 from callscope.operators import enrich as en
+from callscope.operators.filters import llm_only
 from callscope.operators import prompts as pm
 from callscope.plans.catalog import register
 from callscope.plans.exchange_oracle import jint, model_sql, stream_sql, with_ex, with_sse
@@ -56,13 +57,13 @@ def q_request_info(spark, sf):
 
 
 @register("llm_only", with_ex(f"""SELECT exchange_id, {model_sql()} AS model FROM ex
-  WHERE {model_sql()} <> 'unknown' OR coalesce(octet_length(encode(request_body)), 0) > 0"""), calls_cte=False)
+  WHERE {model_sql()} <> 'unknown' OR coalesce(octet_length(encode(request_body)), 0) > 0 OR {stream_sql()}"""), calls_cte=False)
 def q_llm_only(spark, sf):
-    """Exchanges that count as LLM calls (known model or non-empty request body)."""
+    """Exchanges that count as LLM calls (known model, non-empty request body, or a stream)."""
     ex = _ex(spark, sf)
-    info = ex.select("exchange_id", en.request_model(F.col("request_body")).alias("model"), "request_body")
-    return info.where((F.col("model") != "unknown")
-                      | (F.coalesce(F.octet_length("request_body"), F.lit(0)) > 0)).select("exchange_id", "model")
+    info = ex.select("exchange_id", en.request_model(F.col("request_body")).alias("model"),
+                     en.request_stream(F.col("request_body")).alias("is_stream"), "request_body")
+    return llm_only(info).select("exchange_id", "model")
 
 
 @register("usage_from_body", with_ex(f"""SELECT exchange_id,

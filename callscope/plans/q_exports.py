@@ -45,7 +45,7 @@ def q_export_csv_lines(spark, sf):
 
 @register("export_csv_all_quoted")
 def q_export_csv_all_quoted(spark, sf):
-    """Newest 10 000 calls, every field quoted."""
+    """All calls, every field quoted."""
     return ex.csv_all_quoted(calls(spark, sf))
 
 

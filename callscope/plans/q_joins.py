@@ -146,7 +146,7 @@ _UPSTREAM_SQL = f"""WITH e AS (SELECT DISTINCT endpoint FROM calls WHERE endpoin
 def q_route_upstream(spark, sf):
     """Ordered path-prefix routing of every call's endpoint, default when none match."""
     c = calls(spark, sf).select("id", "endpoint")
-    return rt.resolve_upstream(c, rt.routes_df(spark, ROUTES), DEFAULT_UPSTREAM).select("id", "endpoint", "upstream")
+    return rt.resolve_upstream(c, ROUTES, DEFAULT_UPSTREAM).select("id", "endpoint", "upstream")
 
 
 def _provider_case(col: str) -> str:
@@ -164,7 +164,7 @@ def _provider_case(col: str) -> str:
 def q_provider_label(spark, sf):
     """Provider detected from each call's resolved upstream URL (first matching rule)."""
     c = calls(spark, sf).select("id", "endpoint")
-    up = rt.resolve_upstream(c, rt.routes_df(spark, ROUTES), DEFAULT_UPSTREAM)
+    up = rt.resolve_upstream(c, ROUTES, DEFAULT_UPSTREAM)
     return rt.with_provider(up).select("id", "endpoint", "upstream", "provider")
 
 

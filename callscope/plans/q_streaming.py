@@ -17,7 +17,7 @@ from callscope.schema import CALL_COLUMNS
 _NO_BODY = ", ".join(c for c in CALL_COLUMNS if c not in ("request_body", "response_body"))
 from callscope.plans.q_enrich import _ex
 from callscope.session import scratch_dir
-from callscope.sources.store import append_calls
+from callscope.sources.store import append_calls, load_calls
 from callscope.streaming import live as lv
 
 FILES_PER_TRIGGER = 5
@@ -104,18 +104,15 @@ def q_fanout_exports(spark, sf):
 
 @register("stream_dedup", f"SELECT {_NO_BODY}, CAST(call_ts AS DATE) AS call_date FROM calls", raw=True)
 def q_stream_dedup(spark, sf):
-    """A feed delivering every call twice; duplicates dropped within the watermark."""
+    """A feed that delivers every call twice, in no order of time; each id is stored once."""
     path = scratch_dir(spark, "dup-feed")
     c = calls(spark, sf).withColumn("call_date", F.to_date("call_ts"))
-    c.write.mode("append").partitionBy("call_date").parquet(path)
-    c.write.mode("append").partitionBy("call_date").parquet(path)
+    # files that each hold calls of all days, so that most arrive later than newer ones
+    c.repartition(6, F.xxhash64("id")).write.mode("append").parquet(path)
+    c.repartition(6, F.xxhash64(F.lit(1), "id")).write.mode("append").parquet(path)
     out, ck = _dirs(spark, "dedup")
-    s = lv.stream_dedup(lv.calls_stream(spark, path, FILES_PER_TRIGGER), "2 days").drop("request_body",
-                                                                                         "response_body")
-    q = s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck) \
-        .outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    lv.stream_dedup(lv.calls_stream(spark, path, FILES_PER_TRIGGER), out, ck, available_now=True).awaitTermination()
+    return load_calls(spark, out, with_partition=True).drop("request_body", "response_body")
 
 
 @register("watch_budget", """SELECT count(*) AS calls, round(coalesce(sum(cost_usd), 0.0), 9) AS spent_usd,

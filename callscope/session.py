@@ -17,6 +17,8 @@ _DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # of a key that a JSON object repeats the last value counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -41,6 +43,12 @@ CLUSTER_CONF = {
 }
 
 
+def settle(spark: SparkSession) -> None:
+    """Session settings that results depend on: UTC days, and the last of repeated JSON keys."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "callscope", extra: dict | None = None) -> SparkSession:
     """Return (or create) a session configured for callscope operators."""
@@ -56,7 +64,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    settle(spark)
     return spark
 
 

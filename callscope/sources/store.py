@@ -7,69 +7,88 @@ time filters prune whole directories and retention drops whole partitions.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
 
-from callscope.functions.predicates import parse_since
+from callscope.functions.predicates import parse_since, ts_literal, utc_now, with_time_window
 from callscope.schema import CALL_COLUMNS, CALLS
 
 
+_STORE = T.StructType([*CALLS.fields, T.StructField("call_date", T.DateType())])
+#: Retention's cut-off instant, in a file that Spark's listings pass over.
+_CUTOFF = "_retention_cutoff"
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the store has been created (an unreadable one raises where it is read)."""
+    fs, p = _fs(spark, path)
+    return fs.exists(p) and any(not st.getPath().getName().startswith(("_", ".")) for st in fs.listStatus(p))
+
+
+def read_cutoff(spark: SparkSession, path: str) -> dt.datetime | None:
+    """The instant before which retention has deleted calls, if it ever did."""
+    fs, p = _fs(spark, f"{path.rstrip('/')}/{_CUTOFF}")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return parse_since(stream.readUTF())
+    finally:
+        stream.close()
+
+
 def load_calls(spark: SparkSession, path: str, fmt: str = "parquet", with_partition: bool = False) -> DataFrame:
     """A1: all calls with the fixed 22-column schema; absent columns read as typed NULLs.
 
+    The schema is given, so no file footers are merged. A missing path is an
+    error. Calls older than the store's retention cut-off are left out.
     ``with_partition`` keeps the ``call_date`` partition column, which lets
     time filters (``CallFilter``, ``with_time_window``) prune day directories.
     """
-    if fmt == "parquet":
-        try:
-            df = spark.read.option("mergeSchema", "true").parquet(path)
-        except AnalysisException:
-            return spark.createDataFrame([], CALLS)
-    else:
-        df = spark.read.schema(CALLS).format(fmt).load(path)
-    cols = []
-    for f in CALLS.fields:
-        if f.name in df.columns:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
-        else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    if with_partition and "call_date" in df.columns:
-        cols.append(F.col("call_date"))
-    return df.select(*cols)
+    if fmt != "parquet":
+        return spark.read.schema(CALLS).format(fmt).load(path)
+    df = spark.read.schema(_STORE).parquet(path)
+    cutoff = read_cutoff(spark, path)
+    if cutoff is not None:
+        df = with_time_window(df, since=cutoff)
+    return df if with_partition else df.drop("call_date")
 
 
 def dedupe_batch(batch: DataFrame) -> DataFrame:
     """One row per id inside a batch: the earliest call_ts, then the smallest row content.
 
-    An aggregate (``min`` over the whole row as a struct) rather than a window,
-    so repeated copies of one id are reduced map-side before the shuffle even
-    when a single id accounts for a large share of the batch.
+    Ids are counted first, so only the rows of repeated ids are reduced by
+    an aggregate (``min`` over the row as a struct, map-side first: copies of
+    one id are no hot group); all other rows pass as they are.
     """
+    repeated = batch.groupBy("id").count().where("count > 1").select("id")
     others = [c for c in CALL_COLUMNS if c not in ("id", "call_ts")]
     row = F.struct(F.col("call_ts").alias("call_ts"), *[F.col(c).alias(c) for c in others])
-    return batch.groupBy("id").agg(F.min(row).alias("_r")).select("id", "_r.*").select(*CALL_COLUMNS)
+    again = batch.join(repeated, "id", "left_semi").groupBy("id").agg(F.min(row).alias("_r")).select("id", "_r.*")
+    once = batch.where("id is not null").join(repeated, "id", "left_anti")
+    nameless = batch.where("id is null").groupBy("id").agg(F.min(row).alias("_r")).select("id", "_r.*")
+    return once.select(*CALL_COLUMNS).unionByName(again.select(*CALL_COLUMNS)).unionByName(nameless.select(*CALL_COLUMNS))
 
 
 def append_calls(batch: DataFrame, path: str) -> int:
-    """A2: insert calls; an id already stored (or repeated in the batch) is not inserted again.
-
-    The anti-join against the store is keyed on (call_date, id): ids are
-    minted per captured call, so a re-delivered record carries the same
-    start time. The store side is pruned statically to the batch's days
-    (the distinct dates of a batch are a handful of values), so an append
-    reads the ids of those day partitions only, never the whole store.
-    The new rows are persisted once, counted and written (the store itself
-    is never counted). Returns the number of rows written.
+    """A2: insert calls; an id already stored, on whatever day, or repeated in the batch is not inserted again.
+
+    An anti-join on the id alone against the store's ids (only that column of
+    the files is read). The new rows are persisted once, counted and written;
+    returns their number. A batch that is replayed adds nothing.
     """
     spark = batch.sparkSession
     new = dedupe_batch(batch.select(*CALL_COLUMNS)).withColumn("call_date", F.to_date("call_ts"))
-    days = [r[0] for r in new.select("call_date").distinct().collect()]
-    if _exists(spark, path) and days:
-        have = (spark.read.parquet(path).where(F.col("call_date").isin(days))
-                .select("call_date", "id"))
-        new = new.join(have, ["call_date", "id"], "left_anti")
+    if _exists(spark, path):
+        new = new.join(spark.read.schema(_STORE).parquet(path).select("id"), "id", "left_anti")
     new = new.select(*CALL_COLUMNS, "call_date").persist()
     try:
         n = new.count()
@@ -80,58 +99,42 @@ def append_calls(batch: DataFrame, path: str) -> int:
     return n
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018 - resolves the file listing only
-        return True
-    except AnalysisException:
-        return False
-
-
-def _count(spark: SparkSession, path: str) -> int:
-    try:
-        return spark.read.parquet(path).count()
-    except AnalysisException:
-        return 0
-
-
 def prune_older_than(spark: SparkSession, path: str, days: int, as_of=None) -> int:
     """Delete calls older than ``days`` days before ``as_of``; returns rows deleted.
 
-    0 keeps everything. Only day partitions up to the cut-off day are read.
-    The boundary day's surviving rows (at or after the exact cut-off instant)
-    are staged next to the store; then every day directory up to the cut-off
-    day is deleted and the staged rows are appended back.
+    0 keeps everything. The cut-off is written first (to a new file that
+    replaces the old one), and from then on ``load_calls`` leaves older calls
+    out; then the directories of whole days before it are deleted. No file is
+    rewritten, so a crash loses nothing, a concurrent append stays, and
+    streams over the store see no row again. Rows of the cut-off's own
+    day go with their directory a day later.
     """
     if int(days) <= 0:
         return 0
-    now = parse_since(as_of) if as_of is not None else dt.datetime.utcnow()
+    now = parse_since(as_of) if as_of is not None else utc_now()
     cutoff = now - dt.timedelta(days=int(days))
-    df = spark.read.parquet(path)
+    before = read_cutoff(spark, path)
+    if before is not None and before >= cutoff:
+        return 0
     # partition filter first: only day directories up to the cut-off day are read
-    old = df.where((F.col("call_date") <= F.lit(cutoff.date()))
-                   & (F.col("call_ts") < F.lit(cutoff).cast("timestamp")))
+    old = load_calls(spark, path, with_partition=True).where(
+        (F.col("call_date") <= F.lit(cutoff.date())) & (F.col("call_ts") < ts_literal(cutoff)))
     n = old.count()
-    if n == 0:
-        return 0
-    keep_boundary = df.where((F.col("call_date") == F.lit(cutoff.date()))
-                             & (F.col("call_ts") >= F.lit(cutoff).cast("timestamp")))
-    staged = f"{path.rstrip('/')}_prune_{int(now.timestamp())}"
-    keep_boundary.write.mode("overwrite").parquet(staged)
+    fs, p = _fs(spark, path)
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
+    target, fresh = (jvm.org.apache.hadoop.fs.Path(p, name) for name in (_CUTOFF, f"{_CUTOFF}.{uuid.uuid4().hex[:8]}"))
+    stream = fs.create(fresh, True)
+    stream.writeUTF(cutoff.isoformat())
+    stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fresh, target, overwrite)
     for st in fs.listStatus(p):
         name = st.getPath().getName()
-        if name.startswith("call_date="):
-            day = dt.date.fromisoformat(name.split("=", 1)[1])
-            if day <= cutoff.date():
+        if name.startswith("call_date=") and name != "call_date=__HIVE_DEFAULT_PARTITION__":
+            if dt.date.fromisoformat(name.split("=", 1)[1]) < cutoff.date():
                 fs.delete(st.getPath(), True)
-    kept = spark.read.parquet(staged)
-    if kept.head(1):
-        kept.withColumn("call_date", F.to_date("call_ts")).write.mode("append").partitionBy("call_date").parquet(path)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
     return n
 
 

@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
-from callscope.functions.predicates import CallFilter, status_class
+from callscope.functions.predicates import CallFilter, parse_since, status_class, ts_literal, utc_now
 from callscope.operators.enrich import EnrichOptions, enrich_calls
 from callscope.operators.metrics import period_start
 from callscope.schema import CALLS, EXCHANGES
 from callscope.sources import exports as ex
-from callscope.sources.store import append_calls
+from callscope.sources.store import _exists, append_calls
 
 STORE_SCHEMA = T.StructType(CALLS.fields + [T.StructField("call_date", T.DateType())])
 # Budget alert throttle and tail poll settings.
@@ -88,9 +87,18 @@ def stream_metrics(stream: DataFrame, out: str, checkpoint: str, available_now:
                   available_now, poll)
 
 
-def stream_dedup(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Drop repeated ids; state is bounded by the event-time watermark."""
-    return stream.withWatermark("call_ts", watermark).dropDuplicatesWithinWatermark(["id"])
+def stream_dedup(stream: DataFrame, out: str, checkpoint: str, available_now: bool = False,
+                 poll: str = DEFAULT_POLL) -> StreamingQuery:
+    """Every id once, however late or out of order its copies arrive.
+
+    Each micro-batch is appended through the store's anti-join on the id
+    (``append_calls``), so there is no state to expire, no late call is
+    dropped, and a replayed batch adds nothing.
+    """
+    def sink(batch: DataFrame, epoch: int) -> None:
+        append_calls(batch, out)
+
+    return _start(stream.writeStream.foreachBatch(sink), checkpoint, available_now, poll)
 
 
 def stream_enrich(ex_stream: DataFrame, opts: EnrichOptions | None = None) -> DataFrame:
@@ -122,11 +130,9 @@ def run_ingest(ex_stream: DataFrame, store_path: str, checkpoint: str, opts: Enr
 
 
 def _last_alert(path: str, spark: SparkSession):
-    try:
-        r = spark.read.parquet(path).agg(F.max("alerted_at").alias("t")).first()
-        return r["t"]
-    except AnalysisException:
+    if not _exists(spark, path):
         return None
+    return spark.read.parquet(path).agg(F.max("alerted_at").alias("t")).first()["t"]
 
 
 def budget_monitor(stream: DataFrame, limit_usd: float, period: str, alerts_path: str, checkpoint: str,
@@ -144,16 +150,16 @@ def budget_monitor(stream: DataFrame, limit_usd: float, period: str, alerts_path
     spark = stream.sparkSession
 
     def check(batch: DataFrame, epoch: int) -> None:
-        now = as_of if as_of is not None else dt.datetime.utcnow()
+        now = parse_since(as_of) if as_of is not None else utc_now()
         start = period_start(period, now)
         # the aggregate holds one row per period key; reading it whole also lets every
         # state partition of the micro-batch commit
-        rows = batch.where(F.col("period_start") == F.lit(start).cast("timestamp")).collect()
+        rows = batch.where(F.col("period_start") == ts_literal(start)).collect()
         spent = float(rows[0]["spent_usd"]) if rows else 0.0
         if spent < limit_usd:
             return
         last = _last_alert(alerts_path, spark)
-        now_ts = now if isinstance(now, dt.datetime) else dt.datetime.fromisoformat(str(now))
+        now_ts = now
         if last is not None and now_ts - last < ALERT_EVERY:
             return
         alert = spark.createDataFrame(
@@ -169,7 +175,7 @@ def budget_monitor(stream: DataFrame, limit_usd: float, period: str, alerts_path
 def watch_budget(stream: DataFrame, limit_usd: float, period: str, as_of=None) -> DataFrame:
     """I8: running spend of the current budget period with the budget line (integer percent, warn >= 80 %)."""
     start = period_start(period, as_of)
-    cur = stream.where(F.col("call_ts") >= F.lit(start).cast("timestamp"))
+    cur = stream.where(F.col("call_ts") >= ts_literal(start))
     spent = cur.agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("spent_usd"), F.count(F.lit(1)).alias("calls"))
     pct = F.when(F.lit(float(limit_usd)) > 0, F.floor(F.col("spent_usd") / F.lit(float(limit_usd)) * 100.0)) \
         .otherwise(F.lit(0)).cast("long")

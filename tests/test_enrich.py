@@ -97,6 +97,20 @@ def test_embeddings_usage(spark):
     assert (u.input_tokens, u.output_tokens) == (50, 0)
 
 
+def test_redaction_never_fails_open(spark):
+    bodies = ['{"a":1,"a":2,"messages":["secret"]}', '{"messages":["secret"],"messages":["secret2"]}', '{"messages":["secret"', ' [ {"messages": 1} , 2 ] ', '"text"', "12", "null",
+              '{"\\u006dessages":["secret"]}', '{"other":1', None, ""]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string")
+    for allow in ("true", "false"):
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", allow)
+        out = {r.i: r.r for r in df.select("i", J.redact(F.col("b"), ["messages"]).alias("r")).collect()}
+        assert not any("secret" in (v or "") for v in out.values())
+        assert out[3] == '[{"messages":1},2]' and out[4] == '"text"' and out[5] == "12" and out[6] == "null"
+        assert out[8] == '{"other":1' and out[9] is None and out[10] == ""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    assert df.where("i = 0").select(J.redact(F.col("b"), ["messages"]).alias("r")).first().r == '{"a":2,"messages":"[REDACTED]"}'
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([('{"model":"m","messages":[1]}',), ("not json",)], "b string")
     out = [r.r for r in df.select(J.redact(F.col("b"), ["messages"]).alias("r")).collect()]
@@ -191,9 +205,11 @@ def test_e2e_non_llm_dropped_and_limits(spark):
     lim = en.Limits(max_stored_response=10)
     r = en.enrich_calls(_ex(spark, response_body='{"usage":{"prompt_tokens":1}}'),
                         en.EnrichOptions(limits=lim)).first()
-    assert r.response_body.startswith("(response body ") and r.input_tokens is None
+    assert r.response_body.startswith("[body of ") and r.input_tokens == 1
     big = [(10, 'data: {"usage":{"prompt_tokens":4}}\n\n'), (20, "data: " + "x" * 100 + "\n\n")]
     r = en.enrich_calls(_ex(spark, request_body='{"model":"gpt-4o","stream":true}', chunks=big,
                             response_headers={"content-type": "text/event-stream"}),
                         en.EnrichOptions(limits=en.Limits(max_accumulation=60))).first()
-    assert r.response_body.startswith("(too large to store") and r.input_tokens == 4
+    assert r.response_body.startswith("[stream left out") and r.input_tokens == 4
+    whole = en.enrich_calls(_ex(spark, response_body=json.dumps({"usage": {"prompt_tokens": 2}, "pad": "x" * 11_000_000}))).first()
+    assert len(whole.response_body) > 11_000_000 and whole.input_tokens == 2  # no limit unless a caller sets one

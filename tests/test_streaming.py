@@ -46,12 +46,10 @@ def test_stream_enrich_equals_batch(spark):
 def test_stream_dedup(spark):
     path = scratch_dir(spark, "t-dup")
     c = calls_view(spark, SF).withColumn("call_date", F.to_date("call_ts"))
-    c.write.mode("append").partitionBy("call_date").parquet(path)
-    c.write.mode("append").partitionBy("call_date").parquet(path)
+    c.repartition(5, F.xxhash64("id")).write.mode("append").parquet(path)
+    c.repartition(5, F.xxhash64(F.lit(1), "id")).write.mode("append").parquet(path)
     out, ck = scratch_dir(spark, "t-dd"), scratch_dir(spark, "t-ddck")
-    s = lv.stream_dedup(lv.calls_stream(spark, path, 4), "2 days")
-    s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck) \
-        .trigger(availableNow=True).start().awaitTermination()
+    lv.stream_dedup(lv.calls_stream(spark, path, 4), out, ck, available_now=True).awaitTermination()
     got = spark.read.parquet(out)
     assert got.count() == got.select("id").distinct().count() == c.count()
 
