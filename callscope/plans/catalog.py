@@ -91,6 +91,7 @@ def _load() -> None:
         q_filters,
         q_joins,
         q_metrics,
+        q_readback,
         q_search,
         q_store,
         q_streaming,

@@ -117,8 +117,8 @@ sse1 AS (
       list_concat(
         ['event: message_start' || chr(10) || {_data("json_object('type', 'message_start', 'message', json_object('usage', json_object('input_tokens', n_in, 'output_tokens', 1, 'cache_read_input_tokens', cached, 'cache_creation_input_tokens', cache_write)))")}],
         CASE WHEN tools THEN [
-          {_data("json_object('type', 'content_block_start', 'index', 0, 'content_block', json_object('type', 'tool_use', 'name', 'get_weather'))")},
-          {_data("json_object('type', 'content_block_delta', 'delta', json_object('type', 'input_json_delta', 'partial_json', '{\"city\":'))")},
+          {_data("json_object('type', 'content_block_start', 'index', 0, 'content_block', json_object('type', 'tool_use', 'name', 'find_tide'))")},
+          {_data("json_object('type', 'content_block_delta', 'delta', json_object('type', 'input_json_delta', 'partial_json', '{\"harbour\":'))")},
           {_data("json_object('type', 'content_block_delta', 'delta', json_object('type', 'input_json_delta', 'partial_json', ' \"C' || CAST(conv_id AS VARCHAR) || '\"}'))")}]
         ELSE list_transform(pieces, lambda p: {_data("json_object('type', 'content_block_delta', 'delta', json_object('type', 'text_delta', 'text', p))")}) END,
         [{_data("json_object('type', 'message_delta', 'usage', json_object('output_tokens', n_out))")},
@@ -126,8 +126,8 @@ sse1 AS (
     ELSE
       list_concat(
         CASE WHEN tools THEN [
-          {_data("json_object('choices', json_array(json_object('index', 0, 'delta', json_object('tool_calls', json_array(json_object('index', 0, 'function', json_object('name', 'get_weather', 'arguments', '')))))))")},
-          {_data("json_object('choices', json_array(json_object('index', 0, 'delta', json_object('tool_calls', json_array(json_object('index', 0, 'function', json_object('arguments', '{\"city\":')))))))")},
+          {_data("json_object('choices', json_array(json_object('index', 0, 'delta', json_object('tool_calls', json_array(json_object('index', 0, 'function', json_object('name', 'find_tide', 'arguments', '')))))))")},
+          {_data("json_object('choices', json_array(json_object('index', 0, 'delta', json_object('tool_calls', json_array(json_object('index', 0, 'function', json_object('arguments', '{\"harbour\":')))))))")},
           {_data("json_object('choices', json_array(json_object('index', 0, 'delta', json_object('tool_calls', json_array(json_object('index', 0, 'function', json_object('arguments', ' \"C' || CAST(conv_id AS VARCHAR) || '\"}')))))))")}]
         ELSE list_transform(pieces, lambda p: {_data("json_object('choices', json_array(json_object('index', 0, 'delta', json_object('content', p))))")}) END,
         [{_data("json_object('choices', json_array(), 'usage', json_object('prompt_tokens', n_in, 'completion_tokens', n_out, 'prompt_tokens_details', json_object('cached_tokens', cached)))")},

@@ -6,7 +6,7 @@ from callscope.operators.checks import budget_gate, rule_check
 from callscope.plans.catalog import calls, register
 
 RULES = ["latency_p99 < 60000", "error_rate < 0.05", "error_count >= 1", "avg_cost_usd <= 0.001",
-         "total_calls == 10000", "unknown_metric < 100", "malformed", "error_rate ~ 0.1",
+         "total_calls == 10000", "median_cost < 3", "no rule at all here?", "error_rate ~ 0.1",
          "latency_p99 < abc", "  total_calls > 5  "]
 
 _STATS = """SELECT count(*)::DOUBLE AS total_calls,

@@ -114,8 +114,8 @@ def exchanges_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).alias("index"), F.struct(p.alias("content")).alias("delta"))).alias("choices")))))
     oai_tool_ev = F.array(
         data(F.lit('{"choices":[{"index":0,"delta":{"tool_calls":[{"index":0,"function":'
-                   '{"name":"get_weather","arguments":""}}]}}]}')),
-        data(F.lit('{"choices":[{"index":0,"delta":{"tool_calls":[{"index":0,"function":{"arguments":"{\\"city\\":"}}]}}]}')),
+                   '{"name":"find_tide","arguments":""}}]}}]}')),
+        data(F.lit('{"choices":[{"index":0,"delta":{"tool_calls":[{"index":0,"function":{"arguments":"{\\"harbour\\":"}}]}}]}')),
         data(F.concat(F.lit('{"choices":[{"index":0,"delta":{"tool_calls":[{"index":0,"function":{"arguments":'
                             '" \\"C'), cid.cast("string"), F.lit('\\"}"}}]}}]}'))))
     oai_tail = F.array(data(F.to_json(F.struct(F.array().cast("array<int>").alias("choices"),
@@ -130,8 +130,8 @@ def exchanges_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("content_block_delta").alias("type"),
         F.struct(F.lit("text_delta").alias("type"), p.alias("text")).alias("delta")))))
     ant_tool_ev = F.array(
-        data(F.lit('{"type":"content_block_start","index":0,"content_block":{"type":"tool_use","name":"get_weather"}}')),
-        data(F.lit('{"type":"content_block_delta","delta":{"type":"input_json_delta","partial_json":"{\\"city\\":"}}')),
+        data(F.lit('{"type":"content_block_start","index":0,"content_block":{"type":"tool_use","name":"find_tide"}}')),
+        data(F.lit('{"type":"content_block_delta","delta":{"type":"input_json_delta","partial_json":"{\\"harbour\\":"}}')),
         data(F.concat(F.lit('{"type":"content_block_delta","delta":{"type":"input_json_delta","partial_json":" \\"C'),
                       cid.cast("string"), F.lit('\\"}"}}'))))
     ant_tail = F.array(

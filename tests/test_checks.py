@@ -8,20 +8,20 @@ def _rules(spark, make_calls, rows, rules):
 
 def test_rule_latency(spark, make_calls):
     rows = [dict(id=f"c{i}", latency_ms=1500) for i in range(10)]
-    out = _rules(spark, make_calls, rows, ["latency_p99 < 2000", "latency_p99 < 1000"])
-    assert out == {"latency_p99 < 2000": "PASS", "latency_p99 < 1000": "FAIL"}
+    out = _rules(spark, make_calls, rows, ["latency_p99 < 1800", "latency_p99 < 1400"])
+    assert out == {"latency_p99 < 1800": "PASS", "latency_p99 < 1400": "FAIL"}
 
 
 def test_rule_error_rate(spark, make_calls):
     rows = [dict(id=f"c{i}", status_code=500 if i < 3 else 200) for i in range(100)]
-    out = _rules(spark, make_calls, rows, ["error_rate < 0.05", "error_rate < 0.01"])
-    assert out == {"error_rate < 0.05": "PASS", "error_rate < 0.01": "FAIL"}
+    out = _rules(spark, make_calls, rows, ["error_rate < 0.04", "error_rate < 0.02"])
+    assert out == {"error_rate < 0.04": "PASS", "error_rate < 0.02": "FAIL"}
 
 
 def test_rule_errors(spark, make_calls):
-    out = rule_check(make_calls([dict()]), ["unknown_metric < 100", "malformed", "total_calls = 1"]).collect()
+    out = rule_check(make_calls([dict()]), ["median_cost < 3", "norule", "total_calls = 1"]).collect()
     st = {r.rule: r.status for r in out}
-    assert st == {"unknown_metric < 100": "ERR", "malformed": "ERR", "total_calls = 1": "PASS"}
+    assert st == {"median_cost < 3": "ERR", "norule": "ERR", "total_calls = 1": "PASS"}
     assert all(r.job_failed for r in out)
 
 
