@@ -36,9 +36,10 @@ def diacritic_fold_table() -> tuple[str, str]:
 
 
 def normalize(text: Column) -> Column:
-    """lower-case, then fold Latin diacritics."""
+    """lower-case, drop combining marks (a decomposed accent splits no word), then fold Latin diacritics."""
     a, b = diacritic_fold_table()
-    return F.translate(F.lower(text), a, b)
+    low = F.lower(text)
+    return F.translate(F.when(low.rlike(r"\p{M}"), F.regexp_replace(low, r"\p{M}+", "")).otherwise(low), a, b)
 
 
 def tokens(text: Column) -> Column:
@@ -49,7 +50,7 @@ def tokens(text: Column) -> Column:
 
 def raw_tokens(text: Column) -> Column:
     """Tokens with original case and accents (same boundaries as ``tokens``)."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), 0), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"), 0), F.array().cast("array<string>"))
 
 
 def py_tokens(text: str) -> list[str]:
@@ -57,5 +58,5 @@ def py_tokens(text: str) -> list[str]:
     import regex
 
     a, b = diacritic_fold_table()
-    t = (text or "").lower().translate(str.maketrans(a, b))
-    return regex.findall(r"[\p{L}\p{N}]+", t)
+    t = regex.sub(r"\p{M}+", "", (text or "").lower()).translate(str.maketrans(a, b))
+    return regex.findall(TOKEN_PATTERN, t)

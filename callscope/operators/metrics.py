@@ -98,7 +98,7 @@ def metric_budget(df: DataFrame, limit_usd: float, period: str = "month", as_of=
 
 
 
-def _measures(df: DataFrame, bounds, budget_start) -> DataFrame:
+def measures(df: DataFrame, bounds, budget_start=None) -> DataFrame:
     """One aggregate carrying every measure of every metric family.
 
     Keyed by (model, provider, status_class, agent_name): a few hundred rows
@@ -120,6 +120,24 @@ def _measures(df: DataFrame, bounds, budget_start) -> DataFrame:
     return df.groupBy("model", "provider", status_class().alias("status_class"), "agent_name").agg(*aggs)
 
 
+def families(m: DataFrame, bounds) -> dict[str, DataFrame]:
+    """The six metric families (as D24-D29 give them) from the rows of ``measures``."""
+    def hist(kind: str) -> DataFrame:
+        per = m.groupBy("model").agg(*[F.sum(f"{kind}_b{i}").alias(f"b{i}") for i in range(len(bounds))],
+                                     F.sum(f"{kind}_sum").alias("sum"), F.sum(f"{kind}_n").alias("count")).where("count > 0")
+        pairs = ", ".join([f"'{b}', b{i}" for i, b in enumerate(bounds)] + ["'+Inf', count"])
+        return per.select("model", F.expr(f"stack({len(bounds) + 1}, {pairs}) AS (le, n)"), "sum", "count")
+
+    tokens = m.groupBy("model", "provider").agg(F.sum("tok_in").alias("input"), F.sum("tok_out").alias("output"))
+    return {
+        "calls": m.groupBy("model", "provider", "status_class").agg(F.sum("n").alias("n")),
+        "tokens": tokens.select("model", "provider", F.expr("stack(2, 'input', input, 'output', output) AS (type, n)")).where("n is not null"),
+        "cost": m.where("usd is not null").groupBy("model", "provider").agg(F.sum("usd").alias("usd")),
+        "latency": hist("lat"), "ttft": hist("ttft"),
+        "agents": m.where("agent_name is not null").groupBy("agent_name").agg(F.sum("n").alias("n")),
+    }
+
+
 def metrics_exposition(df: DataFrame, bounds=DEFAULT_BOUNDS_MS, prefix: str = DEFAULT_PREFIX,
                        budget: tuple[float, str, object] | None = None) -> DataFrame:
     """The text exposition as rows ``(family, seq, k, line)``.
@@ -137,7 +155,7 @@ def metrics_exposition(df: DataFrame, bounds=DEFAULT_BOUNDS_MS, prefix: str = DE
     from callscope.session import checkpoint_root
 
     checkpoint_root(spark)
-    m = _measures(df, bounds, start).checkpoint(eager=True)
+    m = measures(df, bounds, start).checkpoint(eager=True)
     parts = []
 
     def header(fam: int, name: str, help_: str, typ: str):

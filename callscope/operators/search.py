@@ -67,23 +67,26 @@ def write_index(df: DataFrame, path: str, id_col: str = "id", columns=INDEXED_CA
                 buckets: int = DEFAULT_BUCKETS) -> tuple[str, str]:
     """Build and persist the index (bucketed by token) and the length table.
 
+    One narrow pass makes the token arrays; every posting carries its row's
+    token count (``doc_len``), so ranking needs no join with the length
+    table. That table has every row, also those without tokens.
     Returns (index_path, lengths_path).
     """
-    idx = token_index(df, id_col, columns).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
+    per_col = F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("toks")) for c in columns])
+    length = F.aggregate("x", F.lit(0).cast("long"), lambda n, x: n + F.size(x["toks"]))
+    rows = df.select(F.col(id_col).alias("id"), per_col.alias("x")).withColumn("doc_len", length)
+    idx = (rows.select("id", "doc_len", F.explode("x").alias("x"))
+           .select("id", "doc_len", F.col("x.col").alias("col"), F.posexplode("x.toks").alias("pos", "token"))
+           .withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))))
     ipath, lpath = f"{path}/tokens", f"{path}/lengths"
     # rebalance (not a plain repartition): AQE splits a bucket that holds a very
     # frequent token over several tasks/files instead of one oversized task
     (idx.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "id", "col", "pos")
      .write.mode("overwrite").partitionBy("bucket").parquet(ipath))
-    # lengths come from the written index (no second tokenisation); rows without
-    # tokens can never match, they only count towards the corpus size
+    doc_lengths(df, id_col, columns).write.mode("overwrite").parquet(lpath)
     spark = df.sparkSession
-    (spark.read.parquet(ipath).groupBy("id").agg(F.count(F.lit(1)).alias("doc_len"))
-     .write.mode("overwrite").parquet(lpath))
-    n_rows = df.count()
-    total = spark.read.parquet(lpath).agg(F.sum("doc_len")).first()[0] or 0
-    spark.createDataFrame([(int(n_rows), float(total), int(buckets))],
-                          "n_rows long, total_tokens double, buckets int") \
+    n_rows, total = corpus_stats(spark.read.parquet(lpath))
+    spark.createDataFrame([(n_rows, total, int(buckets))], "n_rows long, total_tokens double, buckets int") \
         .write.mode("overwrite").parquet(f"{path}/stats")
     return ipath, lpath
 
@@ -98,10 +101,14 @@ def read_stats(spark: SparkSession, ipath: str) -> tuple[int, float, int]:
     return int(r["n_rows"] or 0), float(r["total_tokens"] or 0.0), int(r["buckets"])
 
 
-def index_backfill(df: DataFrame, index: DataFrame, id_col: str = "id",
+def index_backfill(df: DataFrame, indexed: DataFrame, id_col: str = "id",
                    columns=INDEXED_CALL_COLUMNS) -> DataFrame:
-    """C14: index rows only for records whose id is not yet in the index (anti-join)."""
-    have = index.select(F.col("id").alias(id_col)).distinct()
+    """C14: index rows only for records whose id is not yet indexed (anti-join).
+
+    ``indexed`` is the length table: one row a record, also for records
+    without tokens, so those are not read again at each run.
+    """
+    have = indexed.select(F.col("id").alias(id_col))
     todo = df.join(have, id_col, "left_anti")
     return token_index(todo, id_col, columns)
 
@@ -146,17 +153,19 @@ def phrase_hits(index: DataFrame, phrases: list[list[str]], buckets: int | None
     terms = sorted({t for p in phrases for t in p})
     q = _query_table(spark, phrases)
     cand = _restrict_buckets(index, terms, buckets).where(F.col("token").isin(terms))
+    length = ["doc_len"] if "doc_len" in index.columns else []
     return (cand.join(F.broadcast(q), "token")
             .withColumn("start", F.col("pos") - F.col("term_no"))
             .groupBy("id", "col", "phrase", "start")
-            .agg(F.count(F.lit(1)).alias("m"), F.first("plen").alias("plen"))
+            .agg(F.count(F.lit(1)).alias("m"), F.first("plen").alias("plen"), *[F.first(c).alias(c) for c in length])
             .where(F.col("m") == F.col("plen"))
-            .select("id", "col", "phrase", "start"))
+            .select("id", "col", "phrase", "start", *length))
 
 
 def phrase_match(index: DataFrame, phrases: list[list[str]], buckets: int | None = None) -> DataFrame:
-    """Per row and phrase, the number of occurrences ``tf``."""
-    return phrase_hits(index, phrases, buckets).groupBy("id", "phrase").agg(F.count(F.lit(1)).alias("tf"))
+    """Per row and phrase, the number of occurrences ``tf`` (and ``doc_len`` where the index has it)."""
+    length = [F.first("doc_len").alias("doc_len")] if "doc_len" in index.columns else []
+    return phrase_hits(index, phrases, buckets).groupBy("id", "phrase").agg(F.count(F.lit(1)).alias("tf"), *length)
 
 
 def bm25_scores(index: DataFrame, lengths: DataFrame, query: str,
@@ -183,7 +192,9 @@ def bm25_scores(index: DataFrame, lengths: DataFrame, query: str,
     dl = F.col("doc_len").cast("double")
     norm = F.lit(1.0) - b + b * dl / F.lit(avgdl if avgdl else 1.0)
     term = F.col("_idf") * (f * (k1 + F.lit(1.0))) / (f + k1 * norm)
-    scored = (tf.join(F.broadcast(idf), "phrase").join(lengths, "id")
+    # the postings of a written index carry the length; others are joined with the length table
+    sized = tf if "doc_len" in tf.columns else tf.join(lengths, "id")
+    scored = (sized.join(F.broadcast(idf), "phrase")
               .groupBy("id").agg(F.count(F.lit(1)).alias("_np"), (-F.sum(term)).alias("rank")))
     return scored.where(F.col("_np") == len(phrases)).select("id", "rank")
 
@@ -201,8 +212,7 @@ def search(records: DataFrame, index: DataFrame, lengths: DataFrame, query: str,
             .orderBy("rank", id_col))
 
 
-def with_snippet(hits: DataFrame, index: DataFrame, query: str, text_col: str,
-                 id_col: str = "id", col_name: str | None = None) -> DataFrame:
+def with_snippet(hits: DataFrame, query: str, text_col: str) -> DataFrame:
     """A <= 12-token excerpt of ``text_col`` around the first hit of the first phrase.
 
     Window choice is approximate (starts 3 tokens before the hit); tokens
@@ -210,15 +220,14 @@ def with_snippet(hits: DataFrame, index: DataFrame, query: str, text_col: str,
     cut-offs. Runs only on the result rows.
     """
     phrases = parse_query(query)
-    col_name = col_name or text_col
-    ids = hits.select(F.col(id_col).alias("id"))
-    first = (phrase_hits(index.join(F.broadcast(ids), "id"), phrases)
-             .where((F.col("phrase") == 0) & (F.col("col") == col_name))
-             .groupBy("id").agg(F.min("start").alias("_hit")))
+    first = phrases[0] if phrases else []
+    # the first phrase's first place is read off the hit's own text: the index is not scanned again
+    own, n = tokens(F.col(text_col)), len(first)
+    found = F.filter(F.sequence(F.lit(0), F.size(own)), lambda i: F.slice(own, i + 1, n) == F.array(*map(F.lit, first))) if first else F.array().cast("array<int>")
+    hits = hits.withColumn("_hit", F.try_element_at(found, F.lit(1)))
     toks = raw_tokens(F.col(text_col))
     start = F.greatest(F.coalesce(F.col("_hit"), F.lit(0)) - F.lit(3), F.lit(0))
     piece = F.array_join(F.slice(toks, start + 1, SNIPPET_TOKENS), " ")
     snip = F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), piece,
                     F.when(start + SNIPPET_TOKENS < F.size(toks), F.lit("...")).otherwise(F.lit("")))
-    return (hits.join(F.broadcast(first.withColumnRenamed("id", id_col)), id_col, "left")
-            .withColumn("snippet", snip).drop("_hit"))
+    return hits.withColumn("snippet", snip).drop("_hit")

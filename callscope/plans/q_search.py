@@ -144,14 +144,14 @@ def q_snippet(spark, sf):
     d = _docs(spark, sf)
     idx, lens = _doc_index(spark, sf)
     hits = se.search(d, idx, lens, DOC_QUERY, 20, "doc_id")
-    return se.with_snippet(hits, idx, DOC_QUERY, "text", "doc_id").select("doc_id", "rank", "snippet")
+    return se.with_snippet(hits, DOC_QUERY, "text").select("doc_id", "rank", "snippet")
 
 
 @register("index_backfill", _index_sql("documents", "doc_id", DOC_COLS, "WHERE lang <> 'en'"), calls_cte=False)
 def q_index_backfill(spark, sf):
     """C14: index only documents not yet in an index that already holds the English documents."""
     d = _docs(spark, sf)
-    existing = se.token_index(d.where(F.col("lang") == "en"), "doc_id", DOC_COLS)
+    existing = se.doc_lengths(d.where(F.col("lang") == "en"), "doc_id", DOC_COLS)
     return se.index_backfill(d, existing, "doc_id", DOC_COLS)
 
 

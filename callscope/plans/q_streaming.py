@@ -16,6 +16,7 @@ from callscope.schema import CALL_COLUMNS
 
 _NO_BODY = ", ".join(c for c in CALL_COLUMNS if c not in ("request_body", "response_body"))
 from callscope.plans.q_enrich import _ex
+from callscope.plans.q_metrics import _hist_sql
 from callscope.session import scratch_dir
 from callscope.sources.store import append_calls, load_calls
 from callscope.streaming import live as lv
@@ -130,3 +131,41 @@ def q_watch_budget(spark, sf):
         .trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+@register("stream_metric_families", f"""SELECT 'latency' AS family, model AS a, le AS b, n, sum, count FROM ({_hist_sql("latency_ms")})
+  UNION ALL SELECT 'ttft', model, le, n, sum, count FROM ({_hist_sql("ttft_ms")})
+  UNION ALL SELECT 'agents', agent_name, NULL, count(*), NULL, NULL FROM calls WHERE agent_name IS NOT NULL GROUP BY agent_name
+  UNION ALL SELECT 'calls', model, provider, count(*), NULL, NULL FROM calls GROUP BY model, provider
+  UNION ALL SELECT 'tokens', model, 'input', CAST(sum(input_tokens) AS BIGINT), NULL, NULL FROM calls WHERE input_tokens > 0 GROUP BY model
+  UNION ALL SELECT 'tokens', model, 'output', CAST(sum(output_tokens) AS BIGINT), NULL, NULL FROM calls WHERE output_tokens > 0 GROUP BY model
+  UNION ALL SELECT 'cost', model, NULL, CAST(round(sum(cost_usd) * 1e4) AS BIGINT), NULL, NULL FROM calls WHERE cost_usd > 0 GROUP BY model""")
+def q_stream_metric_families(spark, sf):
+    """All six metric families kept incrementally over arriving calls."""
+    out, ck = _dirs(spark, "families")
+    lv.stream_metric_families(_stream(spark, sf), out, ck, available_now=True).awaitTermination()
+    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    none = F.lit(None).cast("long")
+    hist = [read(k).select(F.lit(k).alias("family"), F.col("model").alias("a"), F.col("le").alias("b"), "n", "sum", "count") for k in ("latency", "ttft")]
+    rest = [read("agents").select(F.lit("agents"), "agent_name", F.lit(None).cast("string"), "n", none, none),
+            read("calls").groupBy("model", "provider").agg(F.sum("n").alias("n")).select(F.lit("calls"), "model", "provider", "n", none, none),
+            read("tokens").groupBy("model", "type").agg(F.sum("n").alias("n")).select(F.lit("tokens"), "model", "type", "n", none, none),
+            read("cost").groupBy("model").agg(F.round(F.sum("usd") * 1e4).cast("long").alias("n")).select(F.lit("cost"), "model", F.lit(None).cast("string"), "n", none, none)]
+    df = hist[0].union(hist[1])
+    for r in rest:
+        df = df.union(r)
+    return df
+
+
+@register("watch_budget_periods", """SELECT CAST(date_trunc('week', call_ts) AS TIMESTAMP) AS period_start, count(*) AS calls, round(coalesce(sum(cost_usd), 0.0), 9) AS spent_usd,
+  2.0::DOUBLE AS limit_usd, CAST(floor(coalesce(sum(cost_usd), 0.0) / 2.0 * 100.0) AS BIGINT) AS pct,
+  floor(coalesce(sum(cost_usd), 0.0) / 2.0 * 100.0) >= 80 AS warn FROM calls GROUP BY 1""")
+def q_watch_budget_periods(spark, sf):
+    """I8: a budget line for every week that the arriving calls reach."""
+    out, ck = _dirs(spark, "periods")
+    lines = lv.watch_budget_periods(_stream(spark, sf), 2.0, "week")
+
+    def snap(batch, epoch):
+        batch.write.mode("overwrite").parquet(out)
+    lines.writeStream.outputMode("complete").foreachBatch(snap).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)

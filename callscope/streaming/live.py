@@ -18,7 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from callscope.functions.predicates import CallFilter, parse_since, status_class, ts_literal, utc_now
 from callscope.operators.enrich import EnrichOptions, enrich_calls
-from callscope.operators.metrics import period_start
+from callscope.operators import metrics as mt
+from callscope.operators.metrics import DEFAULT_BOUNDS_MS, period_start
 from callscope.schema import CALLS, EXCHANGES
 from callscope.sources import exports as ex
 from callscope.sources.store import _exists, append_calls
@@ -87,6 +88,40 @@ def stream_metrics(stream: DataFrame, out: str, checkpoint: str, available_now:
                   available_now, poll)
 
 
+def stream_metric_families(stream: DataFrame, out: str, checkpoint: str, bounds=DEFAULT_BOUNDS_MS,
+                           available_now: bool = False, poll: str = DEFAULT_POLL) -> StreamingQuery:
+    """All six metric families kept incrementally (calls, tokens, cost, latency, time to first token, agents).
+
+    One state row per (model, provider, status class, agent) holds every
+    measure; each micro-batch rewrites one snapshot table per family under
+    ``out``. The state is bounded by the label combinations.
+    """
+    bounds = sorted(int(b) for b in bounds)
+    measures = mt.measures(stream, bounds)
+
+    def snapshot(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        for name, rows in mt.families(batch, bounds).items():
+            rows.write.mode("overwrite").parquet(f"{out}/{name}")
+        batch.unpersist()
+
+    return _start(measures.writeStream.outputMode("complete").foreachBatch(snapshot), checkpoint, available_now, poll)
+
+
+def watch_budget_periods(stream: DataFrame, limit_usd: float, period: str) -> DataFrame:
+    """I8: calls and spend of every budget period, by the calls' own time, with the budget line.
+
+    The period follows the events, so a stream that runs past midnight, Monday
+    or the first of a month goes on in a new row.
+    """
+    unit = {"day": "day", "week": "week"}.get(period, "month")
+    spent = stream.groupBy(F.date_trunc(unit, "call_ts").alias("period_start")).agg(
+        F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("spent_usd"))
+    limit = F.lit(float(limit_usd))
+    pct = F.when(limit > 0, F.floor(F.col("spent_usd") / limit * 100.0)).otherwise(F.lit(0)).cast("long")
+    return spent.select("period_start", "calls", "spent_usd", limit.alias("limit_usd"), pct.alias("pct"), (pct >= 80).alias("warn"))
+
+
 def stream_dedup(stream: DataFrame, out: str, checkpoint: str, available_now: bool = False,
                  poll: str = DEFAULT_POLL) -> StreamingQuery:
     """Every id once, however late or out of order its copies arrive.

@@ -92,3 +92,25 @@ def test_token_bucket_matches_spark(spark):
     df = spark.createDataFrame([(t,) for t in terms], "t string")
     got = {r.t: r.b for r in df.select("t", F.pmod(F.xxhash64("t"), F.lit(16)).alias("b")).collect()}
     assert got == {t: se.token_bucket(t, 16) for t in terms}
+
+
+def test_decomposed_accents_do_not_split_words(spark):
+    df = spark.createDataFrame([(1, "Résumé of Ångström"), (2, "résumé"), (3, "")], "doc_id long, text string")
+    toks = {}
+    for r in se.token_index(df, "doc_id", ["text"]).orderBy("pos").collect():
+        toks.setdefault(r.id, []).append(r.token)
+    assert toks == {1: ["resume", "of", "angstrom"], 2: ["resume"]}
+    assert se.parse_query("résumé") == [["resume"]]
+
+
+def test_written_index_needs_no_length_join(spark):
+    path = scratch_dir(spark, "t-ix2")
+    df = spark.createDataFrame([(i, f"alpha beta {'gamma ' * (i % 5)}") for i in range(40)] + [(99, "")], "doc_id long, text string")
+    ip, lp = se.write_index(df, path, "doc_id", ["text"], buckets=4)
+    idx, lens = se.read_index(spark, ip, lp)
+    assert lens.where("id = 99").first().doc_len == 0 and se.read_stats(spark, ip)[0] == 41
+    plan = se.bm25_scores(idx, lens, "gamma alpha", se.read_stats(spark, ip))._jdf.queryExecution().executedPlan().toString()
+    assert "lengths" not in plan
+    assert se.index_backfill(df, lens, "doc_id", ["text"]).count() == 0
+    hits = se.search(df, idx, lens, "gamma-gamma", 3, "doc_id", se.read_stats(spark, ip))
+    assert all("gamma gamma" in r.snippet for r in se.with_snippet(hits, "gamma-gamma", "text").collect())
