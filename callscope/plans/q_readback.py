@@ -1,4 +1,4 @@
-"""Exports and feeds read back: each line is parsed again and compared with the calls.
+"""Exports and feeds read back: each line is parsed again and compared with the calls.
 
 The input adds bodies to the calls view, so that payload rules (whole
 bodies, JSON null for a missing one, absent agent and workflow) are reached.
@@ -9,11 +9,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callscope.operators import enrich as en
-from callscope.plans.catalog import calls, register
-from callscope.plans.exchange_oracle import with_ex, with_sse
-from callscope.plans.q_enrich import _ex
+from callscope.operators import prompts as pm
+from callscope.plans.catalog import AS_OF, calls, register
+from callscope.plans.exchange_oracle import model_sql, stream_sql, with_ex, with_sse
+from callscope.plans.q_enrich import _HASHED, _ex, enriched, stored_calls
 from callscope.plans.q_streaming import _dirs, _stream
+from callscope.session import scratch_dir
 from callscope.sources import exports as ex
+from callscope.sources.exchanges import load_exchanges
+from callscope.sources.store import load_calls
 from callscope.streaming import live as lv
 
 _TS = "strftime(call_ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
@@ -161,3 +165,66 @@ def q_sse_events_parsed(spark, sf):
 def q_first_token(spark, sf):
     """Offset of the first non-empty chunk of every stream (some begin with an empty one)."""
     return _ex(spark, sf).where(F.col("chunks").isNotNull()).select("exchange_id", en.ttft_from_chunks(F.col("chunks")).alias("first_ms"))
+
+
+@register("exchange_log_fields", with_ex(f"SELECT exchange_id, path, h_span AS span, h_workflow AS workflow, {model_sql()} AS model, failed FROM ex"), calls_cte=False)
+def q_exchange_log_fields(spark, sf):
+    """A3: the exchange log written to shared storage, read back, and some of its fields."""
+    path = scratch_dir(spark, "exchange-fields")
+    _ex(spark, sf).write.mode("overwrite").parquet(path)
+    header = lambda k: F.try_element_at("request_headers", F.lit(k))
+    return load_exchanges(spark, path).select(
+        "exchange_id", "path", header("x-trace-span").alias("span"), header("x-trace-workflow").alias("workflow"),
+        en.request_model(F.col("request_body")).alias("model"), F.col("transport_error").isNotNull().alias("failed"))
+
+
+_KEPT = f"""FROM ex WHERE {model_sql()} <> 'unknown' OR coalesce(octet_length(encode(request_body)), 0) > 0
+     OR (NOT failed AND CASE WHEN h_content_type IS NOT NULL THEN contains(h_content_type, 'text/event-stream') ELSE {stream_sql()} END)"""
+_FIELDS = f"""SELECT exchange_id AS id, {model_sql()} AS model, split_part(path, '?', 1) AS endpoint, h_tag AS tags, h_agent AS agent_name, h_workflow AS workflow_id,
+  h_span AS span_name, CASE WHEN failed THEN 0 WHEN limited THEN 429 ELSE 200 END::INT AS status_code {_KEPT}"""
+_FIELD_NAMES = ["id", "model", "endpoint", "tags", "agent_name", "workflow_id", "span_name", "status_code"]
+
+
+@register("enrich_calls_fields", with_ex(_FIELDS), calls_cte=False)
+def q_enrich_calls_fields(spark, sf):
+    """Which exchanges the whole ingest pipeline keeps, and what it reads from line and headers."""
+    return enriched(spark, sf).select(*_FIELD_NAMES)
+
+
+@register("stream_enrich_fields", with_ex(_FIELDS), calls_cte=False)
+def q_stream_enrich_fields(spark, sf):
+    """The same through the streaming ingest and its store."""
+    src = scratch_dir(spark, "exchange-log")
+    _ex(spark, sf).repartition(8).write.mode("overwrite").parquet(src)
+    store, ck = _dirs(spark, "ingest-fields")
+    lv.run_ingest(lv.exchanges_stream(spark, src, 2), store, ck, available_now=True).awaitTermination()
+    return load_calls(spark, store).select(*_FIELD_NAMES)
+
+
+@register("fanout_lines", with_ex(f"SELECT exchange_id AS id, 'jsonl' AS format {_KEPT} UNION ALL SELECT base64(unhex(substr(sha256('span:' || exchange_id), 1, 16))), 'otlp' {_KEPT}"),
+          calls_cte=False)
+def q_fanout_lines(spark, sf):
+    """Each ingested call once in each export sink (call ids; span ids)."""
+    src = scratch_dir(spark, "exchange-log")
+    _ex(spark, sf).repartition(8).write.mode("overwrite").parquet(src)
+    store, ck = _dirs(spark, "fanout-lines")
+    jl, ot = scratch_dir(spark, "fan-jsonl"), scratch_dir(spark, "fan-otlp")
+    lv.run_ingest(lv.exchanges_stream(spark, src, 2), store, ck, exports={"jsonl": jl, "otlp": ot}, available_now=True).awaitTermination()
+    line = lambda path, at, kind: spark.read.text(path).select(F.get_json_object("value", at).alias("id"), F.lit(kind).alias("format"))
+    return line(jl, "$.id", "jsonl").union(line(ot, "$.resourceSpans[0].scopeSpans[0].spans[0].spanId", "otlp"))
+
+
+@register("prompt_counts", with_ex(f"""SELECT prompt_hash AS hash, count(*) AS call_count, min(call_ts) AS first_seen, max(call_ts) AS last_seen,
+  substr(arg_min(prompt, (call_ts, id)), 1, 80) AS preview FROM ({_HASHED}) WHERE prompt_hash IS NOT NULL GROUP BY prompt_hash"""), calls_cte=False)
+def q_prompt_counts(spark, sf):
+    """Calls, first and last use and preview of every prompt fingerprint."""
+    return pm.prompt_list(stored_calls(spark, sf)).select("hash", "call_count", "first_seen", "last_seen", "preview")
+
+
+@register("budget_alerts", f"""SELECT 'month' AS period, date_trunc('month', TIMESTAMP '{AS_OF}')::TIMESTAMP AS period_start, 1.0::DOUBLE AS limit_usd, 1::BIGINT AS alerts,
+  true AS reached FROM calls WHERE call_ts >= date_trunc('month', TIMESTAMP '{AS_OF}') HAVING sum(cost_usd) >= 1.0""")
+def q_budget_alerts(spark, sf):
+    """I4: one throttled alert once the month's spend has reached the limit, however many micro-batches follow."""
+    out, ck = _dirs(spark, "budget-alerts")
+    lv.budget_monitor(_stream(spark, sf), 1.0, "month", out, ck, as_of=AS_OF, available_now=True).awaitTermination()
+    return spark.read.parquet(out).groupBy("period", "period_start", "limit_usd").agg(F.count(F.lit(1)).alias("alerts"), F.bool_and(F.col("spent_usd") >= F.col("limit_usd")).alias("reached"))
