@@ -178,7 +178,7 @@ def link_prints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
-    """``id_col``, ``fp`` (signed long), ``component_id`` and the row's key ``_k1``, ``_k2``, for each row.
+    """``id_col``, ``fp`` (signed long), ``component_id``, ``root`` (the component's least fingerprint) and the row's key ``_k1``, ``_k2``, for each row.
 
     ``component_id`` is the smallest id among the rows reachable through fingerprints that differ
     in at most ``max_bits`` bits; null if none of them has an id. Null and empty texts have
@@ -190,8 +190,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = spool(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     roots = link_prints(prints, max_bits)
     known = prints.join(roots, prints.fp == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "_k1", "_k2")
+    named = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "root", "_k1", "_k2")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -201,7 +201,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The rows kept are unchanged, with all their columns; of rows equal in every column, one stays.
     """
     found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    # a component is known by its smallest id; without one (all null) by its fingerprint's class, of which rows are then few columns
     rank = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), "_k1", "_k2")
-    best = found.groupBy("component_id").agg(F.min(rank).alias("best")).select("best._k1", "best._k2")
+    best = found.groupBy("root").agg(F.min(rank).alias("best")).select("best._k1", "best._k2")
     return keep_rows(docs, best)

@@ -42,7 +42,7 @@ def test_edge_rows(spark):
     rand = random.Random(2)
     base = [" ".join(rand.choice("abcdefghijklmnop") * 3 for _ in range(60)) for _ in range(12)]
     texts = [None, "", " ", "one", "one", *base, *base[:4], *[b + " tail" for b in base], *[b.replace("aaa", "bbb", 1) for b in base]]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "one"), (3, "one"), (None, base[0]), (None, "alone in its group"), (None, "alone in its group")]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "one"), (3, "one"), (None, base[0]), (None, "alone in its group"), (None, "alone in its group"), (None, "a second group without any id at all")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fp string")
     prints = [plain_print(t) for _, t in rows]
     classes = plain_classes(prints, 2)
@@ -53,6 +53,7 @@ def test_edge_rows(spark):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(least.values(), key=str)
+    assert kept.where("doc_id is null").count() == 2
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
