@@ -46,17 +46,24 @@ class Block:
         self.items = list(windows.values())
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[bytes]:
-    """The benchmark in pickled blocks of at most ``BLOCK_CHARS`` characters (or one item), read block by block."""
+def block_groups(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
+    """The benchmark in groups of at most ``PASS_BLOCKS`` pickled blocks, each of at most ``BLOCK_CHARS`` characters (or one item).
+
+    Items are read partition by partition, so the driver holds one group at a time. At least
+    one group, which is empty for an empty benchmark; with each, whether it is the last.
+    """
     items = benchmark.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).where(F.length(F.col(f"`{text_col}`")) > 0).distinct()
-    out, held, chars = [], [], 0
+    group, held, chars = [], [], 0
     for name, text in items.toLocalIterator():
         if held and chars + len(text) > BLOCK_CHARS:
-            out.append(pickle.dumps(Block(held)))
+            group.append(pickle.dumps(Block(held)))
             held, chars = [], 0
+            if len(group) == PASS_BLOCKS:
+                yield group, False
+                group = []
         held.append((name, text))
         chars += len(text)
-    return out + ([pickle.dumps(Block(held))] if held else [])
+    yield group + ([pickle.dumps(Block(held))] if held else []), True
 
 
 class Shard:
@@ -165,12 +172,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     kind = docs.schema[id_col].dataType.simpleString()
     state = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"),
                         F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    found = blocks(benchmark)
-    groups = [found[a : a + PASS_BLOCKS] for a in range(0, len(found), PASS_BLOCKS)] or [[]]
-    for k, group in enumerate(groups):
-        state = state.mapInArrow(_pass(spark.sparkContext.broadcast(group), k == len(groups) - 1),
+    for group, last in block_groups(benchmark):
+        state = state.mapInArrow(_pass(spark.sparkContext.broadcast(group), last),
                                  f"id {kind}, text string, n_words long, spans {_SPANS}, items array<string>")
-        if k < len(groups) - 1:
+        if not last:
             state = spool(state, "leaks-pass")
     return state.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
@@ -205,14 +210,17 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     """
     spark = docs.sparkSession
     prepare(spark)
-    found, out = blocks(benchmark), docs
-    for a in range(0, len(found), PASS_BLOCKS):
-        out = out.withColumn(text_col, _cut(spark.sparkContext.broadcast(found[a : a + PASS_BLOCKS]))(F.col(f"`{text_col}`")))
-        if a + PASS_BLOCKS < len(found):
+    text = F.col(f"`{text_col}`")
+    out = docs.withColumn("__cut", text.cast("string"))
+    for group, last in block_groups(benchmark):
+        out = out.withColumn("__cut", _cut(spark.sparkContext.broadcast(group))(F.col("__cut")))
+        if not last:
             out = spool(out, "leaks-cut")
-    if found and "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(F.col(f"`{text_col}`")).cast(docs.schema["n_chars"].dataType))
-    return out.select([F.col(f"`{c}`") for c in docs.columns])
+    columns = {c: F.col(f"`{c}`") for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(text.eqNullSafe(F.col("__cut")), F.col("n_chars")).otherwise(F.length("__cut").cast(docs.schema["n_chars"].dataType))
+    columns[text_col] = F.col("__cut")
+    return out.select([v.alias(c) for c, v in columns.items()])
 
 
 def _cut(shared):
