@@ -167,24 +167,24 @@ def metrics_exposition(df: DataFrame, bounds=DEFAULT_BOUNDS_MS, prefix: str = DE
         return F.lit(fam).alias("family"), F.lit(seq).alias("seq"), k.alias("k"), line.alias("line")
 
     calls = m.groupBy("model", "provider", "status_class").agg(F.sum("n").alias("n"))
-    parts += [header(1, "calls_total", "Total LLM calls captured", "counter"), calls.select(*row(
+    parts += [header(1, "calls_total", "Calls in the table, by model, provider and status class", "counter"), calls.select(*row(
         1, 2, F.concat_ws("\u0001", "model", "provider", "status_class"),
         F.format_string(f'{p}_calls_total{{model="%s",provider="%s",status_class="%s"}} %d',
                         "model", "provider", "status_class", "n")))]
     mp = m.groupBy("model", "provider").agg(F.sum("tok_in").alias("tin"), F.sum("tok_out").alias("tout"),
                                             F.sum("usd").alias("usd"))
-    parts.append(header(2, "tokens_total", "Total tokens processed", "counter"))
+    parts.append(header(2, "tokens_total", "Tokens of the calls, by direction", "counter"))
     for seq, col, typ in ((2, "tin", "input"), (3, "tout", "output")):
         parts.append(mp.where(F.col(col).isNotNull()).select(*row(
             2, seq, F.concat_ws("\u0001", "model", "provider"),
             F.format_string(f'{p}_tokens_total{{model="%s",provider="%s",type="{typ}"}} %d',
                             "model", "provider", col))))
-    parts += [header(3, "cost_usd_total", "Total estimated cost in USD", "counter"),
+    parts += [header(3, "cost_usd_total", "Estimated cost of the calls in USD", "counter"),
               mp.where(F.col("usd").isNotNull()).select(*row(
                   3, 2, F.concat_ws("\u0001", "model", "provider"),
                   F.format_string(f'{p}_cost_usd_total{{model="%s",provider="%s"}} %.8f', "model", "provider", "usd")))]
-    for fam, pre, name, help_ in ((4, "lat", "latency_ms", "Request latency in milliseconds"),
-                                  (5, "ttft", "ttft_ms", "Time to first token in milliseconds")):
+    for fam, pre, name, help_ in ((4, "lat", "latency_ms", "Latency of the calls, milliseconds"),
+                                  (5, "ttft", "ttft_ms", "Wait for the first token, milliseconds")):
         h = (m.groupBy("model").agg(F.sum(f"{pre}_n").alias("cnt"), F.sum(f"{pre}_sum").alias("total"),
                                     *[F.sum(f"{pre}_b{i}").alias(f"b{i}") for i in range(len(bounds))])
              .where(F.col("cnt") > 0))
@@ -199,18 +199,18 @@ def metrics_exposition(df: DataFrame, bounds=DEFAULT_BOUNDS_MS, prefix: str = DE
                   h.select(*row(fam, 2, F.concat_ws("\u0001", "model", F.lit("~2count")), F.format_string(
                       f'{p}_{name}_count{{model="%s"}} %d', "model", "cnt")))]
     agents = m.where(F.col("agent_name").isNotNull()).groupBy("agent_name").agg(F.sum("n").alias("n"))
-    parts += [header(6, "agent_calls_total", "Total LLM calls per agent", "counter"),
+    parts += [header(6, "agent_calls_total", "Calls of each agent", "counter"),
               agents.select(*row(6, 2, F.col("agent_name"), F.format_string(
                   f'{p}_agent_calls_total{{agent="%s"}} %d', "agent_name", "n")))]
     if budget is not None:
         lim, period, _as_of = budget
         per = period if period in ("day", "week") else "month"
         spent = m.agg(F.coalesce(F.sum("spent"), F.lit(0.0)).alias("spent"))
-        gl = spent.select(*row(8, 2, F.lit(""), F.explode(F.array(
-            F.format_string(f'{p}_budget_spent_usd{{period="{per}"}} %.8f', "spent"),
-            F.format_string(f'{p}_budget_limit_usd{{period="{per}"}} %.8f', F.lit(float(lim)))))))
-        parts += [header(8, "budget_spent_usd", "Estimated spend since the start of the current budget period",
-                         "gauge"), gl]
+        gl = spent.select(*row(8, 2, F.lit(""), F.format_string(f'{p}_budget_spent_usd{{period="{per}"}} %.8f', "spent")))
+        limit = spark.range(1).select(*row(9, 2, F.lit(""), F.format_string(f'{p}_budget_limit_usd{{period="{per}"}} %.8f', F.lit(float(lim)))))
+        parts += [header(8, "budget_spent_usd", "Spend in the running budget period, USD",
+                         "gauge"), gl,
+                  header(9, "budget_limit_usd", "Limit of a budget period, USD", "gauge"), limit]
     out = parts[0]
     for d in parts[1:]:
         out = out.unionByName(d)

@@ -77,14 +77,15 @@ def _metrics_text_sql(prefix: str = "callscope", bounds=(100, 500, 1000, 5000))
     """DuckDB text of the exposition rows (family, seq, k, line)."""
     sep = "chr(1)"
     heads = []
-    for fam, name, help_, typ in [(1, "calls_total", "Total LLM calls captured", "counter"),
-                                  (2, "tokens_total", "Total tokens processed", "counter"),
-                                  (3, "cost_usd_total", "Total estimated cost in USD", "counter"),
-                                  (4, "latency_ms", "Request latency in milliseconds", "histogram"),
-                                  (5, "ttft_ms", "Time to first token in milliseconds", "histogram"),
-                                  (6, "agent_calls_total", "Total LLM calls per agent", "counter"),
+    for fam, name, help_, typ in [(1, "calls_total", "Calls in the table, by model, provider and status class", "counter"),
+                                  (2, "tokens_total", "Tokens of the calls, by direction", "counter"),
+                                  (3, "cost_usd_total", "Estimated cost of the calls in USD", "counter"),
+                                  (4, "latency_ms", "Latency of the calls, milliseconds", "histogram"),
+                                  (5, "ttft_ms", "Wait for the first token, milliseconds", "histogram"),
+                                  (6, "agent_calls_total", "Calls of each agent", "counter"),
                                   (8, "budget_spent_usd",
-                                   "Estimated spend since the start of the current budget period", "gauge")]:
+                                   "Spend in the running budget period, USD", "gauge"),
+                                  (9, "budget_limit_usd", "Limit of a budget period, USD", "gauge")]:
         heads.append(f"SELECT {fam} AS family, 0 AS seq, '' AS k, '# HELP {prefix}_{name} {help_}' AS line")
         heads.append(f"SELECT {fam}, 1, '', '# TYPE {prefix}_{name} {typ}'")
     parts = heads + [
@@ -106,7 +107,7 @@ def _metrics_text_sql(prefix: str = "callscope", bounds=(100, 500, 1000, 5000))
             FROM calls WHERE agent_name IS NOT NULL GROUP BY agent_name""",
         f"""SELECT 8, 2, '', printf('{prefix}_budget_spent_usd{{period="%s"}} %.8f', 'month', coalesce(sum(cost_usd), 0.0))
             FROM calls WHERE call_ts >= TIMESTAMP '2024-01-01 00:00:00'""",
-        f"""SELECT 8, 2, '', printf('{prefix}_budget_limit_usd{{period="%s"}} %.8f', 'month', 100.0)""",
+        f"""SELECT 9, 2, '', printf('{prefix}_budget_limit_usd{{period="%s"}} %.8f', 'month', 100.0)""",
     ]
     for fam, col, name in ((4, "latency_ms", "latency_ms"), (5, "ttft_ms", "ttft_ms")):
         les = [(str(b), str(b).rjust(12, "0"), f"{col} <= {b}") for b in bounds] + \

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -50,14 +51,21 @@ def settle(spark: SparkSession) -> None:
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app: str = "callscope", extra: dict | None = None) -> SparkSession:
-    """Return (or create) a session configured for callscope operators."""
+              app: str = "callscope", extra: dict | None = None, cluster: bool = False) -> SparkSession:
+    """Return (or create) a session configured for callscope operators.
+
+    ``cluster`` adds ``CLUSTER_CONF``, the settings for a large deployment.
+    """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     conf = dict(_DEFAULTS)
     if master and master.startswith("local"):
-        conf["spark.driver.memory"] = "16g"  # local mode: the driver JVM is the executor
+        # local mode: the driver JVM is the executor; it gets at most half of the machine
+        half = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") // 2 >> 30
+        conf["spark.driver.memory"] = f"{max(1, min(16, half))}g"
+    if cluster:
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
