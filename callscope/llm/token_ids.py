@@ -31,8 +31,8 @@ from callscope.llm.pieces import split
 
 #: Ids a segment has before it is closed (a longer document still stays whole).
 SEGMENT_IDS = 1_000_000
-#: Texts' characters that are encoded at once, and pieces that a worker remembers.
-CHUNK_CHARS, MEMO_PIECES = 3_000_000, 600_000
+#: Texts' characters that are encoded at once, and new pieces that a worker remembers before it forgets those before them.
+CHUNK_CHARS, MEMO_PIECES = 6_000_000, 350_000
 SAMPLE = 64
 
 
@@ -106,8 +106,18 @@ class EliasFano:
         return ((places - i) << np.uint64(self.low_bits)) | self._low(i)
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter by which byte-level vocabularies write each byte: itself where it prints, else the next free one from 256."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: b for b in shown} | {b: 256 + n for n, b in enumerate(sorted(set(range(256)).difference(shown)))}
+
+
 class Encoder:
-    """A ``tokenizers`` vocabulary that remembers the ids of pieces; pieces are encoded in batches."""
+    """A byte-level BPE vocabulary of the ``tokenizers`` library that remembers the ids of pieces.
+
+    The library's model encodes each new piece (the pattern's matches are what its
+    pre-tokenizer would hand to the model, in its letters for bytes).
+    """
 
     _open: dict[str, Encoder] = {}
 
@@ -115,9 +125,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model = Tokenizer.from_file(path).model
+        self.letters = _byte_letters()
         self.memo: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -134,20 +145,40 @@ class Encoder:
         """
         pieces = [split(t) for t in texts]
         numbered = pa.array(list(chain.from_iterable(pieces)), pa.string()).dictionary_encode()
-        distinct = numbered.dictionary.to_pylist()
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        new = [p for p in distinct if p not in self.memo]
-        self.memo.update(zip(new, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        rows = [self.memo[p] for p in distinct]
-        table, sizes = np.frombuffer(b"".join(rows), "<u4"), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        counts = [len(p) for p in pieces]
+        del pieces
+        rows = self._looked_up(numbered.dictionary.to_pylist())
+        table, sizes = np.frombuffer(b"".join(rows), "<u4"), np.fromiter(map(len, rows), np.int32, len(rows)) >> 2
         number = numbered.indices.to_numpy()
         n = sizes[number]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = table[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[number] - ends[:-1], n)]
-        cuts = ends[np.cumsum([0, *map(len, pieces)])]
+        ends = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=ends[1:])
+        kind = np.int32 if ends[-1] < 2**31 and len(table) < 2**31 else np.int64
+        # each piece's place in the table, moved by its place in the result
+        shift = ((np.cumsum(sizes, dtype=np.int64) - sizes)[number] - ends[:-1]).astype(kind)
+        ids = table[np.repeat(shift, n) + np.arange(ends[-1], dtype=kind)]
+        cuts = ends[np.cumsum([0, *counts])]
         return [ids[a:b].tobytes() for a, b in pairwise(cuts.tolist())]
 
+    def _looked_up(self, distinct: list[str]) -> list[bytes]:
+        """Ids of distinct pieces: remembered, or encoded now. Pieces not met for long are forgotten."""
+        if len(self.memo) > MEMO_PIECES:
+            self.before, self.memo = self.memo, {}
+        memo, before = self.memo, self.before
+        rows = list(map(memo.get, distinct))
+        new = []
+        for at, piece in [(at, piece) for at, (piece, ids) in enumerate(zip(distinct, rows, strict=True)) if ids is None]:
+            if (ids := before.get(piece)) is None:
+                new.append(at)
+            else:
+                rows[at] = memo[piece] = ids
+        encode, letters = self.model.tokenize, self.letters
+        for at in new:
+            piece = distinct[at]
+            tokens = encode(piece.encode().decode("latin-1").translate(letters))
+            rows[at] = memo[piece] = array("I", [t.id for t in tokens]).tobytes()
+        return rows
+
 
 SEGMENT = ("part int, seq int, n_docs int, n_ids long, n_null int, doc_base long, ids binary, bounds binary, "
            "doc_ids binary")
@@ -212,19 +243,22 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "d
 
 def _documents(batches):
     for batch in batches:
-        for row in batch.to_pylist():
+        ids = batch.column("ids")
+        for at, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
+            data = ids[at].as_buffer()
             ends = EliasFano.from_bytes(row["bounds"]).all().astype(np.int64)
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             known = EliasFano.from_bytes(row["doc_ids"]).all().astype(np.int64) + row["doc_base"]
-            # some thousand documents at a time, so that a segment is not held twice
-            for a in range(0, len(ends), 2048):
-                b = min(a + 2048, len(ends))
-                offsets = pa.array((np.concatenate([starts[a:b], ends[b - 1 : b]]) - starts[a]) * 4, pa.int64())
-                body = pa.py_buffer(memoryview(row["ids"])[starts[a] * 4 : ends[b - 1] * 4])
+            a = 0
+            while a < len(ends):  # some thousand documents or a gigabyte of ids at a time (or one document)
+                b = min(a + 2048, max(a + 1, int(np.searchsorted(ends, starts[a] + (1 << 28), "right"))))
+                offsets = pa.array((np.concatenate([starts[a:b], ends[b - 1 : b]]) - starts[a]) * 4, pa.int32())
+                body = data.slice(int(starts[a]) * 4, int(ends[b - 1] - starts[a]) * 4)
                 names = [None] * max(0, min(b, row["n_null"]) - a) + known[max(0, a - row["n_null"]) : max(0, b - row["n_null"])].tolist()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, pa.int64()), pa.array(starts[a:b] + row["start"], pa.int64()), pa.array(ends[a:b] - starts[a:b], pa.int64()),
-                     pa.Array.from_buffers(pa.large_binary(), b - a, [None, offsets.buffers()[1], body]).cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                     pa.Array.from_buffers(pa.binary(), b - a, [None, offsets.buffers()[1], body])], ["doc_id", "start", "n_tokens", "ids"])
+                a = b
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
