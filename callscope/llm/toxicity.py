@@ -120,26 +120,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         chosen = rows.where(F.col("y") == y).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS // 2)
         picked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id", "left_semi").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
         picked = picked.select(F.lit(y).alias("y"), "text").limit(TRAIN_ROWS // 2)  # rows that repeat an id do not add to the bound
-        sample += [(y, np.frombuffer(r.slots, np.int32)) for r in picked.mapInPandas(slots, "y int, slots binary").collect()]
+        told = ratio != 0
+        for r in picked.mapInPandas(slots, "y int, slots binary").toLocalIterator():
+            own = np.frombuffer(r.slots, np.int32)
+            sample.append((y, own[told[own]]))
     return _fit_linear(sample, ratio, n1 / (n0 + n1))
 
 
 def _fit_linear(sample: list[tuple[int, np.ndarray]], ratio: np.ndarray, share: float) -> tuple[np.ndarray, float]:
     """Logistic weights on the scaled features, by gradient steps on all rows (Adam); classes weigh as in the corpus."""
+    ratio = ratio.astype(np.float32)
     sample = [(y, s[ratio[s] != 0]) for y, s in sample]
     y = np.array([r[0] for r in sample], np.float64)
-    sizes = np.array([len(r[1]) for r in sample])
-    index = np.concatenate([r[1] for r in sample]) if len(sample) else np.zeros(0, np.int32)
-    owner = np.repeat(np.arange(len(sample)), sizes)
-    used, column = np.unique(index, return_inverse=True)
-    value = ratio[index]
+    # 32-bit arrays: an entry for each feature that a row has
+    owner = np.repeat(np.arange(len(sample), dtype=np.int32), [len(r[1]) for r in sample])
+    column = np.concatenate([r[1] for r in sample]) if len(sample) else np.zeros(0, np.int32)
+    value = ratio[column]
+    used = np.flatnonzero(np.bincount(column, minlength=SLOTS))
+    place = np.zeros(SLOTS, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    column = place[column]
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)) / len(y)
     w, b = np.zeros(len(used)), float(np.log(share / (1 - share)))
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, 151):
-        z = np.bincount(owner, value * w[column], len(y)) + b
+        z = np.bincount(owner, value * w.astype(np.float32)[column], len(y)) + b
         g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * weight
-        gw = np.bincount(column, value * g[owner], len(used)) + 1e-3 * w
+        gw = np.bincount(column, value * g.astype(np.float32)[owner], len(used)) + 1e-3 * w
         gb = g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         w -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
