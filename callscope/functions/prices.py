@@ -215,42 +215,48 @@ def bundled_rank(model: Column) -> Column:
     return F.least(*parts) if len(parts) > 1 else parts[0]
 
 
-def _bundled_expr(model: Column) -> Column:
-    """First matching bundled rule as struct(rank, input, output) via a constant price array."""
+def matched_rank(model: Column) -> Column:
+    """``bundled_rank`` with the model bound once.
+
+    As the body of a lambda the rule chain is evaluated expression by
+    expression; compiled into one method it would be too long for the JVM's
+    compiler and run many times slower.
+    """
+    return F.element_at(F.transform(F.array(model), bundled_rank), 1)
+
+
+def bundled_price_arrays() -> tuple[Column, Column]:
+    """Input and output prices by rank."""
     rows = bundled_price_rows()
-    ins = F.array(*[F.lit(float(r[4])) for r in rows])
-    outs = F.array(*[F.lit(float(r[5])) for r in rows])
-    rank = bundled_rank(model)
-    return F.when(rank.isNotNull(), F.struct(
-        rank.alias("rank"), F.element_at(ins, rank + 1).alias("input_per_mtok"),
-        F.element_at(outs, rank + 1).alias("output_per_mtok")))
+    return F.array(*[F.lit(float(r[4])) for r in rows]), F.array(*[F.lit(float(r[5])) for r in rows])
+
+
+def override_expr(model: Column, overrides: dict[str, tuple[float, float]] | None) -> Column | None:
+    """Price struct of the matching override (exact, else the longest contained; ties by pattern text), NULL without a match."""
+    chain = None
+    ov = overrides or {}
+    for k, test in [*((k, model == F.lit(k)) for k in ov), *((k, model.contains(k)) for k in sorted(ov, key=lambda x: (-len(x), x)))]:
+        price = _price_struct(*ov[k], "override")
+        chain = F.when(test, price) if chain is None else chain.when(test, price)
+    return chain
+
+
+def _price_struct(pin, pout, source: str) -> Column:
+    return F.struct(F.lit(float(pin)).alias("input_per_mtok"), F.lit(float(pout)).alias("output_per_mtok"), F.lit(source).alias("source"))
 
 
 def price_expr(model: Column, overrides: dict[str, tuple[float, float]] | None = None,
                default: tuple[float, float] | None = None) -> Column:
     """Per-row price lookup: struct(input_per_mtok, output_per_mtok, source).
 
-    Lookup order: exact override, longest contained override (ties broken
-    by pattern text), first bundled rule, fallback. Built from fixed-size
-    tables, so it stays a JVM expression with no join and no shuffle.
-    ``default`` replaces the fallback price (source stays 'fallback').
+    Lookup order: override, first bundled rule, fallback (``default`` replaces
+    the fallback price; its source stays 'fallback'). No join and no shuffle.
     """
-    def st(pin, pout, src):
-        return F.struct(F.lit(float(pin)).alias("input_per_mtok"),
-                        F.lit(float(pout)).alias("output_per_mtok"),
-                        F.lit(src).alias("source"))
-
-    fb = default or FALLBACK_PRICE
-    b = _bundled_expr(model)
-    bundled = F.when(b.isNotNull(), F.struct(b["input_per_mtok"].alias("input_per_mtok"),
-                                             b["output_per_mtok"].alias("output_per_mtok"),
-                                             F.lit("bundled").alias("source"))).otherwise(st(fb[0], fb[1], "fallback"))
-    ov = overrides or {}
-    chain = None
-    branches = [(model == F.lit(k), st(pi, po, "override")) for k, (pi, po) in ov.items()]
-    for k in sorted(ov, key=lambda x: (-len(x), x)):
-        pi, po = ov[k]
-        branches.append((model.contains(k), st(pi, po, "override")))
-    for cond, val in branches:
-        chain = F.when(cond, val) if chain is None else chain.when(cond, val)
-    return bundled if chain is None else chain.otherwise(bundled)
+    ins, outs = bundled_price_arrays()
+    fallback = _price_struct(*(default or FALLBACK_PRICE), "fallback")
+    # the rank is bound by the lambda, so that its chain is evaluated once
+    bundled = F.element_at(F.transform(F.array(matched_rank(model)), lambda rank: F.when(rank.isNotNull(), F.struct(
+        F.element_at(ins, rank + 1).alias("input_per_mtok"), F.element_at(outs, rank + 1).alias("output_per_mtok"), F.lit("bundled").alias("source")))
+        .otherwise(fallback)), 1)
+    own = override_expr(model, overrides)
+    return bundled if own is None else F.coalesce(own, bundled)

@@ -35,11 +35,17 @@ def diacritic_fold_table() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
+@functools.lru_cache(maxsize=1)
+def combining_marks() -> str:
+    """All marks (category M) of the basic plane."""
+    return "".join(c for c in map(chr, range(0x300, 0xFFFF)) if unicodedata.category(c).startswith("M"))
+
+
 def normalize(text: Column) -> Column:
     """lower-case, drop combining marks (a decomposed accent splits no word), then fold Latin diacritics."""
     a, b = diacritic_fold_table()
-    low = F.lower(text)
-    return F.translate(F.when(low.rlike(r"\p{M}"), F.regexp_replace(low, r"\p{M}+", "")).otherwise(low), a, b)
+    # characters that have no counterpart are dropped: one pass folds and strips
+    return F.translate(F.lower(text), a + combining_marks(), b)
 
 
 def tokens(text: Column) -> Column:

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from callscope.functions.prices import (
     FALLBACK_PRICE,
+    bundled_price_arrays,
     bundled_prices,
-    price_expr,
+    matched_rank,
+    override_expr,
     rule_matches,
 )
 from callscope.schema import OVERRIDES
@@ -34,10 +36,23 @@ def with_price(df: DataFrame, overrides: dict | None = None,
                default: tuple[float, float] | None = None, out: str = "_price") -> DataFrame:
     """Add ``out`` = struct(input_per_mtok, output_per_mtok, source) per row by model.
 
-    A column expression: no job runs while the plan is built, nothing is joined
-    or shuffled, and batch and streaming rows are priced alike.
+    Column expressions: no job runs while the plan is built, nothing is joined
+    or shuffled, and batch and streaming rows are priced alike. The rule's rank
+    is a column of its own, so it is evaluated once a row.
     """
-    return df.withColumn(out, price_expr(F.col("model"), overrides, default))
+    rank, pin, pout, source = "_price_rank", "_price_in", "_price_out", "_price_source"
+    fb = default or FALLBACK_PRICE
+    ranked = df.withColumn(rank, matched_rank(F.col("model")))
+    ins, outs = bundled_price_arrays()
+    override = override_expr(F.col("model"), overrides)
+    own = lambda field: F.lit(None) if override is None else override[field]
+    known = F.col(rank).isNotNull()
+    priced = ranked.withColumns({
+        pin: F.coalesce(own("input_per_mtok"), F.when(known, F.element_at(ins, F.col(rank) + 1)), F.lit(float(fb[0]))),
+        pout: F.coalesce(own("output_per_mtok"), F.when(known, F.element_at(outs, F.col(rank) + 1)), F.lit(float(fb[1]))),
+        source: F.coalesce(own("source"), F.when(known, F.lit("bundled")), F.lit("fallback"))})
+    return priced.withColumn(out, F.struct(F.col(pin).alias("input_per_mtok"), F.col(pout).alias("output_per_mtok"), F.col(source).alias("source"))) \
+        .drop(rank, pin, pout, source)
 
 
 def with_simple_cost(df: DataFrame, overrides: dict | None = None,

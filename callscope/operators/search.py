@@ -69,22 +69,30 @@ def write_index(df: DataFrame, path: str, id_col: str = "id", columns=INDEXED_CA
 
     One narrow pass makes the token arrays; every posting carries its row's
     token count (``doc_len``), so ranking needs no join with the length
-    table. That table has every row, also those without tokens.
+    table. That table (from each row's first posting, ``lead``) has every
+    row, also those without tokens.
     Returns (index_path, lengths_path).
     """
     per_col = F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("toks")) for c in columns])
     length = F.aggregate("x", F.lit(0).cast("long"), lambda n, x: n + F.size(x["toks"]))
     rows = df.select(F.col(id_col).alias("id"), per_col.alias("x")).withColumn("doc_len", length)
-    idx = (rows.select("id", "doc_len", F.explode("x").alias("x"))
-           .select("id", "doc_len", F.col("x.col").alias("col"), F.posexplode("x.toks").alias("pos", "token"))
+    begins = F.try_element_at(F.filter("x", lambda x: F.size(x["toks"]) > 0), F.lit(1))["col"]
+    idx = (rows.select("id", "doc_len", begins.alias("begins"), F.explode("x").alias("x"))
+           .select("id", "doc_len", "begins", F.col("x.col").alias("col"), F.posexplode("x.toks").alias("pos", "token"))
+           .withColumn("lead", (F.col("pos") == 0) & (F.col("col") == F.col("begins"))).drop("begins")
            .withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))))
     ipath, lpath = f"{path}/tokens", f"{path}/lengths"
     # rebalance (not a plain repartition): AQE splits a bucket that holds a very
     # frequent token over several tasks/files instead of one oversized task
     (idx.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "id", "col", "pos")
      .write.mode("overwrite").partitionBy("bucket").parquet(ipath))
-    doc_lengths(df, id_col, columns).write.mode("overwrite").parquet(lpath)
     spark = df.sparkSession
+    wordless = F.lit(True)
+    for c in columns:  # stops at a text's first letter or digit
+        wordless = wordless & ~F.coalesce(F.col(c).rlike(r"[\p{L}\p{N}]"), F.lit(False))
+    leads = spark.read.parquet(ipath).where("lead").select("id", "doc_len")
+    empty = df.where(wordless).select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("doc_len"))
+    leads.unionByName(empty).write.mode("overwrite").parquet(lpath)
     n_rows, total = corpus_stats(spark.read.parquet(lpath))
     spark.createDataFrame([(n_rows, total, int(buckets))], "n_rows long, total_tokens double, buckets int") \
         .write.mode("overwrite").parquet(f"{path}/stats")
