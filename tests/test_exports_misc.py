@@ -86,7 +86,7 @@ def test_budget_periods(spark, make_calls):
 def test_exposition_order(spark, make_calls):
     df = make_calls([dict(id="a", latency_ms=50, agent_name="x"), dict(id="b", latency_ms=300)])
     lines = [r.line for r in mt.metrics_exposition(df).orderBy("family", "seq", "k").collect()]
-    assert lines[0] == "# HELP callscope_calls_total Total LLM calls captured"
+    assert lines[0] == "# HELP callscope_calls_total Calls in the table, by model, provider and status class"
     assert 'callscope_latency_ms_bucket{model="gpt-4o",le="100"} 1' in lines
     i = lines.index('callscope_latency_ms_bucket{model="gpt-4o",le="+Inf"} 2')
     assert lines[i + 1] == 'callscope_latency_ms_sum{model="gpt-4o"} 350'
