@@ -4,9 +4,10 @@ A text is cut into units: lines, paragraphs, or lines cut further at sentence en
 default, as shared passages also begin within a line). Units tile the text. A unit's
 normalised words are digested; of all rows that hold a digest the earliest ranked keeps its
 first occurrence, and the other occurrences go, with their offsets in the original text.
-A unit of few words says little by itself, so it counts together with the units of its line
-or paragraph run back to the last long one: a short sentence goes only where it follows the
-same words as before.
+A unit of few words says little by itself, so it counts in runs: the shortest run of
+consecutive units (over line and paragraph breaks) of enough words that begins with it, and
+the shortest that ends with it. A run that stood earlier goes as a whole, whatever stands
+around it.
 """
 
 from __future__ import annotations
@@ -28,37 +29,61 @@ _WORDS = re.compile(r"\w+")
 _DIGEST = xxhash.xxh3_128_digest
 
 
-def units(text: str, by: str = "sentence", min_words: int = MIN_WORDS) -> tuple[list[int], list[bytes | None]]:
-    """Starts of a text's units (and its length), and each unit's digest (None: too few words to compare)."""
+def units(text: str, by: str = "sentence", min_words: int = MIN_WORDS) -> tuple[list[int], list[list[tuple[int, bytes]] | None]]:
+    """Starts of a text's units (and its length), and the runs that end with each unit: (first unit, digest); None: no run.
+
+    A unit of ``min_words`` is a run by itself. Units without words are passed over.
+    """
     bounds = [0, *(m.end() for m in _ENDS[by].finditer(text))]
     if bounds[-1] != len(text):
         bounds.append(len(text))
     low = text.lower() if text.isascii() else None
-    digests, run, n_run = [], "", 0
-    for a, b in zip(bounds, bounds[1:], strict=False):
+    runs: list[list[tuple[int, bytes]] | None] = [None] * (len(bounds) - 1)
+    at, said, sizes = [], [], []  # of the units with words
+    first, n = 0, 0  # of the shortest run that ends here
+    ahead, n_ahead = 0, 0  # of the earliest unit whose run has not ended
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
         words = _WORDS.findall(low[a:b] if low else text[a:b].lower())
-        if len(words) >= min_words:
-            run, n_run = " ".join(words), len(words)
-        else:
-            run, n_run = run + "\n" + " ".join(words), n_run + len(words)
-        digests.append(_DIGEST(run) if words and n_run >= min_words else None)
-    return bounds, digests
+        if not words:
+            continue
+        at.append(k)
+        said.append(" ".join(words))
+        sizes.append(len(words))
+        n, n_ahead = n + len(words), n_ahead + len(words)
+        if n < min_words:
+            continue
+        while n - sizes[first] >= min_words:
+            n, first = n - sizes[first], first + 1
+        runs[k] = own = [(at[first], _DIGEST(said[-1] if first == len(said) - 1 else "\n".join(said[first:])))]
+        while n_ahead >= min_words:
+            if ahead != first:
+                own.append((at[ahead], _DIGEST("\n".join(said[ahead:]))))
+            n_ahead, ahead = n_ahead - sizes[ahead], ahead + 1
+    return bounds, runs
 
 
 def cut(text: str, drop: set[bytes], by: str = "sentence", min_words: int = MIN_WORDS) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the units whose digest is in ``drop`` or stood earlier in the text, and their (start, end).
+    """The text without the runs whose digest is in ``drop`` or stood earlier in the text, and their (start, end).
 
-    A line break that ends a removed unit stays where text stays before it on its line.
+    Of runs that overlap their own first occurrence, that occurrence stays. A line break that
+    ends a removed unit stays where text stays before it on its line.
     """
-    bounds, digests = units(text, by, min_words)
-    seen, out, spans = set(), [], []
-    for a, b, d in zip(bounds, bounds[1:], digests, strict=False):
-        if d is None or d not in drop and d not in seen:
-            out.append(text[a:b])
-            if d is not None:
-                seen.add(d)
-            continue
+    bounds, runs = units(text, by, min_words)
+    gone, last = [False] * len(runs), {}
+    for k, own in enumerate(runs):
+        for first, d in own or ():
+            if d not in drop:
+                if d not in last:
+                    last[d] = k
+                    continue
+                first = max(first, last[d] + 1)
+            gone[first : k + 1] = [True] * (k + 1 - first)
+    out, spans = [], []
+    for a, b, go in zip(bounds, bounds[1:], gone, strict=False):
         part = text[a:b]
+        if not go or not _WORDS.search(part):
+            out.append(part)
+            continue
         end = a + len(part.rstrip()) if part.endswith("\n") and out and not out[-1].endswith("\n") else b
         out.append(text[end:b])
         if spans and spans[-1][1] == a:
@@ -73,7 +98,7 @@ def _digests(by: str, min_words: int):
         for batch in batches:
             rids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a in range(0, len(rids), 128):
-                own = [{d for d in units(t, by, min_words)[1] if d} for t in texts[a : a + 128]]
+                own = [{d for r in units(t, by, min_words)[1] if r for _, d in r} for t in texts[a : a + 128]]
                 pairs = np.frombuffer(b"".join(d for s in own for d in s), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(rids[a : a + 128], np.int64), [len(s) for s in own])), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["rid", "d1", "d2"])
 
@@ -89,8 +114,8 @@ def _cutter(by: str, min_words: int):
             spans = []
             if text:
                 drop = {np.array([h["d1"], h["d2"]], "<i8").tobytes() for h in halves or ()}
-                if not first:  # an equal row stood before: every compared unit did
-                    drop.update(d for d in units(text, by, min_words)[1] if d)
+                if not first:  # an equal row stood before: every run did
+                    drop.update(d for r in units(text, by, min_words)[1] if r for _, d in r)
                 text, spans = cut(text, drop, by, min_words)
             out.append({"text": text, "removed": [{"start": a, "end": b} for a, b in spans]})
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
