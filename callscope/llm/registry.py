@@ -24,7 +24,7 @@ from callscope.llm.common import prepare, shared_path, table
 def op1_token_ids(spark, sf_dir):
     """Write all documents' token ids with Elias-Fano boundaries, read them back: place, length and checksum of each."""
     path = shared_path(spark, "token-ids")
-    token_ids.write_token_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    token_ids.write_token_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), encode_special_tokens=False)
     return token_ids.read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -15,6 +15,7 @@ The small ``starts`` folder beside it has each segment's first global position.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from array import array
 from itertools import chain, pairwise
@@ -115,27 +116,50 @@ def _byte_letters() -> dict[int, int]:
 class Encoder:
     """A byte-level BPE vocabulary of the ``tokenizers`` library that remembers the ids of pieces.
 
-    The library's model encodes each new piece (the pattern's matches are what its
-    pre-tokenizer would hand to the model, in its letters for bytes).
+    The file's added tokens are cut out of a text first (special ones only if
+    ``encode_special_tokens`` is not set, as in the library). The library's model encodes each
+    new piece of the rest (the pattern's matches are what its pre-tokenizer would hand to the
+    model, in its letters for bytes). A text that holds an added token which takes white space
+    or whole words goes to the library as it is.
     """
 
-    _open: dict[str, Encoder] = {}
+    _open: dict[tuple[str, bool], Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = encode_special_tokens
+        self.model = tokenizer.model
+        added = {t.content: (i, t) for i, t in tokenizer.get_added_tokens_decoder().items() if t.content}
+        self.added = {content: array("I", [i]).tobytes() for content, (i, t) in added.items() if not (t.special and encode_special_tokens)}
+        longest = sorted(added, key=len, reverse=True) if self.added else []  # those spelt out take part in matching
+        greedy = [c for c in longest if added[c][1].single_word or added[c][1].lstrip or added[c][1].rstrip]
+        self.tokenizer = tokenizer if greedy else None
+        self.cuts, self.whole = (re.compile("|".join(map(re.escape, x))) if x else None for x in (longest, greedy))
         self.letters = _byte_letters()
         self.memo: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, encode_special_tokens: bool = True) -> Encoder:
         """This worker's encoder for the file."""
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+        key = path, encode_special_tokens
+        if key not in cls._open:
+            cls._open[key] = cls(*key)
+        return cls._open[key]
+
+    def _pieces(self, text: str) -> list[str]:
+        """A text's pieces, added tokens among them."""
+        if not any(content in text for content in self.added):
+            return split(text)
+        out, at = [], 0
+        for m in self.cuts.finditer(text):
+            if m[0] in self.added:
+                out += [*split(text[at : m.start()]), m[0]]
+                at = m.end()
+        return out + split(text[at:]) if at else split(text)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
@@ -143,7 +167,10 @@ class Encoder:
         The texts' pieces are numbered, so that each distinct one is looked up once, and the
         ids are then gathered by number.
         """
-        pieces = [split(t) for t in texts]
+        if self.whole is not None and (own := {k for k, t in enumerate(texts) if self.whole.search(t)}):
+            rest = iter(self.ids([t for k, t in enumerate(texts) if k not in own]) if len(own) < len(texts) else ())
+            return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if k in own else next(rest) for k, t in enumerate(texts)]
+        pieces = [self._pieces(t) for t in texts]
         numbered = pa.array(list(chain.from_iterable(pieces)), pa.string()).dictionary_encode()
         counts = [len(p) for p in pieces]
         del pieces
@@ -175,6 +202,9 @@ class Encoder:
         encode, letters = self.model.tokenize, self.letters
         for at in new:
             piece = distinct[at]
+            if (ids := self.added.get(piece)) is not None:
+                rows[at] = memo[piece] = ids
+                continue
             tokens = encode(piece.encode().decode("latin-1").translate(letters))
             rows[at] = memo[piece] = array("I", [t.id for t in tokens]).tobytes()
         return rows
@@ -184,9 +214,9 @@ SEGMENT = ("part int, seq int, n_docs int, n_ids long, n_null int, doc_base long
            "doc_ids binary")
 
 
-def _segments(path: str, end: bytes):
+def _segments(path: str, end: bytes, encode_special_tokens: bool = True):
     def segments(batches):
-        encoder, part = Encoder.of(path), TaskContext.get().partitionId()
+        encoder, part = Encoder.of(path, encode_special_tokens), TaskContext.get().partitionId()
         docs, ids, held, seq = [], [], 0, 0
 
         def segment():
@@ -220,9 +250,12 @@ def _segments(path: str, end: bytes):
 
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-                    end_id: int = 0) -> None:
+                    end_id: int = 0, encode_special_tokens: bool = True) -> None:
     """Encode each whole text (null: empty), append ``end_id`` and write all ids in ascending id order.
 
+    The file's special tokens are spelt out where a text holds them; with ``encode_special_tokens``
+    off (the library's default) they get their own ids.
+
     Null ids come first; rows of one id are ordered by their text's hash and text. The
     documents are range-partitioned on (id, hash), so rows that repeat an id are spread too.
     An empty table gives an empty file set. Other columns are not read.
@@ -231,7 +264,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "d
     prepare(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     ordered = rows.repartitionByRange(partitions(spark), "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
-    ordered.mapInArrow(_segments(tokenizer, int(end_id).to_bytes(4, "little")), SEGMENT).write.parquet(f"{path}/segments")
+    ordered.mapInArrow(_segments(tokenizer, int(end_id).to_bytes(4, "little"), encode_special_tokens), SEGMENT).write.parquet(f"{path}/segments")
     sizes = spark.read.schema(SEGMENT).parquet(f"{path}/segments").select("part", "seq", "n_ids")
     # positions before each part (a row a part), then within the part
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
