@@ -203,24 +203,69 @@ def _pass(shared, last: bool):
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every hit span cut out of its text, in place; all rows and columns stay.
 
-    Words that a cut brings together are searched again, until no window occurs (of the same
-    pass: a benchmark of over PASS_BLOCKS blocks takes several, one after the other). Texts without
-    a hit, null texts and other columns (but ``n_chars``, where there is one: the new length)
-    are unchanged.
+    Words that a cut brings together are searched again, until no window occurs. A round searches
+    all windows on the same text before it cuts: a benchmark of one pass in a task by itself; a
+    larger one group by group, with the spans so far beside the text, and again over the rows
+    that were cut. Texts without a hit, null texts and other columns (but ``n_chars``, where
+    there is one: the new length) are unchanged.
     """
     spark = docs.sparkSession
     prepare(spark)
-    text = F.col(f"`{text_col}`")
-    out = docs.withColumn("__cut", text.cast("string"))
-    for group, last in block_groups(benchmark):
-        out = out.withColumn("__cut", _cut(spark.sparkContext.broadcast(group))(F.col("__cut")))
-        if not last:
-            out = spool(out, "leaks-cut")
-    columns = {c: F.col(f"`{c}`") for c in docs.columns}
-    if "n_chars" in columns:
-        columns["n_chars"] = F.when(text.eqNullSafe(F.col("__cut")), F.col("n_chars")).otherwise(F.length("__cut").cast(docs.schema["n_chars"].dataType))
-    columns[text_col] = F.col("__cut")
-    return out.select([v.alias(c) for c, v in columns.items()])
+    text = F.col(f"`{text_col}`").cast("string")
+
+    def replaced(rows: DataFrame, new) -> DataFrame:
+        """``rows`` with the new text (and number of characters, where the text differs)."""
+        rows = rows.withColumn("__cut", new)
+        columns = {c: F.col(f"`{c}`") for c in docs.columns}
+        if "n_chars" in columns:
+            columns["n_chars"] = F.when(text.eqNullSafe(F.col("__cut")), F.col("n_chars")).otherwise(F.length("__cut").cast(docs.schema["n_chars"].dataType))
+        columns[text_col] = F.col("__cut")
+        return rows.select([v.alias(c) for c, v in columns.items()])
+
+    group, only = next(block_groups(benchmark))
+    if only:
+        return replaced(docs, _cut(spark.sparkContext.broadcast(group))(text))
+    done, todo = None, replaced(docs, text)
+    while True:
+        rows = todo.withColumn("__spans", F.array().cast(_SPANS))
+        for group, _ in block_groups(benchmark):
+            rows = spool(rows.withColumn("__spans", _marks(spark.sparkContext.broadcast(group))(text, F.col("__spans"))), "leaks-marks")
+        clean, hit = rows.where(F.size("__spans") == 0).drop("__spans"), rows.where(F.size("__spans") > 0)
+        done = clean if done is None else done.union(clean)
+        if hit.isEmpty():
+            return done
+        todo = spool(replaced(hit, _without()(text, F.col("__spans"))), "leaks-cut")
+
+
+def _kept(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text outside of spans of characters."""
+    ends = [0, *(b for _, b in spans)]
+    return "".join(text[e:s] for e, s in zip(ends, [*(a for a, _ in spans), len(text)], strict=True))
+
+
+def _without():
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([_kept(t, [(s["char_start"], s["char_end"]) for s in own]) for t, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+
+    return without
+
+
+def _marks(shared):
+    @F.arrow_udf(_SPANS)
+    def marks(texts: pa.Array, before: pa.Array) -> pa.Array:
+        out = []
+        for group in _shards(before.to_pylist(), texts.to_pylist()):
+            shard = Shard([t for _, t in group])
+            for doc, (spans, _) in enumerate(group):  # of earlier groups
+                for s in spans:
+                    shard.hit[shard.starts[doc] + s["start"] : shard.starts[doc] + s["end"]] = True
+            for block in shared.value:
+                shard.search(pickle.loads(block))
+            out += [[dict(zip(("start", "end", "char_start", "char_end"), s, strict=True)) for s in shard.spans(d)] for d in range(len(group))]
+        return pa.array(out, pa.list_(_SPAN))
+
+    return marks
 
 
 def _cut(shared):
@@ -236,8 +281,7 @@ def _cut(shared):
                     shard.search(pickle.loads(block))
                 for k, (i, t) in enumerate(group):
                     if spans := shard.spans(k):
-                        ends = [0, *(s[3] for s in spans)]
-                        out[i] = "".join(t[e:s] for e, s in zip(ends, [*(s[2] for s in spans), len(t)], strict=True))
+                        out[i] = _kept(t, [s[2:] for s in spans])
                         changed.append((i, out[i]))
             todo = changed
         return pa.array(out, pa.string())
