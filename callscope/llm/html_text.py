@@ -37,14 +37,48 @@ VOID = frozenset("br hr img input meta link area base col embed source track wbr
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 
-def leaf_blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
+class Path:
+    """Names from a page's root to an element: linked to the parent's, with what features and marks need of them all, so depth costs no more."""
+
+    __slots__ = ("parent", "names", "slots", "tail", "body", "aside", "form")
+
+    def __init__(self, parent: Path | None = None, names: tuple[str, ...] = ()):
+        self.parent, self.names = parent, names
+        # bits of the hashed names, last three names, article or main among the names; names beside it (since the last such), a form
+        self.slots, self.tail, self.body, self.aside, self.form = (parent.slots, parent.tail, parent.body, parent.aside, parent.form) if parent else (0, (), False, False, False)
+        for n in names:
+            self.slots |= 1 << _slot(n, PATH, 1)
+            if n in ("article", "main"):
+                self.body, self.aside = True, False
+            self.aside = self.aside or n.removeprefix(".") in ASIDE
+            self.form = self.form or n == "form"
+        self.tail = (*self.tail, *names[-3:])[-3:]
+
+    def __iter__(self):
+        links, at = [], self
+        while at is not None:
+            links.append(at.names)
+            at = at.parent
+        return (n for names in reversed(links) for n in names)
+
+    def __getitem__(self, at):
+        return tuple(self)[at]
+
+    def __eq__(self, other):
+        return tuple(self) == tuple(other)
+
+    __hash__ = None
+
+
+def leaf_blocks(html: str) -> list[tuple[Path, str, float]]:
     """A page's leaf blocks in order: path names, text (references decoded, white space as one space), share in links.
 
     Broken markup is read as browsers do in the main: unknown and unclosed tags are let be, an
     unclosed comment or script runs to the end.
     """
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    out: list[tuple[Path, str, float]] = []
+    root = Path()
+    stack: list[tuple[str, Path]] = []
     held: list[str] = []
     linked, in_link, pos = 0, 0, 0
 
@@ -53,7 +87,7 @@ def leaf_blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append((stack[-1][1] if stack else (), text, min(1.0, linked / len(text))))
+                out.append((stack[-1][1] if stack else root, text, min(1.0, linked / len(text))))
             held.clear()
             linked = 0
 
@@ -93,10 +127,7 @@ def leaf_blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
                     while stack and stack[-1][0] in shut:
                         stack.pop()
                 names = _PART.findall(" ".join(x for g in _NAMES.findall(m[3]) for x in g).lower()) if m[3] else []
-                before = stack[-1][1] if stack else ()
-                if len(before) < 64:
-                    before = before + (name, *("." + n for n in names[:8]))
-                stack.append((name, before))
+                stack.append((name, Path(stack[-1][1] if stack else root, (name, *("." + n for n in names)))))
         elif name == "a":
             in_link = 0 if end else 1
         elif name == "br":
@@ -117,14 +148,14 @@ def _slot(word: str, size: int, salt: int) -> int:
     return known
 
 
-def block_vectors(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+def block_vectors(blocks: list[tuple[Path | tuple[str, ...], str, float]]) -> np.ndarray:
     """One row for each block: path names, the last element's names, words, measures."""
     x = np.zeros((len(blocks), WIDTH), np.float32)
     for i, (path, text, links) in enumerate(blocks):
         row = x[i]
-        for name in path:
-            row[_slot(name, PATH, 1)] = 1
-        for name in path[-3:]:
+        path = path if isinstance(path, Path) else Path(None, path)
+        row[:PATH] = np.unpackbits(np.frombuffer(path.slots.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little")
+        for name in path.tail:
             row[PATH + _slot(name, 48, 2)] = 1
         words = text.lower().split()
         at = PATH + 48
@@ -246,13 +277,12 @@ signup subscribe newsletter comment comments reply respond disqus related share
 BODY = frozenset("article main content post entry story text".split())
 
 
-def marked(path: tuple[str, ...]) -> bool | None:
+def marked(path: Path | tuple[str, ...]) -> bool | None:
     """Whether a path's names say article (True) or something beside it (False); None if they say neither."""
-    names = [n.removeprefix(".") for n in path]
-    if "article" not in path and "main" not in path:
-        return False if ASIDE.intersection(names) else None
-    last = max(i for i, n in enumerate(path) if n in ("article", "main"))
-    return not ASIDE.intersection(names[last:]) and ("form" not in path)
+    path = path if isinstance(path, Path) else Path(None, path)
+    if not path.body:
+        return False if path.aside else None
+    return not path.aside and not path.form
 
 
 def made_layouts(texts: list[str], links: list[str], n: int, seed: int = 9):
