@@ -15,6 +15,7 @@ from callscope.llm import (
     substring_dedup,
     token_ids,
     toxicity,
+    trie,
     url_inputs,
     url_lists,
 )
@@ -85,9 +86,15 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark, sf_dir):
+    """All nodes of the prefix trie of the rebuilt conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_token_ids, op2_decontaminate, op3_url_lists, op4_html_text, op5_neighbours, op6_byte_bpe, op7_chat, op8_substring_dedup, op9_simhash, op10_toxicity)}
-ORACLES: dict[str, str] = {"op3_url_lists": url_inputs.ORACLE, "op7_chat": chat.ORACLE}
+    op1_token_ids, op2_decontaminate, op3_url_lists, op4_html_text, op5_neighbours, op6_byte_bpe, op7_chat, op8_substring_dedup, op9_simhash, op10_toxicity,
+    op12_prefix_trie)}
+ORACLES: dict[str, str] = {"op3_url_lists": url_inputs.ORACLE, "op7_chat": chat.ORACLE, "op12_prefix_trie": trie.ORACLE}
 
 
 def queries():
