@@ -41,10 +41,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut, safe from lost executors."""
+    return spool_to(df, name)[0]
+
+
+def spool_to(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As :func:`spool`, with the path, for a caller that removes it once a later table replaces it."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a spooled table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def partitions(spark: SparkSession) -> int:

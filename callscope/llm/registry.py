@@ -11,6 +11,7 @@ from callscope.llm import (
     decontaminate,
     html_text,
     neighbours,
+    phrases,
     simhash,
     substring_dedup,
     token_ids,
@@ -86,6 +87,11 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_phrases(spark, sf_dir):
+    """The best 2,000 phrases of each language by their weakest cut."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark, sf_dir):
     """All nodes of the prefix trie of the rebuilt conversations."""
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
@@ -93,8 +99,8 @@ def op12_prefix_trie(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_token_ids, op2_decontaminate, op3_url_lists, op4_html_text, op5_neighbours, op6_byte_bpe, op7_chat, op8_substring_dedup, op9_simhash, op10_toxicity,
-    op12_prefix_trie)}
-ORACLES: dict[str, str] = {"op3_url_lists": url_inputs.ORACLE, "op7_chat": chat.ORACLE, "op12_prefix_trie": trie.ORACLE}
+    op11_phrases, op12_prefix_trie)}
+ORACLES: dict[str, str] = {"op3_url_lists": url_inputs.ORACLE, "op7_chat": chat.ORACLE, "op11_phrases": phrases.ORACLE, "op12_prefix_trie": trie.ORACLE}
 
 
 def queries():
