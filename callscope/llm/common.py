@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +60,30 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bitmap(keys: DataFrame, bits_each: int = 16, most: int = 1 << 28) -> np.ndarray:
+    """A bitmap of at most ``most`` bits (32 MB) of the hashes in column ``h``, made of Spark's bitmap rows."""
+    row = 1 << 15
+    bits = min(most, max(row, 1 << max(0, keys.count() * bits_each - 1).bit_length()))
+    place = keys.select((F.col("h").bitwiseAND(F.lit(bits - 1)) + 1).alias("place"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in place.groupBy(F.expr("bitmap_bucket_number(place)").alias("row")).agg(
+            F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("found")).collect():
+        out[(r.row - 1) * row // 8 : r.row * row // 8] = np.frombuffer(r.found, np.uint8)[: row // 8]
+    return out
+
+
+def in_bitmap(spark: SparkSession, found: np.ndarray):
+    """A condition on a column of hashes: false only for those that the bitmap was not made of."""
+    sent = spark.sparkContext.broadcast(found)
+
+    @F.pandas_udf("boolean")
+    def known(hashes: pd.Series) -> pd.Series:
+        at = hashes.to_numpy().view(np.uint64) & np.uint64(len(sent.value) * 8 - 1)
+        return pd.Series((sent.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+
+    return known
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,6 +12,7 @@ from callscope.llm import (
     html_text,
     neighbours,
     phrases,
+    shingle_join,
     simhash,
     substring_dedup,
     token_ids,
@@ -97,9 +98,14 @@ def op12_prefix_trie(spark, sf_dir):
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_shingle_join(spark, sf_dir):
+    """Size of every document's shingle set and the class that similar sets make."""
+    return shingle_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_ids, op2_decontaminate, op3_url_lists, op4_html_text, op5_neighbours, op6_byte_bpe, op7_chat, op8_substring_dedup, op9_simhash, op10_toxicity,
-    op11_phrases, op12_prefix_trie)}
+    op11_phrases, op12_prefix_trie, op13_shingle_join)}
 ORACLES: dict[str, str] = {"op3_url_lists": url_inputs.ORACLE, "op7_chat": chat.ORACLE, "op11_phrases": phrases.ORACLE, "op12_prefix_trie": trie.ORACLE}
 
 
