@@ -9,22 +9,36 @@ from callscope.llm.substring_dedup import drop_repeated_units, units
 SEP = {"line": r"\n+", "paragraph": r"\n[^\S\n]*\n\s*", "sentence": r"[.!?]+\s+|\n+"}
 
 
+def plain_runs(sizes, least):
+    """(first, last) of the shortest runs of at least ``least`` words that begin or end with each unit."""
+    out = set()
+    for k in range(len(sizes)):
+        out |= {min(((k, e) for e in range(k, len(sizes)) if sum(sizes[k : e + 1]) >= least), default=None)}
+        out |= {max(((s, k) for s in range(k + 1) if sum(sizes[s : k + 1]) >= least), default=None)}
+    return sorted(out - {None}, key=lambda r: (r[1], r[0]))
+
+
 def plain(texts, by="sentence", least=10):
-    """Texts without white space, after one pass in order."""
-    seen = set()
+    """Texts without white space, after one pass in order: a run that stood before goes, whatever became of it there."""
+    before = set()
     for text in texts:
-        out, at, run = [], 0, []
-        cuts = [m.end() for m in re.finditer(SEP[by], text or "")] + [len(text or "")]
-        for end in cuts:
-            words = re.findall(r"\w+", (text or "")[at:end].lower())
-            run = [words] if len(words) >= least else [*run, words]
-            key = tuple(map(tuple, run)) if words and sum(map(len, run)) >= least else None
-            if key is None or key not in seen:
-                out.append((text or "")[at:end])
-                if key:
-                    seen.add(key)
-            at = end
-        yield "".join("".join(out).split())
+        text = text or ""
+        cuts = [0, *(m.end() for m in re.finditer(SEP[by], text)), len(text)]
+        parts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        said = [(k, w) for k, p in enumerate(parts) if (w := tuple(re.findall(r"\w+", p.lower())))]
+        own, gone = {}, set()
+        for first, last in plain_runs([len(w) for _, w in said], least):
+            key = tuple(w for _, w in said[first : last + 1])
+            if key in before:
+                gone |= set(range(first, last + 1))
+            elif key in own:
+                gone |= set(range(max(first, own[key] + 1), last + 1))
+            else:
+                own[key] = last
+        before |= own.keys()
+        gone = {said[k][0] for k in gone}
+        # units without words between units that go stay as they are
+        yield "".join("".join(p for k, p in enumerate(parts) if k not in gone).split())
 
 
 LONG = "This sentence has rather more than ten words in it, so it counts."
@@ -34,7 +48,7 @@ OTHER = "Another one of many words follows here and is kept for some time."
 @pytest.mark.parametrize("by", ["line", "paragraph", "sentence"])
 def test_edge_rows(spark, by):
     texts = [None, "", "\n\n", LONG, f"Begin. {LONG} Short tail. End", f"{OTHER} {LONG}\nnext line\n\n{LONG.upper()}\n\nlast", f"{LONG}  Short tail. {OTHER}\n{OTHER}",
-             "short\nshort\nshort", f"{LONG} Short tail. No repeat of it.", (OTHER + "\n") * 3000, LONG]
+             "short\nshort\nshort", f"{LONG} Short tail. No repeat of it.", (OTHER + "\n") * 300, LONG]
     rows = list(enumerate(texts, 1))
     docs = spark.createDataFrame([(i, t, len(t or ""), "x") for i, t in rows], "doc_id long, text string, n_chars long, removed string")
     got = drop_repeated_units(docs, by=by).orderBy("doc_id").collect()
