@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from callscope.functions.predicates import parse_since, ts_literal, utc_now, with_time_window
 from callscope.schema import CALL_COLUMNS, CALLS
+from callscope.sources.ids import IdIndex
 
 
 _STORE = T.StructType([*CALLS.fields, T.StructField("call_date", T.DateType())])
@@ -81,20 +82,27 @@ def dedupe_batch(batch: DataFrame) -> DataFrame:
 def append_calls(batch: DataFrame, path: str) -> int:
     """A2: insert calls; an id already stored, on whatever day, or repeated in the batch is not inserted again.
 
-    An anti-join on the id alone against the store's ids (only that column of
-    the files is read). The new rows are persisted once, counted and written;
-    returns their number. A batch that is replayed adds nothing.
+    The store's id index (``sources/ids.py``) tells which ids are stored, so a micro-batch reads a
+    few row groups of it and nothing of the store. The new rows are persisted once, counted and
+    written, then indexed; returns their number. A batch that is replayed adds nothing, also after
+    an append that broke off between the two (its mark makes the next one index what was written).
+    One writer at a time.
     """
     spark = batch.sparkSession
-    new = dedupe_batch(batch.select(*CALL_COLUMNS)).withColumn("call_date", F.to_date("call_ts"))
-    if _exists(spark, path):
-        new = new.join(spark.read.schema(_STORE).parquet(path).select("id"), "id", "left_anti")
-    new = new.select(*CALL_COLUMNS, "call_date").persist()
+    index = IdIndex(spark, path)
+    index.recover(spark.read.schema(_STORE).parquet(path) if _exists(spark, path) else None)
+    cutoff = read_cutoff(spark, path)
+    new = dedupe_batch(batch.select(*CALL_COLUMNS)).withColumn("call_date", F.to_date("call_ts")).persist()
+    fresh = index.unseen(new, cutoff.date() if cutoff else None).select(*CALL_COLUMNS, "call_date").persist()
     try:
-        n = new.count()
+        n = fresh.count()
         if n:
-            new.hint("rebalance", "call_date").write.mode("append").partitionBy("call_date").parquet(path)
+            mark = index.begin()
+            fresh.hint("rebalance", "call_date").write.mode("append").partitionBy("call_date").parquet(path)
+            index.add(fresh.select("id", "call_date"), n)
+            index.end(mark)
     finally:
+        fresh.unpersist()
         new.unpersist()
     return n
 
