@@ -45,7 +45,9 @@ def normalize(text: Column) -> Column:
     """lower-case, drop combining marks (a decomposed accent splits no word), then fold Latin diacritics."""
     a, b = diacritic_fold_table()
     # characters that have no counterpart are dropped: one pass folds and strips
-    return F.translate(F.lower(text), a + combining_marks(), b)
+    low = F.lower(text)
+    # a text of ASCII only (as many bytes as characters) has nothing to fold
+    return F.when(F.octet_length(text) == F.char_length(text), low).otherwise(F.translate(low, a + combining_marks(), b))
 
 
 def tokens(text: Column) -> Column:

@@ -1,10 +1,9 @@
 """Full-text phrase search with BM25 ranking.
 
-Index: one row per token occurrence ``(id, col, pos, token)`` plus a
-per-row length table ``(id, doc_len)``. Persisted indexes are hash-bucketed
-by token (``bucket = pmod(xxhash64(token), B)``, one parquet partition per
-bucket, files sorted by token), so a query reads only the buckets of its
-terms and parquet min/max stats skip the rest.
+Index in memory: one row per token occurrence ``(id, col, pos, token)`` plus a
+per-row length table ``(id, doc_len)``. Written indexes (``search_index.py``) have
+one row per token and record with its positions, hash-bucketed by token
+(``bucket = pmod(xxhash64(token), B)``), so a query reads only the buckets of its terms.
 
 Query semantics: the query splits on whitespace; each piece is a phrase
 (its tokens must be adjacent, in order, within one column); a row matches
@@ -12,7 +11,7 @@ when it contains every phrase. Rank = -BM25 (k1 = 1.2, b = 0.75), summed
 over phrases, idf = ln((N - n + 0.5) / (n + 0.5)) floored at 1e-6; lower
 rank is better.
 
-Phrase matching uses position alignment instead of a chain of self-joins:
+Phrase matching in memory uses position alignment instead of a chain of self-joins:
 a hit of term ``t`` (term number ``j``) at position ``p`` votes for a phrase
 start ``p - j``; a start with as many votes as the phrase has terms is an
 occurrence. That is one filter, one broadcast join with the tiny query
@@ -63,50 +62,55 @@ def corpus_stats(lengths: DataFrame) -> tuple[int, float]:
     return int(r["n"] or 0), float(r["t"] or 0.0)
 
 
+def postings(df: DataFrame, id_col: str = "id", columns=INDEXED_CALL_COLUMNS) -> DataFrame:
+    """Positional postings, one row per token and record: ``token``, ``id``, ``tf``, ``positions``, ``doc_len``, ``lead``.
+
+    A position is the column's number in the upper 32 bits and the token's place in the lower, so
+    neighbours in one column are neighbours in number and a phrase is an intersection of shifted
+    arrays. Every column is tokenised once and each record's tokens are sorted and cut into runs
+    within its row; nothing is shuffled. ``lead`` marks one row per record that has tokens.
+    """
+    def placed(k, c):
+        return F.transform(tokens(F.col(c)), lambda t, i: F.struct(t.alias("t"), (i.cast("long") + F.lit(k << 32)).alias("p")))
+
+    occ = F.flatten(F.array(*[placed(k, c) for k, c in enumerate(columns)]))
+    rows = df.select(F.col(id_col).alias("id"), F.sort_array(occ).alias("s")).withColumn("n", F.size("s"))
+    starts = F.when(F.col("n") > 0, F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (i == 1) | (
+        F.element_at("s", i)["t"] != F.element_at("s", F.greatest(i - 1, F.lit(1)))["t"])))
+    rows = rows.withColumn("starts", starts)
+    runs = F.transform("starts", lambda a, j: F.struct(
+        F.element_at("s", a)["t"].alias("token"),
+        F.slice("s", a, F.coalesce(F.get("starts", j + 1), F.col("n") + 1) - a)["p"].alias("positions"), (j == 0).alias("lead")))
+    # an outer explode: of a plain one Spark infers a filter that would tokenise a second time
+    rows = rows.select("id", F.col("n").cast("long").alias("doc_len"), F.explode_outer(runs).alias("x"))
+    return rows.where("x is not null").select("x.token", "id", F.size("x.positions").alias("tf"), "x.positions", "doc_len", "x.lead")
+
+
 def write_index(df: DataFrame, path: str, id_col: str = "id", columns=INDEXED_CALL_COLUMNS,
                 buckets: int = DEFAULT_BUCKETS) -> tuple[str, str]:
-    """Build and persist the index (bucketed by token) and the length table.
+    """Build and persist an index anew, as the only segment of the one at ``path``.
 
-    One narrow pass makes the token arrays; every posting carries its row's
-    token count (``doc_len``), so ranking needs no join with the length
-    table. That table (from each row's first posting, ``lead``) has every
-    row, also those without tokens.
-    Returns (index_path, lengths_path).
+    Returns (index_path, lengths_path), for ``read_index`` and ``read_stats``.
     """
-    per_col = F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("toks")) for c in columns])
-    length = F.aggregate("x", F.lit(0).cast("long"), lambda n, x: n + F.size(x["toks"]))
-    rows = df.select(F.col(id_col).alias("id"), per_col.alias("x")).withColumn("doc_len", length)
-    begins = F.try_element_at(F.filter("x", lambda x: F.size(x["toks"]) > 0), F.lit(1))["col"]
-    idx = (rows.select("id", "doc_len", begins.alias("begins"), F.explode("x").alias("x"))
-           .select("id", "doc_len", "begins", F.col("x.col").alias("col"), F.posexplode("x.toks").alias("pos", "token"))
-           .withColumn("lead", (F.col("pos") == 0) & (F.col("col") == F.col("begins"))).drop("begins")
-           .withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))))
-    ipath, lpath = f"{path}/tokens", f"{path}/lengths"
-    # rebalance (not a plain repartition): AQE splits a bucket that holds a very
-    # frequent token over several tasks/files instead of one oversized task
-    (idx.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "id", "col", "pos")
-     .write.mode("overwrite").partitionBy("bucket").parquet(ipath))
-    spark = df.sparkSession
-    wordless = F.lit(True)
-    for c in columns:  # stops at a text's first letter or digit
-        wordless = wordless & ~F.coalesce(F.col(c).rlike(r"[\p{L}\p{N}]"), F.lit(False))
-    leads = spark.read.parquet(ipath).where("lead").select("id", "doc_len")
-    empty = df.where(wordless).select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("doc_len"))
-    leads.unionByName(empty).write.mode("overwrite").parquet(lpath)
-    n_rows, total = corpus_stats(spark.read.parquet(lpath))
-    spark.createDataFrame([(n_rows, total, int(buckets))], "n_rows long, total_tokens double, buckets int") \
-        .write.mode("overwrite").parquet(f"{path}/stats")
-    return ipath, lpath
+    from callscope.operators.search_index import SearchIndex
+
+    SearchIndex(df.sparkSession, path, id_col, columns, buckets).replace(df)
+    return f"{path}/postings", f"{path}/lengths"
 
 
 def read_index(spark: SparkSession, ipath: str, lpath: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(ipath), spark.read.parquet(lpath)
+    """(postings, lengths) of all segments of a persisted index."""
+    from callscope.operators.search_index import SearchIndex
+
+    index = SearchIndex(spark, ipath.rsplit("/", 1)[0])
+    return index.postings(), index.lengths()
 
 
 def read_stats(spark: SparkSession, ipath: str) -> tuple[int, float, int]:
-    """(row count, total tokens, bucket count) stored with a persisted index."""
-    r = spark.read.parquet(ipath.rsplit("/", 1)[0] + "/stats").first()
-    return int(r["n_rows"] or 0), float(r["total_tokens"] or 0.0), int(r["buckets"])
+    """(row count, total tokens, bucket count) of a persisted index."""
+    from callscope.operators.search_index import SearchIndex
+
+    return SearchIndex(spark, ipath.rsplit("/", 1)[0]).stats()
 
 
 def index_backfill(df: DataFrame, indexed: DataFrame, id_col: str = "id",
@@ -172,10 +176,27 @@ def phrase_hits(index: DataFrame, phrases: list[list[str]], buckets: int | None
 
 def phrase_match(index: DataFrame, phrases: list[list[str]], buckets: int | None = None) -> DataFrame:
     """Per row and phrase, the number of occurrences ``tf`` (and ``doc_len`` where the index has it)."""
+    if "positions" in index.columns:
+        return _positional_match(index, phrases, buckets)
     length = [F.first("doc_len").alias("doc_len")] if "doc_len" in index.columns else []
     return phrase_hits(index, phrases, buckets).groupBy("id", "phrase").agg(F.count(F.lit(1)).alias("tf"), *length)
 
 
+def _positional_match(index: DataFrame, phrases: list[list[str]], buckets: int | None) -> DataFrame:
+    """Matches by positional postings: a one-token phrase is its posting, a longer one the intersection of its tokens' shifted positions."""
+    terms = sorted({t for p in phrases for t in p})
+    cand = _restrict_buckets(index, terms, buckets).where(F.col("token").isin(terms)).join(F.broadcast(_query_table(index.sparkSession, phrases)), "token")
+    one = cand.where("plen = 1").select("id", "phrase", F.col("tf").cast("long").alias("tf"), "doc_len")
+    if all(len(p) == 1 for p in phrases):
+        return one
+    shifted = F.transform("positions", lambda p: p - F.col("term_no").cast("long")).alias("starts")
+    more = cand.where("plen > 1").select("id", "phrase", "plen", "doc_len", shifted).groupBy("id", "phrase").agg(
+        F.collect_list("starts").alias("all"), F.first("plen").alias("plen"), F.first("doc_len").alias("doc_len")).where("size(all) = plen")
+    starts = F.aggregate(F.slice("all", 2, F.col("plen")), F.get("all", F.lit(0)), F.array_intersect)
+    more = more.select("id", "phrase", F.size(starts).cast("long").alias("tf"), "doc_len").where("tf > 0")
+    return more if all(len(p) > 1 for p in phrases) else one.unionByName(more)
+
+
 def bm25_scores(index: DataFrame, lengths: DataFrame, query: str,
                 stats: tuple | None = None) -> DataFrame:
     """Every row matching all phrases with its BM25 ``rank`` (more negative = better).

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callscope.operators import search as se
+from callscope.operators.search_index import SearchIndex
 from callscope.plans.catalog import calls, register
+from callscope.session import scratch_dir
 from callscope.sources.fixtures import read_table
 
 DOC_COLS = ["text"]
@@ -166,3 +168,37 @@ def q_search_join(spark, sf):
     idx, lens = se.token_index(c), se.doc_lengths(c)
     out = se.search(c, idx, lens, "claude anthropic", 100)
     return out.withColumn("rank", round_double(F.col("rank")))
+
+
+def _grown_index(spark, sf):
+    """A written index that grew by three batches; the second and third also bring records that it already has."""
+    d = _docs(spark, sf)
+    index = SearchIndex(spark, scratch_dir(spark, "segments"), "doc_id", DOC_COLS, 16)
+    for batch in (d.where("lang = 'en'"), d.where("lang in ('en', 'de')"), d):
+        index.add(batch)
+    return index
+
+
+@register("segment_postings", f"""SELECT token, id, count(*) AS tf, min(pos) AS first_pos, max(pos) AS last_pos
+  FROM ({_DOC_INDEX}) GROUP BY token, id""", calls_cte=False)
+def q_segment_postings(spark, sf):
+    """Positional postings of an index that grew by batches, all segments read as one."""
+    return _grown_index(spark, sf).postings().select(
+        "token", "id", F.col("tf").cast("long").alias("tf"), F.get("positions", F.lit(0)).alias("first_pos"),
+        F.get("positions", F.col("tf") - 1).alias("last_pos"))
+
+
+@register("segment_search", f"""WITH s AS ({_bm25_sql(_DOC_INDEX, _DOC_LENGTHS, DOC_QUERY)}),
+  top AS (SELECT * FROM s ORDER BY rank, id LIMIT 20)
+  SELECT d.doc_id, d.lang, d.source, round(top.rank, 9) AS rank FROM documents d JOIN top ON d.doc_id = top.id""",
+          calls_cte=False)
+def q_segment_search(spark, sf):
+    """E3 over the segments of a grown index: phrases by intersection of positions."""
+    return _grown_index(spark, sf).search(_docs(spark, sf), DOC_QUERY, 20).select("doc_id", "lang", "source", "rank")
+
+
+@register("segment_topk", f"""SELECT id, round(exact, 9) AS rank FROM (
+  SELECT id, rank AS exact FROM ({_bm25_sql(_DOC_INDEX, _DOC_LENGTHS, "the")}) ORDER BY exact, id LIMIT 100)""", calls_cte=False)
+def q_segment_topk(spark, sf):
+    """Best 100 hits of a frequent word; only impact blocks that can hold one of them are read."""
+    return _grown_index(spark, sf).top("the", 100)
