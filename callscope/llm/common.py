@@ -18,6 +18,8 @@ from callscope.session import checkpoint_root
 
 #: Rows and bytes that go to a Python worker at once, so that a batch of long texts stays small.
 ARROW_ROWS, ARROW_BYTES = 1024, 8 << 20
+#: Bits of one row of Spark's bitmap functions.
+BITMAP_ROW = 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,15 +62,18 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def bitmap(keys: DataFrame, bits_each: int = 16, most: int = 1 << 28) -> np.ndarray:
-    """A bitmap of at most ``most`` bits (32 MB) of the hashes in column ``h``, made of Spark's bitmap rows."""
-    row = 1 << 15
-    bits = min(most, max(row, 1 << max(0, keys.count() * bits_each - 1).bit_length()))
-    place = keys.select((F.col("h").bitwiseAND(F.lit(bits - 1)) + 1).alias("place"))
+def bitmap_bits(keys: int, each: int = 16, most: int = 1 << 28) -> int:
+    """Bits of a bitmap for so many keys: a power of two, at most ``most`` (32 MB)."""
+    return min(most, max(BITMAP_ROW, 1 << max(0, keys * each - 1).bit_length()))
+
+
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap (bytes, least bit first) of the hashes in column ``h``, made of Spark's bitmap rows."""
+    place = hashes.select((F.col("h").bitwiseAND(F.lit(bits - 1)) + 1).alias("place"))
     out = np.zeros(bits // 8, np.uint8)
     for r in place.groupBy(F.expr("bitmap_bucket_number(place)").alias("row")).agg(
             F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("found")).collect():
-        out[(r.row - 1) * row // 8 : r.row * row // 8] = np.frombuffer(r.found, np.uint8)[: row // 8]
+        out[(r.row - 1) * BITMAP_ROW // 8 : r.row * BITMAP_ROW // 8] = np.frombuffer(r.found, np.uint8)[: BITMAP_ROW // 8]
     return out
 
 

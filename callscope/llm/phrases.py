@@ -7,31 +7,31 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from callscope.llm.common import prepare, remove_path, shared_path, spool, spool_to
+from callscope.llm.common import bitmap, prepare, remove_path, shared_path, spool, spool_to
 
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 #: A candidate goes if a longer one holds it at least this often, in percent of its own count.
 COVERED = 100
 #: Shards of the corpus (a full cycle scans each once), words meant for a block, bytes of a text that are split at once.
-SHARDS, BLOCK_WORDS, SLICE = 3, 1 << 21, 1 << 22
-#: Bits of a filter for each phrase in it, and the most bits that a filter may take (32 MB).
-FILTER_BITS, MAX_BITS = 32, 1 << 28
-#: Bits of one row of Spark's bitmap functions.
-BUCKET = 1 << 15
+SHARDS, BLOCK_WORDS, SLICE = 3, 1 << 20, 1 << 22
+#: Least and most slots (of one byte) of the table of known phrases.
+LEAST_SLOTS, MOST_SLOTS = 1 << 15, 1 << 26
 
 _BREAK = b"."
 _BREAKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", _BREAK * 10)
 _TOKEN = re.compile(rb"[^\x20\x09.]+|\.")
 _SPACE = re.compile(rb"[\x20\x09.]")
 _BLOCK = "shard int, lang string, n long, words binary, ids binary"
-_COUNT = "lang string, phrase binary, k int, h long, d long"
+_COUNT = "lang string, phrase binary, done int, f long"
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,80 +106,71 @@ def _mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class Filter:
-    """Bitmaps of phrase hashes: those known to be frequent, and of them the young, whose extensions are still counted."""
+def _word_hashes(lang: str, words: list[bytes]) -> list[int]:
+    prefix = lang.encode(errors="surrogatepass") + b"\x00"
+    return [xxhash.xxh64_intdigest(prefix + w) for w in words]
+
+
+@F.pandas_udf(T.LongType())
+def _phrase_hashes(langs: pd.Series, phrases: pd.Series) -> pd.Series:
+    out = []
+    for lang, phrase in zip(langs, phrases, strict=True):
+        h, *rest = (np.array([x], np.uint64) for x in _word_hashes(lang, bytes(phrase).split(b" ")))
+        for word in rest:
+            h = _mixed(h, word)
+        out.append(h[0])
+    return pd.Series(np.array(out, np.uint64).view(np.int64))
 
-    def __init__(self, rows: list, bits: int):
-        self.bits = bits
-        self.known, self.young = (np.zeros(bits // 8, np.uint8) for _ in range(2))
-        for r in rows:
-            a = (r.bucket - 1) * BUCKET // 8
-            for name in ("known", "young"):
-                if r[name] is not None:
-                    got = np.frombuffer(r[name], np.uint8)[: BUCKET // 8]
-                    getattr(self, name)[a : a + len(got)] = got[: self.bits // 8 - a]
 
-    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = h & np.uint64(self.bits - 1)
-        byte, bit = (at >> np.uint64(3)).astype(np.int64), (at & np.uint64(7)).astype(np.uint8)
-        return (self.known[byte] >> bit & 1).astype(bool), (self.young[byte] >> bit & 1).astype(bool)
+def _look(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The step in which a phrase of each hash's slot was first known; 0: none is."""
+    return table[(h & np.uint64(len(table) - 1)).astype(np.int64)]
 
 
-def _count(lang: str, words: bytes, ids: bytes, singles: bool, found: Filter) -> Iterator[pa.RecordBatch]:
-    """Counts in one block of its words (if ``singles``) and of every phrase whose two subphrases are known and not both old."""
+def _count(lang: str, words: bytes, ids: bytes, step: int, shards: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts in one block: of its words in the first cycle, and of every phrase in the cycle after its subphrases were known."""
     vocab = [b"", *words.split(b" ")] if words else [b""]
     signed = np.frombuffer(ids, "<i4")
-    x, start = np.abs(signed).astype(np.int64), signed > 0
-    prefix = lang.encode(errors="surrogatepass") + b"\x00"
-    hashes = np.array([0, *(xxhash.xxh64_intdigest(prefix + w) for w in vocab[1:])], np.uint64)
+    x, start = np.abs(signed), signed > 0
+    hashes = np.array([0, *_word_hashes(lang, vocab[1:])], np.uint64)
     names = pa.array(vocab, pa.binary())
 
-    def rows(k: int, phrases: pa.Array, h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(phrases: pa.Array, done: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(n), 1 << 16):
             b = min(len(n), a + (1 << 16))
             yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * (b - a), pa.string()), phrases[a:b], pa.array(np.full(b - a, k, np.int32)), pa.array(h[a:b].view(np.int64)), pa.array(n[a:b].astype(np.int64)),
-            ], names=["lang", "phrase", "k", "h", "d"])
+                pa.repeat(lang, b - a), phrases[a:b], pa.array(done[a:b].astype(np.int32)), pa.array(n[a:b].astype(np.int64)),
+            ], names=["lang", "phrase", "done", "f"])
 
-    if singles:
+    if step <= shards:
         n = np.bincount(x[start], minlength=len(vocab))
         used = np.flatnonzero(n)
-        yield from rows(1, names.take(pa.array(used)), hashes[used], n[used])
-    known, young = found.look(hashes)
-    known[0] = young[0] = False
-    known, young, h = known[x], young[x], hashes[x]
+        yield from rows(names.take(pa.array(used)), np.full(len(used), shards), n[used])
+    known = _look(table, hashes)
+    known[0] = 0
+    known, h = known[x], hashes[x]
     for k in range(2, LONGEST + 1):
-        both = known[:-1] & known[1:]
-        at = np.flatnonzero(both)
+        at = np.flatnonzero((known[:-1] > 0) & (known[1:] > 0))
         if not len(at):
             return
         made = _mixed(h[at], hashes[x[at + k - 1]])
-        count = (young[at] | young[at + 1]) & start[at]
+        since = np.maximum(known[at], known[at + 1])
+        done = since.astype(np.int32) + shards
+        count = (done >= step) & start[at]
         p = at[count]
         if len(p):
-            key = x[p]
+            key = x[p].astype(np.int64)
             for j in range(1, k):
                 if j > 1:
                     key = np.unique(key, return_inverse=True)[1]
                 key = key * len(vocab) + x[p + j]
             _, first, n = np.unique(key, return_index=True, return_counts=True)
             where = p[first]
-            yield from rows(k, pc.binary_join_element_wise(*(names.take(pa.array(x[where + j])) for j in range(k)), b" "), made[count][first], n)
-        h = np.zeros(len(both), np.uint64)
-        known, young = np.zeros(len(both), bool), np.zeros(len(both), bool)
-        h[at] = made
-        known[at], young[at] = found.look(made)
-
-
-def _filter(state: DataFrame, known: int, oldest: int) -> Filter:
-    """The filter of all frequent phrases of ``state`` (``known`` of them); the young are those found in step ``oldest`` or later."""
-    bits = min(MAX_BITS, max(BUCKET, 1 << max(0, known * FILTER_BITS - 1).bit_length()))
-    place = (F.col("h").bitwiseAND(F.lit(bits - 1)) + 1).alias("place")
-    marks = state.where(f"reach is not null and k < {LONGEST}").select(place, (F.col("reach") >= oldest).alias("young")).groupBy(
-        F.expr("bitmap_bucket_number(place)").alias("bucket")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("known"),
-        F.expr("bitmap_construct_agg(bitmap_bit_position(place)) filter (where young)").alias("young"))
-    return Filter(marks.collect(), bits)
+            phrases = pc.binary_join_element_wise(*(names.take(pa.array(x[where + j])) for j in range(k)), b" ")
+            yield from rows(phrases, done[count][first], n)
+        slot = _look(table, made)
+        known, h = np.zeros(len(known) - 1, np.uint8), np.zeros(len(known) - 1, np.uint64)
+        known[at], h[at] = np.where(slot > 0, np.maximum(slot, since), 0), made  # seen only once its own parts are
 
 
 def count_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
@@ -188,59 +179,56 @@ def count_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     Step t scans shard t mod ``SHARDS``. It counts words in the first cycle, and a longer phrase
     from the step after both its subphrases (all words but the last, all but the first) are known
     to be frequent, for one full cycle. A phrase becomes known in the step in which its counts so
-    far reach ``min_count``; lengths therefore overlap in time, and the scans end when no phrase is
-    young enough to have extensions that are still counted.
-
-    The count of a phrase in a shard is one number, kept by shard: that a filter's false hit makes a
-    block count a phrase early or twice changes nothing. The filter is a bitmap of at most
-    ``MAX_BITS`` bits, whatever the corpus holds; a full one lets more phrases through, none less.
-    A row of a running count whose phrase was not met in a whole cycle is complete: it is dropped
-    unless frequent.
+    far reach ``min_count``; lengths therefore overlap in time, and the scans end when no phrase was
+    known so late that an extension's cycle is still open.
+
+    Tasks look known phrases up in a table of at most ``MOST_SLOTS`` bytes, whatever the corpus
+    holds: a slot has the step in which the first phrase of that slot was known, and keeps it. A
+    phrase counts as known since the latest step in its own slot and those of its parts, so its
+    extensions' cycles depend on words alone. Where slots are shared a cycle opens too early, but
+    it always is a full one, so counts are exact. A phrase whose cycle is over without enough
+    occurrences is dropped from the running counts.
     """
     spark = docs.sparkSession
     prepare(spark)
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang")
     texts = docs.select(lang, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
     path = shared_path(spark, "phrase-blocks")
+    shards = SHARDS
     texts.mapInArrow(_blocks, _BLOCK).write.partitionBy("shard").parquet(path)
     blocks = spark.read.schema("lang string, n long, words binary, ids binary, shard int").parquet(path)
     total = spool(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+    most = total.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // min_count * 4  # frequent phrases of any one length, times four
+    table = np.zeros(min(MOST_SLOTS, max(LEAST_SLOTS, 1 << int(most).bit_length())), np.uint8)
 
-    shards = [f"c{i}" for i in range(SHARDS)]
-    state, old = None, None
-    found, step, known = Filter([], BUCKET), 0, 0
+    state, old, step, latest = None, None, 0, 0
     while True:
         step += 1
-        at = step % SHARDS
-        sent, singles = spark.sparkContext.broadcast(found), step <= SHARDS
+        sent = spark.sparkContext.broadcast(table)
 
-        def scan(batches, sent=sent, singles=singles):
+        def scan(batches, sent=sent, step=step):
             for batch in batches:
                 for i in range(batch.num_rows):
-                    yield from _count(*(batch[c][i].as_py() for c in ("lang", "words", "ids")), singles, sent.value)
+                    yield from _count(*(batch[c][i].as_py() for c in ("lang", "words", "ids")), step, shards, sent.value)
 
-        counts = blocks.where(F.col("shard") == at).select("lang", "words", "ids").mapInArrow(scan, _COUNT)
-        empty = F.lit(None).cast("long")
-        rows = counts.select("lang", "phrase", "k", "h", "d", *[empty.alias(c) for c in shards], F.lit(None).cast("int").alias("reach"), F.lit(step).alias("met"))
+        rows = blocks.where(F.col("shard") == step % shards).select("lang", "words", "ids").mapInArrow(scan, _COUNT).withColumn("reach", F.lit(None).cast("int"))
         if state is not None:
-            rows = rows.union(state.select("lang", "phrase", "k", "h", empty.alias("d"), *shards, "reach", "met"))
-        merged = rows.groupBy("lang", "phrase").agg(*[F.max(c).alias(c) for c in ("k", "h", *shards, "reach", "met")], F.sum("d").alias("d"))
-        merged = merged.withColumn(shards[at], F.greatest(shards[at], "d"))
-        so_far = sum((F.coalesce(F.col(c), F.lit(0)) for c in shards), F.lit(0))
-        merged = merged.withColumn("reach", F.coalesce("reach", F.when(so_far >= min_count, F.lit(step))))
-        complete = (F.lit(step) - F.col("met") >= SHARDS) | ((F.col("k") == 1) & F.lit(step >= SHARDS))
-        merged = merged.where(F.col("reach").isNotNull() | ~complete).select("lang", "phrase", "k", "h", *shards, "reach", "met")
-        state, now = spool_to(merged, "phrase-counts")
+            rows = rows.union(state)
+        merged = rows.groupBy("lang", "phrase").agg(F.max("done").alias("done"), F.sum("f").alias("f"), F.max("reach").alias("reach"))
+        merged = merged.withColumn("reach", F.coalesce("reach", F.when(F.col("f") >= min_count, F.lit(step))))
+        state, now = spool_to(merged.where((F.col("f") >= min_count) | (F.col("done") > step)), "phrase-counts")
         if old:
             remove_path(spark, old)
         old = now
         sent.destroy()
-        oldest = step + 1 - SHARDS
-        known, young = state.where("reach is not null").agg(F.count(F.lit(1)), F.count(F.when((F.col("k") < LONGEST) & (F.col("reach") >= oldest), 1))).first()
-        if step >= SHARDS and not young:
+        short = F.size(F.split(F.col("phrase").cast("string"), " ")) < LONGEST
+        new = bitmap(state.where((F.col("reach") == step) & short).select(_phrase_hashes("lang", "phrase").alias("h")), len(table))
+        latest = step if new.any() else latest
+        table[np.unpackbits(new, bitorder="little", count=len(table)).view(bool) & (table == 0)] = min(step, 255 - shards)
+        if step >= shards and latest <= step - shards:
             break
-        found = _filter(state, known, oldest)
-    return state.where("reach is not null").select("lang", "phrase", "k", so_far.alias("f")).join(total, "lang")
+    return state.where("reach is not null").select(
+        "lang", "phrase", F.size(F.split(F.col("phrase").cast("string"), " ")).alias("k"), "f").join(total, "lang")
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_count: int = MIN_COUNT, top: int = TOP) -> DataFrame:
