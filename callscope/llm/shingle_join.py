@@ -12,9 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.llm.common import bitmap, components, in_bitmap, partitions, prepare, row_key, spool
+from callscope.llm.common import bitmap, bitmap_bits, components, in_bitmap, partitions, prepare, row_key, spool
 
 SHINGLE, PERCENT = 4, 85
+#: Linked sets share at least this part of a set's size, in percent, in their prefixes; rounds that drop sets which share less.
+CORE, ROUNDS = 3, 3
 #: Sets and shingles meant for a unit of work, shingles for a bin of small families, and sets of a leaf.
 UNIT_SETS, UNIT_SHINGLES, BIN_SHINGLES, LEAF = 4096, 4 << 20, 1 << 20, 16
 #: Sets that every unit of a large family holds, so that most links between units are found in the first round.
@@ -118,12 +120,12 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(sketch, hot: int):
-    """Each set's rarest shingles, of which it shares at least one with every set that it links to."""
+    """Each set's rarest shingles: any two sets that link share at least ``CORE`` % of the smaller one's size, plus one, of them."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sketch.value, set()
         for batch in batches:
-            found, nodes, deals = [], [], []
+            found, nodes, sizes, deals = [], [], [], []
             for text in batch["text"].to_pylist():
                 h = shingles(text)
                 digest = xxhash.xxh3_128_digest(h.tobytes())
@@ -132,13 +134,14 @@ def _prefixes(sketch, hot: int):
                 if len(seen) < MEMO:
                     seen.add(digest)
                 often = counts[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
-                rare = np.lexsort((h, often))[: len(h) - _least(len(h)) + 1]
+                rare = np.lexsort((h, often))[: len(h) - _least(len(h)) + 1 + CORE * len(h) // 100]
                 node = int(np.uint64(xxhash.xxh64_intdigest(digest, 42)).view(np.int64))  # Spark's xxhash64
                 found.append(h[rare].view(np.int64))
                 nodes.append(np.full(len(rare), node, np.int64))
+                sizes.append(np.full(len(rare), len(h), np.int32))
                 deals.append(np.where(often[rare] >= hot, node % DEALS, -1).astype(np.int32))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, nodes, deals)], names=["shingle", "node", "deal"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, nodes, sizes, deals)], names=["shingle", "node", "n", "deal"])
 
     return prefixes
 
@@ -260,50 +263,67 @@ def _between(key, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _families(docs: DataFrame, text, sketch) -> DataFrame:
-    """``node``, ``family``: sets (by half of their digest) that are connected through shared rare shingles."""
-    pairs = docs.select(text).mapInArrow(_prefixes(sketch, HOT), "shingle long, node long, deal int")
-    pairs = pairs.repartition("shingle", "deal").distinct()
-    heads = spool(pairs.withColumn("head", F.min("node").over(Window.partitionBy("shingle", "deal"))).where("node != head or deal >= 0"), "join-heads")
-    dealt = heads.where("deal >= 0").groupBy("shingle", "deal").agg(F.min("head").alias("head"))
-    tops = dealt.join(dealt.groupBy("shingle").agg(F.min("head").alias("top")), "shingle").select("head", "top")
-    return components(heads.select(F.col("node").alias("a"), F.col("head").alias("b")).union(tops), "join-families").select("node", F.col("root").alias("family"))
+    """``node``, ``family``: sets (by a hash of their digest) that are connected through shared rare shingles.
+
+    A set stays only while it shares enough shingles with sets of a size that could link: fewer
+    than any link has cannot be one, and what a set alone still shares with one that went is shared
+    no more. So chance matches of a few shingles connect no families. A shingle so frequent that
+    its group is dealt over tasks counts as shared.
+    """
+    place = Window.partitionBy("shingle", "deal").orderBy("n", "node")
+    near_before, near_after = (100 * F.lag("n").over(place) >= PERCENT * F.col("n")), (100 * F.col("n") >= PERCENT * F.lead("n").over(place))
+
+    def shared(rows, name):
+        rows = rows.withColumns({"before": F.when(near_before, F.lag("node").over(place)), "after": near_after, "head": F.first("node").over(place)})
+        return spool(rows.where("before is not null or after or deal >= 0"), name)
+
+    pairs = docs.select(text).mapInArrow(_prefixes(sketch, HOT), "shingle long, node long, n int, deal int")
+    rows = shared(pairs.repartition("shingle", "deal").distinct(), "join-shared")
+    for _ in range(ROUNDS):
+        enough = rows.groupBy("node", "n").agg(F.count(F.lit(1)).alias("had")).where(f"had > floor(n * {CORE * PERCENT} / 10000)").select("node")
+        rows = shared(rows.select("shingle", "node", "n", "deal").join(enough, "node", "left_semi"), "join-shared")
+    chain = rows.where("before is not null").select(F.col("node").alias("a"), F.col("before").alias("b"))
+    dealt = rows.where("deal >= 0")
+    heads = dealt.groupBy("shingle", "deal").agg(F.min("head").alias("head"))
+    tops = heads.join(heads.groupBy("shingle").agg(F.min("head").alias("top")), "shingle").select("head", "top")
+    edges = chain.union(dealt.select("node", "head")).union(tops)
+    return components(edges, "join-families").select("node", F.col("root").alias("family"))
+
+
+def _units(chosen: DataFrame) -> DataFrame:
+    """``chosen`` (``family``, ``cls``, ``n`` and more) with the number of its family's sets and units, and its unit's key (``home``, ``unit``)."""
+    size = chosen.groupBy("family").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")).select(
+        "family", "sets", "shingles", F.greatest(F.lit(1), F.ceil(F.col("sets") / UNIT_SETS), F.ceil(F.col("shingles") / UNIT_SHINGLES)).alias("units"))
+    size = spool(size, "join-sizes")
+    small = size.where("units = 1").agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0]
+    bins = max(partitions(chosen.sparkSession), -(-small // BIN_SHINGLES))
+    large = F.col("units") > 1
+    return chosen.join(size.drop("shingles"), "family").withColumns({
+        "home": F.when(large, F.col("family")),
+        "unit": F.when(large, F.pmod(F.xxhash64("cls"), "units")).otherwise(F.pmod(F.xxhash64("family"), F.lit(bins)))})
 
 
 def _links(sets: DataFrame) -> DataFrame:
-    """All links (as far as classes need them) among ``sets``: ``family``, ``cls``, ``n``, ``text``."""
-    spark = sets.sparkSession
-    size = spool(sets.groupBy("family").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")).select(
-        "family", F.greatest(F.lit(1), F.ceil(F.col("sets") / UNIT_SETS), F.ceil(F.col("shingles") / UNIT_SHINGLES)).alias("units"), "sets", "shingles"), "join-sizes")
-    small = size.where("units = 1").agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0]
-    bins = max(partitions(spark), -(-small // BIN_SHINGLES))
-    known = sets.join(size, "family")
-    large = spool(known.where("units > 1").withColumn("unit", F.pmod(F.xxhash64("cls"), "units")), "join-large")
-
-    def work(rows, home, unit):
-        return rows.select(home.alias("home"), unit.alias("unit"), "family", "cls", "text")
-
-    units = F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1))
-    pivots = large.where(F.pmod(F.xxhash64(F.lit(1), "cls"), "sets") < PIVOTS)
-    first = work(known.where("units = 1"), F.lit(None).cast("long"), F.pmod(F.xxhash64("family"), F.lit(bins))).union(
-        work(large, F.col("family"), F.col("unit"))).union(work(pivots, F.col("family"), units))
-    edges = spool(first.groupBy("home", "unit").applyInPandas(_within, "a binary, b binary"), "join-within")
+    """All links (as far as classes need them) among ``sets``: ``family``, ``cls``, ``n``, ``text`` and what :func:`_units` adds."""
+    work = ["home", "unit", "family", "cls", "text"]
+    large = sets.where("home is not null")
+    units = F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1)).alias("unit")
+    pivots = large.where(F.pmod(F.xxhash64(F.lit(1), "cls"), "sets") < PIVOTS).select("home", units, "family", "cls", "text")
+    edges = spool(sets.select(*work).union(pivots).groupBy("home", "unit").applyInPandas(_within, "a binary, b binary"), "join-within")
     if large.isEmpty():
         return edges
     label = components(edges, "join-first").select(F.col("node").alias("cls"), F.col("root").alias("label"))
-    marked = spool(large.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "join-marked")
+    marked = large.select("family", "unit", "units", "cls", "n").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    marked = spool(marked, "join-marked")
     main = marked.groupBy("family", "label").count().groupBy("family").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     others = marked.join(main, "family").where("label != main")
     chunks = others.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / UNIT_SETS), F.ceil(F.sum("n") / UNIT_SHINGLES)).alias("chunks"))
     others = others.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64(F.lit(2), "cls"), "chunks"))
-
-    def side(rows, k):
-        return rows.select("family", "unit", "chunk", F.lit(k).alias("side"), "cls", "label", "text")
-
-    upto = [F.sequence(F.lit(0).cast("long"), F.col(c) - 1) for c in ("units", "chunks")]
-    pairs = side(marked.join(chunks, "family").withColumn("chunk", F.explode(upto[1])), 0).union(
-        side(others.drop("unit").withColumn("unit", F.explode(upto[0])), 1))
-    more = spool(pairs.groupBy("family", "unit", "chunk").applyInPandas(_between, "a binary, b binary"), "join-between")
-    return edges.union(more)
+    each = [F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)) for c in ("units", "chunks")]
+    pairs = marked.join(chunks, "family").select("family", "unit", each[1].alias("chunk"), F.lit(0).alias("side"), "cls", "label").union(
+        others.select("family", each[0].alias("unit"), "chunk", F.lit(1).alias("side"), "cls", "label"))
+    texts = pairs.join(large.select("cls", "text"), "cls")
+    return edges.union(spool(texts.groupBy("family", "unit", "chunk").applyInPandas(_between, "a binary, b binary"), "join-between"))
 
 
 def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,7 +337,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     1. Every row gets the size and a 128-bit digest of its set. A sketch of fixed size counts
        shingles, which puts the frequent ones last; this order decides on work alone, not on links.
-    2. Sets that link share one of their rarest (100 - ``PERCENT``) % shingles, plus one. Sets
+    2. Sets that link share several of their rarest (100 - ``PERCENT`` + ``CORE``) % shingles. Sets
        connected by such shingles are a family; most sets have none.
     3. The sets of a family are joined by signature trees in one task, many small families in each.
        A family beyond ``UNIT_SETS`` or ``UNIT_SHINGLES`` is dealt over units that share pivot sets;
@@ -338,10 +358,12 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent.destroy()
 
     classes = spool(profiles.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"), F.min(F.struct("_k1", "_k2")).alias("key"), F.first("n").alias("n")), "join-classes")
-    chosen = spool(classes.select("cls", "n", "key._k1", "key._k2", F.xxhash64("cls").alias("node")).join(families, "node").select("family", "cls", "n", "_k1", "_k2"), "join-chosen")
-    keep = in_bitmap(spark, bitmap(chosen.select(F.col("_k1").alias("h"))))
-    texts = docs.select(text, *row_key(docs)).where(keep("_k1")).join(chosen, ["_k1", "_k2"])
-    sets = spool(texts.groupBy("family", "cls", "n").agg(F.max("text").alias("text")), "join-sets")
+    chosen = classes.select("cls", "n", "key._k1", "key._k2", F.xxhash64("cls").alias("node")).join(families, "node").select("family", "cls", "n", "_k1", "_k2")
+    chosen = spool(_units(spool(chosen, "join-chosen")), "join-units")
+    # only rows that may be chosen are shuffled with their text; equal rows share their key, so one of them is kept
+    keep = in_bitmap(spark, bitmap(chosen.select(F.col("_k1").alias("h")), bitmap_bits(chosen.count())))
+    texts = docs.select(text, *row_key(docs)).where(keep("_k1")).join(chosen, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
+    sets = spool(texts.drop("_k1", "_k2"), "join-sets")
     roots = components(_links(sets), "join-links")
     named = classes.join(roots, classes.cls == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = spool(named, "join-named")
