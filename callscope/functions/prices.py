@@ -10,6 +10,9 @@ matching rule in rank order wins; no match means the fallback price.
 
 from __future__ import annotations
 
+import json
+
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,6 +150,9 @@ COMPOUND_PRICE_RULES = {
     "jamba + -mini": (["jamba", "-mini"], []),
 }
 
+#: Override keys up to which a CASE chain is compiled; a longer list is looked up by hash.
+CHAIN_KEYS = 50
+
 # Price used when no rule matches (marks a model as unknown).
 FALLBACK_PRICE = (1.00, 3.00)
 
@@ -232,15 +238,50 @@ def bundled_price_arrays() -> tuple[Column, Column]:
 
 
 def override_expr(model: Column, overrides: dict[str, tuple[float, float]] | None) -> Column | None:
-    """Price struct of the matching override (exact, else the longest contained; ties by pattern text), NULL without a match."""
-    chain = None
+    """Price struct of the matching override (exact, else the longest contained; ties by pattern text), NULL without a match.
+
+    Few keys are a CASE chain; a price list of many is looked up in a hash table.
+    """
     ov = overrides or {}
+    if len(ov) > CHAIN_KEYS:
+        return override_lookup(model, ov)
+    chain = None
     for k, test in [*((k, model == F.lit(k)) for k in ov), *((k, model.contains(k)) for k in sorted(ov, key=lambda x: (-len(x), x)))]:
         price = _price_struct(*ov[k], "override")
         chain = F.when(test, price) if chain is None else chain.when(test, price)
     return chain
 
 
+def override_lookup(model: Column, overrides: dict[str, tuple[float, float]]) -> Column:
+    """As :func:`override_expr`, by looking the model's substrings up in a hash table of the keys.
+
+    The table is one constant: an array of buckets, a key's place being ``pmod(xxhash64(key), size)``.
+    Only substrings as long as some key are looked up, so the work per row grows with the model's
+    length and the number of different key lengths, not with the number of keys. An exact match is
+    the longest substring there is.
+    """
+    size = 1 << (2 * len(overrides)).bit_length()
+    buckets: list[list[dict]] = [[] for _ in range(size)]
+    for k, (pin, pout) in overrides.items():
+        h = xxhash.xxh64_intdigest(k.encode(), seed=42)  # Spark's xxhash64; its sign bit does not count in a power of two
+        buckets[h % size].append({"k": k, "i": float(pin), "o": float(pout)})
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<k:string,i:double,o:double>>>")
+    lengths = F.array(*[F.lit(n) for n in sorted({len(k) for k in overrides}, reverse=True)])
+
+    def found(text):
+        own = F.element_at(table, (F.pmod(F.xxhash64(text), F.lit(size)) + 1).cast("int"))
+        return F.filter(own, lambda e: e["k"] == text)
+
+    def of_length(n):
+        starts = F.when(F.length(model) >= n, F.sequence(F.lit(1), F.length(model) - n + 1))
+        return F.flatten(F.transform(starts, lambda i: found(F.substring(model, i, n))))
+
+    best = F.get(F.filter(F.transform(lengths, of_length), lambda hits: F.size(hits) > 0), F.lit(0))
+    one = F.element_at(F.transform(F.array(F.array_min(best)), lambda e: F.when(e.isNotNull(), F.struct(
+        e["i"].alias("input_per_mtok"), e["o"].alias("output_per_mtok"), F.lit("override").alias("source")))), 1)
+    return one
+
+
 def _price_struct(pin, pout, source: str) -> Column:
     return F.struct(F.lit(float(pin)).alias("input_per_mtok"), F.lit(float(pout)).alias("output_per_mtok"), F.lit(source).alias("source"))
 

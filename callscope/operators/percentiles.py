@@ -44,9 +44,16 @@ def exact_percentiles(df: DataFrame, value: str, by: Sequence[str] = (),
     vtype = df.schema[value].dataType
     if not isinstance(vtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         raise TypeError(f"exact_percentiles needs an integral column, got {vtype}")
-    hist = (df.where(F.col(value).isNotNull())
-            .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-            .withColumn("_b", F.shiftright(F.col(value).cast("long"), BUCKET_BITS)))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    return histogram_percentiles(counts, value, keys, ps, prefix, with_count)
+
+
+def histogram_percentiles(counts: DataFrame, value: str, by: Sequence[str] = (), ps: Sequence[int] = DEFAULT_PS,
+                          prefix: str = "p", with_count: bool = False) -> DataFrame:
+    """``exact_percentiles`` of a value histogram: ``by`` columns, ``value`` and its count ``_c``, one row each."""
+    keys = list(by)
+    vtype = counts.schema[value].dataType
+    hist = counts.withColumn("_b", F.shiftright(F.col(value).cast("long"), BUCKET_BITS))
     # level 2: coarse buckets with running counts
     part = Window.partitionBy(*keys) if keys else Window.partitionBy()
     coarse = hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
@@ -105,7 +112,10 @@ def token_percentiles(df: DataFrame, since=None) -> DataFrame:
         F.struct(F.lit("input").alias("kind"), F.col("input_tokens").alias("v")),
         F.struct(F.lit("output").alias("kind"), F.coalesce("output_tokens", F.lit(0)).alias("v")),
     )).alias("x")).select("x.kind", "x.v")
-    pct = exact_percentiles(long, "v", by=["kind"])
-    row = pct.agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col(f"p{p}"))), F.lit(0)).alias(f"{k}_p{p}")
+    return pivot_tokens(exact_percentiles(long, "v", by=["kind"]))
+
+
+def pivot_tokens(pct: DataFrame) -> DataFrame:
+    """One row of the percentiles by ``kind`` (input, output); zeros where a kind has none."""
+    return pct.agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col(f"p{p}"))), F.lit(0)).alias(f"{k}_p{p}")
                     for k in ("input", "output") for p in DEFAULT_PS])
-    return row

@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.functions.prices import (
+    CHAIN_KEYS,
     FALLBACK_PRICE,
     bundled_price_arrays,
     bundled_prices,
     matched_rank,
     override_expr,
+    override_lookup,
     rule_matches,
 )
 from callscope.schema import OVERRIDES
@@ -38,21 +40,32 @@ def with_price(df: DataFrame, overrides: dict | None = None,
 
     Column expressions: no job runs while the plan is built, nothing is joined
     or shuffled, and batch and streaming rows are priced alike. The rule's rank
-    is a column of its own, so it is evaluated once a row.
+    and the override are columns of their own, so each is evaluated once a row.
+    With a price list of many keys, a batch has its distinct models priced and
+    joined back (one row a model; Spark broadcasts them if they are few).
     """
-    rank, pin, pout, source = "_price_rank", "_price_in", "_price_out", "_price_source"
+    if overrides and len(overrides) > CHAIN_KEYS and not df.isStreaming:
+        priced = _with_price(df.select(F.col("model").alias("_priced_model")).distinct().withColumn("model", F.col("_priced_model")), overrides, default, out)
+        return df.join(priced.drop("model"), F.col("model").eqNullSafe(F.col("_priced_model")), "left").drop("_priced_model")
+    return _with_price(df, overrides, default, out)
+
+
+def _with_price(df: DataFrame, overrides: dict | None, default: tuple[float, float] | None, out: str) -> DataFrame:
+    rank, pin, pout, source, given = "_price_rank", "_price_in", "_price_out", "_price_source", "_price_own"
     fb = default or FALLBACK_PRICE
     ranked = df.withColumn(rank, matched_rank(F.col("model")))
     ins, outs = bundled_price_arrays()
     override = override_expr(F.col("model"), overrides)
-    own = lambda field: F.lit(None) if override is None else override[field]
+    if override is not None:
+        ranked = ranked.withColumn(given, override)
+    own = lambda field: F.lit(None) if override is None else F.col(given)[field]
     known = F.col(rank).isNotNull()
     priced = ranked.withColumns({
         pin: F.coalesce(own("input_per_mtok"), F.when(known, F.element_at(ins, F.col(rank) + 1)), F.lit(float(fb[0]))),
         pout: F.coalesce(own("output_per_mtok"), F.when(known, F.element_at(outs, F.col(rank) + 1)), F.lit(float(fb[1]))),
         source: F.coalesce(own("source"), F.when(known, F.lit("bundled")), F.lit("fallback"))})
     return priced.withColumn(out, F.struct(F.col(pin).alias("input_per_mtok"), F.col(pout).alias("output_per_mtok"), F.col(source).alias("source"))) \
-        .drop(rank, pin, pout, source)
+        .drop(rank, pin, pout, source, given)
 
 
 def with_simple_cost(df: DataFrame, overrides: dict | None = None,
@@ -114,13 +127,7 @@ def price_models(models: DataFrame, overrides: dict | None = None,
                .agg(F.min_by(F.struct("input_per_mtok", "output_per_mtok"), F.col("rank")).alias("b")))
     out = bundled
     if overrides:
-        ov = overrides_df(spark, overrides).withColumnRenamed("pattern", "opat")
-        # exact match beats containment; among contained keys the longest wins
-        hit = (m.join(ov, F.col("model").contains(F.col("opat")), "inner")
-               .groupBy("model")
-               .agg(F.max_by(F.struct("input_per_mtok", "output_per_mtok"),
-                             F.struct((F.col("model") == F.col("opat")).cast("int"),
-                                      F.length("opat"), F.col("opat"))).alias("o")))
+        hit = m.withColumn("o", override_lookup(F.col("model"), overrides))
         out = out.join(hit, "model", "left")
     else:
         out = out.withColumn("o", F.lit(None).cast("struct<input_per_mtok:double,output_per_mtok:double>"))

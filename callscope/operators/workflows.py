@@ -36,46 +36,51 @@ def workflow_timeline(df: DataFrame, workflow_id: str) -> DataFrame:
             .drop("_pid").orderBy("call_ts", "id"))
 
 
+#: Rows of the sample for each splitter of the global order.
+SAMPLED = 64
+
+
+def order_splitters(df: DataFrame, n: int) -> list[tuple]:
+    """At most ``n - 1`` (call_ts in microseconds, id) pairs that cut the rows, in that order, into slices of about equal size.
+
+    Quantiles of a sample chosen by a hash of the id, of about ``SAMPLED`` rows a slice whatever
+    the number of rows; splitters are of ids too, so that calls of one instant can be cut.
+    """
+    rows = df.count()
+    keep = max(1, rows // (n * SAMPLED))
+    sample = df.where(F.pmod(F.xxhash64("id", "call_ts"), F.lit(keep)) == 0).select(F.unix_micros("call_ts").alias("t"), "id").orderBy("t", "id").collect()
+    picked = [tuple(sample[len(sample) * k // n]) for k in range(1, n)] if sample else []
+    return sorted({p for p in picked if p[0] is not None and p[1] is not None})
+
+
+def _slice(splitters: list[tuple]):
+    """Number of the splitters at or before a row, by binary search in a constant array."""
+    if not splitters:
+        return F.lit(0)
+    at = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(i).alias("id")) for t, i in splitters])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(splitters).bit_length()))])
+    own = F.struct(F.unix_micros("call_ts").alias("t"), F.col("id").alias("id"))
+    return F.aggregate(steps, F.lit(0), lambda a, step: F.when(F.coalesce(F.get(at, a + step - 1) <= own, F.lit(False)), a + step).otherwise(a))
+
+
 def running_cost(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """cumulative cost (NULL as 0) in (call_ts, id) order.
 
-    Scales without a single-task global window:
-      1. range-partition on (call_ts, id) so partition k holds the k-th slice
-         of the global order (balanced by sampling, ties split by id);
-      2. per partition, sort and take a local cumulative sum (Arrow batches),
-         tagging rows with their partition id; this stage is checkpointed to
-         the shared checkpoint folder so ids and sums are fixed once even if
-         executors are lost or AQE re-plans a later read;
-      3. per-partition totals -> exclusive prefix offsets over N rows (tiny,
-         N = number of range partitions) -> broadcast back and add.
+    Scales without a global window in one task: literal splitters of the global order deal the rows
+    into slices, a window sums up within each slice, and the slices' totals (one row each, from an
+    aggregate of its own) give every slice what stands before it. The splitters are constants of
+    the plan, so a lost task is run again with the same slices; no row is checkpointed and none
+    leaves the JVM.
     """
-    from callscope.session import checkpoint_root
-
-    spark = df.sparkSession
-    checkpoint_root(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = 3 * (partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     base = df.select("id", "call_ts", "model", F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"))
-    ranged = base.repartitionByRange(n, "call_ts", "id").sortWithinPartitions("call_ts", "id")
-
-    def local_cum(batches):
-        carry = 0.0
-        for pdf in batches:
-            cum = pdf["cost_usd"].cumsum() + carry
-            if len(cum):
-                carry = float(cum.iloc[-1])
-            yield pdf.assign(_local=cum)
-
-    schema = "id string, call_ts timestamp, model string, cost_usd double, _local double"
-    local = (ranged.mapInPandas(local_cum, schema)
-             .withColumn("_pid", F.spark_partition_id())
-             .checkpoint(eager=True))
-    totals = local.groupBy("_pid").agg(F.max_by("_local", F.struct("call_ts", "id")).alias("_t"))
-    offsets = totals.select(
-        "_pid", F.coalesce(F.sum("_t").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0.0)).alias("_off"))
-    return (local.join(F.broadcast(offsets), "_pid", "left")
-            .select("id", "call_ts", "model", "cost_usd",
-                    (F.col("_local") + F.coalesce("_off", F.lit(0.0))).alias("cum_cost")))
+    sliced = base.withColumn("_slice", _slice(order_splitters(base, n)))
+    totals = sliced.groupBy("_slice").agg(F.sum("cost_usd").alias("_t"))
+    before = F.sum("_t").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select("_slice", F.coalesce(before, F.lit(0.0)).alias("_off"))
+    upto = Window.partitionBy("_slice").orderBy("call_ts", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = sliced.withColumn("_local", F.sum("cost_usd").over(upto))
+    return local.join(offsets, "_slice").select("id", "call_ts", "model", "cost_usd", (F.col("_local") + F.col("_off")).alias("cum_cost"))
 
 
 def workflow_gantt(df: DataFrame, workflow_id: str | None = None) -> DataFrame:

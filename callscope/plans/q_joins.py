@@ -76,6 +76,27 @@ def q_price_overrides(spark, sf):
     return pr.price_models(calls(spark, sf), OVERRIDES)
 
 
+#: A price list of community size: thousands of keys of other vendors, and some that real model names contain.
+PRICE_LIST = {f"vendor{i % 40}/series-{i}": (round(0.01 * (i % 700) + 0.01, 2), round(0.03 * (i % 900) + 0.02, 2)) for i in range(3000)} | OVERRIDES | {
+    "gpt-4o-mini": (0.11, 0.44), "claude-3": (2.1, 9.5), "llama-3.1-70b": (0.41, 0.61)}
+
+
+@register("price_list", _priced_sql(_DISTINCT_MODELS, PRICE_LIST))
+def q_price_list(spark, sf):
+    """A price list of 3,000 keys, looked up by hash of the model's substrings."""
+    return pr.price_models(calls(spark, sf), PRICE_LIST)
+
+
+@register("price_list_costs", f"""WITH p AS ({_priced_sql(_DISTINCT_MODELS, PRICE_LIST)})
+  SELECT c.id, c.model, p.source, CASE WHEN c.input_tokens IS NULL THEN NULL WHEN c.input_tokens < 0 OR coalesce(c.output_tokens, 0) < 0 THEN 0.0
+    ELSE (c.input_tokens * p.input_per_mtok + coalesce(c.output_tokens, 0) * p.output_per_mtok) / 1e6 END AS cost_usd
+  FROM calls c JOIN p USING (model)""", raw=True)
+def q_price_list_costs(spark, sf):
+    """C3 + H17: every call priced by the 3,000-key list (distinct models priced once and joined back)."""
+    c = calls(spark, sf).where(F.col("model").isNotNull())
+    return pr.with_price(pr.with_simple_cost(c, PRICE_LIST), PRICE_LIST).select("id", "model", F.col("_price.source").alias("source"), "cost_usd")
+
+
 @register("price_defaults", _priced_sql(_DISTINCT_MODELS, None, (0.5, 1.5)))
 def q_price_defaults(spark, sf):
     """C4: caller-supplied fallback price for unknown models."""

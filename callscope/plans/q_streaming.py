@@ -66,7 +66,7 @@ def q_stream_metrics(spark, sf):
     """Incrementally maintained call/token/cost counters."""
     out, ck = _dirs(spark, "metrics")
     lv.stream_metrics(_stream(spark, sf), out, ck, available_now=True).awaitTermination()
-    return spark.read.parquet(out)
+    return lv.read_snapshot(spark, out)["counts"]
 
 
 @register("budget_monitor")
@@ -144,7 +144,7 @@ def q_stream_metric_families(spark, sf):
     """All six metric families kept incrementally over arriving calls."""
     out, ck = _dirs(spark, "families")
     lv.stream_metric_families(_stream(spark, sf), out, ck, available_now=True).awaitTermination()
-    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    read = lv.read_snapshot(spark, out).__getitem__
     none = F.lit(None).cast("long")
     hist = [read(k).select(F.lit(k).alias("family"), F.col("model").alias("a"), F.col("le").alias("b"), "n", "sum", "count") for k in ("latency", "ttft")]
     rest = [read("agents").select(F.lit("agents"), "agent_name", F.lit(None).cast("string"), "n", none, none),
@@ -169,3 +169,37 @@ def q_watch_budget_periods(spark, sf):
         batch.write.mode("overwrite").parquet(out)
     lines.writeStream.outputMode("complete").foreachBatch(snap).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
+
+
+@register("running_spend", """SELECT id, call_ts, model, round(coalesce(cost_usd, 0.0), 9) AS cost_usd,
+  round(sum(coalesce(cost_usd, 0.0)) OVER (ORDER BY call_ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS cum_cost FROM calls""")
+def q_running_spend(spark, sf):
+    """I8: every tailed call with the cost so far; calls arrive in four files, in order of time."""
+    feed = scratch_dir(spark, "spend-feed")
+    c = calls(spark, sf).withColumn("call_date", F.to_date("call_ts"))
+    days = [None, "2024-01-08", "2024-01-15", "2024-01-22", None]
+    for a, b in zip(days, days[1:], strict=False):
+        part = c if a is None else c.where(F.col("call_date") >= F.lit(a).cast("date"))
+        part = part if b is None else part.where(F.col("call_date") < F.lit(b).cast("date"))
+        part.coalesce(1).write.mode("append").parquet(feed)
+    out, ck = _dirs(spark, "spend")
+    lv.running_spend(lv.calls_stream(spark, feed, 1), out, ck, available_now=True).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").drop("epoch")
+
+
+#: Minutes after AS_OF at which the clock is read; the alerts of the first, the fourth and the seventh are ten minutes apart or more.
+TICKS = (0, 4, 8, 12, 16, 20, 24)
+
+
+@register("budget_clock", f"""SELECT 'month' AS period, CAST(date_trunc('month', t) AS TIMESTAMP) AS period_start, 1.0::DOUBLE AS limit_usd, t AS alerted_at,
+  (SELECT round(sum(cost_usd), 9) FROM calls WHERE call_ts >= date_trunc('month', t) AND call_ts <= t) AS spent_usd
+  FROM (SELECT unnest([TIMESTAMP '{AS_OF}' + m * INTERVAL 1 MINUTE FOR m IN [0, 12, 24]]) AS t)""")
+def q_budget_clock(spark, sf):
+    """I4: the budget of the stored calls checked by the clock; alerts repeat after ten minutes without a new call."""
+    store, ticks = _store(spark, sf), scratch_dir(spark, "ticks")
+    for m in TICKS:
+        spark.range(1).select((F.lit(AS_OF).cast("timestamp") + F.make_interval(mins=F.lit(m))).alias("now")).coalesce(1).write.mode("append").parquet(ticks)
+    out, ck = _dirs(spark, "clock")
+    clock = spark.readStream.schema("now timestamp").option("maxFilesPerTrigger", 1).parquet(ticks)
+    lv.budget_clock(clock, lambda s, now: lv.store_spend(s, store, "month", now), 1.0, "month", out, ck, available_now=True).awaitTermination()
+    return spark.read.parquet(out).drop("epoch")

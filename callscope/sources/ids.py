@@ -122,9 +122,16 @@ class IdIndex:
     def end(self, mark: str) -> None:
         _delete(self.spark, mark)
 
+    def _marks(self) -> list[str]:
+        return [x for x in _children(self.spark, self.path) if _name(x).startswith("_append-")]
+
+    def broken(self) -> bool:
+        """Whether an append did not come to its end."""
+        return bool(self._marks())
+
     def recover(self, stored: DataFrame | None) -> None:
         """Index the calls of ``stored`` (None: no store) that have no entry, if there is no index yet or an append broke off."""
-        marks = [x for x in _children(self.spark, self.path) if _name(x).startswith("_append-")]
+        marks = self._marks()
         if self.exists() and not marks:
             return
         mark = self.begin()

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from callscope.functions.predicates import parse_since, ts_literal, utc_now, with_time_window
 from callscope.schema import CALL_COLUMNS, CALLS
+from callscope.sources.histograms import DayHistograms
 from callscope.sources.ids import IdIndex
 
 
@@ -86,11 +87,14 @@ def append_calls(batch: DataFrame, path: str) -> int:
     few row groups of it and nothing of the store. The new rows are persisted once, counted and
     written, then indexed; returns their number. A batch that is replayed adds nothing, also after
     an append that broke off between the two (its mark makes the next one index what was written).
-    One writer at a time.
+    Value histograms, where the store keeps them, count the new rows. One writer at a time.
     """
     spark = batch.sparkSession
-    index = IdIndex(spark, path)
-    index.recover(spark.read.schema(_STORE).parquet(path) if _exists(spark, path) else None)
+    index, histograms = IdIndex(spark, path), DayHistograms(spark, path)
+    stored = spark.read.schema(_STORE).parquet(path) if _exists(spark, path) else None
+    if index.broken() and histograms.exists():
+        histograms.create(stored)
+    index.recover(stored)
     cutoff = read_cutoff(spark, path)
     new = dedupe_batch(batch.select(*CALL_COLUMNS)).withColumn("call_date", F.to_date("call_ts")).persist()
     fresh = index.unseen(new, cutoff.date() if cutoff else None).select(*CALL_COLUMNS, "call_date").persist()
@@ -99,6 +103,8 @@ def append_calls(batch: DataFrame, path: str) -> int:
         if n:
             mark = index.begin()
             fresh.hint("rebalance", "call_date").write.mode("append").partitionBy("call_date").parquet(path)
+            if histograms.exists():
+                histograms.add(fresh)
             index.add(fresh.select("id", "call_date"), n)
             index.end(mark)
     finally:
