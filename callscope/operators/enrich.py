@@ -145,12 +145,12 @@ def _tool_json(tools: Column) -> Column:
 
 
 def sse_text_parts(events: Column) -> Column:
-    """H5, first half: struct(text, tool-call fragments, tool blocks), each built once.
+    """H5, first half: struct(text, tool-call fragments, marks of tool blocks), each built once.
 
     * text: ``choices[0].delta.content`` and ``delta.text`` concatenated in order;
     * first dialect: every tool-call fragment (index, name, argument piece);
     * second dialect: ``content_block_start`` of type tool_use opens a
-      block, ``input_json_delta`` fragments append to the latest block.
+      block, ``input_json_delta`` fragments belong to the latest block.
     """
     text = F.array_join(F.transform(events, lambda e: F.concat(
         F.coalesce(J.jstr(e, "$.choices[0].delta.content"), F.lit("")),
@@ -162,31 +162,32 @@ def sse_text_parts(events: Column) -> Column:
             J.jstr(tc, "$.function.name").alias("name"),
             J.jstr(tc, "$.function.arguments").alias("args"))),
         F.array().cast("array<struct<idx:bigint,name:string,args:string>>"))))
-    empty_blocks = F.array().cast("array<struct<name:string,args:string>>")
-
-    def fold(acc, e):
-        is_start = ((J.jstr(e, "$.type") == "content_block_start")
-                    & (J.jstr(e, "$.content_block.type") == "tool_use")
-                    & J.jstr(e, "$.content_block.name").isNotNull())
-        frag = J.jstr(e, "$.delta.partial_json")
-        is_delta = ((J.jstr(e, "$.type") == "content_block_delta")
-                    & (J.jstr(e, "$.delta.type") == "input_json_delta") & frag.isNotNull() & (F.size(acc) > 0))
-        last = F.try_element_at(acc, F.size(acc))
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1),
-                         F.array(F.struct(last["name"].alias("name"), F.concat(last["args"], frag).alias("args"))))
-        opened = F.concat(acc, F.array(F.struct(J.jstr(e, "$.content_block.name").alias("name"),
-                                                F.lit("").alias("args"))))
-        return F.when(F.coalesce(is_start, F.lit(False)), opened).when(F.coalesce(is_delta, F.lit(False)), grown) \
-            .otherwise(acc)
-    ant = F.aggregate(events, empty_blocks, fold)
-    return F.struct(text.alias("text"), tcs.alias("tcs"), ant.alias("ant"))
+    def mark(e):
+        opens = ((J.jstr(e, "$.type") == "content_block_start") & (J.jstr(e, "$.content_block.type") == "tool_use"))
+        piece = ((J.jstr(e, "$.type") == "content_block_delta") & (J.jstr(e, "$.delta.type") == "input_json_delta"))
+        return F.struct(F.when(opens, J.jstr(e, "$.content_block.name")).alias("name"),
+                        F.when(piece, J.jstr(e, "$.delta.partial_json")).alias("piece"))
+
+    marks = F.filter(F.transform(events, mark), lambda m: m["name"].isNotNull() | m["piece"].isNotNull())
+    return F.struct(text.alias("text"), tcs.alias("tcs"), marks.alias("marks"))
+
+
+def _blocks(marks: Column) -> Column:
+    """Second-dialect tool blocks: each start with the pieces up to the next one, joined once (pieces before the first start are dropped)."""
+    n = F.size(marks)
+    starts = F.when(n > 0, F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(marks, i)["name"].isNotNull())).otherwise(
+        F.array().cast("array<int>"))
+    # a start is zipped with the next one; behind the last there is none
+    return F.zip_with(starts, F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), lambda a, b: F.struct(
+        F.element_at(marks, a)["name"].alias("name"),
+        F.array_join(F.slice(marks, a + 1, F.coalesce(b, n + 1) - a - 1)["piece"], "").alias("args")))
 
 
 def sse_text_final(parts: Column) -> Column:
     """H5, second half: text wins, else first-dialect tools by ascending index (first
     non-empty name, fragments concatenated), else second-dialect blocks; '' if nothing.
     Arguments are embedded as JSON when they parse, else as a string."""
-    tcs = parts["tcs"]
+    tcs, blocks = parts["tcs"], _blocks(parts["marks"])
     idxs = F.array_sort(F.array_distinct(F.transform(tcs, lambda t: t["idx"])))
     oai = F.transform(idxs, lambda k: F.struct(
         F.coalesce(F.try_element_at(F.filter(tcs, lambda t: (t["idx"] == k) & t["name"].isNotNull()
@@ -195,7 +196,7 @@ def sse_text_final(parts: Column) -> Column:
                                  lambda t: t["args"]), "").alias("args")))
     return (F.when(F.length(parts["text"]) > 0, parts["text"])
             .when(F.size(tcs) > 0, _tool_json(oai))
-            .when(F.size(parts["ant"]) > 0, _tool_json(parts["ant"]))
+            .when(F.size(blocks) > 0, _tool_json(blocks))
             .otherwise(F.lit("")))
 
 

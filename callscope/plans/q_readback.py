@@ -12,7 +12,7 @@ from callscope.operators import enrich as en
 from callscope.operators import prompts as pm
 from callscope.plans.catalog import AS_OF, calls, register
 from callscope.plans.exchange_oracle import model_sql, stream_sql, with_ex, with_sse
-from callscope.plans.q_enrich import _HASHED, _ex, enriched, stored_calls
+from callscope.plans.q_enrich import _HASHED, _SSE_TEXT, _TOOL_ARGS, _TOOL_NAME, _ex, enriched, stored_calls
 from callscope.plans.q_streaming import _dirs, _stream
 from callscope.session import scratch_dir
 from callscope.sources import exports as ex
@@ -228,3 +228,31 @@ def q_budget_alerts(spark, sf):
     out, ck = _dirs(spark, "budget-alerts")
     lv.budget_monitor(_stream(spark, sf), 1.0, "month", out, ck, as_of=AS_OF, available_now=True).awaitTermination()
     return spark.read.parquet(out).groupBy("period", "period_start", "limit_usd").agg(F.count(F.lit(1)).alias("alerts"), F.bool_and(F.col("spent_usd") >= F.col("limit_usd")).alias("reached"))
+
+
+# streams are logged in chunks of 64 characters; those within the limit are a prefix
+_STREAM_SIZES = """raw AS (SELECT exchange_id, CASE WHEN conv_id % 2 = 0 THEN ': keep-alive' || chr(10) || chr(10) ELSE '' END
+      || array_to_string(events, chr(10) || chr(10)) || chr(10) || chr(10) AS s FROM sse1),
+  cuts AS (SELECT exchange_id, i, octet_length(encode(parts[i])) AS n FROM (SELECT exchange_id, regexp_extract_all(s, '(?s).{1,64}') AS parts FROM raw), generate_series(1, len(parts)) g(i)),
+  summed AS (SELECT exchange_id, sum(n) OVER (PARTITION BY exchange_id ORDER BY i) AS upto FROM cuts),
+  sizes AS (SELECT exchange_id, max(upto) AS whole, coalesce(max(upto) FILTER (WHERE upto <= 700), 0) AS taken FROM summed GROUP BY exchange_id)"""
+_STREAM_BODY = f"""CASE WHEN length({_SSE_TEXT}) > 0 THEN {_SSE_TEXT}
+  WHEN {_TOOL_NAME} IS NOT NULL THEN '[{{"arguments":' || json({_TOOL_ARGS})::VARCHAR || ',"name":"' || {_TOOL_NAME} || '"}}]' END"""
+
+
+@register("body_limits_stored", f"""{with_sse('SELECT * FROM (WITH ' + _STREAM_SIZES)}, texts AS (SELECT exchange_id, {_STREAM_BODY} AS body FROM sse),
+  kept AS (SELECT exchange_id, failed, stream AND NOT failed AND NOT non_llm AS streamed, response_body {_KEPT}
+    AND octet_length(encode(replace(coalesce(request_body, ''), '"system":null,', ''))) <= 4000)
+  SELECT k.exchange_id AS id, CASE WHEN k.failed THEN NULL
+    WHEN k.streamed THEN CASE WHEN whole > 700 THEN '[stream left out: over the limit after ' || taken || ' bytes]'
+      WHEN octet_length(encode(body)) > 300 THEN '[stream text left out: limit 300 bytes, ' || octet_length(encode(body)) || ' in all]' END
+    WHEN octet_length(encode(k.response_body)) > 600 THEN '[body of ' || octet_length(encode(k.response_body)) || ' bytes left out: limit 600 bytes]' END AS marker,
+    CASE WHEN k.failed THEN NULL WHEN k.streamed THEN CASE WHEN whole <= 700 AND octet_length(encode(body)) <= 300 THEN octet_length(encode(body)) END
+      WHEN octet_length(encode(k.response_body)) <= 600 THEN octet_length(encode(k.response_body)) END AS n_bytes
+  FROM kept k LEFT JOIN sizes USING (exchange_id) LEFT JOIN texts USING (exchange_id))""", calls_cte=False)
+def q_body_limits_stored(spark, sf):
+    """Which exchanges small size limits keep, and the marker or the size of each stored response."""
+    lim = en.Limits(max_request=4000, max_stored_response=600, max_accumulation=700, max_stored_stream=300)
+    body = F.col("response_body")
+    marked = body.rlike(r"^\[(body of|stream|stream text) .*left out: .*\]$")
+    return enriched(spark, sf, limits=lim).select("id", F.when(marked, body).alias("marker"), F.when(~marked, F.octet_length(body)).alias("n_bytes"))
