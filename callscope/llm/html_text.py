@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from callscope.llm.common import prepare
 
 #: The most pages (and characters of one) that the labeller is trained on, and made layouts.
-TRAIN_PAGES, TRAIN_CHARS, LAYOUTS = 160, 100_000, 480
+TRAIN_PAGES, TRAIN_CHARS, LAYOUTS = 160, 100_000, 720
 PATH, WORDS, MEASURES, HIDDEN = 128, 32, 10, 24
+#: Blocks of a page from which it is labelled by itself, a run of blocks at a time.
+LONG = 8192
 WIDTH = PATH + 48 + WORDS + MEASURES
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)>|<[!?/][^>]*>""", re.S)
@@ -148,8 +150,9 @@ def _slot(word: str, size: int, salt: int) -> int:
     return known
 
 
-def block_vectors(blocks: list[tuple[Path | tuple[str, ...], str, float]]) -> np.ndarray:
-    """One row for each block: path names, the last element's names, words, measures."""
+def block_vectors(blocks: list[tuple[Path | tuple[str, ...], str, float]], first: int = 0, total: int | None = None) -> np.ndarray:
+    """One row for each block: path names, the last element's names, words, measures; ``first`` blocks of ``total`` stand before them."""
+    total = total or len(blocks)
     x = np.zeros((len(blocks), WIDTH), np.float32)
     for i, (path, text, links) in enumerate(blocks):
         row = x[i]
@@ -163,7 +166,7 @@ def block_vectors(blocks: list[tuple[Path | tuple[str, ...], str, float]]) -> np
         n = len(text)
         row[at + WORDS :] = (min(1.0, np.log1p(n) / 8), min(1.0, np.log1p(len(words)) / 6), links, min(1.0, n / len(words) / 12),
                              (text.count(",") + text.count(".")) / len(words), text[-1] in ".!?", "©" in text or "·" in text, text[0].isupper(),
-                             i / len(blocks), 1 / len(blocks))
+                             (first + i) / total, 1 / total)
     return x
 
 
@@ -183,9 +186,10 @@ class BiLstm:
         self.p["o"] = random.normal(0, 0.3, 2 * HIDDEN).astype(np.float32)
         self.p["ob"] = np.zeros(1, np.float32)
 
-    def _direction(self, x, on, d):
+    def _direction(self, x, on, d, train=True, state=None):
+        """States of one direction, what the gradients need of each step (when training), and the last state."""
         steps, rows = x.shape[:2]
-        h, c = np.zeros((rows, HIDDEN), np.float32), np.zeros((rows, HIDDEN), np.float32)
+        h, c = state or (np.zeros((rows, HIDDEN), np.float32), np.zeros((rows, HIDDEN), np.float32))
         u, z0, keep = self.p["U" + d], x @ self.p["W" + d] + self.p["c" + d], []
         states = np.zeros((steps, rows, HIDDEN), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
@@ -196,14 +200,15 @@ class BiLstm:
             c_new = np.where(live, f * c + i * n, c)
             tanh = np.tanh(c_new)
             h_new = np.where(live, o * tanh, h)
-            keep.append((t, i, f, o, n, c, tanh, h))
+            if train:
+                keep.append((t, i, f, o, n, c, tanh, h))
             h, c = h_new, c_new
             states[t] = h
-        return states, keep
+        return states, keep, (h, c)
 
     def logits(self, x, on, train=False):
         """Logit of each block of padded pages (steps, pages, WIDTH)."""
-        (hf, kf), (hb, kb) = self._direction(x, on, "f"), self._direction(x, on, "b")
+        (hf, kf, _), (hb, kb, _) = self._direction(x, on, "f", train), self._direction(x, on, "b", train)
         both = np.concatenate([hf, hb], 2)
         z = both @ self.p["o"] + self.p["ob"][0]
         return (z, both, kf, kb) if train else z
@@ -261,6 +266,20 @@ class BiLstm:
         return out
 
 
+    def label_long(self, blocks: list[tuple[Path, str, float]], step: int = 4096) -> np.ndarray:
+        """As ``label`` for one page of any length: a run of blocks at a time is made into vectors, forwards and then backwards."""
+        n = len(blocks)
+        z = np.full(n, self.p["ob"][0], np.float32)
+        starts = range(0, n, step)
+        for d, part, order in (("f", slice(0, HIDDEN), starts), ("b", slice(HIDDEN, 2 * HIDDEN), reversed(starts))):
+            state = None
+            for a in order:
+                x = block_vectors(blocks[a : a + step], a, n)[:, None]
+                h, _, state = self._direction(x, np.ones(x.shape[:2], bool), d, False, state)
+                z[a : a + step] += h[:, 0] @ self.p["o"][part]
+        return z > 0
+
+
 def _padded(xs, ys=None):
     steps = max(len(x) for x in xs)
     x, on, y = np.zeros((steps, len(xs), WIDTH), np.float32), np.zeros((steps, len(xs)), bool), np.zeros((steps, len(xs)), np.float32)
@@ -285,19 +304,54 @@ def marked(path: Path | tuple[str, ...]) -> bool | None:
     return not path.aside and not path.form
 
 
+def _own_names(random) -> list[str]:
+    """Own names of a site's parts: syllables that say nothing."""
+    return ["." + "".join(_SYLLABLES[int(random.integers(len(_SYLLABLES)))] for _ in range(int(random.integers(2, 4)))) for _ in range(6)]
+
+
+def _other_words(random, texts: list[str], links: list[str]) -> tuple[list[str], list[str]]:
+    """A page's sentences and links: the given ones, or others (of made words, or of words of the parts beside articles),
+    so that the labeller trusts markup, measures and neighbours more than the words that it happens to be trained with."""
+    kind = random.random()
+    if kind < 0.4:
+        return texts, links
+    if kind < 0.7:
+        pool = ["".join(_SYLLABLES[k] for k in random.integers(len(_SYLLABLES), size=random.integers(1, 4))) for _ in range(60)]
+    else:
+        pool = [w.strip(".,!?©·").lower() or "a" for own in _TEXTS.values() for t in own for w in t.split()]
+
+    def said(a, b, end):
+        return (" ".join(pool[k] for k in random.integers(len(pool), size=random.integers(a, b))) + end).capitalize()
+
+    return [said(4, 60, pick_end) for pick_end in [".", ".", ".", "?", ""] * 8], [said(1, 4, "") for _ in range(12)]
+
+
+_SYLLABLES = "ka lo mi ru te sa ve no bu dri fel gor hin jas".split()
+#: Texts of parts that are no article, as pages have them.
+_TEXTS = {
+    "notice": ["We use cookies to improve this site.", "Accept all", "This site uses cookies, by going on you agree.", "Notice: terms have changed.",
+               "By using this website you accept our privacy policy and cookies.", "Please allow notifications.", "We value your privacy. Manage your choices or accept.", "Got it"],
+    "form": ["Subscribe to our newsletter", "Your email address", "Search this site", "Log in", "Send", "Leave a reply", "Sign up for free", "Name", "Submit"],
+    "ad": ["Advertisement", "Sponsored", "Buy now and save", "Special offer for you", "Ad", "Limited time offer, shop today!"],
+    "footer": ["© 2024 All rights reserved.", "Terms of use · Privacy policy", "Contact us", "Copyright 2021 by the publisher. All rights reserved.", "© The site and its authors"],
+    "comments": ["3 comments", "Reply", "Posted by a reader", "Report", "Great post, thanks for sharing!", "I disagree with this.", "anna says:", "12 replies", "Like", "user42 wrote on Monday", "Thanks, this helped me a lot.", "2 hours ago"],
+}
+
+
 def made_layouts(texts: list[str], links: list[str], n: int, seed: int = 9):
-    """Pages of made markup around given sentences: (blocks, whether each is main text)."""
+    """Pages of made markup around given sentences: (blocks, whether each is main text).
+
+    Articles hold all kinds of blocks: headings, paragraphs, lists, definitions, tables, code,
+    figures, quotations. Beside and within them stand the parts that are no article, under names
+    that tell and (comments, notices) under names that tell nothing.
+    """
     random = np.random.default_rng(seed)
     pick = lambda xs: xs[int(random.integers(len(xs)))]
     texts, links = texts or ["some words of an article, as they come."], links or ["home", "about"]
-    said = {"notice": ["We use cookies to improve this site.", "Accept all", "This site uses cookies, by going on you agree.", "Notice: terms have changed."],
-            "form": ["Subscribe to our newsletter", "Your email address", "Search this site", "Log in", "Send", "Leave a reply"],
-            "ad": ["Advertisement", "Sponsored", "Buy now and save", "Special offer for you"],
-            "footer": ["© 2024 All rights reserved.", "Terms of use · Privacy policy", "Contact us"], "comments": ["3 comments", "Reply", "Posted by a reader", "Report"]}
     wrap = {"nav": [("nav", "ul", "li"), ("div", ".menu", "ul", "li"), ("header", "nav", "ul", "li"), ("div", ".nav", "ul", "li"), ("ul", ".breadcrumb", "li")],
             "header": [("header",), ("div", ".header"), ("header", "div"), ("div", ".site", ".header", "p"), ("header", "p")],
             "ad": [("div", ".ad"), ("div", ".ads"), ("aside", ".advert"), ("div", ".banner"), ("div", ".promo", "p"), ("div", ".sponsored", "p")],
-            "notice": [("div", ".cookie", ".notice"), ("div", ".consent", "p"), ("div", ".alert"), ("section", ".notice", "p"), ("div", ".popup", "p")],
+            "notice": [("div", ".cookie", ".notice"), ("div", ".consent", "p"), ("div", ".alert"), ("section", ".notice", "p"), ("div", ".popup", "p"), ("div", ".cookie", ".banner", "p")],
             "sidebar": [("aside", "ul", "li"), ("div", ".sidebar", "ul", "li"), ("aside", "p"), ("div", ".sidebar", "p"), ("div", ".related", "ul", "li"), ("aside", "div", ".widget", "p")],
             "form": [("form",), ("form", "p"), ("div", ".newsletter", "form"), ("section", ".subscribe", "form", "p"), ("form", "label")],
             "comments": [("section", ".comments", "p"), ("div", ".comments", "div", ".comment", "p"), ("div", ".comment", "p"), ("ol", ".comments", "li", ".comment", "p"),
@@ -305,41 +359,68 @@ def made_layouts(texts: list[str], links: list[str], n: int, seed: int = 9):
             "footer": [("footer",), ("footer", "p"), ("div", ".footer"), ("div", ".copyright"), ("footer", "ul", "li")]}
     hold = [("article",), ("main",), ("main", "article"), ("div", ".content"), ("div", ".post"), ("div", ".entry", ".content"), ("div", ".article", ".body"), ("section", ".story"), ("div", ".main", "article"), ("div", ".text"), ("div",), ()]
 
-    def beside(kind, top):
+    def beside(kind, top, names):
         path, out = top + pick(wrap[kind]), []
-        short = kind in ("nav",) or "li" in path
-        for _ in range(int(random.integers(2, 8)) if short else int(random.integers(1, 4))):
+        hidden = kind in ("comments", "notice") and random.random() < 0.5
+        if hidden:  # under names that tell nothing: a part of its own, of likewise named items
+            path = top + pick([("div", pick(names)), ("section", pick(names)), ("div", pick(names), "div", pick(names))]) + pick([("p",), ("div", pick(names)), ("div", pick(names), "p"), ()])
+        short = kind == "nav" or "li" in path
+        for _ in range(int(random.integers(2, 8)) if short or kind == "comments" else int(random.integers(1, 4))):
             if short and kind != "comments":
                 out.append((path, pick(links), float(random.random() < 0.85)))
             else:
-                text = pick(said[kind]) if kind in said and random.random() < 0.5 else pick(texts)
-                out.append((path, text, 0.0))
+                own = kind in _TEXTS and random.random() < (0.75 if hidden else 0.5)
+                out.append((path, pick(_TEXTS[kind]) if own else pick(texts)[: int(random.integers(20, 200)) if hidden else None], 0.0))
         return out
 
+    def passage(inner):
+        """Some blocks of an article of one kind."""
+        words = lambda a, b: pick(texts)[: int(random.integers(a, b))].strip() or "words"
+        many = lambda a, b: range(int(random.integers(a, b)))
+        kind = random.random()
+        if kind < 0.62:
+            return [(inner + ("p",), pick(texts) if random.random() < 0.85 else words(8, 60), 0.0 if random.random() < 0.9 else 0.3)]
+        if kind < 0.70:
+            return [(inner + (pick(["h2", "h2", "h3", "h4"]),), words(8, 60), 0.0)]
+        if kind < 0.78:
+            return [(inner + (pick(["ul", "ul", "ol"]), "li"), words(10, 120), 0.0 if random.random() < 0.9 else 0.5) for _ in many(2, 7)]
+        if kind < 0.87:
+            rows = pick([("table", "tr"), ("table", "tbody", "tr"), ("figure", "table", "tr"), ("div", ".table", "table", "tr")])
+            head = [(inner + (*rows, "th"), words(3, 20), 0.0) for _ in many(0, 4)]
+            caption = [(inner + ("table", "caption"), words(10, 60), 0.0)] if random.random() < 0.3 else []
+            return caption + head + [(inner + (*rows, "td"), pick([words(2, 30), str(int(random.integers(1, 9999)))]), 0.0) for _ in many(2, 13)]
+        if kind < 0.91:
+            return [(inner + pick([("pre",), ("pre", ".code"), ("div", ".highlight", "pre")]), pick(["x = f(1)", "for i in items: print(i)", "git commit -m a", words(20, 200)]), 0.0)]
+        if kind < 0.95:
+            return [(inner + pick([("figure", "figcaption"), ("figure", ".image", "figcaption"), ("div", ".caption")]), words(10, 90), 0.0)]
+        if kind < 0.98:
+            return [(inner + pick([("blockquote", "p"), ("blockquote",)]), words(20, 300), 0.0)]
+        return [(inner + ("dl", k), words(5, 80), 0.0) for _ in many(1, 4) for k in ("dt", "dd")]
+
+    given = texts, links
     for _ in range(n):
-        top = pick([("html", "body"), ("body",), ("html", "body", "div"), ("html", "body", "div", ".wrapper"), ("html", "body", "div", ".page")])
+        texts, links = _other_words(random, *given)
+        names = _own_names(random)
+        top = pick([("html", "body"), ("body",), ("html", "body", "div"), ("html", "body", "div", ".wrapper"), ("html", "body", "div", ".page"), ("html", "body", "div", pick(names))])
         before = [k for k in ("notice", "header", "nav", "ad", "form", "sidebar") if random.random() < (0.8 if k == "nav" else 0.35)]
         after = [k for k in ("ad", "comments", "form", "sidebar", "footer", "notice") if random.random() < (0.8 if k == "footer" else 0.35)]
         blocks, y = [], []
         for k in before:
-            new = beside(k, top)
+            new = beside(k, top, names)
             blocks, y = blocks + new, y + [0] * len(new)
-        inner = top + pick(hold)
-        main = [(inner + (pick(["h1", "h1", "h2"]),), pick(links) if random.random() < 0.3 else pick(texts)[:70], 0.0)] if random.random() < 0.9 else []
-        for _ in range(int(random.integers(1, 9))):
-            kind = random.random()
-            tail = ("p",) if kind < 0.8 else ("h2",) if kind < 0.87 else ("ul", "li") if kind < 0.94 else ("blockquote", "p")
-            text = pick(texts) if random.random() < 0.85 else pick(texts)[: int(random.integers(8, 60))]
-            main.append((inner + tail, text, 0.0 if random.random() < 0.9 else 0.3))
-        mid = int(random.integers(1, len(main) + 1)) if random.random() < 0.35 else None
-        for i, block in enumerate(main):
-            if i == mid:
-                new = beside(pick(["ad", "form", "sidebar", "notice"]), inner)
+        inner = top + pick(hold) + (pick([(), (), (), ("div", pick(names))]))
+        main = [[(inner + (pick(["h1", "h1", "h2"]),), pick(links) if random.random() < 0.3 else pick(texts)[:70], 0.0)]] if random.random() < 0.9 else []
+        main += [passage(inner) for _ in range(int(random.integers(1, 11)))]
+        within = {int(random.integers(1, len(main) + 1)) for _ in range(int(random.random() < 0.45) + int(random.random() < 0.15))}
+        for i, own in enumerate(main, 1):
+            blocks, y = blocks + own, y + [1] * len(own)
+            if i in within:
+                new = beside(pick(["ad", "form", "sidebar", "notice", "notice"]), inner, names)
                 blocks, y = blocks + new, y + [0] * len(new)
-            blocks.append(block)
-            y.append(1)
+        if random.random() < 0.2:  # a line of rights at the article's end
+            blocks, y = [*blocks, (inner + pick([("p",), ("div", ".copyright"), ("small",), ("p", pick(names))]), pick(_TEXTS["footer"][:1] + _TEXTS["footer"][3:]), 0.0)], [*y, 0]
         for k in after:
-            new = beside(k, inner if k == "comments" and random.random() < 0.3 else top)
+            new = beside(k, inner if k == "comments" and random.random() < 0.4 else top, names)
             blocks, y = blocks + new, y + [0] * len(new)
         yield blocks, np.array(y, np.float32)
 
@@ -369,7 +450,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``id_col``, ``url_col``, ``text`` and ``n_blocks`` (kept) for each page, from its whole HTML.
 
     The main text's blocks are joined by newlines in page order. Null and empty pages, and pages
-    without main text, give an empty text. One row out per row in; other columns are not read.
+    without main text, give an empty text; a page of very many blocks is labelled a run of blocks at
+    a time, with the whole page as context. One row out per row in, repeated ones included, an empty
+    table gives an empty one; other columns are not read.
     """
     spark = pages.sparkSession
     prepare(spark)
@@ -381,7 +464,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 blocks = [leaf_blocks(h or "") for h in part.column(2).to_pylist()]
-                keep = model.label([block_vectors(b) for b in blocks])
+                keep = model.label([block_vectors(b) if len(b) <= LONG else np.zeros((0, WIDTH), np.float32) for b in blocks])
+                keep = [k if len(b) <= LONG else model.label_long(b) for k, b in zip(keep, blocks, strict=True)]
                 chosen = [[b[1] for b, k in zip(own, ks, strict=True) if k] for own, ks in zip(blocks, keep, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(["\n".join(c) for c in chosen], pa.string()), pa.array([len(c) for c in chosen], pa.int32())], ["id", "url", "text", "n_blocks"])
 

@@ -47,8 +47,8 @@ def test_gradients():
 def test_held_out_layouts(monkeypatch):
     texts = [f"Sentence number {i} says a little, as sentences of an article do." for i in range(200)]
     links = ["home", "about us", "contact", "news"]
-    train = [(block_vectors(b), y) for b, y in made_layouts(texts[:100], links, 240)]
-    model = BiLstm().train(train, rounds=10)
+    train = [(block_vectors(b), y) for b, y in made_layouts(texts[:100], links, html_text.LAYOUTS)]
+    model = BiLstm().train(train)
     pages = list(made_layouts(texts[100:], links, 100, seed=77))
     labels = model.label([block_vectors(b) for b, _ in pages])
     assert np.mean(np.concatenate([got == (y > 0) for got, (_, y) in zip(labels, pages, strict=True)])) > 0.97
