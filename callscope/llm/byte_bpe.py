@@ -14,6 +14,7 @@ Decoding concatenates halves up the same tree.
 from __future__ import annotations
 
 import base64
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from callscope.llm.pieces import split
 
 #: Leaves of the trees: characters of a text, bytes of a piece, ids of a decoded text.
 TEXT_LEAF, PIECE_LEAF, IDS_LEAF = 2048, 24, 4096
-#: Pieces and token pairs that a worker remembers.
-MEMO = 400_000
+#: Pieces and token pairs that a worker remembers, and bytes up to which the merge scans all pairs for the best.
+MEMO, SCAN = 400_000, 64
 
 
 class ByteBpe:
@@ -53,6 +54,8 @@ class ByteBpe:
         ranks = self.ranks
         if data in ranks:
             return [ranks[data]]
+        if len(data) > SCAN:
+            return self._merge_long(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         costs = [ranks.get(data[i : i + 2]) for i in range(len(data) - 1)]
         while True:
@@ -69,6 +72,31 @@ class ByteBpe:
             if at:
                 costs[at - 1] = ranks.get(parts[at - 1] + parts[at])
 
+    def _merge_long(self, data: bytes) -> list[int]:
+        """The same with a heap of the joinable pairs and a linked list of the parts: n log n."""
+        ranks, n = self.ranks, len(data)
+        end = list(range(1, n + 1))  # of the part that starts here; 0: none does
+        before = list(range(-1, n - 1))  # start of the part before
+        heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(data[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, a, b = heappop(heap)
+            middle = end[a]
+            if not middle or middle >= n or end[middle] != b:
+                continue  # one of the two was joined meanwhile
+            end[a], end[middle] = b, 0
+            if b < n:
+                before[b] = a
+                if (rank := ranks.get(data[a : end[b]])) is not None:
+                    heappush(heap, (rank, a, end[b]))
+            if a and (rank := ranks.get(data[before[a] : b])) is not None:
+                heappush(heap, (rank, before[a], b))
+        out, a = [], 0
+        while a < n:
+            out.append(ranks[data[a : end[a]]])
+            a = end[a]
+        return out
+
     def compatible(self, a: int, b: int) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
@@ -95,13 +123,21 @@ class ByteBpe:
                 return left[: len(left) - i] + new + right[j:]
             i, j = (i if ahead else 2 * i), (j if behind else 2 * j)
 
-    def encode_bytes(self, data: bytes) -> list[int]:
+    def encode_bytes(self, data: bytes, known: dict[bytes, list[int]] | None = None) -> list[int]:
+        """The encoding of a piece's bytes: of a left part of a power of two and the rest, joined.
+
+        Parts of equal bytes are encoded once, and the tokens of a run (whose lengths mostly divide a
+        power of two) then end at the boundary, so joining runs moves none of them.
+        """
         if data in self.ranks:
             return [self.ranks[data]]
         if len(data) <= PIECE_LEAF:
             return self.merge(data)
-        half = len(data) // 2
-        return self.join_tokens(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+        known = {} if known is None else known
+        if (found := known.get(data)) is None:
+            half = 1 << (len(data) - 1).bit_length() - 1
+            found = known[data] = self.join_tokens(self.encode_bytes(data[:half], known), self.encode_bytes(data[half:], known))
+        return found
 
     def encode_piece(self, piece: str) -> bytes:
         """Ids of a piece as native 32-bit integers, remembered."""
@@ -171,7 +207,8 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
     """``id_col`` and ``ids`` (array of int) of each row's whole text; null and empty texts have no ids.
 
     One row out for each row in, repeated ones included; other columns are not read, and an
-    empty table gives an empty one.
+    empty table gives an empty one. Time grows as n log n with the length of a text, also where it
+    is one piece (a rule line of a million dashes).
     """
     prepare(docs.sparkSession)
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -50,6 +51,22 @@ def test_trees_of_every_leaf_size(table, library, monkeypatch, alphabet):
         assert bpe.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("text", ["-" * 1_000_003, "=-" * 500_001, "a" * 1_000_001, " " * 1_000_000 + "x", "ab" * 300_000 + "c" * 300_001, "é" * 300_001])
+def test_long_pieces_take_seconds(table, library, text):
+    began = time.process_time()
+    ids = ByteBpe(table).encode(text).tolist()
+    assert time.process_time() - began < 10
+    # piece by piece: the library's own splitting does not survive a million spaces
+    assert ids == [i for piece in split(text) for i in library._encode_single_piece(piece.encode())]
+
+
+def test_merges_agree(table, library):
+    rand, bpe = random.Random(5), ByteBpe(table)
+    for n in range(2, 400, 3):
+        data = "".join(rand.choice("aabc-") for _ in range(n)).encode()
+        assert bpe.merge(data) == (bpe._merge_long(data) if data not in table else [table[data]]) == library._encode_single_piece(data)
+
+
 def test_edge_rows(spark, library):
     texts = [None, "", " ", "\n" * 5000, "a" * 20_000, "ünïcode <|endoftext|>", "ünïcode <|endoftext|>", "word " * 50_000]
     docs = spark.createDataFrame([(i if i % 3 else None, t, i) for i, t in enumerate(texts)], "doc_id long, text string, n long").withColumnRenamed("n", "ids")
