@@ -16,6 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,11 +110,15 @@ def _cutter(by: str, min_words: int):
     """A function of a text, the digests that earlier rows hold (halves as longs), and whether the row is the first of its equals."""
     @F.arrow_udf("struct<text:string,removed:array<struct<start:int,end:int>>>")
     def cutter(texts: pa.Array, late: pa.Array, firsts: pa.Array) -> pa.Array:
-        out = []
-        for text, halves, first in zip(texts.to_pylist(), late.to_pylist(), firsts.to_pylist(), strict=True):
-            spans = []
+        # the digests of all rows as one buffer; a row at a time becomes objects
+        size, out = pa.compute.list_value_length(late).fill_null(0).to_numpy(), []
+        held = late.flatten()
+        keys = np.stack([held.field(c).to_numpy(zero_copy_only=False) for c in (0, 1)], 1).astype("<i8").tobytes() if len(held) else b""
+        ends = 16 * np.cumsum(size)
+        for k, (text, first) in enumerate(zip(texts, firsts.to_pylist(), strict=True)):
+            text, spans = text.as_py(), []
             if text:
-                drop = {np.array([h["d1"], h["d2"]], "<i8").tobytes() for h in halves or ()}
+                drop = {keys[i : i + 16] for i in range(ends[k] - 16 * size[k], ends[k], 16)}
                 if not first:  # an equal row stood before: every run did
                     drop.update(d for r in units(text, by, min_words)[1] if r for _, d in r)
                 text, spans = cut(text, drop, by, min_words)
@@ -160,7 +165,7 @@ def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = [c for c in docs.columns if c != "removed"]
     rows = _ranked(docs.select(*[F.col(f"`{c}`") for c in names]), id_col)
     texts = rows.select("_rid", F.col(f"`{text_col}`").cast("string").alias("text"), "_first").where("length(text) > 0")
-    digests = texts.where("_first").select("_rid", "text").mapInArrow(_digests(by, min_words), "rid long, d1 long, d2 long")
+    digests = spool(texts.where("_first").select("_rid", "text").mapInArrow(_digests(by, min_words), "rid long, d1 long, d2 long"), "unit-digests")
     repeated = spool(digests.groupBy("d1", "d2").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated-units")
     late = digests.join(repeated, ["d1", "d2"]).where("rid != first").groupBy("rid").agg(F.collect_list(F.struct("d1", "d2")).alias("late"))
     joined = rows.join(late.withColumnRenamed("rid", "_rid"), "_rid", "left")
