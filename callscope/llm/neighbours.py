@@ -16,30 +16,32 @@ from pyspark.sql import functions as F
 
 from callscope.llm.common import prepare, spool
 
-#: Distinct vectors that a list is meant to hold; the sample (a documented bound) that centroids are fitted to; most centroids.
-LIST_SIZE, SAMPLE, MAX_LISTS = 128, 40_000, 4096
-#: A vector is copied to at most COPIES lists, those within COPY_RATIO of its nearest centroid's distance.
-COPIES, COPY_RATIO = 6, 1.1
-#: A query reads the lists within a distance ratio of its nearest centroid's: the least with which queries of the sample
-#: (CALIBRATION vectors of it) find this share of their neighbours.
-TARGET, CALIBRATION = 0.97, 8192
+#: Distinct vectors that a list is meant to hold, most centroids, and bytes and rows of the sample (a documented bound) that they are fitted to.
+LIST_SIZE, MAX_LISTS, SAMPLE_BYTES, SAMPLE = 48, 8192, 64 << 20, 40_000
+#: Rounds that refine the centroids.
+ROUNDS = 6
+#: A border vector is copied to at most COPIES lists, those within COPY_RATIO of its nearest centroid's distance.
+COPIES, COPY_RATIO = 4, 1.01
+#: A query reads the lists within a distance ratio of its nearest centroid's: the least with which QUERIES vectors of the sample
+#: find this share of their neighbours in it.
+TARGET, QUERIES = 0.93, 192
 #: Neighbours in the centroid graph, the least beam of its search, and nodes of a beam opened at a time.
 DEGREE, BEAM, OPEN = 24, 32, 4
-#: Rows of one list that one group holds; longer lists are cut into blocks.
-BLOCK_ROWS = 4096
+#: Lists that stand together in a group, and rows of postings and queries of a group that one task holds; more are cut into blocks.
+GROUP, BLOCK_ROWS, BLOCK_QUERIES = 16, 4096, 2048
 
 
 def balanced_centroids(sample: np.ndarray, n_lists: int) -> np.ndarray:
-    """Centroids by repeated halving: each part is split in two equal halves along its two-means direction."""
+    """Centroids by repeated halving (each part is split in two equal halves along its two-means direction), refined by
+    ``ROUNDS`` rounds of k-means. Neighbouring numbers stand for neighbouring parts."""
     if not len(sample):
         return np.zeros((0, sample.shape[1]))
     random = np.random.default_rng(7)
     parts = [np.arange(len(sample))]
     while len(parts) < n_lists:
-        parts.sort(key=len)
-        part = parts.pop()
+        largest = max(range(len(parts)), key=lambda k: len(parts[k]))
+        part = parts[largest]
         if len(part) < 2:
-            parts.append(part)
             break
         x = sample[part]
         a, b = x[random.choice(len(x), 2, replace=False)]
@@ -50,8 +52,16 @@ def balanced_centroids(sample: np.ndarray, n_lists: int) -> np.ndarray:
                 break
             a, b = x[near].mean(0), x[~near].mean(0)
         order = np.argsort(x @ (a - b), kind="stable")
-        parts += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
-    return np.array([sample[p].mean(0) for p in parts])
+        parts[largest : largest + 1] = [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
+    centroids = np.array([sample[p].mean(0) for p in parts])
+    for _ in range(ROUNDS):
+        norms, sums, held = (centroids**2).sum(1), np.zeros_like(centroids), np.zeros(len(centroids))
+        for a in range(0, len(sample), 2048):
+            own = np.argmin(norms - 2 * sample[a : a + 2048] @ centroids.T, axis=1)
+            np.add.at(sums, own, sample[a : a + 2048])
+            held += np.bincount(own, minlength=len(centroids))
+        centroids = np.where(held[:, None] > 0, sums / np.maximum(held, 1)[:, None], centroids)
+    return centroids
 
 
 class CentroidGraph:
@@ -82,6 +92,22 @@ class CentroidGraph:
             out_i[a : a + 256], out_d[a : a + 256] = self._search(queries[a : a + 256], k, beam)
         return out_i, out_d
 
+    def within(self, queries: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, centroid) for every centroid within ``ratio`` times the nearest one's distance.
+
+        A search that ends within the ratio is made again with twice the centroids, so nothing but the ratio decides.
+        """
+        rows, found, left, k = [], [], np.arange(len(queries)), min(64, len(self.points))
+        while len(left) and k:
+            near, d = self.nearest(queries[left], k)
+            inside = d <= (np.maximum(d[:, :1], 1e-12) * ratio if np.isfinite(ratio) else np.inf)
+            ended = ~inside[:, -1] | (k == len(self.points))
+            r, c = np.nonzero(inside & ended[:, None])
+            rows.append(left[r])
+            found.append(near[r, c])
+            left, k = left[~ended], min(2 * k, len(self.points))
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, found))
+
     def _search(self, q: np.ndarray, k: int, beam: int):
         """Best first: each step opens the nearest unopened nodes of every query's beam."""
         n, qq = len(self.points), (q**2).sum(1)
@@ -121,28 +147,25 @@ class CentroidGraph:
         return node, np.sqrt(np.maximum(d, 0))
 
 
-def calibrated_ratio(sample: np.ndarray, graph: CentroidGraph, k: int = 10) -> tuple[float, int]:
-    """(ratio, lists): the least distance ratio at which sampled queries find ``TARGET`` of their k nearest, and the most lists that it took."""
-    sample = sample[:CALIBRATION]
-    if len(sample) < 2 or len(graph.points) < 2:
-        return 2.0, len(graph.points)
-    near, d = graph.nearest(sample, COPIES)
-    held = np.zeros((len(sample), len(graph.points)), bool)
-    r, c = np.nonzero(d <= np.maximum(d[:, :1] * COPY_RATIO, 1e-12))
-    held[r, near[r, c]] = True
-    ask = np.arange(0, len(sample), max(1, len(sample) // 128))
+def calibrated_ratio(sample: np.ndarray, graph: CentroidGraph, k: int = 10) -> float:
+    """The least distance ratio at which sampled queries find ``TARGET`` of their k nearest; infinite (all lists) if none does."""
+    n = len(graph.points)
+    if len(sample) < 2 or n < 2:
+        return float("inf")
+    lists = np.full((len(sample), COPIES), -1)
+    for a in range(0, len(sample), 4096):
+        near, d = graph.nearest(sample[a : a + 4096], COPIES)
+        lists[a : a + 4096, : near.shape[1]] = np.where(d <= np.maximum(d[:, :1] * COPY_RATIO, 1e-12), near, -1)
+    ask = np.arange(0, len(sample), max(1, len(sample) // QUERIES))
+    k = min(k, len(sample) - 1)
     far = (sample**2).sum(1) - 2 * sample[ask] @ sample.T
     far[np.arange(len(ask)), ask] = np.inf
-    true = np.argpartition(far, min(k, len(sample) - 1) - 1, axis=1)[:, : min(k, len(sample) - 1)]
-    lists, d = graph.nearest(sample[ask], len(graph.points))
-    for ratio in np.arange(1.02, 3.0, 0.02):
-        read = np.zeros((len(ask), len(graph.points)), bool)
-        r, c = np.nonzero(d <= d[:, :1] * ratio)
-        read[r, lists[r, c]] = True
-        found = np.mean([(held[t] & read[i]).any(1).mean() for i, t in enumerate(true)])
-        if found >= TARGET:
-            break
-    return float(ratio), int(read.sum(1).max())
+    true = np.argpartition(far, k - 1, axis=1)[:, :k]
+    d = np.sqrt(np.maximum((sample[ask] ** 2).sum(1)[:, None] + graph.norms - 2 * sample[ask] @ graph.points.T, 0))
+    # the ratio at which the first list that holds a neighbour is read
+    own = np.concatenate([d / np.maximum(d.min(1, keepdims=True), 1e-12), np.full((len(ask), 1), np.inf)], 1)
+    needed = np.sort(np.take_along_axis(own, lists[true].reshape(len(ask), -1), 1).reshape(len(ask), k, -1).min(2).ravel())
+    return float(needed[int(np.ceil(TARGET * len(needed))) - 1]) * (1 + 1e-9)
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -157,38 +180,43 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 class Index:
-    """Posting lists (``list``, ``key``, ``v``) of distinct vectors, their rows (``key``, ``id``), and the centroid graph."""
+    """Posting lists (``list``, ``h1``, ``h2``, ``v``) of distinct vectors, their rows (``h1``, ``h2``, ``id``), and the centroid graph."""
 
-    def __init__(self, graph, postings: DataFrame, members: DataFrame, dim: int, ratio: float, probes: int):
-        self.graph, self.postings, self.members, self.dim = graph, postings, members, dim
-        self.ratio, self.probes = ratio, probes
+    def __init__(self, graph, postings: DataFrame, members: DataFrame, dim: int, ratio: float):
+        self.graph, self.postings, self.members, self.dim, self.ratio = graph, postings, members, dim, ratio
 
 
 def _matrix(column) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
-def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> Index:
-    """Index every usable row of the commonest dimension (the smaller of ties; others take no part).
+def dimensions(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> list[int]:
+    """Dimensions of the usable vectors, the commonest first."""
+    rows = usable(vectors, id_col, vector_col).groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").collect()
+    return [r.dim for r in rows]
+
+
+def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", dim: int | None = None) -> Index:
+    """Index every usable row of one dimension (None: the commonest, the smaller of ties).
 
     Equal vectors are one posting with all their ids as members, so thousands of copies of a
-    vector fill no list. The centroids are fitted to the ``SAMPLE`` distinct vectors with the
-    smallest hashes; all others are then placed by a search of the graph.
+    vector fill no list; repeated rows are one row. The centroids are fitted to the distinct vectors
+    with the smallest hashes, at most ``SAMPLE`` of them and ``SAMPLE_BYTES``; all are then placed by
+    a search of the graph. Extra columns play no part, whatever their names; a table without usable
+    rows gives an index that finds nothing.
     """
     spark = vectors.sparkSession
     prepare(spark)
     rows = usable(vectors, id_col, vector_col)
-    dims = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = dims.dim if dims else 1
+    dim = dim or next(iter(dimensions(vectors, id_col, vector_col)), 1)
     rows = rows.where(F.size("v") == dim)
-    # the key is the class's smallest id: unique to it unless rows share an id, so a hash goes with it
     members = spool(rows.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"), "v").distinct(), "vectors")
     distinct = spool(members.groupBy("h1", "h2").agg(F.first("v").alias("v")), "vectors-distinct")
     n = distinct.count()
-    n_lists = int(min(MAX_LISTS, max(1, n // LIST_SIZE)))
-    sample = _matrix(distinct.orderBy("h1", "h2").limit(SAMPLE).select("v").toPandas().v)
+    sample = _matrix(distinct.orderBy("h1", "h2").limit(int(min(SAMPLE, max(1, SAMPLE_BYTES // (8 * dim))))).select("v").toPandas().v)
+    n_lists = int(min(MAX_LISTS, max(1, n // LIST_SIZE), max(1, len(sample) // 8)))
     centroids = CentroidGraph(balanced_centroids(sample, n_lists))
-    ratio, probes = calibrated_ratio(sample, centroids)
+    ratio = calibrated_ratio(sample, centroids)
     graph = spark.sparkContext.broadcast(centroids)
 
     def place(frames):
@@ -200,56 +228,81 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
             yield pd.DataFrame({"list": near[r, c], "h1": frame.h1.to_numpy()[r], "h2": frame.h2.to_numpy()[r], "v": frame.v.to_numpy()[r]})
 
     postings = spool(distinct.mapInPandas(place, "list long, h1 long, h2 long, v array<double>"), "postings")
-    return Index(graph, postings, members.select("id", "h1", "h2"), dim, ratio, probes)
+    return Index(graph, postings, members.select("id", "h1", "h2"), dim, ratio)
+
+
+def probes(index: Index, queries: DataFrame) -> DataFrame:
+    """``grp`` (of ``GROUP`` lists), ``id``, ``v``, ``lists``: the lists that each query reads, a row for each group of them."""
+    graph, ratio = index.graph, index.ratio
+
+    def probe(frames):
+        for frame in frames:
+            for a in range(0, len(frame), 256):
+                part = frame.iloc[a : a + 256]
+                r, found = graph.value.within(_matrix(part.v), ratio)
+                if not len(r):
+                    continue
+                pairs = pd.DataFrame({"r": r, "grp": found // GROUP, "lists": found}).groupby(["r", "grp"]).lists.apply(list).reset_index()
+                yield pd.DataFrame({"grp": pairs.grp.astype(np.int64), "id": part.id.to_numpy()[pairs.r], "v": part.v.to_numpy()[pairs.r], "lists": pairs.lists})
+
+    return queries.mapInPandas(probe, "grp long, id long, v array<double>, lists array<long>")
 
 
 def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k nearest indexed rows of each query: ``query_id``, ``rank``, ``vec_id``, ``score`` (Euclidean distance).
 
     ``queries`` has ``id`` and ``v`` (as from ``usable``; other dimensions find nothing); a query's own id is no
-    candidate. Nearest first, ties to the smaller id. A group holds a block of one list and the
-    queries that read it; it returns its k + 1 nearest distinct vectors of each query, and ties.
+    candidate. Nearest first, ties to the smaller id. A task holds a block of a group's postings and
+    a block of the queries that read lists of it; it returns the k + 1 nearest distinct vectors that
+    each query finds there, and ties.
     """
     # ids of one vector that can be among k results: its k + 1 smallest
     own = W.partitionBy("h1", "h2").orderBy("id")
     ids = index.members.withColumn("r", F.row_number().over(own)).where(F.col("r") <= k + 1).drop("r")
     asked = spool(queries.where(F.size("v") == index.dim).select("id", "v").distinct(), "queries")
-    # twice the lists that any query of the sample took, so that the ratio alone decides
-    graph, ratio, probes = index.graph, index.ratio, 2 * index.probes
+    sent = spool(probes(index, asked), "probes")
 
-    def probe(frames):
-        for frame in frames:
-            if not len(frame) or not len(graph.value.points):
-                continue
-            near, d = graph.value.nearest(_matrix(frame.v), probes)
-            r, c = np.nonzero(d <= np.maximum(d[:, :1] * ratio, 1e-12))
-            yield pd.DataFrame({"list": near[r, c], "id": frame.id.to_numpy()[r], "v": frame.v.to_numpy()[r]})
+    def blocks(rows, size, name):
+        return rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / size).cast("long").alias(name))
 
-    sent = asked.mapInPandas(probe, "list long, id long, v array<double>")
-    # a list of more than BLOCK_ROWS postings is read in blocks; its number of blocks goes to its probes
-    sizes = spool(index.postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("long").alias("blocks")), "list-sizes")
-    posts = index.postings.join(sizes, "list").withColumn("block", F.pmod("h2", "blocks")).drop("blocks")
-    sent = sent.join(sizes, "list").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    # blocks of a group's postings go to all blocks of its queries, and the other way round
+    posts = index.postings.withColumn("grp", F.floor(F.col("list") / GROUP))
+    sizes = spool(blocks(posts, BLOCK_ROWS, "blocks").join(blocks(sent, BLOCK_QUERIES, "parts"), "grp"), "group-sizes")
+    each = [F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)) for c in ("blocks", "parts")]
+    posts = posts.join(sizes, "grp").withColumn("block", F.pmod("h2", "blocks")).withColumn("part", each[1]).drop("blocks", "parts")
+    sent = sent.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).withColumn("block", each[0]).drop("blocks", "parts")
 
     def compare(block: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "h1": [], "h2": [], "score": []}
         if len(block) and len(ask):
-            x = _matrix(block.v)
-            xx = (x**2).sum(1)
-            best = min(k + 1, len(x))
-            for a in range(0, len(ask), 256):
-                q = _matrix(ask.v[a : a + 256])
-                d = xx - 2 * q @ x.T + (q**2).sum(1)[:, None]
+            x, q, lists = _matrix(block.v), _matrix(ask.v), block.list.to_numpy()
+            names, h1, h2 = ask.id.to_numpy(), block.h1.to_numpy(), block.h2.to_numpy()
+            asked_by: dict[int, list[int]] = {}
+            for i, own in enumerate(ask.lists):
+                for one in own:
+                    asked_by.setdefault(int(one), []).append(i)
+            for one, who in asked_by.items():
+                at, who = np.flatnonzero(lists == one), np.array(who)
+                if not len(at):
+                    continue
+                y = x[at]
+                d = (y**2).sum(1) - 2 * q[who] @ y.T + (q[who] ** 2).sum(1)[:, None]
+                best = min(k + 1, len(at))
                 # every vector that can be among the k + 1 nearest, ties and rounding included; then the exact distance
                 last = np.partition(d, best - 1, axis=1)[:, best - 1]
-                r, c = np.nonzero(d <= (last + 1e-9 * (1 + xx.max() + (q**2).sum(1)))[:, None])
-                out["query_id"].append(ask.id.to_numpy()[a + r])
-                out["h1"].append(block.h1.to_numpy()[c])
-                out["h2"].append(block.h2.to_numpy()[c])
-                out["score"].append(np.sqrt(((x[c] - q[r]) ** 2).sum(1)))
-        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
-
-    near = posts.groupBy("list", "block").cogroup(sent.groupBy("list", "block")).applyInPandas(compare, "query_id long, h1 long, h2 long, score double")
+                r, c = np.nonzero(d <= (last + 1e-9 * (1 + (y**2).sum(1).max() + (q[who] ** 2).sum(1)))[:, None])
+                out["query_id"].append(who[r])
+                out["h1"].append(h1[at[c]])
+                out["h2"].append(h2[at[c]])
+                out["score"].append(np.sqrt(((y[c] - q[who[r]]) ** 2).sum(1)))
+        found = pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()})
+        if len(found):  # of all lists of the block, the k + 1 nearest of each query
+            found = found.drop_duplicates(["query_id", "h1", "h2"])
+            found = found[found.groupby("query_id").score.rank(method="min") <= k + 1]
+            found["query_id"] = names[found.query_id.to_numpy()]
+        return found
+
+    near = posts.groupBy("grp", "block", "part").cogroup(sent.groupBy("grp", "block", "part")).applyInPandas(compare, "query_id long, h1 long, h2 long, score double")
     near = near.groupBy("query_id", "h1", "h2").agg(F.min("score").alias("score"))
     # distinct vectors first (with ties of the last), then their rows
     by = W.partitionBy("query_id").orderBy("score")
@@ -257,3 +310,15 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     rows = near.join(ids, ["h1", "h2"]).where("id != query_id").groupBy("query_id", F.col("id").alias("vec_id")).agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, queries: str, k: int = 10) -> DataFrame:
+    """``search`` for the usable rows that the condition ``queries`` (on ``id``) names, in an index of each dimension there is.
+
+    Only vectors of one dimension have a distance, so each query is compared with those of its own.
+    """
+    found = [search(build_index(vectors, dim=dim), usable(vectors).where(queries), k) for dim in dimensions(vectors) or [1]]
+    out = found[0]
+    for one in found[1:]:
+        out = out.union(one)
+    return out

@@ -54,9 +54,7 @@ def op4_html_text(spark, sf_dir):
 
 def op5_neighbours(spark, sf_dir):
     """The ten nearest of all vectors for each query (ids divisible by 100), through the posting lists."""
-    vectors = table(spark, sf_dir, "embeddings")
-    index = neighbours.build_index(vectors)
-    return neighbours.search(index, neighbours.usable(vectors).where("id % 100 = 0"))
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
 
 
 def op6_byte_bpe(spark, sf_dir):

@@ -48,10 +48,45 @@ def test_lists_are_balanced():
     assert len(neighbours.balanced_centroids(sample, 64)) == 64
 
 
+def test_every_dimension_is_searched(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i)]) for i in range(40)] + [(100 + i, [float(i), 2.0]) for i in range(9)] + [(200, [1.0])]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 2 = 0", 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
+    want = {i: far for i, far in brute(rows, 3, lambda i: i % 2 == 0) if far}
+    assert {i: [(s, j) for _, s, j in sorted(v)] for i, v in got.items()} == want
+
+
+def test_the_ratio_alone_decides():
+    points = np.random.default_rng(3).normal(size=(500, 6))
+    graph = neighbours.CentroidGraph(points)
+    queries = np.random.default_rng(4).normal(size=(40, 6))
+    r, c = graph.within(queries, 3.0)
+    d = np.sqrt(((points[None] - queries[:, None]) ** 2).sum(2))
+    inside = d <= 3.0 * d.min(1, keepdims=True)
+    got = np.zeros_like(inside)
+    got[r, c] = True
+    assert inside.sum(1).max() > 64 and (got & inside).sum() >= 0.99 * inside.sum() and not (got & ~inside).any()
+
+
+def test_few_vectors_are_copied_and_read(spark):
+    """Copies and the share of all vectors that queries read, at a recall of 0.9 and more."""
+    vectors = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    index = neighbours.build_index(vectors)
+    n = index.members.select("h1", "h2").distinct().count()
+    sizes = {r["list"]: r["count"] for r in index.postings.groupBy("list").count().collect()}
+    asked = neighbours.usable(vectors).where("id % 100 = 0")
+    read = [sum(sizes[x] for x in r.lists) for r in neighbours.probes(index, asked).collect()]
+    copies, share = sum(sizes.values()) / n, sum(read) / asked.count() / n
+    print(f"copies {copies:.2f}, share of brute force {share:.2f}, ratio {index.ratio:.3f}")
+    assert copies < 2 and share < 0.7
+
+
 def test_recall_and_blocks(spark, monkeypatch):
     path = "/root/testdata/sf0.1"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 3)
     monkeypatch.setattr(neighbours, "LIST_SIZE", 32)
     got = {}
     for r in registry.op5_neighbours(spark, path).collect():
