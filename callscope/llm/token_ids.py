@@ -5,11 +5,12 @@ task leaves nothing behind) in ascending document order. A segment row holds
 
 * ``ids``: the ids of its documents end to end, little-endian unsigned 32-bit;
 * ``bounds``: Elias-Fano code of the position after each document's last id;
-* ``doc_ids``: Elias-Fano code of the ascending document ids less ``doc_base``
-  (the first ``n_null`` documents have a null id);
+* ``doc_ids``: Elias-Fano code of the ascending document ids less ``doc_base``, the last
+  being ``last_id`` (the first ``n_null`` documents have a null id);
 * ``part``, ``seq``: its place in the order, and ``n_docs``, ``n_ids``.
 
-The small ``starts`` folder beside it has each segment's first global position.
+The small ``starts`` folder beside it has each segment's first position in its part, ``parts``
+each part's in the whole.
 """
 
 from __future__ import annotations
@@ -101,11 +102,29 @@ class EliasFano:
         place = word * 64 + (bits & -bits).bit_length() - 1
         return (place - i) << self.low_bits | int(self._low(np.array([i]))[0])
 
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n].astype(np.uint64)
-        i = np.arange(self.n, dtype=np.uint64)
+    def select_range(self, a: int, b: int) -> np.ndarray:
+        """Numbers a to b - 1, from the words between the hints around them."""
+        if a >= b:
+            return np.zeros(0, np.uint64)
+        first, last = a // SAMPLE, -(-b // SAMPLE)
+        begin = int(self.hints[first])
+        word = begin >> 6
+        until = (int(self.hints[last]) >> 6) + 1 if last < len(self.hints) else len(self.high)
+        bits = np.unpackbits(self.high[word:until].view(np.uint8), bitorder="little")
+        bits[: begin & 63] = 0
+        skip = a - first * SAMPLE
+        places = np.flatnonzero(bits)[skip : skip + b - a].astype(np.uint64) + np.uint64(word * 64)
+        i = np.arange(a, b, dtype=np.uint64)
         return ((places - i) << np.uint64(self.low_bits)) | self._low(i)
 
+    def first_not_below(self, value: int) -> int:
+        """The number of values below ``value``, by binary search with ``select``."""
+        a, b = 0, self.n
+        while a < b:
+            middle = (a + b) // 2
+            a, b = (middle + 1, b) if self.select(middle) < value else (a, middle)
+        return a
+
 
 def _byte_letters() -> dict[int, int]:
     """The letter by which byte-level vocabularies write each byte: itself where it prints, else the next free one from 256."""
@@ -210,8 +229,9 @@ class Encoder:
         return rows
 
 
-SEGMENT = ("part int, seq int, n_docs int, n_ids long, n_null int, doc_base long, ids binary, bounds binary, "
+SEGMENT = ("part int, seq int, n_docs int, n_ids long, n_null int, doc_base long, last_id long, ids binary, bounds binary, "
            "doc_ids binary")
+_DOCUMENT = "doc_id long, start long, n_tokens long, ids binary"
 
 
 def _segments(path: str, end: bytes, encode_special_tokens: bool = True):
@@ -223,9 +243,9 @@ def _segments(path: str, end: bytes, encode_special_tokens: bool = True):
             known = [d for d in docs if d is not None]
             base = known[0] if known else 0
             ends = np.cumsum([len(x) // 4 for x in ids], dtype=np.uint64)
-            row = {"part": part, "seq": seq, "n_docs": len(docs), "n_ids": int(ends[-1]), "n_null": len(docs) - len(known), "doc_base": base, "ids": b"".join(ids),
+            row = {"part": part, "seq": seq, "n_docs": len(docs), "n_ids": int(ends[-1]), "n_null": len(docs) - len(known), "doc_base": base, "last_id": known[-1] if known else None, "ids": b"".join(ids),
                    "bounds": EliasFano.encode(ends).to_bytes(), "doc_ids": EliasFano.encode([d - base for d in known]).to_bytes()}
-            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("n_null", pa.int32()), ("doc_base", pa.int64()), ("ids", pa.binary()), ("bounds", pa.binary()), ("doc_ids", pa.binary())]))
+            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("n_null", pa.int32()), ("doc_base", pa.int64()), ("last_id", pa.int64()), ("ids", pa.binary()), ("bounds", pa.binary()), ("doc_ids", pa.binary())]))
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
@@ -265,39 +285,84 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "d
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     ordered = rows.repartitionByRange(partitions(spark), "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
     ordered.mapInArrow(_segments(tokenizer, int(end_id).to_bytes(4, "little"), encode_special_tokens), SEGMENT).write.parquet(f"{path}/segments")
+    # each segment's place within its part, and each part's (a row a part) in the whole
     sizes = spark.read.schema(SEGMENT).parquet(f"{path}/segments").select("part", "seq", "n_ids")
-    # positions before each part (a row a part), then within the part
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
-        "part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
     within = F.sum("n_ids").over(W.partitionBy("part").orderBy("seq")) - F.col("n_ids")
-    sizes.withColumn("start", within).join(parts, "part").select("part", "seq", (F.col("start") + F.col("base")).alias("start")) \
-        .coalesce(1).write.parquet(f"{path}/starts")
-
-
-def _documents(batches):
+    sizes.select("part", "seq", within.alias("start")).write.parquet(f"{path}/starts")
+    sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
+        "part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base")).write.parquet(f"{path}/parts")
+
+
+def _read(row: dict, data: pa.Buffer, a: int, b: int) -> pa.RecordBatch:
+    """Documents a to b - 1 of a segment: what bounds and ids say is selected, nothing else decoded."""
+    bounds, known = EliasFano.from_bytes(row["bounds"]), EliasFano.from_bytes(row["doc_ids"])
+    ends = bounds.select_range(max(0, a - 1), b).astype(np.int64)
+    starts = np.concatenate([[0], ends[:-1]]) if not a else ends[:-1]
+    ends = ends if not a else ends[1:]
+    offsets = pa.array((np.concatenate([starts, ends[-1:]]) - starts[0]) * 4, pa.int32())
+    body = data.slice(int(starts[0]) * 4, int(ends[-1] - starts[0]) * 4)
+    nulls = row["n_null"]
+    ids = known.select_range(max(0, a - nulls), max(0, b - nulls)).astype(np.int64) + row["doc_base"]
+    names = [None] * max(0, min(b, nulls) - a) + ids.tolist()
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names, pa.int64()), pa.array(starts + row["start"], pa.int64()), pa.array(ends - starts, pa.int64()),
+         pa.Array.from_buffers(pa.binary(), b - a, [None, offsets.buffers()[1], body])], ["doc_id", "start", "n_tokens", "ids"])
+
+
+def _rows(batches):
     for batch in batches:
         ids = batch.column("ids")
         for at, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
-            data = ids[at].as_buffer()
-            ends = EliasFano.from_bytes(row["bounds"]).all().astype(np.int64)
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            known = EliasFano.from_bytes(row["doc_ids"]).all().astype(np.int64) + row["doc_base"]
-            a = 0
-            while a < len(ends):  # some thousand documents or a gigabyte of ids at a time (or one document)
-                b = min(a + 2048, max(a + 1, int(np.searchsorted(ends, starts[a] + (1 << 28), "right"))))
-                offsets = pa.array((np.concatenate([starts[a:b], ends[b - 1 : b]]) - starts[a]) * 4, pa.int32())
-                body = data.slice(int(starts[a]) * 4, int(ends[b - 1] - starts[a]) * 4)
-                names = [None] * max(0, min(b, row["n_null"]) - a) + known[max(0, a - row["n_null"]) : max(0, b - row["n_null"])].tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64()), pa.array(starts[a:b] + row["start"], pa.int64()), pa.array(ends[a:b] - starts[a:b], pa.int64()),
-                     pa.Array.from_buffers(pa.binary(), b - a, [None, offsets.buffers()[1], body])], ["doc_id", "start", "n_tokens", "ids"])
-                a = b
+            yield row, ids[at].as_buffer()
 
 
-def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a file set: ``doc_id``, ``start`` (ids before it), ``n_tokens``, ``ids`` (little-endian unsigned 32-bit)."""
+def _documents(batches):
+    for row, data in _rows(batches):
+        bounds, a = EliasFano.from_bytes(row["bounds"]), 0
+        while a < bounds.n:  # some thousand documents or a gigabyte of ids at a time (or one document)
+            before = bounds.select(a - 1) if a else 0
+            ends = bounds.select_range(a, min(bounds.n, a + 2048))
+            b = a + max(1, int(np.searchsorted(ends, before + (1 << 28), "right")))
+            yield _read(row, data, a, b)
+            a = b
+
+
+def _some(wanted: list[int]):
+    def some(batches):
+        for row, data in _rows(batches):
+            known = EliasFano.from_bytes(row["doc_ids"])
+            for one in wanted:
+                at = known.first_not_below(one - row["doc_base"]) if one >= row["doc_base"] else known.n
+                while at < known.n and known.select(at) + row["doc_base"] == one:  # rows may share an id
+                    yield _read(row, data, at + row["n_null"], at + row["n_null"] + 1)
+                    at += 1
+
+    return some
+
+
+def _segments_of(spark: SparkSession, path: str) -> DataFrame:
     prepare(spark)
     segments = spark.read.schema(SEGMENT).parquet(f"{path}/segments")
     starts = spark.read.schema("part int, seq int, start long").parquet(f"{path}/starts")
-    # a few numbers a segment; Spark broadcasts them while they are under its threshold
-    return segments.join(starts, ["part", "seq"]).mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids binary")
+    parts = spark.read.schema("part int, base long").parquet(f"{path}/parts")
+    # a few numbers a segment and a part; Spark broadcasts them while they are under its threshold
+    places = starts.join(parts, "part").select("part", "seq", (F.col("start") + F.col("base")).alias("start"))
+    return segments.join(places, ["part", "seq"])
+
+
+def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of a file set: ``doc_id``, ``start`` (ids before it), ``n_tokens``, ``ids`` (little-endian unsigned 32-bit)."""
+    return _segments_of(spark, path).mapInArrow(_documents, _DOCUMENT)
+
+
+def read_documents(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """The documents of the given ids (all rows of an id), columns as of :func:`read_token_ids`.
+
+    Segments are in ascending order of ids, so the range of their ids leaves those out that cannot
+    hold one; in the others a document is found and cut out by ``select`` alone.
+    """
+    wanted = sorted({int(i) for i in ids})
+    held = F.exists(F.array(*map(F.lit, wanted)), lambda i: (i >= F.col("doc_base")) & (i <= F.col("last_id"))) if wanted else F.lit(False)
+    rows = _segments_of(spark, path).where((F.col("n_docs") > F.col("n_null")) & F.col("doc_base").isNotNull())
+    rows = rows.where((F.col("doc_base") <= max(wanted, default=0)) & (F.col("last_id") >= min(wanted, default=0)) & held)
+    return rows.mapInArrow(_some(wanted), _DOCUMENT)

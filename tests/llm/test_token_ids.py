@@ -20,7 +20,12 @@ JSON = public_tokenizers.path("byte_bpe_50k.json")
 def test_elias_fano(values):
     values = sorted(values)
     code = EliasFano.from_bytes(EliasFano.encode(values).to_bytes())
-    assert code.all().tolist() == values
+    assert code.select_range(0, len(values)).tolist() == values
+    for a, b in ((0, 1), (3, 70), (64, 65), (63, 129), (100, 100), (len(values) - 1, len(values))):
+        a, b = min(max(a, 0), len(values)), min(max(b, 0), len(values))
+        assert code.select_range(a, b).tolist() == values[a:b]
+    for v in values[::40]:
+        assert code.first_not_below(v) == values.index(v)
     assert [code.select(i) for i in range(0, len(values), 7)] == values[::7]
 
 
@@ -57,6 +62,20 @@ def test_edge_rows(spark, monkeypatch):
             assert np.frombuffer(bytes(r.ids), "<u4").tolist()[:-1] == tokenizer().encode(long, add_special_tokens=False).ids
 
 
+def test_documents_by_id(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    path = shared_path(spark, "t-ids")
+    token_ids.write_token_ids(docs.union(docs.where("doc_id = 7")), path, JSON)
+    some = [0, 7, 55, 56, 10**9, -3]
+    whole = sorted(map(tuple, token_ids.read_token_ids(spark, path).where(f"doc_id in ({','.join(map(str, some))})").collect()))
+    got = token_ids.read_documents(spark, path, some)
+    assert sorted(map(tuple, got.collect())) == whole and len(whole) == 5
+    assert token_ids.read_documents(spark, path, []).count() == 0
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = token_ids.read_documents(spark, path, some)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(doc_base" in plan and "GreaterThanOrEqual(last_id" in plan
+
+
 def test_empty_table(spark):
     path = shared_path(spark, "t-ids")
     token_ids.write_token_ids(spark.createDataFrame([], "doc_id long, text string"), path, JSON)
