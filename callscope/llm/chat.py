@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from callscope.llm.common import spool
+
 #: Turns in a block.
 BLOCK = 64
 
@@ -25,8 +27,9 @@ def turn_prefixes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     are numbered and hashed apart, so a conversation of very many turns is split over tasks.
     """
     rows = turns.select(F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"),
-                        F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text")).where("conv_id is not null").distinct()
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(2**62)))
+                        F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text")).where("conv_id is not null")
+    # dealt once by block, as all that follows wants it
+    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(2**62))).repartition("conv_id", "block").distinct()
     sizes = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("size"))
     before = W.partitionBy("conv_id").orderBy("block")
     sizes = sizes.select("conv_id", "block", (F.sum("size").over(before) - F.col("size")).alias("base"))
@@ -63,8 +66,9 @@ def render(turns: DataFrame, begin: str = "<|im_start|>", end: str = "<|im_end|>
     null role or text is empty. Other columns are not read, and an empty table gives none. The
     text of one conversation is one value, so it has to fit one row.
     """
-    prefixes = turn_prefixes(turns, **columns)
-    kept = maximal_conversations(prefixes)
+    # written once: the collapse reads its hashes, the rendering its texts
+    prefixes = spool(turn_prefixes(turns, **columns), "chat-prefixes")
+    kept = spool(maximal_conversations(prefixes), "chat-kept")
     turn = F.concat(F.lit(begin), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(end))
     lines = prefixes.select("conv_id", "n", turn.alias("line")).join(kept, "conv_id")
     texts = lines.groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("lines"))
