@@ -93,6 +93,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, lengthened until it is none of the columns' (Spark tells no upper from lower case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(df: DataFrame) -> list:
     """Two 64-bit hashes of a whole row, as columns ``_k1`` and ``_k2``: equal rows, and only they, share them.
 
@@ -109,14 +117,16 @@ def row_key(df: DataFrame) -> list:
 def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose row key is in ``keys`` (``_k1``, ``_k2``), each key's once."""
     keys = spool(keys.distinct(), "kept-keys")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.select(*names, *row_key(docs)).join(keys, ["_k1", "_k2"], "left_semi")
+    # a row travels as one column, so that its own columns cannot clash with the key's
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    kept = docs.select(row, *row_key(docs)).join(keys, ["_k1", "_k2"], "left_semi")
     repeated = spool(kept.groupBy("_k1", "_k2").count().where("count > 1").select("_k1", "_k2"), "kept-repeated")
     if repeated.isEmpty():
-        return kept.select(*names)
-    once = kept.join(repeated, ["_k1", "_k2"], "left_anti").select(*names)
-    more = kept.join(repeated, ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.first(F.struct(*names)).alias("row"))
-    return once.union(more.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
+        return kept.select(*own)
+    once = kept.join(repeated, ["_k1", "_k2"], "left_anti").select(*own)
+    more = kept.join(repeated, ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.first("row").alias("row"))
+    return once.union(more.select(*own))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

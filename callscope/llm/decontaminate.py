@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import prepare, spool
+from callscope.llm.common import free_name, prepare, spool
 from callscope.llm.fm_index import FmIndex
 
 WINDOW = 10
@@ -212,14 +212,15 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     spark = docs.sparkSession
     prepare(spark)
     text = F.col(f"`{text_col}`").cast("string")
+    cut, spans = free_name(docs.columns, "__cut"), free_name(docs.columns, "__spans")
 
     def replaced(rows: DataFrame, new) -> DataFrame:
         """``rows`` with the new text (and number of characters, where the text differs)."""
-        rows = rows.withColumn("__cut", new)
+        rows = rows.withColumn(cut, new)
         columns = {c: F.col(f"`{c}`") for c in docs.columns}
         if "n_chars" in columns:
-            columns["n_chars"] = F.when(text.eqNullSafe(F.col("__cut")), F.col("n_chars")).otherwise(F.length("__cut").cast(docs.schema["n_chars"].dataType))
-        columns[text_col] = F.col("__cut")
+            columns["n_chars"] = F.when(text.eqNullSafe(F.col(cut)), F.col("n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
+        columns[text_col] = F.col(cut)
         return rows.select([v.alias(c) for c, v in columns.items()])
 
     group, only = next(block_groups(benchmark))
@@ -227,14 +228,14 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
         return replaced(docs, _cut(spark.sparkContext.broadcast(group))(text))
     done, todo = None, replaced(docs, text)
     while True:
-        rows = todo.withColumn("__spans", F.array().cast(_SPANS))
+        rows = todo.withColumn(spans, F.array().cast(_SPANS))
         for group, _ in block_groups(benchmark):
-            rows = spool(rows.withColumn("__spans", _marks(spark.sparkContext.broadcast(group))(text, F.col("__spans"))), "leaks-marks")
-        clean, hit = rows.where(F.size("__spans") == 0).drop("__spans"), rows.where(F.size("__spans") > 0)
+            rows = spool(rows.withColumn(spans, _marks(spark.sparkContext.broadcast(group))(text, F.col(spans))), "leaks-marks")
+        clean, hit = rows.where(F.size(spans) == 0).drop(spans), rows.where(F.size(spans) > 0)
         done = clean if done is None else done.union(clean)
         if hit.isEmpty():
             return done
-        todo = spool(replaced(hit, _without()(text, F.col("__spans"))), "leaks-cut")
+        todo = spool(replaced(hit, _without()(text, F.col(spans))), "leaks-cut")
 
 
 def _kept(text: str, spans: list[tuple[int, int]]) -> str:

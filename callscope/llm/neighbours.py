@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callscope.llm.common import prepare, spool
+from callscope.llm.common import partitions, prepare, spool
 
 #: Distinct vectors that a list is meant to hold, most centroids, and bytes and rows of the sample (a documented bound) that they are fitted to.
 LIST_SIZE, MAX_LISTS, SAMPLE_BYTES, SAMPLE = 48, 8192, 64 << 20, 40_000
@@ -260,7 +260,7 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     own = W.partitionBy("h1", "h2").orderBy("id")
     ids = index.members.withColumn("r", F.row_number().over(own)).where(F.col("r") <= k + 1).drop("r")
     asked = spool(queries.where(F.size("v") == index.dim).select("id", "v").distinct(), "queries")
-    sent = spool(probes(index, asked), "probes")
+    sent = spool(probes(index, asked.repartition(partitions(index.members.sparkSession), "id")), "probes")
 
     def blocks(rows, size, name):
         return rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / size).cast("long").alias(name))

@@ -130,25 +130,25 @@ def _cutter(by: str, min_words: int):
 
 
 def _ranked(docs: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` with ``_rid`` (long): unique per distinct row, in rank order (id, nulls last; then row key), and ``_first``.
+    """``row`` (a struct of the columns of ``docs``) with ``rid`` (long): unique per distinct row, in rank order (id, nulls last; then row key), and ``first``.
 
     Unique ids are their own rank. Otherwise the distinct keys are sorted into a written table and
-    joined back; of rows equal in every column, one has ``_first``.
+    joined back; of rows equal in every column, one is the first.
     """
     ident = F.col(f"`{id_col}`")
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     if docs.groupBy(ident.alias("i")).count().where("count > 1 or i is null").isEmpty():
-        return docs.select(*names, ident.cast("long").alias("_rid"), F.lit(True).alias("_first"))
-    keyed = docs.select(*names, *row_key(docs))
-    keys = keyed.groupBy(ident.alias("_i"), "_k1", "_k2").agg(F.count(F.lit(1)).alias("_n"))
-    order = [F.col("_i").isNull(), F.col("_i"), F.col("_k1"), F.col("_k2")]
+        return docs.select(row, ident.cast("long").alias("rid"), F.lit(True).alias("first"))
+    keyed = docs.select(row, ident.alias("i"), *row_key(docs))
+    keys = keyed.groupBy("i", "_k1", "_k2").agg(F.count(F.lit(1)).alias("n"))
+    order = [F.col("i").isNull(), F.col("i"), F.col("_k1"), F.col("_k2")]
     keys = spool(keys.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-                 .withColumn("_rid", F.monotonically_increasing_id()).drop("_i"), "ranks")
-    single = keyed.join(keys.where("_n = 1").drop("_n"), ["_k1", "_k2"]).select(*names, "_rid", F.lit(True).alias("_first"))
+                 .withColumn("rid", F.monotonically_increasing_id()).drop("i"), "ranks")
+    single = keyed.join(keys.where("n = 1").drop("n"), ["_k1", "_k2"]).select("row", "rid", F.lit(True).alias("first"))
     # equal rows are counted, so that one can be told from the rest
-    several = keyed.join(keys.where("_n > 1").select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.first(F.struct(*names)).alias("_row"))
-    several = several.join(keys.where("_n > 1"), ["_k1", "_k2"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    return single.union(several.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns], "_rid", F.col("_copy") == 1))
+    several = keyed.join(keys.where("n > 1").select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.first("row").alias("row"))
+    several = several.join(keys.where("n > 1"), ["_k1", "_k2"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return single.union(several.select("row", "rid", F.col("copy") == 1))
 
 
 def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
@@ -163,15 +163,13 @@ def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     prepare(docs.sparkSession)
     names = [c for c in docs.columns if c != "removed"]
-    rows = _ranked(docs.select(*[F.col(f"`{c}`") for c in names]), id_col)
-    texts = rows.select("_rid", F.col(f"`{text_col}`").cast("string").alias("text"), "_first").where("length(text) > 0")
-    digests = spool(texts.where("_first").select("_rid", "text").mapInArrow(_digests(by, min_words), "rid long, d1 long, d2 long"), "unit-digests")
+    rows = _ranked(docs.select(*[F.col(f"`{c}`") for c in names]), id_col).withColumn("text", F.col("row").getField(text_col).cast("string"))
+    digests = spool(rows.where("first and length(text) > 0").select("rid", "text").mapInArrow(_digests(by, min_words), "rid long, d1 long, d2 long"), "unit-digests")
     repeated = spool(digests.groupBy("d1", "d2").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated-units")
     late = digests.join(repeated, ["d1", "d2"]).where("rid != first").groupBy("rid").agg(F.collect_list(F.struct("d1", "d2")).alias("late"))
-    joined = rows.join(late.withColumnRenamed("rid", "_rid"), "_rid", "left")
-    done = joined.withColumn("_done", _cutter(by, min_words)(F.col(f"`{text_col}`").cast("string"), F.col("late"), F.col("_first")))
-    out = {c: F.col(f"`{c}`") for c in names}
-    out[text_col] = F.col("_done.text")
+    done = rows.join(late, "rid", "left").select("row", _cutter(by, min_words)(F.col("text"), F.col("late"), F.col("first")).alias("done"))
+    out = {c: F.col("row").getField(c) for c in names}
+    out[text_col] = F.col("done.text")
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.size("_done.removed") > 0, F.length("_done.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return done.select(*[c.alias(n) for n, c in out.items()], F.col("_done.removed").alias("removed"))
+        out["n_chars"] = F.when(F.size("done.removed") > 0, F.length("done.text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return done.select(*[c.alias(n) for n, c in out.items()], F.col("done.removed").alias("removed"))
