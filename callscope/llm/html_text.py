@@ -428,12 +428,15 @@ def made_layouts(texts: list[str], links: list[str], n: int, seed: int = 9):
 def fit(pages: DataFrame, html_col: str = "html") -> BiLstm:
     """A labeller for these pages.
 
-    Trains on the ``TRAIN_PAGES`` pages of at most ``TRAIN_CHARS`` characters with the smallest hashes:
+    Trains on the ``TRAIN_PAGES`` different pages of at most ``TRAIN_CHARS`` characters with the smallest hashes:
     those whose markup names an article (``marked``), and ``LAYOUTS`` made layouts of their
     sentences. An empty table still gives a labeller, from layouts alone.
     """
     h = F.col(f"`{html_col}`")
-    rows = pages.select(h.alias("html")).where(F.length("html").between(1, TRAIN_CHARS)).orderBy(F.xxhash64("html")).limit(TRAIN_PAGES).collect()
+    own = pages.select(h.cast("string").alias("html"), F.xxhash64(h.cast("string")).alias("h")).where(F.length("html").between(1, TRAIN_CHARS))
+    # the least hashes first, so that tasks send numbers to the driver and no pages but the chosen ones
+    least = own.select("h").distinct().orderBy("h").limit(TRAIN_PAGES).collect()
+    rows = sorted(own.where(F.col("h") <= least[-1].h).dropDuplicates(["h"]).collect(), key=lambda r: r.h) if least else []
     real, texts, links = [], [], []
     for row in rows:
         blocks = leaf_blocks(row.html)

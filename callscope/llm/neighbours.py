@@ -201,7 +201,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
     Equal vectors are one posting with all their ids as members, so thousands of copies of a
     vector fill no list; repeated rows are one row. The centroids are fitted to the distinct vectors
-    with the smallest hashes, at most ``SAMPLE`` of them and ``SAMPLE_BYTES``; all are then placed by
+    with the smallest hashes, about ``SAMPLE`` of them and ``SAMPLE_BYTES`` at most; all are then placed by
     a search of the graph. Extra columns play no part, whatever their names; a table without usable
     rows gives an index that finds nothing.
     """
@@ -213,7 +213,10 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     members = spool(rows.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"), "v").distinct(), "vectors")
     distinct = spool(members.groupBy("h1", "h2").agg(F.first("v").alias("v")), "vectors-distinct")
     n = distinct.count()
-    sample = _matrix(distinct.orderBy("h1", "h2").limit(int(min(SAMPLE, max(1, SAMPLE_BYTES // (8 * dim))))).select("v").toPandas().v)
+    most = min(SAMPLE, max(1, SAMPLE_BYTES // (8 * dim)))
+    # hashes are even, so a bound on them gives about as many as wanted, and no task sends more than its part
+    chosen = distinct if n <= most else distinct.where(F.col("h1") < F.lit(-(1 << 63) + (most << 64) // n))
+    sample = _matrix(chosen.select("h1", "h2", "v").toPandas().sort_values(["h1", "h2"]).v)
     n_lists = int(min(MAX_LISTS, max(1, n // LIST_SIZE), max(1, len(sample) // 8)))
     centroids = CentroidGraph(balanced_centroids(sample, n_lists))
     ratio = calibrated_ratio(sample, centroids)

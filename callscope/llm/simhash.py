@@ -165,7 +165,10 @@ def link_prints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     spark = prints.sparkSession
     n = prints.count()
     depth = max(0, -(-n // SHARD_PRINTS) - 1).bit_length()
-    sample = [r.fp for r in prints.orderBy(F.xxhash64("fp")).limit(min(SAMPLE_PRINTS, 64 << depth)).collect()]
+    most = min(SAMPLE_PRINTS, 64 << depth)
+    # hashes are even, so a bound on them gives about as many as wanted; without a tree none is needed
+    chosen = prints if n <= most else prints.where(F.xxhash64("fp") < F.lit(-(1 << 63) + (most << 64) // n))
+    sample = sorted(r.fp for r in chosen.select("fp").collect()) if depth else []
     tree = spark.sparkContext.broadcast(Shards(np.array(sample, np.int64).view(np.uint64), depth))
 
     def routed(frames):
