@@ -241,16 +241,24 @@ def model_breakdown(df: DataFrame) -> DataFrame:
             .orderBy(F.col("_order").desc_nulls_last(), "model").drop("_order"))
 
 
-def workflow_detail(df: DataFrame, workflow_id: str) -> DataFrame:
-    """One workflow's totals with its sorted distinct agents."""
-    base = df.where(F.col("workflow_id") == workflow_id)
-    return base.agg(
-        F.lit(workflow_id).alias("workflow_id"),
+def workflow_agents(df: DataFrame, workflow_id: str) -> DataFrame:
+    """D20 as rows: one workflow's totals per agent (a row with a null agent for calls without one)."""
+    return df.where(F.col("workflow_id") == workflow_id).groupBy("agent_name").agg(
         F.count(F.lit(1)).alias("calls"), total_cost_col(),
-        F.coalesce(F.sum("latency_ms"), F.lit(0)).alias("total_latency_ms"),
-        F.array_sort(F.collect_set("agent_name")).alias("agents"),
-        F.countDistinct("agent_name").alias("agent_count"),
-        error_count_col())
+        F.coalesce(F.sum("latency_ms"), F.lit(0)).alias("total_latency_ms"), error_count_col())
+
+
+def workflow_detail(df: DataFrame, workflow_id: str) -> DataFrame:
+    """One workflow's totals with its sorted distinct agents.
+
+    Calls are reduced to a row per agent first, so only the list that is the result meets in one row.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return workflow_agents(df, workflow_id).agg(
+        F.lit(workflow_id).alias("workflow_id"), total("calls"),
+        F.coalesce(F.sum("total_cost_usd"), F.lit(0.0)).alias("total_cost_usd"), total("total_latency_ms"),
+        F.array_sort(F.collect_list("agent_name")).alias("agents"),
+        F.count("agent_name").alias("agent_count"), total("error_count"))
 
 
 def workflow_costs_recent(df: DataFrame, n: int = 1000) -> DataFrame:
@@ -284,10 +292,16 @@ def latency_histogram(df: DataFrame) -> DataFrame:
             .select("bucket", "label", F.coalesce("n", F.lit(0)).alias("n")).orderBy("bucket"))
 
 
+def agent_rows(df: DataFrame) -> DataFrame:
+    """D23 as rows: every distinct agent with its calls."""
+    return df.where(F.col("agent_name").isNotNull()).groupBy("agent_name").agg(F.count(F.lit(1)).alias("calls"))
+
+
 def distinct_agents(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Count (exact or HLL) and sorted list of distinct agents."""
-    cnt = (F.approx_count_distinct("agent_name") if approximate else F.countDistinct("agent_name")).alias("n")
-    return df.agg(cnt, F.array_sort(F.collect_set("agent_name")).alias("agents"))
+    """Count (exact or HLL) and sorted list of distinct agents, which are reduced to a row each first."""
+    if approximate:
+        return df.agg(F.approx_count_distinct("agent_name").alias("n"), F.array_sort(F.collect_set("agent_name")).alias("agents"))
+    return agent_rows(df).agg(F.count("agent_name").alias("n"), F.array_sort(F.collect_list("agent_name")).alias("agents"))
 
 
 def listing_total(df: DataFrame, f: CallFilter | None = None, limit: int = 100) -> DataFrame:

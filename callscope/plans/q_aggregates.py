@@ -228,6 +228,20 @@ def q_distinct_agents(spark, sf):
     return ag.distinct_agents(calls(spark, sf))
 
 
+@register("agent_rows", "SELECT agent_name, count(*) AS calls FROM calls WHERE agent_name IS NOT NULL GROUP BY agent_name")
+def q_agent_rows(spark, sf):
+    """D23 as rows: every distinct agent with its calls."""
+    return ag.agent_rows(calls(spark, sf))
+
+
+@register("workflow_agents", f"""SELECT agent_name, count(*) AS calls, round(coalesce(sum(cost_usd), 0.0), 9) AS total_cost_usd,
+  CAST(coalesce(sum(latency_ms), 0) AS BIGINT) AS total_latency_ms, count(CASE WHEN {ERR_A} THEN 1 END) AS error_count
+  FROM calls WHERE workflow_id = 'wf-3' GROUP BY agent_name""")
+def q_workflow_agents(spark, sf):
+    """D20 as rows: one workflow's totals per agent."""
+    return ag.workflow_agents(calls(spark, sf), "wf-3")
+
+
 @register("listing_total", f"""SELECT count(*) AS calls, round(coalesce(sum(cost_usd), 0.0), 9) AS cost_usd
   FROM (SELECT * FROM calls WHERE {ERR_A} ORDER BY call_ts DESC, id DESC LIMIT 200)""")
 def q_listing_total(spark, sf):
