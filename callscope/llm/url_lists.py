@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from callscope.llm.common import bitmap, bitmap_bits, in_bitmap, prepare, spool
+
 #: Days that a time bucket has: an entry's captures and intervals are joined bucket by bucket.
 BUCKET_DAYS = 30
 #: Precedence of a match, from the strongest.
@@ -55,9 +57,11 @@ def judge(captures: DataFrame, changes: DataFrame, id_col: str = "page_id", url_
     all below it; the strongest kind decides, then the longest entry. Without an active entry,
     or with a null URL or time, the verdict is ``allow`` and the entry null. Rows that repeat id,
     URL and time are judged alike. Captures are joined on (entry, time bucket), for which
-    Spark splits a hot host; an interval is copied to the buckets of the captures' time range
-    that it touches.
+    Spark splits a hot host; keys without any entry are left out before, by a bitmap of at most
+    32 MB; an interval is copied to the buckets of the captures' time range that it touches.
+    Empty tables give no rows or verdicts without entry; other columns are not read.
     """
+    prepare(captures.sparkSession)
     ids = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{time_col}`").alias("at")]
     # equal captures are judged once
     rows = captures.select(*ids)
@@ -69,7 +73,11 @@ def judge(captures: DataFrame, changes: DataFrame, id_col: str = "page_id", url_
     single = F.array(F.struct(F.lit("url").alias("kind"), page_of(F.col("url")).alias("entry")), F.struct(F.lit("host").alias("kind"), F.col("host").alias("entry")))
     keys = asked.withColumn("host", host).withColumn("bucket", _bucket(F.col("at"))).withColumn(
         "key", F.explode(F.concat(single, F.coalesce(domains, F.array().cast("array<struct<kind:string,entry:string>>"))))).select("url", "at", "bucket", "key.kind", "key.entry")
-    intervals = validity_intervals(changes)
+    spark = captures.sparkSession
+    intervals = spool(validity_intervals(changes), "list-intervals")
+    # keys that no list names (a top-level domain is one of nearly every capture) go before anything is shuffled
+    named = intervals.select(F.xxhash64("kind", "entry").alias("h")).distinct()
+    keys = keys.where(in_bitmap(spark, bitmap(named, bitmap_bits(named.count())))(F.xxhash64("kind", "entry")))
     # an interval goes to each bucket of the captures' time range that it touches
     low, high = asked.agg(F.min(_bucket(F.col("at"))), F.max(_bucket(F.col("at")))).first()
     if low is None:
