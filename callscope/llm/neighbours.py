@@ -17,14 +17,15 @@ from pyspark.sql import functions as F
 from callscope.llm.common import partitions, prepare, spool
 
 #: Distinct vectors that a list is meant to hold, most centroids, and bytes and rows of the sample (a documented bound) that they are fitted to.
-LIST_SIZE, MAX_LISTS, SAMPLE_BYTES, SAMPLE = 48, 8192, 64 << 20, 40_000
+LIST_SIZE, MAX_LISTS, SAMPLE_BYTES, SAMPLE = 32, 8192, 64 << 20, 40_000
 #: Rounds that refine the centroids.
 ROUNDS = 6
 #: A border vector is copied to at most COPIES lists, those within COPY_RATIO of its nearest centroid's distance.
-COPIES, COPY_RATIO = 4, 1.01
-#: A query reads the lists within a distance ratio of its nearest centroid's: the least with which QUERIES vectors of the sample
-#: find this share of their neighbours in it.
-TARGET, QUERIES = 0.93, 192
+COPIES, COPY_RATIO = 4, 1.005
+#: A query reads the lists within a ratio of its nearest centroid's distance (or of the median such distance, if that is larger):
+#: the least ratio with which QUERIES vectors of the sample find this share of their neighbours among all vectors; and at least
+#: the nearest lists that hold so many times the vectors that it asks for.
+TARGET, QUERIES, LEAST = 0.93, 256, 8
 #: Neighbours in the centroid graph, the least beam of its search, and nodes of a beam opened at a time.
 DEGREE, BEAM, OPEN = 24, 32, 4
 #: Lists that stand together in a group, and rows of postings and queries of a group that one task holds; more are cut into blocks.
@@ -92,15 +93,19 @@ class CentroidGraph:
             out_i[a : a + 256], out_d[a : a + 256] = self._search(queries[a : a + 256], k, beam)
         return out_i, out_d
 
-    def within(self, queries: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, centroid) for every centroid within ``ratio`` times the nearest one's distance.
+    def within(self, queries: np.ndarray, ratio: float, floor: float = 0.0, sizes: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(query, centroid) for every centroid within ``ratio`` times the nearest one's distance (``floor`` at least), and
+        the nearest ones until lists of these ``sizes`` hold ``least`` vectors.
 
-        A search that ends within the ratio is made again with twice the centroids, so nothing but the ratio decides.
+        A search that ends within that is made again with twice the centroids, so no number of them decides.
         """
         rows, found, left, k = [], [], np.arange(len(queries)), min(64, len(self.points))
         while len(left) and k:
             near, d = self.nearest(queries[left], k)
-            inside = d <= (np.maximum(d[:, :1], 1e-12) * ratio if np.isfinite(ratio) else np.inf)
+            inside = d <= (np.maximum(d[:, :1], max(floor, 1e-12)) * ratio if np.isfinite(ratio) else np.inf)
+            if sizes is not None:
+                held = np.cumsum(sizes[near], axis=1)
+                inside |= held - sizes[near] < least
             ended = ~inside[:, -1] | (k == len(self.points))
             r, c = np.nonzero(inside & ended[:, None])
             rows.append(left[r])
@@ -147,25 +152,42 @@ class CentroidGraph:
         return node, np.sqrt(np.maximum(d, 0))
 
 
-def calibrated_ratio(sample: np.ndarray, graph: CentroidGraph, k: int = 10) -> float:
-    """The least distance ratio at which sampled queries find ``TARGET`` of their k nearest; infinite (all lists) if none does."""
-    n = len(graph.points)
-    if len(sample) < 2 or n < 2:
-        return float("inf")
-    lists = np.full((len(sample), COPIES), -1)
-    for a in range(0, len(sample), 4096):
-        near, d = graph.nearest(sample[a : a + 4096], COPIES)
-        lists[a : a + 4096, : near.shape[1]] = np.where(d <= np.maximum(d[:, :1] * COPY_RATIO, 1e-12), near, -1)
-    ask = np.arange(0, len(sample), max(1, len(sample) // QUERIES))
-    k = min(k, len(sample) - 1)
-    far = (sample**2).sum(1) - 2 * sample[ask] @ sample.T
-    far[np.arange(len(ask)), ask] = np.inf
-    true = np.argpartition(far, k - 1, axis=1)[:, :k]
-    d = np.sqrt(np.maximum((sample[ask] ** 2).sum(1)[:, None] + graph.norms - 2 * sample[ask] @ graph.points.T, 0))
-    # the ratio at which the first list that holds a neighbour is read
-    own = np.concatenate([d / np.maximum(d.min(1, keepdims=True), 1e-12), np.full((len(ask), 1), np.inf)], 1)
-    needed = np.sort(np.take_along_axis(own, lists[true].reshape(len(ask), -1), 1).reshape(len(ask), k, -1).min(2).ravel())
-    return float(needed[int(np.ceil(TARGET * len(needed))) - 1]) * (1 + 1e-9)
+def _lists_of(graph: CentroidGraph, x: np.ndarray) -> np.ndarray:
+    """The lists that hold each vector, padded with -1."""
+    out = np.full((len(x), COPIES), -1)
+    for a in range(0, len(x), 4096):
+        near, d = graph.nearest(x[a : a + 4096], COPIES)
+        out[a : a + 4096, : near.shape[1]] = np.where(d <= np.maximum(d[:, :1] * COPY_RATIO, 1e-12), near, -1)
+    return out
+
+
+def calibrated(distinct: DataFrame, sample: np.ndarray, graph: CentroidGraph, k: int = 10) -> tuple[float, float]:
+    """(ratio, floor): the least distance ratio at which sampled queries find ``TARGET`` of their k nearest of all vectors, and
+    the median distance of a nearest centroid. Infinite (all lists are read) if there is one list.
+
+    The queries are compared with all vectors in tasks, each of which returns the nearest of its part.
+    """
+    if len(sample) < 2 or len(graph.points) < 2:
+        return float("inf"), 0.0
+    ask = sample[:: max(1, len(sample) // QUERIES)]
+    d = np.sqrt(np.maximum((ask**2).sum(1)[:, None] + graph.norms - 2 * ask @ graph.points.T, 0))
+    floor = float(np.median(d.min(1)))
+
+    def nearest(frames):
+        for frame in frames:
+            x = _matrix(frame.v)
+            for a in range(0, len(x), 2048):
+                y = x[a : a + 2048]
+                far = (y**2).sum(1) - 2 * ask @ y.T + (ask**2).sum(1)[:, None]
+                own = np.argsort(far, axis=1)[:, : k + 1]
+                q = np.repeat(np.arange(len(ask)), own.shape[1])
+                yield pd.DataFrame({"q": q, "far": np.take_along_axis(far, own, 1).ravel(), "v": frame.v.to_numpy()[a + own.ravel()]})
+
+    place = F.row_number().over(W.partitionBy("q").orderBy("far", "v"))
+    found = distinct.select("v").mapInPandas(nearest, "q long, far double, v array<double>").withColumn("place", place).where(f"place between 2 and {k + 1}").toPandas()
+    own = np.concatenate([d / np.maximum(d.min(1, keepdims=True), max(floor, 1e-12)), np.full((len(ask), 1), np.inf)], 1)
+    needed = np.sort(own[found.q.to_numpy()[:, None], _lists_of(graph, _matrix(found.v))].min(1))
+    return float(needed[int(np.ceil(TARGET * len(needed))) - 1]) * (1 + 1e-9), floor
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -182,8 +204,9 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 class Index:
     """Posting lists (``list``, ``h1``, ``h2``, ``v``) of distinct vectors, their rows (``h1``, ``h2``, ``id``), and the centroid graph."""
 
-    def __init__(self, graph, postings: DataFrame, members: DataFrame, dim: int, ratio: float):
-        self.graph, self.postings, self.members, self.dim, self.ratio = graph, postings, members, dim, ratio
+    def __init__(self, graph, postings: DataFrame, members: DataFrame, dim: int, ratio: float, floor: float, sizes: np.ndarray):
+        self.graph, self.postings, self.members, self.dim = graph, postings, members, dim
+        self.ratio, self.floor, self.sizes = ratio, floor, sizes
 
 
 def _matrix(column) -> np.ndarray:
@@ -219,7 +242,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     sample = _matrix(chosen.select("h1", "h2", "v").toPandas().sort_values(["h1", "h2"]).v)
     n_lists = int(min(MAX_LISTS, max(1, n // LIST_SIZE), max(1, len(sample) // 8)))
     centroids = CentroidGraph(balanced_centroids(sample, n_lists))
-    ratio = calibrated_ratio(sample, centroids)
+    ratio, floor = calibrated(distinct, sample, centroids)
     graph = spark.sparkContext.broadcast(centroids)
 
     def place(frames):
@@ -231,18 +254,21 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
             yield pd.DataFrame({"list": near[r, c], "h1": frame.h1.to_numpy()[r], "h2": frame.h2.to_numpy()[r], "v": frame.v.to_numpy()[r]})
 
     postings = spool(distinct.mapInPandas(place, "list long, h1 long, h2 long, v array<double>"), "postings")
-    return Index(graph, postings, members.select("id", "h1", "h2"), dim, ratio)
+    sizes = np.zeros(max(1, len(centroids.points)), np.int64)
+    for r in postings.groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    return Index(graph, postings, members.select("id", "h1", "h2"), dim, ratio, floor, sizes)
 
 
-def probes(index: Index, queries: DataFrame) -> DataFrame:
+def probes(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """``grp`` (of ``GROUP`` lists), ``id``, ``v``, ``lists``: the lists that each query reads, a row for each group of them."""
-    graph, ratio = index.graph, index.ratio
+    graph, ratio, floor, sizes = index.graph, index.ratio, index.floor, index.sizes
 
     def probe(frames):
         for frame in frames:
             for a in range(0, len(frame), 256):
                 part = frame.iloc[a : a + 256]
-                r, found = graph.value.within(_matrix(part.v), ratio)
+                r, found = graph.value.within(_matrix(part.v), ratio, floor, sizes, LEAST * (k + 1))
                 if not len(r):
                     continue
                 pairs = pd.DataFrame({"r": r, "grp": found // GROUP, "lists": found}).groupby(["r", "grp"]).lists.apply(list).reset_index()
@@ -263,7 +289,7 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     own = W.partitionBy("h1", "h2").orderBy("id")
     ids = index.members.withColumn("r", F.row_number().over(own)).where(F.col("r") <= k + 1).drop("r")
     asked = spool(queries.where(F.size("v") == index.dim).select("id", "v").distinct(), "queries")
-    sent = spool(probes(index, asked.repartition(partitions(index.members.sparkSession), "id")), "probes")
+    sent = spool(probes(index, asked.repartition(partitions(index.members.sparkSession), "id"), k), "probes")
 
     def blocks(rows, size, name):
         return rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / size).cast("long").alias(name))
