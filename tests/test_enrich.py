@@ -93,8 +93,8 @@ def test_request_info(spark):
 
 
 def test_embeddings_usage(spark):
-    u = _req(spark, '{"usage":{"prompt_tokens":50,"total_tokens":50}}').u
-    assert (u.input_tokens, u.output_tokens) == (50, 0)
+    u = _req(spark, '{"object":"list","data":[],"usage":{"total_tokens":731,"prompt_tokens":731}}').u
+    assert (u.input_tokens, u.output_tokens) == (731, 0)
 
 
 def test_redaction_never_fails_open(spark):
@@ -141,8 +141,8 @@ def test_routes(spark):
 
 
 def test_provider_detection(spark):
-    ups = ["https://api.openai.com", "https://x.openai.azure.com", "https://bedrock-runtime.amazonaws.com/anthropic",
-           "https://api.groq.com/openai", "http://localhost:11434", "https://api.together.xyz", "https://nowhere"]
+    ups = ["https://api.openai.com:443/v1", "https://west-2.openai.azure.com/deploy", "https://bedrock-runtime.eu-central-1.amazonaws.com",
+           "http://gateway.internal/openai/v1", "http://127.0.0.1:11434", "https://eu.together.xyz/v1", "https://models.example"]
     df = spark.createDataFrame([(u,) for u in ups], "upstream string")
     a = [r.p for r in df.select(rt.provider_expr(F.col("upstream")).alias("p")).collect()]
     assert a == ["openai", "azure-openai", "bedrock", "openai", "ollama", "together", "unknown"]
@@ -186,8 +186,8 @@ def test_e2e_upstream_error_and_failure(spark):
 
 def test_e2e_embeddings(spark):
     r = en.enrich_calls(_ex(spark, path="/v1/embeddings?x=1", request_body='{"model":"text-embedding-3-small"}',
-                            response_body='{"usage":{"prompt_tokens":50,"total_tokens":50}}')).first()
-    assert (r.input_tokens, r.output_tokens, r.endpoint) == (50, 0, "/v1/embeddings")
+                            response_body='{"object":"list","usage":{"total_tokens":12,"prompt_tokens":12}}')).first()
+    assert (r.input_tokens, r.output_tokens, r.endpoint) == (12, 0, "/v1/embeddings")
 
 
 def test_e2e_trace_headers(spark):
