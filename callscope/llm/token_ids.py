@@ -7,10 +7,10 @@ task leaves nothing behind) in ascending document order. A segment row holds
 * ``bounds``: Elias-Fano code of the position after each document's last id;
 * ``doc_ids``: Elias-Fano code of the ascending document ids less ``doc_base``, the last
   being ``last_id`` (the first ``n_null`` documents have a null id);
-* ``part``, ``seq``: its place in the order, and ``n_docs``, ``n_ids``.
+* ``part``, ``seq``: its place in the order, ``start``: its first position in its part, and
+  ``n_docs``, ``n_ids``.
 
-The small ``starts`` folder beside it has each segment's first position in its part, ``parts``
-each part's in the whole.
+The small ``parts`` folder beside it has each part's first position in the whole.
 """
 
 from __future__ import annotations
@@ -229,7 +229,7 @@ class Encoder:
         return rows
 
 
-SEGMENT = ("part int, seq int, n_docs int, n_ids long, n_null int, doc_base long, last_id long, ids binary, bounds binary, "
+SEGMENT = ("part int, seq int, start long, n_docs int, n_ids long, n_null int, doc_base long, last_id long, ids binary, bounds binary, "
            "doc_ids binary")
 _DOCUMENT = "doc_id long, start long, n_tokens long, ids binary"
 
@@ -237,15 +237,15 @@ _DOCUMENT = "doc_id long, start long, n_tokens long, ids binary"
 def _segments(path: str, end: bytes, encode_special_tokens: bool = True):
     def segments(batches):
         encoder, part = Encoder.of(path, encode_special_tokens), TaskContext.get().partitionId()
-        docs, ids, held, seq = [], [], 0, 0
+        docs, ids, held, seq, start = [], [], 0, 0, 0
 
         def segment():
             known = [d for d in docs if d is not None]
             base = known[0] if known else 0
             ends = np.cumsum([len(x) // 4 for x in ids], dtype=np.uint64)
-            row = {"part": part, "seq": seq, "n_docs": len(docs), "n_ids": int(ends[-1]), "n_null": len(docs) - len(known), "doc_base": base, "last_id": known[-1] if known else None, "ids": b"".join(ids),
+            row = {"part": part, "seq": seq, "start": start, "n_docs": len(docs), "n_ids": int(ends[-1]), "n_null": len(docs) - len(known), "doc_base": base, "last_id": known[-1] if known else None, "ids": b"".join(ids),
                    "bounds": EliasFano.encode(ends).to_bytes(), "doc_ids": EliasFano.encode([d - base for d in known]).to_bytes()}
-            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("n_null", pa.int32()), ("doc_base", pa.int64()), ("last_id", pa.int64()), ("ids", pa.binary()), ("bounds", pa.binary()), ("doc_ids", pa.binary())]))
+            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("n_null", pa.int32()), ("doc_base", pa.int64()), ("last_id", pa.int64()), ("ids", pa.binary()), ("bounds", pa.binary()), ("doc_ids", pa.binary())]))
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
@@ -261,7 +261,7 @@ def _segments(path: str, end: bytes, encode_special_tokens: bool = True):
                     held += len(own) // 4 + 1
                     if held >= SEGMENT_IDS:
                         yield segment()
-                        docs, ids, held, seq = [], [], 0, seq + 1
+                        docs, ids, held, seq, start = [], [], 0, seq + 1, start + held
                 at = to
         if docs:
             yield segment()
@@ -285,12 +285,9 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "d
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     ordered = rows.repartitionByRange(partitions(spark), "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
     ordered.mapInArrow(_segments(tokenizer, int(end_id).to_bytes(4, "little"), encode_special_tokens), SEGMENT).write.parquet(f"{path}/segments")
-    # each segment's place within its part, and each part's (a row a part) in the whole
-    sizes = spark.read.schema(SEGMENT).parquet(f"{path}/segments").select("part", "seq", "n_ids")
-    within = F.sum("n_ids").over(W.partitionBy("part").orderBy("seq")) - F.col("n_ids")
-    sizes.select("part", "seq", within.alias("start")).write.parquet(f"{path}/starts")
-    sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
-        "part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base")).write.parquet(f"{path}/parts")
+    # each part's place in the whole: a row a part
+    sizes = spark.read.schema(SEGMENT).parquet(f"{path}/segments").groupBy("part").agg(F.sum("n_ids").alias("n"))
+    sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base")).write.parquet(f"{path}/parts")
 
 
 def _read(row: dict, data: pa.Buffer, a: int, b: int) -> pa.RecordBatch:
@@ -343,11 +340,9 @@ def _some(wanted: list[int]):
 def _segments_of(spark: SparkSession, path: str) -> DataFrame:
     prepare(spark)
     segments = spark.read.schema(SEGMENT).parquet(f"{path}/segments")
-    starts = spark.read.schema("part int, seq int, start long").parquet(f"{path}/starts")
-    parts = spark.read.schema("part int, base long").parquet(f"{path}/parts")
-    # a few numbers a segment and a part; Spark broadcasts them while they are under its threshold
-    places = starts.join(parts, "part").select("part", "seq", (F.col("start") + F.col("base")).alias("start"))
-    return segments.join(places, ["part", "seq"])
+    # two numbers a part, and no more parts than the write had partitions: small, whatever the segments hold
+    parts = F.broadcast(spark.read.schema("part int, base long").parquet(f"{path}/parts"))
+    return segments.join(parts, "part").withColumn("start", F.col("start") + F.col("base")).drop("base")
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
