@@ -2,7 +2,7 @@
 
 Below the index's folder lie ``postings/seg=../bucket=..`` (positional postings, bucketed by token
 and sorted by token and impact block), ``lengths/seg=..`` (a row per record) and ``blocks/seg=..``
-(for the tokens of ``FREQUENT`` records and more: rows, greatest tf and least length of each
+(for the tokens of about ``FREQUENT`` records and more: rows, greatest tf and least length of each
 block). A version file (``sources/versions.py``) names the segments that count, each with its rows
 and tokens; so a batch becomes visible at once, and a reader never meets half a segment.
 """
@@ -19,11 +19,15 @@ from callscope.operators import search as se
 from callscope.operators.filters import _limit
 from callscope.sources.versions import Versions
 
-#: Segments of like size until they are merged, and records from which a token's postings are told apart by block.
-FAN, FREQUENT = 8, 128
+#: Segments of like size until they are merged; records from which a token's postings are told apart by block, of which one in
+#: so many is looked at.
+FAN, FREQUENT, SAMPLED = 8, 128, 8
 #: Steps of tf and length per doubling that make an impact block, and times ``k`` rows that the first round reads at least.
 TF_STEPS, LENGTH_STEPS, FIRST = 2, 4, 4
 
+#: Bytes of postings that one task sorts and writes; a merge makes larger files of them.
+PIECE = 8 << 20
+
 _PARTS = ("postings", "lengths", "blocks")
 
 
@@ -97,20 +101,25 @@ class SearchIndex:
         block = (steps[1] * 64 + 63 - steps[0]).alias("block")
         rows = rows.select("token", block, "id", "tf", "positions", "doc_len", "lead", F.pmod(F.xxhash64("token"), F.lit(self.buckets)).cast("int").alias("bucket"))
         # rebalance (not a plain repartition): AQE splits a bucket that holds a very frequent token over several tasks and files
-        (rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "block", "id").withColumn("seg", F.lit(name))
-         .write.mode("append").partitionBy("seg", "bucket").option("parquet.writer.version", "v2").option("parquet.block.size", str(32 << 20))
-         .parquet(f"{self.root}/postings"))
+        key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, str(PIECE))
+        try:
+            (rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "block")
+             .write.partitionBy("bucket").option("parquet.block.size", str(32 << 20)).parquet(f"{self.root}/postings/seg={name}"))
+        finally:
+            self.spark.conf.set(key, before)
 
     def _finish(self, name: str, lengths: DataFrame) -> dict:
         """Lengths, block table and statistics of a segment whose postings are written."""
-        lengths.withColumn("seg", F.lit(name)).write.mode("append").partitionBy("seg").parquet(f"{self.root}/lengths")
+        lengths.write.parquet(f"{self.root}/lengths/seg={name}")
         n, tokens = se.corpus_stats(self._read("lengths", [name]))
         if tokens:
-            blocks = self._read("postings", [name]).groupBy("token", "block").agg(
-                F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("doc_len").alias("least_len"))
-            frequent = blocks.groupBy("token").agg(F.sum("n").alias("df")).where(F.col("df") >= FREQUENT).select("token")
-            (blocks.join(frequent, "token").repartition(1).sortWithinPartitions("token", "block").withColumn("seg", F.lit(name))
-             .write.mode("append").partitionBy("seg").parquet(f"{self.root}/blocks"))
+            # frequent tokens by a sample of records: of the others, which are many, no blocks are made
+            rows = self._read("postings", [name]).select("token", "block", "tf", "doc_len", "id")
+            some = rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).groupBy("token").count().where(F.col("count") * SAMPLED >= FREQUENT)
+            rows.join(some, "token", "left_semi").groupBy("token", "block").agg(
+                F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("doc_len").alias("least_len")).write.parquet(f"{self.root}/blocks/seg={name}")
         return {"name": name, "rows": n, "tokens": tokens}
 
     def _commit(self, segments: list[dict]) -> None:
