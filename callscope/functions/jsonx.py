@@ -56,43 +56,45 @@ def unicode_trim(s: Column) -> Column:
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated a single time, however often ``use`` names it (higher-order functions evaluate anew what they name)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def system_prompt(body: Column) -> Column:
     """H6: trimmed ``system`` string, else content of the first ``system``-role message; NULL if blank."""
-    return system_prompt_v(F.try_parse_json(body))
+    return once(F.try_parse_json(body), system_prompt_v)
 
 
 def system_prompt_v(v: Column) -> Column:
     """H6 on an already parsed (VARIANT) body."""
     msgs = jarray(v, "$.messages")
     first_sys = F.try_element_at(F.filter(msgs, lambda m: jstr(m, "$.role") == "system"), F.lit(1))
-    text = F.coalesce(jstr(v, "$.system"), jstr(first_sys, "$.content"))
-    t = unicode_trim(text)
-    return F.when(F.length(t) > 0, t)
+    text = F.coalesce(jstr(v, "$.system"), once(first_sys, lambda m: jstr(m, "$.content")))
+    return once(unicode_trim(text), lambda t: F.when(F.length(t) > 0, t))
 
 
 def fnv1a64_hex(s: Column) -> Column:
     """FNV-1a 64-bit of the UTF-8 bytes of ``s`` as 16 lower-case hex digits.
 
-    Runs in-row with ``aggregate`` over the bytes, keeping the state as two
-    32-bit halves so that every product fits a signed 64-bit long (no
+    Runs in-row with ``aggregate`` over the bytes (one character each in Latin-1),
+    keeping the state as two 32-bit halves so that every product fits a signed 64-bit long (no
     overflow under ANSI mode): with m = (lo ^ b) * 435,
     lo' = m & 0xffffffff and hi' = (hi * 435 + lo_x * 256 + (m >> 32)) & 0xffffffff.
+    ``s`` is evaluated once, and its bytes are told apart once, not at every step.
     """
-    hexs = F.hex(F.encode(s, "UTF-8"))
-    nbytes = F.length(hexs) / 2
-    idx = F.sequence(F.lit(0), (nbytes - 1).cast("int"))
-    bytes_ = F.transform(idx, lambda i: F.conv(F.substring(hexs, i * 2 + 1, 2), 16, 10).cast("long"))
+    latin = F.decode(F.encode(s, "UTF-8"), "ISO-8859-1")
+    # the empty text splits into one empty piece, which is no byte
+    chars = F.filter(F.split(latin, ""), lambda c: F.octet_length(c) > 0)
     init = F.struct(F.lit(FNV_OFFSET_HI).cast("long").alias("hi"), F.lit(FNV_OFFSET_LO).cast("long").alias("lo"))
     mask = F.lit(0xFFFFFFFF).cast("long")
 
-    def step(acc, b):
-        lo_x = acc["lo"].bitwiseXOR(b)
-        m = lo_x * F.lit(FNV_PRIME_LOW)
-        hi = (acc["hi"] * F.lit(FNV_PRIME_LOW) + lo_x * F.lit(256) + F.shiftright(m, 32)).bitwiseAND(mask)
-        return F.struct(hi.alias("hi"), m.bitwiseAND(mask).alias("lo"))
+    def step(acc, c):
+        return once(acc["lo"].bitwiseXOR(F.ascii(c).cast("long")), lambda lo_x: F.struct(
+            (acc["hi"] * F.lit(FNV_PRIME_LOW) + lo_x * F.lit(256) + F.shiftright(lo_x * F.lit(FNV_PRIME_LOW), 32)).bitwiseAND(mask).alias("hi"),
+            (lo_x * F.lit(FNV_PRIME_LOW)).bitwiseAND(mask).alias("lo")))
 
-    h = F.aggregate(F.when(nbytes > 0, bytes_).otherwise(F.array().cast("array<bigint>")), init, step)
-    return F.when(s.isNotNull(), F.lower(F.concat(F.lpad(F.hex(h["hi"]), 8, "0"), F.lpad(F.hex(h["lo"]), 8, "0"))))
+    return F.aggregate(chars, init, step, lambda h: F.lower(F.concat(F.lpad(F.hex(h["hi"]), 8, "0"), F.lpad(F.hex(h["lo"]), 8, "0"))))
 
 
 def prompt_hash(body: Column) -> Column:
