@@ -68,14 +68,20 @@ _GENERATION = f"""SELECT id, coalesce(workflow_id, id) AS trace, {_TS} AS starte
   workflow_id IS NOT NULL AS has_workflow, CASE WHEN error IS NULL THEN 'DEFAULT' ELSE 'ERROR' END AS level FROM calls"""
 
 
+#: What is read back of an ingestion event: numbers as their text, cast afterwards.
+_EVENT = ("batch array<struct<body struct<id string, traceId string, startTime string, endTime string, model string, input struct<m string>, output struct<n string>, "
+          "usage struct<input string, output string, total string>, metadata struct<cost_usd string, agent_name string, workflow_id string>, level string>>>")
+
+
 def _generation(df):
-    b = "$.batch[0].body."
-    return ex.langfuse(df).select(
-        _get(b + "id").alias("id"), _get(b + "traceId").alias("trace"), _get(b + "startTime").alias("started"), _get(b + "endTime").alias("ended"),
-        _get(b + "model").alias("model"), _get(b + "input.m").alias("input"), _get(b + "output.n").cast("long").alias("output"),
-        _get(b + "usage.input").cast("long").alias("used_in"), _get(b + "usage.output").cast("long").alias("used_out"), _get(b + "usage.total").cast("long").alias("used"),
-        _get(b + "metadata.cost_usd").cast("double").alias("cost"), _get(b + "metadata.agent_name").alias("agent"), _get(b + "metadata.workflow_id").alias("workflow"),
-        F.col("line").contains('"workflow_id":').alias("has_workflow"), _get(b + "level").alias("level"))
+    # every line is parsed once for all its fields
+    b = F.get("r.batch", F.lit(0))["body"]
+    return ex.langfuse(df).select(F.from_json("line", _EVENT).alias("r"), F.col("line").contains('"workflow_id":').alias("has_workflow")).select(
+        b["id"].alias("id"), b["traceId"].alias("trace"), b["startTime"].alias("started"), b["endTime"].alias("ended"),
+        b["model"].alias("model"), b["input"]["m"].alias("input"), b["output"]["n"].cast("long").alias("output"),
+        b["usage"]["input"].cast("long").alias("used_in"), b["usage"]["output"].cast("long").alias("used_out"), b["usage"]["total"].cast("long").alias("used"),
+        b["metadata"]["cost_usd"].cast("double").alias("cost"), b["metadata"]["agent_name"].alias("agent"), b["metadata"]["workflow_id"].alias("workflow"),
+        "has_workflow", b["level"].alias("level"))
 
 
 @register("export_langfuse_parsed", _GENERATION.format(inp="model", out="CASE WHEN error IS NULL THEN latency_ms END"), raw=True)
