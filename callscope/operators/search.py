@@ -62,38 +62,55 @@ def corpus_stats(lengths: DataFrame) -> tuple[int, float]:
     return int(r["n"] or 0), float(r["t"] or 0.0)
 
 
+#: Tokens of records that are cut into postings at a time (a longer record is cut by itself), and bytes of records that a Python worker is sent at a time.
+TOKENS_CUT, BYTES_SENT = 1 << 18, 4 << 20
+
+
 def _posting_batches(n_columns: int):
-    """Token arrays of a batch of records to postings: whole-array sorting and run cutting, no loop over tokens."""
+    """Token arrays of records to postings: whole-array sorting and run cutting, no loop over tokens.
 
-    def made(batches):
+    Some ``TOKENS_CUT`` tokens at a time, so that the memory depends neither on the number of records nor on the batches they come in.
+    """
+
+    def cut(batch):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        n, rows, places, flat = batch.num_rows, [], [], []
+        for k in range(n_columns):
+            lists = batch.column(k + 1)
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            rows.append(np.repeat(np.arange(n), size))
+            places.append(np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + (k << 32))
+            flat.append(lists.flatten())
+        row, place, tokens = np.concatenate(rows), np.concatenate(places), pa.concat_arrays(flat).dictionary_encode()
+        if not len(row):
+            return
+        code = tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(row * len(tokens.dictionary) + code, kind="stable")  # places stay ascending
+        row, code, place, length = row[order], code[order], place[order], np.bincount(row, minlength=n)
+        starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
+        ends, own = np.append(starts[1:], len(row)), row[starts]
+        lead = np.concatenate([[True], own[1:] != own[:-1]])
+        for i in range(0, len(starts), 1 << 14):
+            j = min(len(starts), i + (1 << 14))
+            offsets = pa.array(np.append(starts[i:j], ends[j - 1]) - starts[i], pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                tokens.dictionary.take(pa.array(code[starts[i:j]])), batch.column(0).take(pa.array(own[i:j])), pa.array(ends[i:j] - starts[i:j], pa.int32()),
+                pa.ListArray.from_arrays(offsets, pa.array(place[starts[i] : ends[j - 1]])), pa.array(length[own[i:j]]), pa.array(lead[i:j]),
+            ], names=["token", "id", "tf", "positions", "doc_len", "lead"])
+
+    def made(batches):
+        import numpy as np
+        import pyarrow.compute as pc
+
         for batch in batches:
-            n, rows, places, flat = batch.num_rows, [], [], []
-            for k in range(n_columns):
-                lists = batch.column(k + 1)
-                size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                rows.append(np.repeat(np.arange(n), size))
-                places.append(np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + (k << 32))
-                flat.append(lists.flatten())
-            row, place, tokens = np.concatenate(rows), np.concatenate(places), pa.concat_arrays(flat).dictionary_encode()
-            if not len(row):
-                continue
-            code = tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.argsort(row * len(tokens.dictionary) + code, kind="stable")  # places stay ascending
-            row, code, place, length = row[order], code[order], place[order], np.bincount(row, minlength=n)
-            starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
-            ends, own = np.append(starts[1:], len(row)), row[starts]
-            lead = np.concatenate([[True], own[1:] != own[:-1]])
-            for i in range(0, len(starts), 1 << 16):
-                j = min(len(starts), i + (1 << 16))
-                offsets = pa.array(np.append(starts[i:j], ends[j - 1]) - starts[i], pa.int32())
-                yield pa.RecordBatch.from_arrays([
-                    tokens.dictionary.take(pa.array(code[starts[i:j]])), batch.column(0).take(pa.array(own[i:j])), pa.array(ends[i:j] - starts[i:j], pa.int32()),
-                    pa.ListArray.from_arrays(offsets, pa.array(place[starts[i] : ends[j - 1]])), pa.array(length[own[i:j]]), pa.array(lead[i:j]),
-                ], names=["token", "id", "tf", "positions", "doc_len", "lead"])
+            size = sum(pc.list_value_length(batch.column(k + 1)).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(n_columns))
+            part = (np.cumsum(size) - 1) // TOKENS_CUT
+            bounds = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), batch.num_rows]
+            for i, j in zip(bounds, bounds[1:], strict=False):
+                yield from cut(batch.slice(i, j - i))
 
     return made
 

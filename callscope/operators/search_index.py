@@ -101,14 +101,16 @@ class SearchIndex:
         block = (steps[1] * 64 + 63 - steps[0]).alias("block")
         rows = rows.select("token", block, "id", "tf", "positions", "doc_len", "lead", F.pmod(F.xxhash64("token"), F.lit(self.buckets)).cast("int").alias("bucket"))
         # rebalance (not a plain repartition): AQE splits a bucket that holds a very frequent token over several tasks and files
-        key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-        before = self.spark.conf.get(key)
-        self.spark.conf.set(key, str(PIECE))
+        settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PIECE), "spark.sql.execution.arrow.maxBytesPerBatch": str(se.BYTES_SENT)}
+        before = {key: self.spark.conf.get(key) for key in settings}
         try:
+            for key, value in settings.items():
+                self.spark.conf.set(key, value)
             (rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "block")
              .write.partitionBy("bucket").option("parquet.block.size", str(32 << 20)).parquet(f"{self.root}/postings/seg={name}"))
         finally:
-            self.spark.conf.set(key, before)
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
 
     def _finish(self, name: str, lengths: DataFrame) -> dict:
         """Lengths, block table and statistics of a segment whose postings are written."""
