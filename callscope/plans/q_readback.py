@@ -13,7 +13,7 @@ from callscope.operators import prompts as pm
 from callscope.plans.catalog import AS_OF, calls, register
 from callscope.plans.exchange_oracle import model_sql, stream_sql, with_ex, with_sse
 from callscope.plans.q_enrich import _HASHED, _SSE_TEXT, _TOOL_ARGS, _TOOL_NAME, _ex, enriched, stored_calls
-from callscope.plans.q_streaming import _dirs, _stream
+from callscope.plans.q_streaming import _dirs, _stream, exchange_log
 from callscope.session import scratch_dir
 from callscope.sources import exports as ex
 from callscope.sources.exchanges import load_exchanges
@@ -200,8 +200,7 @@ def q_enrich_calls_fields(spark, sf):
 @register("stream_enrich_fields", with_ex(_FIELDS), calls_cte=False)
 def q_stream_enrich_fields(spark, sf):
     """The same through the streaming ingest and its store."""
-    src = scratch_dir(spark, "exchange-log")
-    _ex(spark, sf).repartition(8).write.mode("overwrite").parquet(src)
+    src = exchange_log(spark, sf)
     store, ck = _dirs(spark, "ingest-fields")
     lv.run_ingest(lv.exchanges_stream(spark, src, 2), store, ck, available_now=True).awaitTermination()
     return load_calls(spark, store).select(*_FIELD_NAMES)
@@ -211,8 +210,7 @@ def q_stream_enrich_fields(spark, sf):
           calls_cte=False)
 def q_fanout_lines(spark, sf):
     """Each ingested call once in each export sink (call ids; span ids)."""
-    src = scratch_dir(spark, "exchange-log")
-    _ex(spark, sf).repartition(8).write.mode("overwrite").parquet(src)
+    src = exchange_log(spark, sf)
     store, ck = _dirs(spark, "fanout-lines")
     jl, ot = scratch_dir(spark, "fan-jsonl"), scratch_dir(spark, "fan-otlp")
     lv.run_ingest(lv.exchanges_stream(spark, src, 2), store, ck, exports={"jsonl": jl, "otlp": ot}, available_now=True).awaitTermination()

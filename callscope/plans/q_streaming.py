@@ -22,6 +22,8 @@ from callscope.sources.store import append_calls, load_calls
 from callscope.streaming import live as lv
 
 FILES_PER_TRIGGER = 5
+#: Row groups of the files that streams read: few bytes each, so that the few files of a micro-batch are read by all tasks.
+FEED = {"parquet.block.size": 4 << 20}
 
 
 def _store(spark, sf):
@@ -34,6 +36,13 @@ def _stream(spark, sf):
     return lv.calls_stream(spark, _store(spark, sf), FILES_PER_TRIGGER)
 
 
+def exchange_log(spark, sf):
+    """The exchanges as eight files of a log."""
+    src = scratch_dir(spark, "exchange-log")
+    _ex(spark, sf).repartition(8).write.options(**FEED).mode("overwrite").parquet(src)
+    return src
+
+
 def _dirs(spark, name):
     return scratch_dir(spark, f"{name}-out"), scratch_dir(spark, f"{name}-ckpt")
 
@@ -81,8 +90,7 @@ def q_budget_monitor(spark, sf):
 @register("stream_enrich")
 def q_stream_enrich(spark, sf):
     """Raw exchanges enriched continuously into the calls store."""
-    src = scratch_dir(spark, "exchange-log")
-    _ex(spark, sf).repartition(8).write.mode("overwrite").parquet(src)
+    src = exchange_log(spark, sf)
     store, ck = _dirs(spark, "ingest")
     q = lv.run_ingest(lv.exchanges_stream(spark, src, 2), store, ck, available_now=True)
     q.awaitTermination()
@@ -92,8 +100,7 @@ def q_stream_enrich(spark, sf):
 @register("fanout_exports")
 def q_fanout_exports(spark, sf):
     """Each ingested micro-batch appended to the store and exported (JSON lines + OTLP)."""
-    src = scratch_dir(spark, "exchange-log")
-    _ex(spark, sf).repartition(8).write.mode("overwrite").parquet(src)
+    src = exchange_log(spark, sf)
     store, ck = _dirs(spark, "fanout")
     jl, ot = scratch_dir(spark, "fan-jsonl"), scratch_dir(spark, "fan-otlp")
     q = lv.run_ingest(lv.exchanges_stream(spark, src, 2), store, ck, exports={"jsonl": jl, "otlp": ot},
@@ -109,8 +116,8 @@ def q_stream_dedup(spark, sf):
     path = scratch_dir(spark, "dup-feed")
     c = calls(spark, sf).withColumn("call_date", F.to_date("call_ts"))
     # files that each hold calls of all days, so that most arrive later than newer ones
-    c.repartition(6, F.xxhash64("id")).write.mode("append").parquet(path)
-    c.repartition(6, F.xxhash64(F.lit(1), "id")).write.mode("append").parquet(path)
+    c.repartition(6, F.xxhash64("id")).write.options(**FEED).mode("append").parquet(path)
+    c.repartition(6, F.xxhash64(F.lit(1), "id")).write.options(**FEED).mode("append").parquet(path)
     out, ck = _dirs(spark, "dedup")
     lv.stream_dedup(lv.calls_stream(spark, path, FILES_PER_TRIGGER), out, ck, available_now=True).awaitTermination()
     return load_calls(spark, out, with_partition=True).drop("request_body", "response_body")
@@ -181,7 +188,8 @@ def q_running_spend(spark, sf):
     for a, b in zip(days, days[1:], strict=False):
         part = c if a is None else c.where(F.col("call_date") >= F.lit(a).cast("date"))
         part = part if b is None else part.where(F.col("call_date") < F.lit(b).cast("date"))
-        part.coalesce(1).write.mode("append").parquet(feed)
+        # one file, but not read and priced by one task
+        part.repartition(1).write.options(**FEED).mode("append").parquet(feed)
     out, ck = _dirs(spark, "spend")
     lv.running_spend(lv.calls_stream(spark, feed, 1), out, ck, available_now=True).awaitTermination()
     return spark.read.parquet(f"{out}/rows").drop("epoch")

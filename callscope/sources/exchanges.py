@@ -141,11 +141,12 @@ def exchanges_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     ant_ev = F.concat(F.array(ant_start), F.when(tools, ant_tool_ev).otherwise(ant_text_ev), ant_tail)
     events = F.when(anthropic, ant_ev).otherwise(oai_ev)
     events = F.when(F.pmod(cid, F.lit(2)) == 0, F.concat(F.array(F.lit(": keep-alive")), events)).otherwise(events)
-    sse_text = _sse(events)
+    # the text is a column of its own, built once a row, and cut in one pass
+    a = a.withColumn("_sse_text", _sse(events))
+    sse_text = F.col("_sse_text")
     n_chunks = F.ceil(F.length(sse_text) / CHUNK_CHARS).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda i: F.struct(
-        (F.lit(30) + i * 7).cast("long").alias("offset_ms"),
-        F.substring(sse_text, i * CHUNK_CHARS + 1, CHUNK_CHARS).alias("data")))
+    chunks = F.transform(F.regexp_extract_all(sse_text, F.lit(f"(?s).{{1,{CHUNK_CHARS}}}"), F.lit(0)), lambda data, i: F.struct(
+        (F.lit(30) + i * 7).cast("long").alias("offset_ms"), data.alias("data")))
     chunks = F.when(F.pmod(cid, F.lit(4)) == 2, F.concat(
         F.array(F.struct(F.lit(5).cast("long").alias("offset_ms"), F.lit("").alias("data"))), chunks)).otherwise(chunks)
 
