@@ -69,15 +69,19 @@ def dedupe_batch(batch: DataFrame) -> DataFrame:
 
     Ids are counted first, so only the rows of repeated ids are reduced by
     an aggregate (``min`` over the row as a struct, map-side first: copies of
-    one id are no hot group); all other rows pass as they are.
+    one id are no hot group); all other rows pass as they are. Where no id is
+    repeated, which a pass over the ids tells, no row is shuffled.
     """
-    repeated = batch.groupBy("id").count().where("count > 1").select("id")
+    repeated = batch.where("id is not null").groupBy("id").count().where("count > 1").select("id")
     others = [c for c in CALL_COLUMNS if c not in ("id", "call_ts")]
     row = F.struct(F.col("call_ts").alias("call_ts"), *[F.col(c).alias(c) for c in others])
+    nameless = batch.where("id is null").groupBy("id").agg(F.min(row).alias("_r")).select("id", "_r.*").select(*CALL_COLUMNS)
+    named = batch.where("id is not null").select(*CALL_COLUMNS)
+    if repeated.isEmpty():
+        return named.unionByName(nameless)
     again = batch.join(repeated, "id", "left_semi").groupBy("id").agg(F.min(row).alias("_r")).select("id", "_r.*")
-    once = batch.where("id is not null").join(repeated, "id", "left_anti")
-    nameless = batch.where("id is null").groupBy("id").agg(F.min(row).alias("_r")).select("id", "_r.*")
-    return once.select(*CALL_COLUMNS).unionByName(again.select(*CALL_COLUMNS)).unionByName(nameless.select(*CALL_COLUMNS))
+    once = named.join(repeated, "id", "left_anti")
+    return once.select(*CALL_COLUMNS).unionByName(again.select(*CALL_COLUMNS)).unionByName(nameless)
 
 
 def append_calls(batch: DataFrame, path: str) -> int:
