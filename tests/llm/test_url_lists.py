@@ -57,6 +57,39 @@ def test_many_changes(spark):
     check(spark, captures, changes)
 
 
+def test_list_stays_off_the_driver(spark, monkeypatch):
+    """20,000 entries in two years of buckets: neither their copies nor a table of their keys go by the driver."""
+    captures = [(i, f"http://h{i % 50}.x{i % 7}.com/{i}", i * 7 % 720) for i in range(300)]
+    changes = [("url", f"http://h{i % 50}.x{i % 7}.com/{i}", "block", i % 30) for i in range(20_000)] + [("domain", "x3.com", "allow", 5), ("host", "h8.x1.com", "block", 400)]
+    sent = []
+    frame, collect = type(spark.range(0)), type(spark.range(0)).collect
+    monkeypatch.setattr(frame, "collect", lambda self: (sent.append(len(str(got := collect(self)))), got)[1])
+    # what is small once it is counted (adaptive) may be broadcast; a page of it alone is up to 64 MB
+    limits = {"spark.sql.maxBroadcastTableSize": 100 << 20, "spark.sql.autoBroadcastJoinThreshold": 10 << 20, "spark.sql.adaptive.autoBroadcastJoinThreshold": 1 << 18}
+    kept = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        check(spark, captures, changes)
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # the time range; the last is the result
+    assert sum(sent[:-1]) < 1000
+
+
+def test_hosts_in_many_months(spark):
+    """Hosts of many labels that share domains, captured again and again, some twice at one time."""
+    rand = random.Random(9)
+    hosts = [".".join(rand.choices("abc", k=rand.randrange(1, 9))) for _ in range(40)]
+    captures = [(i, f"https://{rand.choice(hosts)}/{rand.randrange(2)}", rand.randrange(-200, 500)) for i in range(400)]
+    captures += captures[:60]
+    names = hosts + [h.split(".", 1)[-1] for h in hosts] + ["a", "b.c"]
+    changes = [(rand.choice(["host", "domain"]), rand.choice(names), rand.choice(["block", "allow", "remove"]), rand.randrange(-300, 500)) for _ in range(300)]
+    changes += [("url", f"https://{h}/1", rand.choice(["block", "remove"]), rand.randrange(-300, 500)) for h in hosts]
+    check(spark, captures, changes)
+
+
 def test_query(spark):
     path = "/root/testdata/sf0.001"
     con = duckdb.connect()
